@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton
+from . import bpe_automaton, recompression
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,5 +17,35 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op8_bpe": op8_bpe}
-ORACLES: dict[str, str] = {}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return recompression.dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = {"op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe}
+#: Fixed: how the queries' contracts split words, as DuckDB (RE2) text.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_OP7 = f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (
+  SELECT doc_id, i, list_slice(w, i, i + 12) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13)
+),
+first_seen AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+covered AS (
+  SELECT DISTINCT win.doc_id, unnest(range(win.i, win.i + 13)) AS p
+  FROM win JOIN first_seen USING (g) WHERE win.doc_id > m
+),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM docs),
+kept AS (
+  SELECT words.doc_id, string_agg(x, ' ' ORDER BY words.p) AS t, count(*) AS n
+  FROM words LEFT JOIN covered ON words.doc_id = covered.doc_id AND words.p = covered.p
+  WHERE covered.p IS NULL GROUP BY words.doc_id
+)
+SELECT docs.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op7_substring_dedup": _OP7}
