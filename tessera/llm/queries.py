@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_automaton, recompression
+from . import bpe_automaton, impact_topk, recompression
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {"op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+QUERIES = {"op10_topk": op10_topk, "op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe}
 #: Fixed: how the queries' contracts split words, as DuckDB (RE2) text.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -48,4 +53,19 @@ SELECT docs.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT
 FROM docs LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op7_substring_dedup": _OP7}
+_OP10 = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+         list_sum([p[1] * p[2] for p in list_zip(q.c, d.c)])::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id AND len(q.c) = len(d.c)
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op10_topk": _OP10, "op7_substring_dedup": _OP7}
