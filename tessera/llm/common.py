@@ -50,8 +50,8 @@ def lower_ascii_bytes(text: bytes) -> bytes:
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text as an array; none for null. Blanks at the ends are cut first, so split makes no empty word but for an empty text."""
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", "")
+    """The words of a text as an array; none for null. Separators at the ends are cut first, so split makes no empty word but for an empty text."""
+    cut = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(cut == "", F.array().cast("array<string>")).otherwise(F.split(cut, SEPARATORS))
 
 
