@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, impact_topk, quality_rules, recompression
+from . import bpe_automaton, impact_topk, language_mixture, quality_rules, recompression
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.STATISTICS, "base_failed", "kept", "rule")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mixture.predict_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return recompression.dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -32,7 +36,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op10_topk": op10_topk, "op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe}
+QUERIES = {"op6_language": op6_language, "op1_quality_rules": op1_quality_rules, "op10_topk": op10_topk, "op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe}
 #: Fixed: how the queries' contracts split words, as DuckDB (RE2) text.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
