@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, impact_topk, language_mixture, quality_rules, recompression
+from . import bpe_automaton, impact_topk, language_mixture, minhash, quality_rules, recompression
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +32,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs.withColumn("doc_id", F.col("doc_id").cast("long")), width=4, percent=80)
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {"op6_language": op6_language, "op1_quality_rules": op1_quality_rules, "op10_topk": op10_topk, "op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe}
+QUERIES = {"op9_minhash": op9_minhash, "op6_language": op6_language, "op1_quality_rules": op1_quality_rules, "op10_topk": op10_topk, "op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe}
 #: Fixed: how the queries' contracts split words, as DuckDB (RE2) text.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -62,6 +67,35 @@ SELECT docs.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT
 FROM docs LEFT JOIN kept USING (doc_id)
 """
 
+_OP9 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') for x in {_WORDS}] AS w
+  FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) = 0 THEN []
+    WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(list_slice(w, i, i + 3), ' ') for i in range(1, len(w) - 2)] END) AS g
+  FROM w
+),
+n AS (SELECT w.doc_id, count(s.g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+links AS (
+  SELECT p.a, p.b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k
+    FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2
+  ) p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b
+  WHERE 100 * p.k >= 80 * (na.n + nb.n - p.k)
+),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM n
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(reach.b)::BIGINT AS component_id, n.doc_id = min(reach.b) AS kept
+FROM n JOIN reach ON n.doc_id = reach.a GROUP BY n.doc_id, n.n
+"""
+
 _OP10 = """
 WITH v AS (
   SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS c FROM embeddings
@@ -77,4 +111,4 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op10_topk": _OP10, "op7_substring_dedup": _OP7}
+ORACLES: dict[str, str] = {"op9_minhash": _OP9, "op10_topk": _OP10, "op7_substring_dedup": _OP7}
