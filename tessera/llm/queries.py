@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, impact_topk, language_mixture, minhash, quality_rules, recompression
+from . import bpe_automaton, impact_topk, language_mixture, minhash, quality_rules, recompression, secret_index
+from .spans import count_kind, of_kinds, spelled
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.STATISTICS, "base_failed", "kept", "rule")
 
 
+def _span_digests(spans, kinds: list[str], base: int):
+    """Counts of the base kinds, the digest of their spans, and all spans."""
+    counts = [count_kind(spans, i).alias(f"n_{k}") for i, k in enumerate(kinds[:base])]
+    return [*counts, F.sha2(spelled(of_kinds(spans, base), kinds), 256).alias("base_sha256"), spelled(spans, kinds).alias("spans")]
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = secret_index.BASE + secret_index.MORE
+    found = secret_index.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), rules)
+    return found.select("doc_id", *_span_digests(F.col("secrets"), [r.kind for r in rules], len(secret_index.BASE)))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mixture.predict_documents(_table(spark, sf_dir, "documents"))
 
@@ -41,10 +54,41 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {"op9_minhash": op9_minhash, "op6_language": op6_language, "op1_quality_rules": op1_quality_rules, "op10_topk": op10_topk, "op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe}
+QUERIES = {"op2_secret_scan": op2_secret_scan, "op9_minhash": op9_minhash, "op6_language": op6_language, "op1_quality_rules": op1_quality_rules, "op10_topk": op10_topk, "op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe}
 #: Fixed: how the queries' contracts split words, as DuckDB (RE2) text.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+def _spans_sql(pattern: str, kind: int, test: str = "true", group: int = 0) -> str:
+    """A list of {start, kind, stop} in DuckDB; t is the text, test looks at x, the group's text."""
+    quoted = pattern.replace("'", "''")
+    found, gaps, tested = f"regexp_extract_all(t, '{quoted}')", f"string_split_regex(t, '{quoted}')", f"regexp_extract_all(t, '{quoted}', {group})"
+    at = f"(list_sum([length(g) for g in list_slice({gaps}, 1, i)]) + coalesce(list_sum([length(g) for g in list_slice({found}, 1, i - 1)]), 0))::INT"
+    return f"[{{'start': {at}, 'kind': {kind}, 'stop': ({at} + length({found}[i]))::INT}} for i in range(1, len({found}) + 1) if list_aggregate([({test}) for x in [{tested}[i]]], 'bool_and')]"
+
+
+def _letters(word: str) -> str:
+    """Either case of ASCII letters, without the library's folding of other letters."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _digest_sql(parts: list[str], kinds: list[str], base: int) -> str:
+    spell = "array_to_string([" + "list_value(" + ", ".join(f"'{k}'" for k in kinds) + ")[s.kind + 1] || ':' || s.start || ':' || s.stop for s in {}], ',')"
+    counts = ", ".join(f"len([s for s in a if s.kind = {i}])::BIGINT AS n_{k}" for i, k in enumerate(kinds[:base]))
+    return f"""
+SELECT doc_id, {counts}, sha256({spell.format(f"[s for s in a if s.kind < {base}]")}) AS base_sha256, {spell.format("a")} AS spans
+FROM (SELECT doc_id, list_sort({" || ".join(parts)}) AS a FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+"""
+
+
+def _op2_sql() -> str:
+    words = "|".join(map(_letters, ["password", "passwd", "secret", "token"])) + f"|{_letters('api')}_?{_letters('key')}"
+    assign = f"({words})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+    rules = secret_index.BASE + secret_index.MORE
+    parts = [_spans_sql(assign, 0, "length(x) >= 6", 2), _spans_sql("AKIA[A-Z0-9]+", 1, "length(x) >= 20")]
+    parts += [_spans_sql(r.pattern, i + 2) for i, r in enumerate(rules[2:])]
+    return _digest_sql(parts, [r.kind for r in rules], len(secret_index.BASE))
+
+
 _OP7 = f"""
 WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 win AS (
@@ -111,4 +155,4 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op9_minhash": _OP9, "op10_topk": _OP10, "op7_substring_dedup": _OP7}
+ORACLES: dict[str, str] = {"op2_secret_scan": _op2_sql(), "op9_minhash": _OP9, "op10_topk": _OP10, "op7_substring_dedup": _OP7}
