@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, impact_topk, language_mixture, minhash, pii, quality_rules, recompression, secret_index
+from . import bpe_automaton, impact_topk, language_mixture, log_bilinear, minhash, pii, quality_rules, recompression, secret_index
 from .spans import count_kind, of_kinds, spelled
 
 
@@ -41,6 +41,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.learn(docs)).select("doc_id", *_span_digests(F.col("pii"), pii.KINDS, pii.N_BASE))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mixture.predict_documents(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {"op3_pii": op3_pii, "op2_secret_scan": op2_secret_scan, "op9_minhash": op9_minhash, "op6_language": op6_language, "op1_quality_rules": op1_quality_rules, "op10_topk": op10_topk, "op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe}
+QUERIES = {"op4_language_model": op4_language_model, "op3_pii": op3_pii, "op2_secret_scan": op2_secret_scan, "op9_minhash": op9_minhash, "op6_language": op6_language, "op1_quality_rules": op1_quality_rules, "op10_topk": op10_topk, "op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe}
 #: Fixed: how the queries' contracts split words, as DuckDB (RE2) text.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
