@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, impact_topk, language_mixture, log_bilinear, minhash, pii, quality_rules, recompression, secret_index
+from . import best_fit, bpe_automaton, impact_topk, language_mixture, log_bilinear, minhash, pii, quality_rules, recompression, secret_index
 from .spans import count_kind, of_kinds, spelled
 
 
@@ -45,6 +45,10 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_bilinear.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(_table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mixture.predict_documents(_table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,6 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {"op4_language_model": op4_language_model, "op3_pii": op3_pii, "op2_secret_scan": op2_secret_scan, "op9_minhash": op9_minhash, "op6_language": op6_language, "op1_quality_rules": op1_quality_rules, "op10_topk": op10_topk, "op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe}
 #: Fixed: how the queries' contracts split words, as DuckDB (RE2) text.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -164,4 +167,22 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op2_secret_scan": _op2_sql(), "op9_minhash": _OP9, "op10_topk": _OP10, "op7_substring_dedup": _OP7}
+ORACLES: dict[str, str] = {
+    "op2_secret_scan": _op2_sql(),
+    "op7_substring_dedup": _OP7,
+    "op9_minhash": _OP9,
+    "op10_topk": _OP10,
+}
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_pii": op3_pii,
+    "op4_language_model": op4_language_model,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_language": op6_language,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_bpe": op8_bpe,
+    "op9_minhash": op9_minhash,
+    "op10_topk": op10_topk,
+}
