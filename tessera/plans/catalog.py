@@ -1,6 +1,460 @@
-"""Registered queries over the record-linkage operators, with their SQL equivalents."""
+"""Registered queries over the record-linkage operators, with their SQL equivalents.
+
+``part`` plays both catalogues: even keys are source records, odd keys are candidates, with the name as title, the brand
+as artist, the type as album and the size in seconds as duration. Every query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import compare as P
+from tessera.functions import text as X
+from tessera.operators import alias, decide, prepare, reference, report, retrieve, select
+from tessera.plans import fixtures
+from tessera.session import table
+from tessera.sources import readers
+from tessera.sources import vocabulary as V
+
+#: Suffixes that make candidates other versions, by key modulo 10.
+_SUFFIX = {1: " (Live)", 3: " - 2011 Remaster", 5: " (feat. Somebody)"}
+
+
+def _suffixed(key: str) -> Column:
+    out = F.lit("")
+    for k, s in _SUFFIX.items():
+        out = F.when(F.col(key) % 10 == k, s).otherwise(out)
+    return out
+
+
+def _records(parts: DataFrame, id_name: str, title: Column) -> DataFrame:
+    return parts.select(
+        F.col("p_partkey").alias(id_name), title.alias("title"), F.array("p_brand").alias("artists"), F.col("p_type").alias("album"),
+        (F.col("p_size") * 1000).cast("long").alias("duration_ms"), F.lit("").alias("isrc"),
+    )
+
+
+def _sides(spark: SparkSession, sf: str, versions: bool = False) -> tuple[DataFrame, DataFrame]:
+    parts = table(spark, sf, "part")
+    s = prepare.sources(_records(parts.where("p_partkey % 2 = 0"), "source_id", F.col("p_name")))
+    title = F.concat("p_name", _suffixed("p_partkey")) if versions else F.col("p_name")
+    c = prepare.candidates(_records(parts.where("p_partkey % 2 = 1"), "candidate_id", title))
+    return s, c.withColumn("c_order", F.col("candidate_id").cast("long"))
+
+
+def _stages(s: DataFrame, c: DataFrame) -> DataFrame:
+    return retrieve.strict(s, c, True, 1).unionByName(retrieve.strict(s, c, False, 2))
+
+
+def _by_title(s: DataFrame, c: DataFrame) -> DataFrame:
+    """Ten candidates of each source by title alone."""
+    keyed = c.select("candidate_id", "c_order", F.explode("c_title_keys").alias("k"))
+    best = select.top(keyed, ["k"], [F.asc("c_order")], retrieve.LIMIT, name="rank")  # a title's first ten serve every source of that title
+    return s.select("source_id", F.col("s_core_key").alias("k")).join(best, "k").select("source_id", "candidate_id", F.lit(1).alias("query_index"), "rank")
+
+
+def _decided(spark: SparkSession, sf: str, by_title: bool = False, versions: bool = False) -> tuple[DataFrame, DataFrame]:
+    s, c = _sides(spark, sf, versions)
+    found = _by_title(s, c) if by_title else _stages(s, c)
+    return s, decide.decide(decide.signals(retrieve.pairs(s, c, found)))
+
+
+def normalize_key(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", X.key(X.fold("p_name")).alias("name_key"), X.key(X.fold("p_brand")).alias("brand_key"))
+
+
+def query_value_sanitize(spark, sf):
+    return table(spark, sf, "events").select("event_id", X.query_value(X.text("props")).alias("query_value"))
+
+
+def _variant(key: str, name: str) -> Column:
+    k, n = F.col(key) % 7, F.col(name)
+    return (
+        F.when(k == 1, F.concat(n, F.lit(" (feat. Some One)"))).when(k == 2, F.concat(n, F.lit(" [From Album X]"))).when(k == 3, F.concat(n, F.lit(" - 2011 Remastered")))
+        .when(k == 4, F.concat(n, F.lit(" (Remaster)"))).when(k == 5, F.concat(n, F.lit(" (Part One)"))).when(k == 6, F.concat(n, F.lit(' - From "Film"'))).otherwise(n)
+    )
+
+
+def title_core_keys(spark, sf):
+    core = X.title_core(X.fold(_variant("p_partkey", "p_name")))
+    return table(spark, sf, "part").select("p_partkey", core.alias("core"), F.array_join(F.array_sort(X.title_keys(core)), "|").alias("title_keys"))
+
+
+def _versioned(key: str, name: str) -> Column:
+    k, n = F.col(key) % 8, F.col(name)
+    return (
+        F.when(k == 1, F.concat(n, F.lit(" (Live)"))).when(k == 2, F.concat(n, F.lit(" - Remix"))).when(k == 3, F.concat(n, F.lit(" Acoustic Demo"))).when(k == 4, F.concat(n, F.lit(" Oliver")))
+        .when(k == 5, F.concat(n, F.lit(" radio-edit"))).when(k == 6, F.concat(n, F.lit(" Karaoke Cover"))).when(k == 7, F.concat(n, F.lit(" (Deluxe Edition)"))).otherwise(n)
+    )
+
+
+def version_terms(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(X.version_terms(X.fold(_versioned("p_partkey", "p_name")))), "|").alias("terms"))
+
+
+def version_conflict(spark, sf):
+    terms = X.version_terms(X.fold(_versioned("p_partkey", "p_name")))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(P.version_reasons(X.version_terms(X.fold("p_name")), terms)), "|").alias("reasons"))
+
+
+def _scripted() -> Column:
+    k = F.col("doc_id") % 5
+    return F.concat(X.text("text"), F.when(k == 1, "漢字").when(k == 2, "カナ").when(k == 3, "㐀").when(k == 4, "豈").otherwise(""))
+
+
+def script_flags(spark, sf):
+    t = F.col("t")
+    docs = table(spark, sf, "documents").select("doc_id", _scripted().alias("t"))
+    return docs.select("doc_id", X.has(X.HAN, t).alias("han"), X.has(X.KANA, t).alias("kana"), X.is_cjk_wide(t).alias("cjk_wide"), X.is_japanese(t).alias("japanese"))
+
+
+def sort_name_naturalize(spark, sf):
+    k = F.col("c_custkey") % 4
+    name = F.when(k == 0, F.concat("c_mktsegment", F.lit(", "), "c_name")).when(k == 1, F.col("c_name")).when(k == 2, F.concat("c_name", F.lit(","))).otherwise(F.lit("a, b, c"))
+    return table(spark, sf, "customer").select("c_custkey", X.natural_order(X.nfkc(name)).alias("natural_name"))
+
+
+def title_artist_split(spark, sf):
+    k = F.col("p_partkey") % 3
+    line = F.when(k == 0, F.concat_ws(" - ", "p_name", "p_brand")).when(k == 1, F.concat_ws(" - ", "p_name", F.lit("extra"), "p_brand")).otherwise(F.concat("p_name", F.lit(" -")))
+    title, artist = X.split_line(line)
+    return table(spark, sf, "part").select("p_partkey", title.alias("title"), artist.alias("artist"))
+
+
+def coalesce_json_source(spark, sf):
+    k = F.from_json("props", "struct<dt:string,k:string>")
+    first = F.coalesce(F.when(~F.coalesce(k["dt"], F.lit("")).isin("", "0"), k["dt"]), F.when(~F.coalesce(k["k"], F.lit("")).isin("", "0"), k["k"]))
+    return table(spark, sf, "events").select("event_id", P.valid_duration(first).alias("duration_ms"))
+
+
+def pair_scores(spark, sf):
+    s, c = _sides(spark, sf)
+    d = decide.signals(retrieve.pairs(s, c, _by_title(s, c)))
+    return d.select("source_id", F.col("candidate_id").cast("long").alias("candidate_id"), "artist", "album", "duration")
+
+
+def match_exact_top1(spark, sf):
+    _, decided = _decided(spark, sf)
+    return select.winners(decided.where("query_index = 2")).select("source_id", F.col("candidate_id").cast("long").alias("candidate_id"), "score")
+
+
+def cascade_two_stage(spark, sf):
+    _, decided = _decided(spark, sf)
+    return select.winners(decided).select("source_id", "query_index", F.col("candidate_id").cast("long").alias("candidate_id"), "score")
+
+
+def decision_reasons(spark, sf):
+    _, d = _decided(spark, sf, True, True)
+    return d.select("source_id", F.col("candidate_id").cast("long").alias("candidate_id"), F.array_join(F.array_sort("reasons"), "|").alias("reasons"), "accepted", "category", "score")
+
+
+def reject_category_hist(spark, sf):
+    s, d = _decided(spark, sf, True, True)
+    return report.source_category(s, d).groupBy("category").agg(F.count("*").alias("n"))
+
+
+def ordered_dedup(spark, sf):
+    return select.ordered_distinct(table(spark, sf, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], [F.asc("event_id")])
+
+
+def topk_per_source(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey")
+    return select.top(rows, ["l_partkey"], [F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_suppkey")], 10, 2, "rank")
+
+
+def match_report(spark, sf):
+    s, d = _decided(spark, sf)
+    return report.match_report(s, select.winners(d), F.col("source_id") % 3 == 0)
+
+
+def match_rate_by_group(spark, sf):
+    s, d = _decided(spark, sf)
+    return report.rate_by(s.withColumn("brand", F.get("s_artists", F.lit(0))), select.winners(d), "brand")
+
+
+def signal_histogram(spark, sf):
+    signals = F.array_distinct(F.array("event_type", F.when(F.col("value") > 10, "HIGH").otherwise("LOW")))
+    return report.histogram(table(spark, sf, "events"), signals, "signal")
+
+
+def reference_exclusion(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def failed_not_missing(spark, sf):
+    failed = table(spark, sf, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("o_custkey"))
+    missing = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(failed, "o_custkey", "left_semi").join(missing, "o_custkey", "left_anti")
+
+
+def alias_left_join(spark, sf):
+    aliases = table(spark, sf, "region").where("r_regionkey % 2 = 0").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("alias"))
+    return table(spark, sf, "nation").join(aliases, "n_regionkey", "left").select("n_nationkey", "n_name", F.coalesce("alias", "n_name").alias("query_name"))
+
+
+def entity_id_intersection(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    side = lambda flag: rows.where(F.col("l_returnflag") == flag).select("l_partkey", "l_suppkey").distinct()
+    return side("A").join(side("R"), ["l_partkey", "l_suppkey"], "left_semi")
+
+
+def recording_min_diff(spark, sf):
+    met = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    diff = F.abs(F.col("l_quantity") - F.col("p_size"))
+    good = F.col("l_returnflag") == "N"
+    n = F.count("*")
+    uniqueness = F.when(n == 1, "PASS").otherwise("MULTIPLE")
+    return met.groupBy("l_orderkey").agg(F.min(F.when(good, diff)).alias("best_diff"), F.max(good).alias("matched"), n.alias("recordings"), uniqueness.alias("uniqueness"))
+
+
+def rank1_consensus(spark, sf):
+    s, c = _sides(spark, sf)
+    one = retrieve.strict(s, c, True, 1).where("rank = 1").select("source_id", "candidate_id")
+    two = retrieve.strict(s, c, False, 2).where("rank = 1").select("source_id", "candidate_id")
+    return one.join(two, ["source_id", "candidate_id"], "left_semi").select("source_id", F.col("candidate_id").cast("long").alias("candidate_id"))
+
+
+def unique_best_or_ambiguous(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+    return select.unique_best(rows, ["l_partkey"], [F.desc("l_quantity")])
+
+
+def max_score_with_ties(spark, sf):
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("priority")).where("priority <= 3")
+    return select.best_with_ties(rows, ["o_custkey"], [F.asc("priority")])
+
+
+def request_cache_hits(spark, sf):
+    hits = select.repeated_requests(table(spark, sf, "events"), ["user_id", "event_type", "props"], [F.asc("event_id")])
+    return hits.groupBy("event_type").agg(F.count("*").alias("requests"), F.count_if("cache_hit").alias("cache_hits"))
+
+
+def budgeted_prefix(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    return select.within_budget(rows, ["user_id"], [F.asc("ts"), F.asc("event_id")], F.lit(1), 10).select("event_id", "user_id", F.col("spent").cast("long").alias("spent"))
+
+
+def replay_first_accept(spark, sf):
+    _, d = _decided(spark, sf, True, True)
+    return select.first_accepted(d).select("source_id", F.col("candidate_id").cast("long").alias("candidate_id"))
+
+
+def isrc_verdict(spark, sf):
+    codes = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.collect_set((F.col("l_suppkey") % 10).cast("string")).alias("codes"))
+    code = F.when(F.col("p_size") % 11 == 0, "").otherwise((F.col("p_size") % 10).cast("string"))
+    met = table(spark, sf, "part").join(codes, F.col("p_partkey") == F.col("l_partkey"), "left").withColumn("verdict", report.code_verdict(F.col("codes"), code))
+    return met.select("p_partkey", "verdict", report.overall_verdict(F.col("p_size") % 2 == 0, F.col("verdict")).alias("overall"))
+
+
+def batch_of_100(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    return select.global_batches(rows, ["o_orderdate", "o_orderkey"]).select("o_orderkey", F.col("position").cast("long").alias("position"), F.col("batch").cast("long").alias("batch"))
+
+
+def fuzzy_title_prefilter(spark, sf):
+    """Keys of a name and of the same with a letter dropped in the middle, by the edit-distance condition."""
+    a = X.key(X.fold(F.concat("p_name", "p_type", "p_brand")))
+    rows = table(spark, sf, "part").select("p_partkey", a.alias("a")).withColumn("b", F.concat(F.expr("left(a, length(a) - 3)"), F.expr("right(a, cast(p_partkey % 4 as int))")))
+    return rows.select("p_partkey", "b", (F.size(P.near_keys(F.array("a"), F.array("b"))) > 0).alias("near"))
+
+
+def fuzzy_title_match(spark, sf):
+    """As before, by the exact ratio."""
+    a = X.key(F.lower(F.concat("p_name", "p_type", "p_brand")))
+    rows = table(spark, sf, "part").select("p_partkey", a.alias("a")).withColumn("b", F.concat(F.expr("left(a, length(a) - 3)"), F.expr("right(a, cast(p_partkey % 4 as int))")))
+    return rows.select("p_partkey", "b", P.keys_match(F.array("a"), F.array("b")).alias("similar"))
+
+
+def simplified_titles(spark, sf):
+    k = F.col("p_partkey") % 3
+    title = F.concat("p_name", F.when(k == 0, " (Album Version)").when(k == 1, " - single version").otherwise(""))
+    artist = F.concat("p_brand", F.when(k == 0, " feat. X").when(k == 1, ", Y").otherwise(""))
+    return table(spark, sf, "part").select("p_partkey", X.simplified_title(title).alias("title"), X.ambiguous_artist(artist).alias("ambiguous"), X.escape_query(F.concat(F.lit('"'), "p_name", F.lit("\\"))).alias("escaped"))
+
+
+def production_report(spark, sf):
+    s, d = _decided(spark, sf)
+    first = d.where("query_index = 1").groupBy("source_id").agg(F.count("*").alias("first_count"))
+    won = select.winners(d).select("source_id", F.lit(True).alias("won"))
+    queried = s.select("source_id").join(first, "source_id", "left").join(won, "source_id", "left")
+    rows = queried.select("source_id", (F.col("source_id") % 5 != 0).alias("in_reference"), F.coalesce("first_count", F.lit(0)).alias("first_count"), F.when(F.col("first_count") > 0, 1).otherwise(2).alias("n_queries"), F.coalesce("won", F.lit(False)).alias("accepted"))
+    return report.production_report(rows, 100)
+
+
+def scope_errors(spark, sf):
+    return report.scope_errors(table(spark, sf, "labels").select("doc_id"), table(spark, sf, "documents").where("lang = 'en'"), ["doc_id"])
+
+
+def script_report(spark, sf):
+    """Match rates over all source records and those with a wide-script title, from titles with characters added."""
+    s, d = _decided(spark, sf)
+    flagged = s.withColumn("flag", X.is_japanese(F.concat("s_title", F.when(F.col("source_id") % 4 == 0, "曲").otherwise(""))))
+    return report.match_report(flagged, select.winners(d), F.col("flag")).select("flagged_total", "flagged_matched", "flagged_match_rate")
+
+
+def due_attempts(spark, sf):
+    from tessera.streaming.increments import first_of_day
+
+    return first_of_day(table(spark, sf, "events").select("event_id", "ts")).select("event_id", F.col("local_date").cast("string").alias("local_date"))
+
+
+def reference_verification(spark, sf):
+    return fixtures.verification(spark)
+
+
+def title_alias_discovery(spark, sf):
+    t = fixtures.alias_tables(spark)
+    return alias.discover(*t)
+
+
+def romanised_retrieval(spark, sf):
+    return fixtures.romanised(spark)
+
+
+def daily_songs(spark, sf):
+    return readers.daily_songs(fixtures.responses(spark))
+
+
+def candidate_pages(spark, sf):
+    return readers.candidate_pages(fixtures.pages(spark))
+
+
+def rank_consensus(spark, sf):
+    return fixtures.consensus(spark)
+
+
+# --- SQL ----------------------------------------------------------------------------------------------
+
+_KEY = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+_NAMES = "k AS (SELECT p_partkey AS id, {n} AS nk, {b} AS bk, {a} AS ak, p_brand AS brand, p_type AS type, p_size AS size FROM part)".format(n=_KEY.format("p_name"), b=_KEY.format("p_brand"), a=_KEY.format("p_type"))
+_STRICT = f"""{_NAMES},
+r AS (
+  SELECT s.id AS source_id, c.id AS candidate_id, q.q AS query_index, s.size AS ss, c.size AS cs, s.ak AS sa, c.ak AS ca,
+         row_number() OVER (PARTITION BY s.id, q.q ORDER BY c.id) AS rank
+  FROM k s JOIN k c ON s.id % 2 = 0 AND c.id % 2 = 1 AND s.nk = c.nk AND s.bk = c.bk
+  JOIN (SELECT unnest([1, 2]) AS q) q ON q.q = 2 OR s.ak = c.ak
+),
+top AS (SELECT * FROM r WHERE rank <= 10)"""
+_DURATION = "CASE WHEN abs({0} - {1}) <= 3 THEN 50 WHEN abs({0} - {1}) <= 8 THEN 40 WHEN abs({0} - {1}) <= 15 THEN 25 WHEN abs({0} - {1}) <= 30 THEN 10 ELSE 0 END"
+_ALBUM = "CASE WHEN {0} = {1} THEN 60 WHEN contains({0}, {1}) OR contains({1}, {0}) THEN 45 ELSE 10 END"
+_SCORED = f"""{_STRICT},
+scored AS (SELECT *, (300 + 500 + {_ALBUM.format("sa", "ca")} + {_DURATION.format("ss", "cs")} + 100)::INT AS score FROM top)"""
+_WON = f"""{_SCORED},
+first_q AS (SELECT source_id, min(query_index) AS q FROM scored GROUP BY 1),
+won AS (
+  SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY s.source_id ORDER BY score DESC, s.rank) AS w
+  FROM scored s JOIN first_q f ON s.source_id = f.source_id AND s.query_index = f.q) WHERE w = 1
+)"""
+_TITLED = f"""{_NAMES},
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nk ORDER BY id) AS rank FROM k WHERE id % 2 = 1) WHERE rank <= 10),
+m AS (
+  SELECT s.id AS source_id, c.id AS candidate_id, c.rank,
+         CASE WHEN s.bk = c.bk THEN 100 WHEN contains(s.bk, c.bk) OR contains(c.bk, s.bk) THEN 80 ELSE 0 END AS artist,
+         {_ALBUM.format("s.ak", "c.ak")} AS album, {_DURATION.format("s.size", "c.size")} AS duration
+  FROM k s JOIN best c ON s.nk = c.nk AND s.id % 2 = 0
+)"""
+_REASONED = f"""{_TITLED},
+d AS (
+  SELECT *, list_sort(list_filter([CASE WHEN artist = 0 THEN 'artist mismatch' END, CASE WHEN candidate_id % 10 = 1 THEN 'live version mismatch' END], lambda x: x IS NOT NULL)) AS reasons
+  FROM m
+),
+e AS (
+  SELECT *, len(reasons) = 0 AS accepted, CASE WHEN len(reasons) = 0 THEN NULL WHEN candidate_id % 10 = 1 THEN 'VERSION_CONFLICT' ELSE 'ARTIST_CONFLICT' END AS category,
+         (300 + 5 * artist + album + duration + 100)::INT AS score
+  FROM d
+)"""
+
+
+def _term_sql(x: str) -> str:
+    tests = ", ".join(f"CASE WHEN regexp_matches({x}, '(^|[^a-z0-9])({V.TERM_PATTERNS.get(t, t)})([^a-z0-9]|$)') THEN '{t}' END" for t in V.ALL_TERMS)
+    return f"list_filter([{tests}], lambda x: x IS NOT NULL)"
+
+
+_CASE7 = """CASE p_partkey % 7 WHEN 1 THEN p_name || ' (feat. Some One)' WHEN 2 THEN p_name || ' [From Album X]' WHEN 3 THEN p_name || ' - 2011 Remastered'
+ WHEN 4 THEN p_name || ' (Remaster)' WHEN 5 THEN p_name || ' (Part One)' WHEN 6 THEN p_name || ' - From "Film"' ELSE p_name END"""
+_CASE8 = """CASE p_partkey % 8 WHEN 1 THEN p_name || ' (Live)' WHEN 2 THEN p_name || ' - Remix' WHEN 3 THEN p_name || ' Acoustic Demo' WHEN 4 THEN p_name || ' Oliver'
+ WHEN 5 THEN p_name || ' radio-edit' WHEN 6 THEN p_name || ' Karaoke Cover' WHEN 7 THEN p_name || ' (Deluxe Edition)' ELSE p_name END"""
+_HARD = "[" + ", ".join(f"'{t}'" for t in V.HARD_TERMS) + "]"
+_INVALID = "[" + ", ".join(f"'{t}'" for t in V.INVALID_TERMS) + "]"
+
+QUERIES = {f.__name__: f for f in (
+    normalize_key, query_value_sanitize, title_core_keys, version_terms, version_conflict, script_flags, sort_name_naturalize, title_artist_split, coalesce_json_source,
+    pair_scores, match_exact_top1, cascade_two_stage, decision_reasons, reject_category_hist, ordered_dedup, topk_per_source, match_report, match_rate_by_group, signal_histogram,
+    reference_exclusion, failed_not_missing, alias_left_join, entity_id_intersection, recording_min_diff, rank1_consensus, unique_best_or_ambiguous, max_score_with_ties,
+    request_cache_hits, budgeted_prefix, replay_first_accept, isrc_verdict, batch_of_100, fuzzy_title_prefilter, fuzzy_title_match, simplified_titles, production_report, scope_errors,
+    script_report, due_attempts, reference_verification, title_alias_discovery, romanised_retrieval, daily_songs, candidate_pages, rank_consensus,
+)}
+
+ORACLES: dict[str, str] = {
+    "normalize_key": f"SELECT p_partkey, {_KEY.format('p_name')} AS name_key, {_KEY.format('p_brand')} AS brand_key FROM part",
+    "query_value_sanitize": """SELECT event_id, trim(regexp_replace(translate(coalesce(props, ''), '"*', '  '), '\\s+', ' ', 'g')) AS query_value FROM events""",
+    "title_core_keys": f"""
+WITH f AS (SELECT p_partkey, trim(lower({_CASE7})) AS t FROM part),
+a AS (SELECT p_partkey, regexp_replace(t, '\\s*\\((?:with|feat\\.?|featuring)\\b[^)]*\\)', '', 'g') AS t FROM f),
+b AS (SELECT p_partkey, regexp_replace(t, '\\s*-?\\s*\\[(?:from)\\s+[^\\]]+\\]\\s*$', '') AS t FROM a),
+c AS (SELECT p_partkey, regexp_replace(t, '\\s*-\\s*from\\s+["“”][^"“”]+["“”]\\s*$', '') AS t FROM b),
+d AS (SELECT p_partkey, regexp_replace(t, '\\s*-\\s*(?:\\d{{4}}\\s+)?remaster(?:ed)?\\s*$', '') AS t FROM c),
+e AS (SELECT p_partkey, trim(regexp_replace(t, '\\s*\\((?:\\d{{4}}\\s+)?remaster(?:ed)?\\)\\s*$', '')) AS core FROM d)
+SELECT p_partkey, core, array_to_string(list_sort(list_distinct(list_filter([{_KEY.format("core")}, {_KEY.format("regexp_replace(core, '\\s*\\([^)]*\\)\\s*$', '')")}], lambda x: x <> ''))), '|') AS title_keys FROM e""",
+    "version_terms": f"SELECT p_partkey, array_to_string(list_sort({_term_sql('t')}), '|') AS terms FROM (SELECT p_partkey, lower({_CASE8}) AS t FROM part)",
+    "version_conflict": f"""
+WITH v AS (SELECT p_partkey, {_term_sql('lower(p_name)')} AS s, {_term_sql(f'lower({_CASE8})')} AS c FROM part)
+SELECT p_partkey, array_to_string(list_sort(list_filter([CASE WHEN list_has_any(c, {_INVALID}) THEN 'tribute/cover/karaoke release' END], lambda x: x IS NOT NULL)
+  || [t || ' version mismatch' for t in {_HARD} if list_contains(s, t) <> list_contains(c, t)]), '|') AS reasons FROM v""",
+    "script_flags": """
+WITH d AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 5 WHEN 1 THEN '漢字' WHEN 2 THEN 'カナ' WHEN 3 THEN '㐀' WHEN 4 THEN '豈' ELSE '' END AS t FROM documents)
+SELECT doc_id, regexp_matches(t, '[\\x{4e00}-\\x{9fff}]') AS han, regexp_matches(t, '[\\x{3040}-\\x{30ff}]') AS kana,
+  regexp_matches(t, '[\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}\\x{f900}-\\x{faff}]') AS cjk_wide, regexp_matches(t, '[\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]') AS japanese FROM d""",
+    "sort_name_naturalize": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name || ' ' || c_mktsegment WHEN 1 THEN c_name END AS natural_name FROM customer",
+    "title_artist_split": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' - extra' END AS title, CASE WHEN p_partkey % 3 < 2 THEN p_brand END AS artist FROM part",
+    "coalesce_json_source": "SELECT event_id, CASE WHEN try_cast(json_extract_string(props, '$.k') AS BIGINT) > 0 THEN try_cast(json_extract_string(props, '$.k') AS BIGINT) END AS duration_ms FROM events",
+    "pair_scores": f"WITH {_TITLED} SELECT source_id, candidate_id, artist, album, duration FROM m",
+    "match_exact_top1": f"WITH {_SCORED} SELECT source_id, candidate_id, score FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, rank) AS w FROM scored WHERE query_index = 2) WHERE w = 1",
+    "cascade_two_stage": f"WITH {_WON} SELECT source_id, query_index, candidate_id, score FROM won",
+    "decision_reasons": f"WITH {_REASONED} SELECT source_id, candidate_id, array_to_string(reasons, '|') AS reasons, accepted, category, score FROM e",
+    "reject_category_hist": f"""WITH {_REASONED},
+g AS (SELECT k.id, bool_or(accepted) AS hit, min(category) AS category FROM k LEFT JOIN e ON e.source_id = k.id WHERE k.id % 2 = 0 GROUP BY k.id)
+SELECT coalesce(category, 'NO_CANDIDATES_RETURNED') AS category, count(*) AS n FROM g WHERE NOT coalesce(hit, false) GROUP BY 1""",
+    "ordered_dedup": "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events) WHERE n = 1",
+    "topk_per_source": "SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS rank FROM lineitem) WHERE rank BETWEEN 3 AND 12",
+    "match_report": f"""WITH {_WON}, j AS (SELECT k.id, w.source_id IS NOT NULL AS hit FROM k LEFT JOIN won w ON w.source_id = k.id WHERE k.id % 2 = 0)
+SELECT count(*) AS total, count(*) FILTER (hit) AS matched, count(*) FILTER (NOT hit) AS unmatched, count(*) FILTER (hit) / count(*)::DOUBLE AS match_rate,
+  count(*) FILTER (id % 3 = 0) AS flagged_total, count(*) FILTER (hit AND id % 3 = 0) AS flagged_matched, count(*) FILTER (hit AND id % 3 = 0) / count(*) FILTER (id % 3 = 0)::DOUBLE AS flagged_match_rate FROM j""",
+    "match_rate_by_group": f"""WITH {_WON}, j AS (SELECT k.brand, w.source_id IS NOT NULL AS hit FROM k LEFT JOIN won w ON w.source_id = k.id WHERE k.id % 2 = 0)
+SELECT brand, count(*) AS total, count(*) FILTER (hit) AS matched, count(*) FILTER (hit) / count(*)::DOUBLE AS match_rate FROM j GROUP BY 1""",
+    "signal_histogram": "SELECT signal, count(*) AS n FROM (SELECT unnest(list_distinct([event_type, CASE WHEN value > 10 THEN 'HIGH' ELSE 'LOW' END])) AS signal FROM events) GROUP BY 1",
+    "reference_exclusion": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "failed_not_missing": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
+    "alias_left_join": "SELECT n_nationkey, n_name, coalesce(r_name, n_name) AS query_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey % 2 = 0",
+    "entity_id_intersection": "SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'",
+    "recording_min_diff": """SELECT l_orderkey, min(CASE WHEN l_returnflag = 'N' THEN abs(l_quantity - p_size) END) AS best_diff, bool_or(l_returnflag = 'N') AS matched, count(*) AS recordings,
+  CASE WHEN count(*) = 1 THEN 'PASS' ELSE 'MULTIPLE' END AS uniqueness FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""",
+    "rank1_consensus": f"WITH {_STRICT} SELECT a.source_id, a.candidate_id FROM top a JOIN top b ON a.source_id = b.source_id AND a.candidate_id = b.candidate_id AND a.query_index = 1 AND b.query_index = 2 AND a.rank = 1 AND b.rank = 1",
+    "unique_best_or_ambiguous": """SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM (SELECT *, rank() OVER (PARTITION BY l_partkey ORDER BY l_quantity DESC) AS r, count(*) OVER (PARTITION BY l_partkey, l_quantity) AS n FROM lineitem) WHERE r = 1 AND n = 1""",
+    "max_score_with_ties": """SELECT o_custkey, o_orderkey, priority FROM (SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY priority) AS r FROM (SELECT o_custkey, o_orderkey, substr(o_orderpriority, 1, 1)::INT AS priority FROM orders) WHERE priority <= 3) WHERE r = 1""",
+    "request_cache_hits": "SELECT event_type, count(*) AS requests, count(*) FILTER (n > 1) AS cache_hits FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY event_id) AS n FROM events) GROUP BY 1",
+    "budgeted_prefix": "SELECT event_id, user_id, spent FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS spent FROM events) WHERE spent <= 10",
+    "replay_first_accept": f"WITH {_REASONED} SELECT source_id, candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY rank) AS w FROM e WHERE accepted) WHERE w = 1",
+    "isrc_verdict": """
+WITH c AS (SELECT l_partkey, list(DISTINCT (l_suppkey % 10)::VARCHAR) AS codes FROM lineitem GROUP BY 1),
+v AS (SELECT p_partkey, p_size, CASE WHEN p_size % 11 = 0 OR codes IS NULL THEN 'UNKNOWN' WHEN list_contains(codes, (p_size % 10)::VARCHAR) THEN 'MATCH' ELSE 'DIFFERENT' END AS verdict FROM part LEFT JOIN c ON p_partkey = l_partkey)
+SELECT p_partkey, verdict, CASE WHEN p_size % 2 = 0 AND verdict = 'MATCH' THEN 'SAME' WHEN p_size % 2 = 0 OR verdict = 'MATCH' THEN 'LIKELY' ELSE 'UNCERTAIN' END AS overall FROM v""",
+    "batch_of_100": "SELECT o_orderkey, n - 1 AS position, (n - 1) // 100 AS batch FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders)",
+    "fuzzy_title_prefilter": f"""
+WITH a AS (SELECT p_partkey, {_KEY.format("p_name || p_type || p_brand")} AS a FROM part),
+b AS (SELECT p_partkey, a, a[1:length(a) - 3] || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE right(a, (p_partkey % 4)::INT) END AS b FROM a)
+SELECT p_partkey, b, abs(length(a) - length(b)) <= 3 AND 25 * levenshtein(a, b) <= 2 * (length(a) + length(b)) AS near FROM b""",
+    "simplified_titles": """SELECT p_partkey, p_name AS title, p_partkey % 3 < 2 AS ambiguous, '\\"' || p_name || '\\\\' AS escaped FROM part""",
+    "production_report": f"""WITH {_WON}, f AS (SELECT source_id, count(*) AS n FROM top WHERE query_index = 1 GROUP BY 1),
+j AS (SELECT k.id, coalesce(f.n, 0) AS n, w.source_id IS NOT NULL AS hit, k.id % 5 <> 0 AS ref FROM k LEFT JOIN f ON f.source_id = k.id LEFT JOIN won w ON w.source_id = k.id WHERE k.id % 2 = 0)
+SELECT count(*) AS total, count(*) FILTER (ref) AS reference_total, count(*) FILTER (NOT ref) AS missing_total, count(*) FILTER (n = 0) AS first_search_zero, count(*) FILTER (n = 0) AS second_search,
+  count(*) FILTER (hit) AS accepted_all, count(*) FILTER (hit AND ref) AS accepted_reference, count(*) FILTER (hit) / count(*)::DOUBLE AS rate_all,
+  count(*) FILTER (hit AND ref) / count(*) FILTER (ref)::DOUBLE AS rate_reference, count(*) FILTER (hit AND ref) - 100 AS delta FROM j""",
+    "scope_errors": "SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en') ORDER BY doc_id LIMIT 3",
+    "script_report": f"""WITH {_WON}, j AS (SELECT k.id, w.source_id IS NOT NULL AS hit FROM k LEFT JOIN won w ON w.source_id = k.id WHERE k.id % 4 = 0)
+SELECT count(*) AS flagged_total, count(*) FILTER (hit) AS flagged_matched, count(*) FILTER (hit) / count(*)::DOUBLE AS flagged_match_rate FROM j""",
+    "due_attempts": """
+WITH l AS (SELECT event_id, ts, ts + INTERVAL 8 HOUR AS local FROM events)
+SELECT event_id, local::DATE::VARCHAR AS local_date FROM (SELECT *, row_number() OVER (PARTITION BY local::DATE ORDER BY ts) AS n FROM l WHERE hour(local) * 60 + minute(local) >= 370) WHERE n = 1""",
+}
