@@ -32,11 +32,18 @@ FEATURES = ["symbols_per_word", "dup_line_share", "repeat_share", "distinct_shar
 
 def repeat_words(words: Column) -> Column:
     """Words that stand in windows of 8 words which occur twice or more in the array."""
+    return let(words, _repeat_words)  # a filter that is pushed down puts the expression in the column's place, even in lambdas
+
+
+def _repeat_words(words: Column) -> Column:
     count = F.size(words)
     pair = lambda h, step: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step)))
 
     def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.struct(F.array_join(F.slice(w, i, WINDOW), " ").alias("key"), i.alias("at")))
+        # eight words by doubling, as slice would copy the array for each place
+        spell = lambda a, step: F.transform(a, lambda x, i: F.concat_ws(" ", x, F.get(a, i + step)))
+        keys = let(spell(w, 1), lambda w2: let(spell(w2, 2), lambda w4: spell(w4, 4)))
+        return F.transform(F.slice(keys, F.lit(1), count - (WINDOW - 1)), lambda k, i: F.struct(k.alias("key"), i.alias("at")))
 
     def covered(s: Column) -> Column:
         again = F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["key"] == x["key"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["key"] == x["key"], F.lit(False)))
