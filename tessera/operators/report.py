@@ -88,3 +88,35 @@ def overall_verdict(artist_same: Column, code: Column) -> Column:
 def scope_errors(rows: DataFrame, allowed: DataFrame, keys: list[str]) -> DataFrame:
     """Up to three rows that aren't allowed; empty if all are."""
     return rows.join(allowed.select(*keys).distinct(), keys, "left_anti").sort(*keys).limit(3)
+
+
+def with_baseline(report: DataFrame, baseline: DataFrame, sample_size: int, total: str = "reference_success_total", accepted: str = "accepted") -> DataFrame:
+    """A one-row report beside a one-row baseline; a comparison only if the sample is the whole reference set."""
+    b = baseline.select(F.col(total).alias("baseline_total"), F.col(accepted).alias("baseline_accepted"), F.lit(1).alias("_k"))
+    both = report.withColumn("_k", F.lit(1)).join(b, "_k").drop("_k")
+    full = F.col("baseline_total") == sample_size
+    return both.withColumns({"is_full_run": full, "delta": F.when(full, F.col("accepted") - F.col("baseline_accepted"))})
+
+
+def first_unseen(candidates: Column) -> Column:
+    """For an array of arrays in order: the first element of each that no earlier array took; null where all are taken."""
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, row: Column) -> Column:
+        pick = F.get(F.filter(row, lambda x: ~F.array_contains(acc["seen"], x)), F.lit(0))
+        return F.struct(F.when(pick.isNotNull(), F.array_append(acc["seen"], pick)).otherwise(acc["seen"]).alias("seen"), F.array_append(acc["out"], pick).alias("out"))
+
+    return F.aggregate(candidates, start, step, lambda acc: acc["out"])
+
+
+def first_detail(rows: DataFrame, by: str, artist_pos: str, recording_pos: str) -> DataFrame:
+    """The first recording of the first artist that has any, for each group."""
+    order = F.struct(artist_pos, recording_pos)
+    value = F.struct(*[c for c in rows.columns if c != by])
+    return rows.groupBy(by).agg(F.min_by(value, order).alias("first")).select(by, "first.*")
+
+
+def explanation(decided: DataFrame) -> DataFrame:
+    """All signals of a pair in one struct, for a person to read."""
+    signals = ["title_exact", "title_plain", "title0", "title2", "rendition", "rescue", "artist", "artist_common", "reliable", "album", "duration", "bound", "conflict", "baseline", "gate", "identity"]
+    return decided.select("source_id", "candidate_id", "accepted", "category", "score", "reasons", F.struct(*signals).alias("signals"))

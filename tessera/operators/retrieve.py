@@ -61,3 +61,33 @@ def query_text(title: Column, artist: Column, album: Column | None = None) -> Co
 def pairs(sources: DataFrame, catalogue: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Retrieved ids with the prepared columns of both sides."""
     return retrieved.join(sources, "source_id").join(catalogue.drop("c_order"), "candidate_id")
+
+
+def corrected(value: Column, key: Column, spellings: dict[str, str]) -> Column:
+    """The spelling to search for, where the key has one; spellings are a handful of fixed values."""
+    out = value
+    for k, v in spellings.items():
+        out = F.when(key == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def title_lookup_key(folded: Column) -> Column:
+    """How titles are looked up for a correction: folded, single spaces."""
+    return X.strip(F.regexp_replace(folded, "(?U)\\s+", " "))
+
+
+def strategies(records: DataFrame, id_col: str = "source_id") -> DataFrame:
+    """(id, strategy, query, offset) from (id, title, artist): fields at two offsets, a simplified title, and the title alone."""
+    title, artist = X.query_value(X.text("title")), X.query_value(X.text("artist"))
+    simple = X.query_value(X.simplified_title(X.text("title")))
+    field = lambda t: F.concat(F.lit('track:"'), t, F.lit('" artist:"'), artist, F.lit('"'))
+    row = lambda name, query, offset: F.struct(F.lit(name).alias("strategy"), query.alias("query"), F.lit(offset).alias("offset"))
+    every = F.array(row("structured_p0", field(title), 0), row("structured_p10", field(title), 10), row("simplified_title", field(simple), 0), row("track_only", F.concat(F.lit('track:"'), title, F.lit('"')), 0))
+    return records.select(id_col, F.explode(every).alias("s")).select(id_col, "s.strategy", "s.query", "s.offset")
+
+
+def alias_strategy(records: DataFrame, first_counts: DataFrame, aliases: DataFrame, id_col: str = "source_id") -> DataFrame:
+    """The further strategy by alias: where the first came back empty and the artist names one act; attempted or skipped, and why."""
+    met = records.join(first_counts, id_col, "left").join(aliases, id_col, "left")
+    status = F.when(F.coalesce("n", F.lit(0)) > 0, "NOT_NEEDED").when(X.ambiguous_artist(X.text("artist")), "SKIPPED_AMBIGUOUS").when(F.col("alias").isNull(), "SKIPPED_NO_ALIAS").otherwise("ATTEMPTED")
+    return met.select(id_col, status.alias("status"), F.when(status == "ATTEMPTED", F.concat(F.lit('track:"'), X.query_value(X.text("title")), F.lit('" artist:"'), X.query_value(F.col("alias")), F.lit('"'))).alias("query"))

@@ -273,6 +273,26 @@ def simplified_titles(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.simplified_title(title).alias("title"), X.ambiguous_artist(artist).alias("ambiguous"), X.escape_query(F.concat(F.lit('"'), "p_name", F.lit("\\"))).alias("escaped"))
 
 
+def strategy_queries(spark, sf):
+    k = F.col("p_partkey") % 3
+    title = F.concat("p_name", F.when(k == 0, " (Album Version)").when(k == 1, ' "x"').otherwise(""))
+    return retrieve.strategies(table(spark, sf, "part").select("p_partkey", title.alias("title"), F.col("p_brand").alias("artist")), "p_partkey")
+
+
+def query_corrections(spark, sf):
+    name = F.col("p_name")
+    return table(spark, sf, "part").select("p_partkey", retrieve.corrected(name, retrieve.title_lookup_key(X.fold("p_name")), {"small ring": "Small Rings", "red bolt": "Red Bolts"}).alias("query_title"))
+
+
+def alias_strategies(spark, sf):
+    parts = table(spark, sf, "part")
+    k = F.col("p_partkey") % 3
+    rows = parts.select(F.col("p_partkey").alias("source_id"), F.col("p_name").alias("title"), F.when(k == 0, F.concat("p_brand", F.lit(", Other"))).otherwise(F.col("p_brand")).alias("artist"))
+    counts = parts.where("p_size <= 10").select(F.col("p_partkey").alias("source_id"), F.lit(1).alias("n"))
+    aliases = parts.where("p_size % 2 = 0").select(F.col("p_partkey").alias("source_id"), F.col("p_type").alias("alias"))
+    return retrieve.alias_strategy(rows, counts, aliases)
+
+
 def production_report(spark, sf):
     s, d = _decided(spark, sf)
     first = d.where("query_index = 1").groupBy("source_id").agg(F.count("*").alias("first_count"))
@@ -383,7 +403,7 @@ QUERIES = {f.__name__: f for f in (
     pair_scores, match_exact_top1, cascade_two_stage, decision_reasons, reject_category_hist, ordered_dedup, topk_per_source, match_report, match_rate_by_group, signal_histogram,
     reference_exclusion, failed_not_missing, alias_left_join, entity_id_intersection, recording_min_diff, rank1_consensus, unique_best_or_ambiguous, max_score_with_ties,
     request_cache_hits, budgeted_prefix, replay_first_accept, isrc_verdict, batch_of_100, fuzzy_title_prefilter, fuzzy_title_match, simplified_titles, production_report, scope_errors,
-    script_report, due_attempts, reference_verification, title_alias_discovery, romanised_retrieval, daily_songs, candidate_pages, rank_consensus,
+    script_report, due_attempts, strategy_queries, query_corrections, alias_strategies, reference_verification, title_alias_discovery, romanised_retrieval, daily_songs, candidate_pages, rank_consensus,
 )}
 
 ORACLES: dict[str, str] = {
@@ -445,6 +465,15 @@ SELECT p_partkey, verdict, CASE WHEN p_size % 2 = 0 AND verdict = 'MATCH' THEN '
 WITH a AS (SELECT p_partkey, {_KEY.format("p_name || p_type || p_brand")} AS a FROM part),
 b AS (SELECT p_partkey, a, a[1:length(a) - 3] || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE right(a, (p_partkey % 4)::INT) END AS b FROM a)
 SELECT p_partkey, b, abs(length(a) - length(b)) <= 3 AND 25 * levenshtein(a, b) <= 2 * (length(a) + length(b)) AS near FROM b""",
+    "strategy_queries": """
+WITH t AS (SELECT p_partkey, p_name || CASE p_partkey % 3 WHEN 0 THEN ' (Album Version)' WHEN 1 THEN ' x' ELSE '' END AS t, p_name || CASE p_partkey % 3 WHEN 1 THEN ' x' ELSE '' END AS u, p_brand AS a FROM part),
+s AS (SELECT *, unnest([1, 2, 3, 4]) AS k FROM t)
+SELECT p_partkey, CASE k WHEN 1 THEN 'structured_p0' WHEN 2 THEN 'structured_p10' WHEN 3 THEN 'simplified_title' ELSE 'track_only' END AS strategy,
+  'track:"' || CASE k WHEN 3 THEN u ELSE t END || CASE k WHEN 4 THEN '"' ELSE '" artist:"' || a || '"' END AS query, CASE k WHEN 2 THEN 10 ELSE 0 END AS "offset" FROM s""",
+    "query_corrections": "SELECT p_partkey, CASE lower(p_name) WHEN 'small ring' THEN 'Small Rings' WHEN 'red bolt' THEN 'Red Bolts' ELSE p_name END AS query_title FROM part",
+    "alias_strategies": """
+WITH a AS (SELECT p_partkey AS source_id, CASE WHEN p_size <= 10 THEN 'NOT_NEEDED' WHEN p_partkey % 3 = 0 THEN 'SKIPPED_AMBIGUOUS' WHEN p_size % 2 = 1 THEN 'SKIPPED_NO_ALIAS' ELSE 'ATTEMPTED' END AS status, p_name, p_type FROM part)
+SELECT source_id, status, CASE WHEN status = 'ATTEMPTED' THEN 'track:"' || p_name || '" artist:"' || p_type || '"' END AS query FROM a""",
     "simplified_titles": """SELECT p_partkey, p_name AS title, p_partkey % 3 < 2 AS ambiguous, '\\"' || p_name || '\\\\' AS escaped FROM part""",
     "production_report": f"""WITH {_WON}, f AS (SELECT source_id, count(*) AS n FROM top WHERE query_index = 1 GROUP BY 1),
 j AS (SELECT k.id, coalesce(f.n, 0) AS n, w.source_id IS NOT NULL AS hit, k.id % 5 <> 0 AS ref FROM k LEFT JOIN f ON f.source_id = k.id LEFT JOIN won w ON w.source_id = k.id WHERE k.id % 2 = 0)

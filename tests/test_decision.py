@@ -100,3 +100,39 @@ def test_sinks_and_stream(spark, tmp_path):
     stream = spark.readStream.schema("id long").parquet(str(tmp_path / "out"))
     decide_stream(stream, lambda b: b.where("id > 2"), str(tmp_path / "res"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "res")).count() == 2
+
+
+def test_small_reports(spark):
+    from tessera.operators import report
+
+    df = spark.createDataFrame([([["a", "b"], ["a"], ["b", "c"], ["c"]],)], "x array<array<string>>")
+    assert df.select(report.first_unseen(F.col("x"))).first()[0] == ["a", None, "b", "c"]
+    rows = spark.createDataFrame([(1, 2, 1, "late"), (1, 1, 2, "second"), (1, 1, 1, "first")], "g int, a int, r int, v string")
+    assert report.first_detail(rows, "g", "a", "r").first().v == "first"
+    one = spark.createDataFrame([(99, 140)], "accepted int, n int")
+    base = spark.createDataFrame([(140, 97)], "reference_success_total int, accepted int")
+    assert report.with_baseline(one, base, 140).first().delta == 2 and report.with_baseline(one, base, 5).first().delta is None
+    verdict = report.code_verdict(F.array(F.lit("A")), F.lit("A"))
+    assert spark.range(1).select(report.overall_verdict(F.lit(True), verdict)).first()[0] == "SAME"
+
+
+def test_replay_and_failures(spark):
+    from tessera.operators import report
+
+    entries = spark.createDataFrame([(1, 2), (2, 0), (3, 1)], "input_index long, n_candidates int")
+    chosen = spark.createDataFrame([(1, "x"), (3, "y")], "input_index long, candidate_id string")
+    got = report.replay_report(entries, chosen, spark.createDataFrame([(1,)], "input_index long")).first()
+    assert (got.total, got.with_candidates, got.accepted, got.newly_accepted, got.lost, got.rate_with_candidates) == (3, 2, 2, 1, 0, 1.0)
+    failed = spark.createDataFrame([(1, "a"), (2, "b")], "input_index long, line string")
+    missing = spark.createDataFrame([("b",)], "line string")
+    got = report.failure_report(failed, missing, chosen.limit(0), chosen).first()
+    assert (got.failed, got.accepted_before, got.accepted_now, got.candidate_ids) == (1, 0, 1, 1)
+
+
+def test_text_files(spark, tmp_path):
+    from tessera.sources import readers
+
+    (tmp_path / "songs.txt").write_text("\ufeffOne - Two - A\n\nbad\nThree - B\n", encoding="utf-8")
+    assert [(r.title, r.artist) for r in readers.song_lines(spark, str(tmp_path / "songs.txt")).orderBy("input_index").collect()] == [("One - Two", "A"), ("Three", "B")]
+    (tmp_path / "alias.json").write_text('[{"source_title": "One", "artist": "A", "spotify_title": "Uno"}, {"source_title": "ONE", "artist": "a", "spotify_title": "Un"}]', encoding="utf-8")
+    assert [tuple(r) for r in readers.title_aliases(spark, str(tmp_path / "alias.json")).collect()] == [("one", "a", "Un")]
