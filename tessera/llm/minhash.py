@@ -2,14 +2,14 @@
 
 A document's set holds the 64-bit hashes of its distinct shingles (words in lower case; fewer words than a shingle
 make one of their own). Documents with equal sets form a class, and the class goes on with its smallest id, so
-thousands of copies cost one row. Each class gets the minima of 160 universal hash functions; 32 bands of 5
+thousands of copies cost one row. Each class gets the minima of 384 universal hash functions; 32 bands of 5 of them
 make buckets. With a similarity of 0.8, two classes share no bucket with a probability of 3e-6.
 
 Links are looked for in two steps, and a pair counts only if its sets, made anew from the whole texts, are as similar
 as asked. First every member of a bucket meets the bucket's smallest and largest member: as many pairs as members.
 Components follow from these links. A link within a component changes nothing, so then only buckets that still hold several
-components are left, and there the members of different components meet, if the sizes of their sets permit the
-similarity. Before sets are compared, the share of equal minima must not be 6 standard deviations short.
+components are left, and there the members of different components meet, in cells of bounded size, if the sizes of their sets
+permit the similarity. Before sets are compared, the share of equal minima must not be 4.5 standard deviations short (which misses as rarely as the bands).
 
 Defined results: null, empty and blank texts have no shingle, are linked with nothing and kept. A null id is kept
 and linked with nothing (component_id null). Rows that share an id are one document with several texts. Extra
@@ -28,7 +28,8 @@ from .common import materialize, mix, ranges_hash, text_buffer, word_hashes, wor
 from .components import connected
 
 BANDS, ROWS = 32, 5
-_HASHES = BANDS * ROWS
+_HASHES = 384  # the first BANDS * ROWS make bands, all of them signatures
+_PART = 512
 _OUTPUTS = ["n_shingles", "component_id", "kept"]
 
 
@@ -70,7 +71,7 @@ def minima(hashes: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.ndar
 
 
 def sign(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, two fingerprints of the set, 16 bits of each minimum, and band keys."""
+    """id, n_shingles, two fingerprints of the set, 8 bits of each minimum, and band keys."""
 
     def run(batches):
         family = _family()
@@ -86,9 +87,9 @@ def sign(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
                     if len(s):
                         m = minima(s, family)
                         key = band
-                        for column in m.reshape(BANDS, ROWS).T:
+                        for column in m[: BANDS * ROWS].reshape(BANDS, ROWS).T:
                             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
-                        sig.append((m >> np.uint64(48)).astype(np.uint16).tobytes())
+                        sig.append((m >> np.uint64(56)).astype(np.uint8).tobytes())
                         bands.append(key.astype(np.int64))
                     else:
                         sig.append(None)
@@ -101,8 +102,8 @@ def sign(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
 def _plausible(batches, least: float):
     """Pairs whose signatures allow the similarity."""
     for batch in batches:
-        a = np.frombuffer(b"".join(batch.column("sig_a").to_pylist()), np.uint16).reshape(-1, _HASHES)
-        b = np.frombuffer(b"".join(batch.column("sig_b").to_pylist()), np.uint16).reshape(-1, _HASHES)
+        a = np.frombuffer(b"".join(batch.column("sig_a").to_pylist()), np.uint8).reshape(-1, _HASHES)
+        b = np.frombuffer(b"".join(batch.column("sig_b").to_pylist()), np.uint8).reshape(-1, _HASHES)
         yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(axis=1) >= least))
 
 
@@ -118,12 +119,64 @@ def _verified(batches, width: int, percent: int):
             yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def across(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and whose signatures and set sizes allow the similarity.
+
+    A bucket's members are dealt into parts of about ``_PART``, and each pair of parts is a cell that compares its
+    signatures as matrices, so a large bucket is many cells of bounded size; cells are packed into tasks. Only pairs that
+    may hold leave a cell, and a pair leaves the cell of the first band that it shares, once."""
+    least = percent / 100 - _spread(percent)
+    sizes = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("m")).where("c1 < c2").select("key", F.ceil(F.col("m") / _PART).cast("int").alias("parts"))
+    short = F.transform("bands", lambda b: b.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(0x80000000)).cast("array<int>")  # enough to tell bands apart
+    members = placed.join(sizes, "key").join(classes.select("rep", "sig", short.alias("bands")).dropDuplicates(["rep"]), "rep")
+    mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("mine")
+    met = members.select("*", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cells = met.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "component", "sig", "bands")
+    tasks = max(12, sizes.agg(F.sum(F.col("parts") * F.col("parts"))).first()[0] or 0)
+
+    def compare(table: pa.Table) -> pa.Table:
+        key, i, j, mine, rep, n, component = (np.asarray(table.column(c)) for c in ("key", "i", "j", "mine", "rep", "n", "component"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, _HASHES)
+        bands = np.asarray(table.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
+        order = np.lexsort((j, i, key))
+        new = np.flatnonzero((np.diff(key[order], prepend=key[order[:1]] - 1) != 0) | (np.diff(i[order], prepend=-1) != 0) | (np.diff(j[order], prepend=-1) != 0)) if len(order) else []
+        out_a, out_b = [], []
+        for cell in np.split(order, new[1:]) if len(order) else []:
+            left = cell[mine[cell] == i[cell[0]]]
+            right = cell[mine[cell] == j[cell[0]]]
+            for at in range(0, len(left), 64):
+                x = left[at : at + 64, None]
+                y = right[None, :]
+                ok = (component[x] != component[y]) & (percent * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y]))
+                if i[cell[0]] == j[cell[0]]:
+                    ok &= rep[x] < rep[y]
+                p, q = np.nonzero(ok)
+                p, q = left[at + p], right[q]
+                for k in range(0, len(p), 4096):
+                    u, v = p[k : k + 4096], q[k : k + 4096]
+                    good = (sig[u] == sig[v]).mean(axis=1) >= least
+                    u, v = u[good], v[good]
+                    same = bands[u] == bands[v]
+                    first = bands[u, same.argmax(axis=1)] == (key[cell[0]] & 0xFFFFFFFF) - 0x80000000
+                    out_a.append(np.minimum(rep[u[first]], rep[v[first]]))
+                    out_b.append(np.maximum(rep[u[first]], rep[v[first]]))
+        empty = [np.zeros(0, np.int64)]
+        return pa.table({"a": pa.array(np.concatenate(out_a or empty)), "b": pa.array(np.concatenate(out_b or empty))})
+
+    task = F.pmod(F.xxhash64("key", "i", "j"), F.lit(-(-tasks // 64)).cast("long")).alias("task")
+    return cells.withColumn("task", task).groupBy("task").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _spread(percent: int) -> float:
+    """How far below the similarity the share of equal minima may lie: at 4.5 standard deviations it misses as rarely as the bands do."""
+    return 4.5 * (percent / 100 * (1 - percent / 100) / _HASHES) ** 0.5
+
+
 def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, label: str) -> DataFrame:
     """The pairs (a, b) that hold against full sets, stored."""
-    spread = 6 * (percent / 100 * (1 - percent / 100) / _HASHES) ** 0.5
     sig = lambda side: classes.select(F.col("rep").alias(side), F.col("sig").alias(f"sig_{side}"))
     seen = pairs.join(sig("a"), "a").join(sig("b"), "b")
-    likely = materialize(seen.mapInArrow(lambda it: _plausible(it, percent / 100 - spread), "a long, b long"), f"{label}-likely")
+    likely = materialize(seen.mapInArrow(lambda it: _plausible(it, percent / 100 - _spread(percent)), "a long, b long"), f"{label}-likely")
     needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = materialize(docs.join(needed, "id", "left_semi").distinct(), f"{label}-texts")
     text = lambda side: texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}"))
@@ -149,11 +202,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     grouped = connected(first, "minhash-components")
     placed = shared.select("key", "rep", "n").join(grouped, shared["rep"] == grouped["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     placed = materialize(placed, "minhash-placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
-    open_ = placed.join(mixed, "key", "left_semi")
-    x, y = open_.alias("x"), open_.alias("y")
-    able = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & (percent * F.greatest("x.n", "y.n") <= 100 * F.least("x.n", "y.n"))
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & able).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    rest = across(placed, classes, percent).join(near, ["a", "b"], "left_anti")
     second = links(rest, sigs, texts, width, percent, "minhash-rest")
     final = connected(first.unionByName(second), "minhash-components") if second.limit(1).count() else grouped
     of_class = classes.select("f1", "f2", "rep").join(final, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
