@@ -29,7 +29,7 @@ from .components import connected
 
 BANDS, ROWS = 32, 5
 _HASHES = 384  # the first BANDS * ROWS make bands, all of them signatures
-_PART = 512
+_PART, _CELLS = 256, 8
 _OUTPUTS = ["n_shingles", "component_id", "kept"]
 
 
@@ -119,19 +119,23 @@ def _verified(batches, width: int, percent: int):
             yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def across(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose signatures and set sizes allow the similarity.
+def across(placed: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, label: str) -> DataFrame:
+    """Links (a, b) between different components that share a bucket, stored.
 
-    A bucket's members are dealt into parts of about ``_PART``, and each pair of parts is a cell that compares its
-    signatures as matrices, so a large bucket is many cells of bounded size; cells are packed into tasks. Only pairs that
-    may hold leave a cell, and a pair leaves the cell of the first band that it shares, once."""
+    A bucket's members are dealt into parts of about ``_PART``, and each pair of parts is a cell of bounded size; cells are
+    packed into tasks. A cell has its members' texts. It compares signatures and set sizes as matrices, makes the sets of those
+    that are still in question, once each, and verifies their pairs on the spot, so only links leave it, however many
+    pairs come close. A pair is tried in the cell of the first band that it shares."""
     least = percent / 100 - _spread(percent)
     sizes = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("m")).where("c1 < c2").select("key", F.ceil(F.col("m") / _PART).cast("int").alias("parts"))
+    sizes = materialize(sizes, f"{label}-mixed")
+    needed = placed.join(sizes, "key", "left_semi").select(F.col("rep").alias("id")).distinct()
+    texts = materialize(docs.join(needed, "id", "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "rep"), f"{label}-texts")
     short = F.transform("bands", lambda b: b.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(0x80000000)).cast("array<int>")  # enough to tell bands apart
-    members = placed.join(sizes, "key").join(classes.select("rep", "sig", short.alias("bands")).dropDuplicates(["rep"]), "rep")
+    members = placed.join(sizes, "key").join(classes.select("rep", "sig", short.alias("bands")).dropDuplicates(["rep"]), "rep").join(texts, "rep")
     mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("mine")
     met = members.select("*", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    cells = met.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "component", "sig", "bands")
+    cells = met.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "component", "sig", "bands", "text")
     tasks = max(12, sizes.agg(F.sum(F.col("parts") * F.col("parts"))).first()[0] or 0)
 
     def compare(table: pa.Table) -> pa.Table:
@@ -140,8 +144,19 @@ def across(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         bands = np.asarray(table.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
         order = np.lexsort((j, i, key))
         new = np.flatnonzero((np.diff(key[order], prepend=key[order[:1]] - 1) != 0) | (np.diff(i[order], prepend=-1) != 0) | (np.diff(j[order], prepend=-1) != 0)) if len(order) else []
+        sets: dict[int, np.ndarray] = {}
+        column = table.column("text").combine_chunks()
+
+        def similar(u: int, v: int) -> bool:
+            for x in (u, v):
+                if x not in sets:
+                    sets[x] = shingle_sets(column.slice(x, 1), width)[0]
+            both = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+            return both > 0 and 100 * both >= percent * (len(sets[u]) + len(sets[v]) - both)
+
         out_a, out_b = [], []
         for cell in np.split(order, new[1:]) if len(order) else []:
+            sets.clear()
             left = cell[mine[cell] == i[cell[0]]]
             right = cell[mine[cell] == j[cell[0]]]
             for at in range(0, len(left), 64):
@@ -158,13 +173,14 @@ def across(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                     u, v = u[good], v[good]
                     same = bands[u] == bands[v]
                     first = bands[u, same.argmax(axis=1)] == (key[cell[0]] & 0xFFFFFFFF) - 0x80000000
-                    out_a.append(np.minimum(rep[u[first]], rep[v[first]]))
-                    out_b.append(np.maximum(rep[u[first]], rep[v[first]]))
+                    held = [(x, y) for x, y in zip(u[first].tolist(), v[first].tolist(), strict=True) if similar(x, y)]
+                    out_a.append(np.array([min(rep[x], rep[y]) for x, y in held], np.int64))
+                    out_b.append(np.array([max(rep[x], rep[y]) for x, y in held], np.int64))
         empty = [np.zeros(0, np.int64)]
         return pa.table({"a": pa.array(np.concatenate(out_a or empty)), "b": pa.array(np.concatenate(out_b or empty))})
 
-    task = F.pmod(F.xxhash64("key", "i", "j"), F.lit(-(-tasks // 64)).cast("long")).alias("task")
-    return cells.withColumn("task", task).groupBy("task").applyInArrow(compare, "a long, b long").distinct()
+    task = F.pmod(F.xxhash64("key", "i", "j"), F.lit(-(-tasks // _CELLS)).cast("long")).alias("task")
+    return materialize(cells.withColumn("task", task).groupBy("task").applyInArrow(compare, "a long, b long").distinct(), f"{label}-links")
 
 
 def _spread(percent: int) -> float:
@@ -202,8 +218,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     grouped = connected(first, "minhash-components")
     placed = shared.select("key", "rep", "n").join(grouped, shared["rep"] == grouped["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     placed = materialize(placed, "minhash-placed")
-    rest = across(placed, classes, percent).join(near, ["a", "b"], "left_anti")
-    second = links(rest, sigs, texts, width, percent, "minhash-rest")
+    second = across(placed, classes, texts, width, percent, "minhash-rest")
     final = connected(first.unionByName(second), "minhash-components") if second.limit(1).count() else grouped
     of_class = classes.select("f1", "f2", "rep").join(final, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     placed_docs = signed.select("id", "n", "f1", "f2").join(of_class, ["f1", "f2"], "left")
