@@ -5,13 +5,16 @@ documents, Spark adds the counts up, and the table of counts is stored. Words wi
 training tokens go to every task; there can be HEAD of them at most, however large the corpus. All other words
 meet their counts in a join.
 
-The model predicts a token from the two before it. Its vocabulary is the ``VOCABULARY`` most frequent tokens, and one
-class for all others, inside of which a word has the share (c + 1) / (sum of c + 1, and 1 for what was never seen). The score of
-a token w is the product of its vector with the predicted one, the sum of the context words' vectors each times
-a diagonal matrix of its position, plus a bias. Each task trains on the trigrams of its own
-documents, weighted by their counts, by noise-contrastive estimation with unigram noise that a minibatch
-shares; parameters are averaged by the number of tokens. Scoring works out the normaliser of each
-context once, in batched matrix products over the whole vocabulary, so probabilities add up to 1.
+The model predicts a token from the two before it. Every word that goes to every task has vectors of its own, as a predicted token
+and as context; all other words are dealt by a hash into buckets of about ``BUCKET`` words, as many as the corpus
+asks for, and each bucket has vectors too. Inside a bucket a word has the share (c + 1) / (sum of c + 1, and 1 for what was never seen).
+Words and buckets by falling frequency are the symbols. The ``DIRECT`` first ones are predicted at once, the others in two levels: a class of
+symbols of similar frequency, then the symbol in its class; the number of classes grows with the square root of that of the symbols. At
+both levels the score is the product of a vector with the predicted one, the sum of the context symbols' vectors each times a diagonal matrix of its
+position, plus a bias. Each task trains on the trigrams of its own documents, weighted by their counts, by noise-contrastive estimation:
+unigram noise that a minibatch shares between classes, and a few symbols of the same class for each token. A symbol's parameters
+are averaged by its number of occurrences, over the tasks that saw it. Scoring works out the normalisers of both levels in batched
+matrix products over all classes and over all symbols of a class, so probabilities add up to 1.
 
 Tokens are lower-cased words (A-Z only) and one end for each text. Null texts are empty: an end only. A null id
 is held out. Repeated rows are counted and scored each. Extra columns are ignored. An empty table gives an empty table.
@@ -20,6 +23,7 @@ is held out. Repeated rows are counted and scored each. Extra columns are ignore
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from itertools import chain
 
@@ -32,12 +36,16 @@ from .common import materialize
 from .language_mixture import held_out
 
 HEAD = 2_000_000
-VOCABULARY = 1023
+DIRECT = 256
+BUCKET = 512
 WIDTH = 16
 NOISE = 96
+INSIDE = 5  # noise symbols of its own class for each token
 END = " "  # no word has a space
 _FLUSH = 400_000
 _SHARE = 8
+_START = {"r": 0.01, "b": 0.01, "q": 0.01}  # of the sums of squares; low for symbols that are met rarely
+_PART = 256
 
 
 def _tokens(text) -> list[bytes]:
@@ -70,14 +78,15 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 class Head:
     """The frequent tokens by falling count: places in the list are their numbers."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray) -> None:
+    def __init__(self, words: list[bytes], counts: np.ndarray, buckets: int = 1) -> None:
         self.place = {w: i for i, w in enumerate(words)}
-        self.log = np.log10(counts + 1.0)
-        self.size = min(VOCABULARY, len(words))  # numbers below are the vocabulary, size is the class of all others, size + 1 stands before a text
+        self.size = len(words)  # numbers below are words, then come the buckets of all others, and what stands before a text
+        self.buckets = buckets
+        self.symbols = self.size + buckets
         self.end = self.place.get(b" ", -1)
 
     def numbers(self, texts: list) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Places of all tokens (-1: not in the head) of the texts end to end, where each text begins, and the words."""
+        """Places of all tokens (-1 - bucket: not in the head) of the texts end to end, where each text begins, and the words."""
         words = [_tokens(t) for t in texts]
         sizes = np.array([len(w) + 1 for w in words], np.int64)
         at = np.concatenate([[0], np.cumsum(sizes)])
@@ -85,103 +94,167 @@ class Head:
         places = np.full(at[-1], self.end, np.int64)
         mask = np.ones(at[-1], bool)
         mask[at[1:] - 1] = False
-        places[mask] = np.fromiter((get(w, -1) for w in chain.from_iterable(words)), np.int64, int(at[-1] - len(words)))
+        every = list(chain.from_iterable(words))
+        found = np.fromiter((get(w, -1) for w in every), np.int64, len(every))
+        missing = np.flatnonzero(found < 0)
+        found[missing] = [-1 - zlib.crc32(every[i]) % self.buckets for i in missing.tolist()]
+        places[mask] = found
         return places, at, words
 
     def trigrams(self, places: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Vocabulary numbers of tokens, and of their contexts as (before that) * (size + 2) + before."""
-        token = np.where((places < 0) | (places >= self.size), self.size, places)
+        """Symbols of tokens, and of their contexts as (before that) * (symbols + 1) + before."""
+        token = np.where(places < 0, self.size - 1 - places, places)
         one = np.empty_like(token)
         one[1:] = token[:-1]
-        one[at[:-1]] = self.size + 1
+        one[at[:-1]] = self.symbols
         two = np.empty_like(token)
         two[1:] = one[:-1]
-        two[at[:-1]] = self.size + 1
-        return token, two * (self.size + 2) + one
+        two[at[:-1]] = self.symbols
+        return token, two * (self.symbols + 1) + one
 
 
 class Model:
-    """r, b: vectors and biases of predicted tokens; q: of context tokens; c: diagonals of the two positions."""
+    """t, tb: vectors and biases of the first symbols and of the classes; r, b: of the symbols in classes; q: of context symbols; c: diagonals of the two positions."""
 
     def __init__(self, size: int, unigram: np.ndarray) -> None:
         rng = np.random.Generator(np.random.PCG64(4))
-        self.r = rng.normal(0, 0.1, (size + 1, WIDTH)).astype(np.float32)
-        self.q = rng.normal(0, 0.1, (size + 2, WIDTH)).astype(np.float32)
+        n = size + 1
+        self.symbols = n
+        self.direct = n if n <= 1024 else DIRECT
+        inner = unigram[self.direct :]
+        self.span = max(1, math.isqrt(n - self.direct))
+        self.cuts = np.append(np.arange(0, len(inner), self.span), len(inner))  # where classes begin, and the end
+        shares = np.add.reduceat(inner, self.cuts[:-1]) if len(inner) else inner
+        self.t = rng.normal(0, 0.1, (self.direct + len(shares), WIDTH)).astype(np.float32)
+        self.r = rng.normal(0, 0.1, (len(inner), WIDTH)).astype(np.float32)
+        self.q = rng.normal(0, 0.1, (n + 1, WIDTH)).astype(np.float32)
         self.c = np.ones((2, WIDTH), np.float32)
-        self.b = np.log(unigram).astype(np.float32)
-
-    NAMES = ("r", "q", "c", "b")
+        self.tb = np.log(np.append(unigram[: self.direct], shares)).astype(np.float32)
+        self.b = np.log(inner / np.repeat(shares, np.diff(self.cuts))).astype(np.float32)
+
+    def rows(self) -> np.ndarray:
+        """All parameters as rows of 2 * WIDTH + 1: one for each symbol and for what stands before a text, then those of the first level."""
+        own = np.zeros((self.symbols + 1, 2 * WIDTH + 1), np.float32)
+        own[self.direct : self.symbols, :WIDTH], own[self.direct : self.symbols, WIDTH], own[:, WIDTH + 1 :] = self.r, self.b, self.q
+        flat = np.concatenate([self.t.ravel(), self.tb, self.c.ravel()])
+        return np.concatenate([own, np.resize(np.append(flat, np.zeros(-len(flat) % own.shape[1], np.float32)), (-(-len(flat) // own.shape[1]), own.shape[1]))])
+
+    def load(self, rows: np.ndarray) -> Model:
+        own, flat = rows[: self.symbols + 1].astype(np.float32), rows[self.symbols + 1 :].ravel().astype(np.float32)
+        self.r, self.b, self.q = own[self.direct : self.symbols, :WIDTH].copy(), own[self.direct : self.symbols, WIDTH].copy(), own[:, WIDTH + 1 :].copy()
+        n = self.t.size
+        self.t, self.tb = flat[:n].reshape(self.t.shape), flat[n : n + len(self.tb)]
+        self.c = flat[n + len(self.tb) :][: self.c.size].reshape(self.c.shape)
+        return self
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
+    def guess(self, context: np.ndarray) -> np.ndarray:
+        return self.q[context % (self.symbols + 1)] * self.c[0] + self.q[context // (self.symbols + 1)] * self.c[1]
 
-    def load(self, flat: np.ndarray) -> Model:
-        at = 0
-        for n in self.NAMES:
-            old = getattr(self, n)
-            setattr(self, n, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
-            at += old.size
-        return self
+    def top(self, token: np.ndarray) -> np.ndarray:
+        """The places of tokens or of their classes in t."""
+        return np.where(token < self.direct, token, self.direct + (token - self.direct) // self.span)
 
     def train(self, token: np.ndarray, context: np.ndarray, weight: np.ndarray, unigram: np.ndarray, batch: int = 8192, rate: float = 0.06) -> None:
         """One pass of AdaGrad over weighted trigrams."""
-        size = len(self.b) - 1
+        n = self.symbols
         rng = np.random.Generator(np.random.PCG64(len(token)))
         parts = -(-weight // _SHARE)  # a heavy trigram is met again and again, each time with a part of its weight
         order = rng.permutation(np.repeat(np.arange(len(token)), parts))
         weight = (weight / parts / _SHARE).astype(np.float32)
-        sums = {n: np.ones_like(getattr(self, n)) for n in self.NAMES}
-        noise_log = np.log(NOISE * unigram).astype(np.float32)
-        steps = np.cumsum(unigram)
-
-        def step(name: str, grad: np.ndarray) -> None:
-            sums[name] += grad * grad
-            getattr(self, name)[...] += rate * grad / np.sqrt(sums[name])
-
-        def gathered(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-            return np.stack([np.bincount(rows, values[:, k], n) for k in range(values.shape[1])], 1).astype(np.float32)
+        sums = {k: np.full_like(getattr(self, k), _START.get(k, 1.0)) for k in ("t", "tb", "r", "b", "q", "c")}
+        inner = unigram[self.direct :]
+        shares = np.add.reduceat(inner, self.cuts[:-1]) if len(inner) else inner
+        first = np.append(unigram[: self.direct], shares)
+        noise_log = np.log(NOISE * first / first.sum()).astype(np.float32)
+        steps, inside = np.cumsum(first), np.append(0, np.cumsum(inner))
+        inside_log = np.log(INSIDE * inner / np.repeat(shares, np.diff(self.cuts))).astype(np.float32)
+
+        def step(name: str, grad: np.ndarray, rows=slice(None)) -> None:
+            total = sums[name][rows] + grad * grad
+            sums[name][rows] = total
+            getattr(self, name)[rows] += rate * grad / np.sqrt(total)
+
+        def gathered(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Distinct rows, and the sums of their values."""
+            by = np.argsort(rows, kind="stable")
+            rows = rows[by]
+            new = np.flatnonzero(np.diff(rows, prepend=-1))
+            return rows[new], np.add.reduceat(values[by], new, axis=0)
 
         for k in range(0, len(order), batch):
             at = order[k : k + batch]
-            w, ctx, m = token[at], context[at], weight[at][:, None]
-            two, one = ctx // (size + 2), ctx % (size + 2)
+            symbol, ctx, m = token[at], context[at], weight[at][:, None]
+            w = self.top(symbol)
+            two, one = ctx // (n + 1), ctx % (n + 1)
             q1, q2 = self.q[one], self.q[two]
             guess = q1 * self.c[0] + q2 * self.c[1]
-            noise = np.minimum(np.searchsorted(steps, rng.random(NOISE) * steps[-1]), size)
-            real = (guess * self.r[w]).sum(1) + self.b[w] - noise_log[w]
-            fake = guess @ self.r[noise].T + self.b[noise] - noise_log[noise]
+            noise = np.minimum(np.searchsorted(steps, rng.random(NOISE) * steps[-1]), len(steps) - 1)
+            real = (guess * self.t[w]).sum(1) + self.tb[w] - noise_log[w]
+            fake = guess @ self.t[noise].T + self.tb[noise] - noise_log[noise]
             up = m[:, 0] / (1 + np.exp(np.clip(real, -30, 30)))
             down = -m / (1 + np.exp(np.clip(-fake, -30, 30)))
-            scale = np.float32(1.0)
-            dg = up[:, None] * self.r[w] + down @ self.r[noise]
-            dr = gathered(w, up[:, None] * guess, size + 1)
-            np.add.at(dr, noise, down.T @ guess)
-            db = np.bincount(w, up, size + 1)
+            dg = up[:, None] * self.t[w] + down @ self.t[noise]
+            dt, dt_rows = np.zeros_like(self.t), gathered(w, up[:, None] * guess)
+            dt[dt_rows[0]] = dt_rows[1]
+            np.add.at(dt, noise, down.T @ guess)
+            db = np.bincount(w, up, len(self.tb))
             np.add.at(db, noise, down.sum(0))
-            dq = gathered(one, dg * self.c[0], size + 2) + gathered(two, dg * self.c[1], size + 2)
+            deep = np.flatnonzero(symbol >= self.direct)
+            if len(deep):
+                x, g = symbol[deep] - self.direct, guess[deep]
+                lo = x // self.span * self.span
+                hi = np.minimum(lo + self.span, len(inner))
+                drawn = inside[lo][:, None] + rng.random((len(deep), INSIDE)) * (inside[hi] - inside[lo])[:, None]
+                z = np.clip(np.searchsorted(inside, drawn, "right") - 1, lo[:, None], hi[:, None] - 1)
+                both = np.concatenate([x[:, None], z], 1)
+                vectors = self.r[both]
+                s = np.clip(np.matmul(vectors, g[:, :, None])[:, :, 0] + self.b[both] - inside_log[both], -30, 30)
+                pull = -m[deep] / (1 + np.exp(-s))
+                pull[:, 0] = m[deep, 0] / (1 + np.exp(s[:, 0]))
+                dg[deep] += np.matmul(pull[:, None, :], vectors)[:, 0]
+                values = np.concatenate([pull[:, :, None] * g[:, None, :], pull[:, :, None]], 2).reshape(-1, WIDTH + 1)
+                rows, values = gathered(both.ravel(), values)
+                step("r", values[:, :WIDTH], rows)
+                step("b", values[:, WIDTH], rows)
             dc = np.stack([(dg * q1).sum(0), (dg * q2).sum(0)])
-            for name, grad in (("r", dr), ("q", dq), ("c", dc), ("b", db.astype(np.float32))):
-                step(name, grad * scale)
+            rows, dq = gathered(np.concatenate([one, two]), np.concatenate([dg * self.c[0], dg * self.c[1]]))
+            step("q", dq, rows)
+            for name, grad in (("t", dt), ("c", dc), ("tb", db.astype(np.float32))):
+                step(name, grad)
+
+
+def _log_sum(guess: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    s = guess @ vectors.T
+    s += bias
+    top = s.max(1)
+    s -= top[:, None]
+    return top + np.log(np.exp(s, out=s).sum(1))
 
 
 class Scorer:
-    """Log10 probabilities of tokens in their contexts; normalisers are kept, one number for each pair of context words."""
+    """Log10 probabilities of tokens in their contexts, with normalisers over the first level and over the token's class."""
 
     def __init__(self, model: Model) -> None:
         self.m = model
-        self.size = len(model.b) - 1
-        self.log_z = np.full((self.size + 2) ** 2, np.nan, np.float32)
 
     def log10(self, token: np.ndarray, context: np.ndarray) -> np.ndarray:
-        m, n = self.m, self.size + 2
-        fresh = np.unique(context[np.isnan(self.log_z[context])])
-        for k in range(0, len(fresh), 2048):
-            part = fresh[k : k + 2048]
-            s = (m.q[part % n] * m.c[0] + m.q[part // n] * m.c[1]) @ m.r.T + m.b
-            top = s.max(1)
-            self.log_z[part] = top + np.log(np.exp(s - top[:, None]).sum(1))
-        guess = m.q[context % n] * m.c[0] + m.q[context // n] * m.c[1]
-        return (np.einsum("ij,ij->i", guess, m.r[token]) + m.b[token] - self.log_z[context]).astype(np.float64) / math.log(10)
+        m = self.m
+        pairs, where = np.unique(context, return_inverse=True)
+        guess = m.guess(pairs)
+        log_z = np.concatenate([_log_sum(guess[k : k + 1024], m.t, m.tb) for k in range(0, len(pairs), 1024)] or [np.zeros(0, np.float32)])
+        w = m.top(token)
+        guess = guess[where]
+        out = (np.einsum("ij,ij->i", guess, m.t[w]) + m.tb[w] - log_z[where]).astype(np.float64)
+        by = np.argsort(w, kind="stable")
+        by = by[np.searchsorted(w[by], m.direct) :]
+        for part in np.split(by, np.flatnonzero(np.diff(w[by])) + 1) if len(by) else []:
+            k = int(w[part[0]]) - m.direct
+            lo, hi = m.cuts[k], m.cuts[k + 1]
+            for at in range(0, len(part), 1024):
+                some = part[at : at + 1024]
+                x = token[some] - m.direct
+                out[some] += np.einsum("ij,ij->i", guess[some], m.r[x]) + m.b[x] - _log_sum(guess[some], m.r[lo:hi], m.b[lo:hi])
+        return out / math.log(10)
 
 
 _HEADS: dict[str, Head] = {}
@@ -189,24 +262,29 @@ _HEADS: dict[str, Head] = {}
 
 def _held(sent) -> Head:
     """The head of a broadcast, built once in a process."""
-    key, words, counts = sent.value
+    key, words, counts, buckets, _ = sent.value
     if key not in _HEADS:
         _HEADS.clear()
-        _HEADS[key] = Head(words, counts)
+        _HEADS[key] = Head(words, counts[: len(words)], buckets)
     return _HEADS[key]
 
 
-def train(docs: DataFrame, sent, unigram: np.ndarray) -> Model:
+def train(docs: DataFrame, sent) -> Model:
     """Averages what tasks learn from their own documents."""
+    unigram = sent.value[4]
     start = Model(len(unigram) - 1, unigram)
     if not len(unigram) > 1:
         return start
 
     def run(batches):
-        head = _held(sent)
-        keys, counts, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        head, unigram = _held(sent), sent.value[4]
+        n = head.symbols
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         waiting: list[np.ndarray] = []
-        model = Model(len(unigram) - 1, unigram)
+        met = np.zeros(n + 1, np.int64)  # the last counts texts
+        model = Model(n - 1, unigram)
+        before = model.rows()
+        wide = n > 2_000_000  # symbols whose trigrams have no number in 64 bits are learned one by one
 
         def settle():
             nonlocal keys, counts, waiting
@@ -218,7 +296,7 @@ def train(docs: DataFrame, sent, unigram: np.ndarray) -> Model:
 
         def learn():
             nonlocal keys, counts
-            model.train(keys % (head.size + 1), keys // (head.size + 1), counts, unigram)
+            model.train(keys % n, keys // n, counts, unigram)
             keys, counts = keys[:0], counts[:0]
 
         for batch in batches:
@@ -226,32 +304,43 @@ def train(docs: DataFrame, sent, unigram: np.ndarray) -> Model:
             for k in range(0, len(texts), 256):
                 places, at, _ = head.numbers(texts[k : k + 256])
                 token, context = head.trigrams(places, at)
-                waiting.append(context * (head.size + 1) + token)
-                total += len(token)
+                met += np.bincount(token, minlength=n + 1)
+                met[n] += len(at) - 1
+                if wide:
+                    model.train(token, context, np.ones(len(token), np.int64), unigram)
+                    continue
+                waiting.append(context * n + token)
                 if sum(map(len, waiting)) > 1_000_000:
                     settle()
                     if len(keys) > 1_500_000:  # bounds a task's memory; what follows is learned on top
                         learn()
-        if total:
-            settle()
-            learn()
-            flat = model.flat().astype(np.float64) * total
-            cut = 1024
-            parts = [flat[i : i + cut] for i in range(0, len(flat), cut)]
-            yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(parts)), pa.int32()), "total": pa.array([total] * len(parts), pa.int64()), "values": pa.array([p.tobytes() for p in parts], pa.binary())})
+        if met[n]:
+            if not wide:
+                settle()
+                learn()
+            change = model.rows() - before
+            weights = np.append(met, np.full(len(change) - n - 1, met[:n].sum()))
+            for lo in range(0, len(change), _PART):
+                rows = lo + np.flatnonzero(weights[lo : lo + _PART])
+                if len(rows):
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([lo // _PART], pa.int32()), "rows": pa.array([(rows - lo).astype(np.uint8).tobytes()], pa.binary()), "weights": pa.array([weights[rows].tobytes()], pa.binary()), "values": pa.array([change[rows].astype(np.float16).tobytes()], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
-        values = np.sum([np.frombuffer(v, np.float64) for v in table.column("values").to_pylist()], axis=0)
-        return pa.table({"part": table.column("part")[:1], "total": pa.array([sum(table.column("total").to_pylist())], pa.int64()), "values": pa.array([values.tobytes()], pa.binary())})
-
-    kind = "part int, total long, values binary"
-    learned = docs.select("text").mapInArrow(run, kind)
-    # sums in two levels, so that no task meets the parameters of all others
-    half = learned.withColumn("salt", F.pmod(F.xxhash64("values"), F.lit(32))).groupBy("part", "salt").applyInArrow(add, kind)
-    rows = half.groupBy("part").applyInArrow(add, kind).toArrow().sort_by("part")
-    if not rows.num_rows:
-        return start
-    return start.load(np.concatenate([np.frombuffer(v, np.float64) / t for v, t in zip(rows.column("values").to_pylist(), rows.column("total").to_pylist(), strict=True)]))
+        sums, total = np.zeros((_PART, 2 * WIDTH + 1)), np.zeros(_PART)
+        for rows, weights, values in zip(*(table.column(c).to_pylist() for c in ("rows", "weights", "values")), strict=True):
+            rows, weights = np.frombuffer(rows, np.uint8), np.frombuffer(weights, np.int64)
+            sums[rows] += np.frombuffer(values, np.float16).reshape(len(rows), -1) * weights[:, None]
+            total[rows] += weights
+        sums /= np.maximum(total, 1)[:, None]
+        return pa.table({"part": table.column("part")[:1], "values": pa.array([sums.astype(np.float32).tobytes()], pa.binary())})
+
+    learned = docs.select("text").mapInArrow(run, "part int, rows binary, weights binary, values binary")
+    rows = learned.groupBy("part").applyInArrow(add, "part int, values binary").toArrow()
+    mean = start.rows()
+    for part, values in zip(rows.column("part").to_pylist(), rows.column("values").to_pylist(), strict=True):
+        lo = part * _PART
+        mean[lo : lo + _PART] += np.frombuffer(values, np.float32).reshape(_PART, -1)[: len(mean) - lo]
+    return start.load(mean)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -265,26 +354,32 @@ def score_documents(docs: DataFrame) -> DataFrame:
     words, c = frequent.column("word").cast("binary").to_pylist(), np.asarray(frequent.column("c"))
     order = sorted(range(len(words)), key=lambda i: (-c[i], words[i]))
     words, c = [words[i] for i in order], c[order] if len(order) else np.zeros(0, np.int64)
-    size = min(VOCABULARY, len(words))
-    rest, unseen = int(sums.n - c[:size].sum()), int(sums.v - size)
-    unigram = np.append(c[:size], rest + 1).astype(float)
+    buckets = max(1, -(-int(sums.v - len(words)) // BUCKET))
+    of = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(buckets)).cast("int").alias("bucket")
+    dealt = counts.where(F.col("c") * HEAD < sums.n).groupBy(of).agg(F.sum("c").alias("c"), F.sum(F.col("c") + 1).alias("smooth")).toArrow()
+    places, rest, of_rest = np.asarray(dealt.column("bucket")), np.ones(buckets), np.ones(buckets)  # 1 for what was never seen
+    rest[places] += np.asarray(dealt.column("c"))
+    of_rest[places] += np.asarray(dealt.column("smooth"))
+    of_rest = np.log10(of_rest)
+    unigram = np.append(c, rest).astype(float)
     unigram /= unigram.sum()
-    sent = spark.sparkContext.broadcast((f"{sums.n}:{sums.v}:{id(words)}", words, c))
-    model = spark.sparkContext.broadcast(train(training, sent, unigram))
-    smoothed, of_rest = math.log10(sums.n + sums.v + 1), math.log10(rest + unseen + 1)
+    sent = spark.sparkContext.broadcast((f"{sums.n}:{sums.v}:{id(words)}", words, c, buckets, unigram))
+    model = spark.sparkContext.broadcast(train(training, sent))
+    smoothed = math.log10(sums.n + sums.v + 1)
 
     def run(batches):
         head = _held(sent)
         scorer = Scorer(model.value)
-        log = np.append(head.log, 0.0)  # the last stands for what the head lacks
+        log = np.append(np.log10(sent.value[2] + 1.0), 0.0)  # the last stands for what the head lacks
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 places, at, words = head.numbers(part.column(2).cast("binary").to_pylist())
                 token, context = head.trigrams(places, at)
-                gain = log[places]
-                other = token == head.size
-                sure = scorer.log10(token, context) + np.where(other, gain - of_rest, 0.0)
+                gain = log[np.maximum(places, -1)]
+                sure = scorer.log10(token, context)
+                other = np.flatnonzero(places < 0)
+                sure[other] -= of_rest[-1 - places[other]]
                 first = at[:-1]
                 tails = []
                 for d in np.flatnonzero(np.add.reduceat(places < 0, first)).tolist():

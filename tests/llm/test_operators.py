@@ -179,6 +179,39 @@ def test_model_probabilities_add_up_and_learn():
     assert scorer.log10(token, context).mean() > math.log10(1 / 8) + 0.2
 
 
+def test_model_of_many_words_normalises_in_two_levels_and_learns():
+    n = 1500
+    rng = np.random.Generator(np.random.PCG64(2))
+    a = np.cumsum(rng.integers(1, 3, 30_000)) % n  # each word has two successors
+    head = log_bilinear.Head([str(i).encode() for i in range(n)], np.full(n, 20))
+    token, context = head.trigrams(a, np.array([0, len(a)]))
+    assert len(np.unique(token)) == n
+    unigram = np.full(n + 1, 1 / (n + 1))
+    model = log_bilinear.Model(n, unigram)
+    assert len(model.t) < n / 3 and len(model.load(model.rows()).q) == n + 2
+    keys, counts = np.unique(context * (n + 1) + token, return_counts=True)
+    for _ in range(60):
+        model.train(keys % (n + 1), keys // (n + 1), counts, unigram)
+    scorer = log_bilinear.Scorer(model)
+    every = np.arange(n + 1)
+    assert abs(sum(10 ** scorer.log10(every, np.full(n + 1, context[5]))) - 1) < 1e-3
+    rare = token >= 1100
+    assert scorer.log10(token[rare], context[rare]).mean() > math.log10(1 / n) + 0.5
+
+
+def test_rare_words_are_dealt_into_buckets_and_scored_in_context(spark, monkeypatch):
+    monkeypatch.setattr(log_bilinear, "HEAD", 50)
+    monkeypatch.setattr(log_bilinear, "BUCKET", 20)
+    models = []
+    learn = log_bilinear.train
+    monkeypatch.setattr(log_bilinear, "train", lambda *a: models.append(learn(*a)) or models[-1])
+    for n in (40, 400):
+        rows = [(i, f"x{i % n} y{i % n} z" * 3) for i in range(600)]
+        got = log_bilinear.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(got) == 600 and all(r.score < 0 for r in got)
+    assert len(models[1].q) > 5 * len(models[0].q)
+
+
 def best_fit_plainly(lengths, sizes, overhead):
     bins, left = [], sum(lengths)
     for n in sorted(lengths, reverse=True):
