@@ -357,6 +357,12 @@ def test_near_duplicates(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_signatures_tell_long_texts_apart(spark):
+    texts = [" ".join(f"{side}{i}" for i in range(3000)) for side in "ab"]
+    sig = [np.frombuffer(r.sig, np.uint8) for r in minhash.sign(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 4, "id", "text").collect()]
+    assert (sig[0] == sig[1]).mean() < 0.1
+
+
 def test_top_k(spark):
     rng = np.random.Generator(np.random.PCG64(9))
     vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(i, [0.5] * 8) for i in range(300, 320)]
