@@ -1,8 +1,8 @@
 """Near-duplicate documents: many universal hash minima, banding, verification and connected components.
 
 A document's set holds the 64-bit hashes of its distinct shingles (words in lower case; fewer words than a shingle
-make one of their own). Documents with equal sets form a class, and the class goes on with its smallest id, so
-thousands of copies cost one row. Each class gets the minima of 384 universal hash functions; 32 bands of 5 of them
+make one of their own). Documents with equal sets form a class, and the class goes on under a hash of its set, with the text of its smallest id, so
+thousands of copies cost one row. Classes that share an id are linked. Each class gets the minima of 384 universal hash functions; 32 bands of 5 of them
 make buckets. With a similarity of 0.8, two classes share no bucket with a probability of 3e-6.
 
 Links are looked for in two steps, and a pair counts only if its sets, made anew from the whole texts, are as similar
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,8 +82,8 @@ def sign(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
                 n, f1, f2, sig, bands = [], [], [], [], []
                 for s in shingle_sets(part.column(1), width):
                     n.append(len(s))
-                    f1.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
-                    f2.append(int(mix(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64).astype(np.int64)))
+                    for f, x in zip((f1, f2), _fingerprints(s), strict=True):
+                        f.append(x)
                     if len(s):
                         m = minima(s, family)
                         key = band
@@ -99,6 +99,29 @@ def sign(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, f1 long, f2 long, sig binary, bands array<long>")
 
 
+def _node() -> Column:
+    return F.xxhash64("f1", "f2")
+
+
+def _fingerprints(s: np.ndarray) -> tuple[int, int]:
+    return int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64).astype(np.int64))
+
+
+def class_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(rep, text) of the classes in nodes (rep): of the texts that the class's id has, the one with the class's set."""
+
+    def own(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                f1, f2 = part.column("f1").to_pylist(), part.column("f2").to_pylist()
+                ok = [_fingerprints(s) == (x, y) for s, x, y in zip(shingle_sets(part.column("text"), width), f1, f2, strict=True)]
+                yield part.select(["rep", "text"]).filter(pa.array(ok, pa.bool_()))
+
+    named = classes.join(nodes, "rep", "left_semi").select("rep", "id", "f1", "f2")
+    return docs.join(named, "id").select("rep", "text", "f1", "f2").mapInArrow(own, "rep long, text string").dropDuplicates(["rep"])
+
+
 def _plausible(batches, least: float):
     """Pairs whose signatures allow the similarity."""
     for batch in batches:
@@ -129,10 +152,10 @@ def across(placed: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
     least = percent / 100 - _spread(percent)
     sizes = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("m")).where("c1 < c2").select("key", F.ceil(F.col("m") / _PART).cast("int").alias("parts"))
     sizes = materialize(sizes, f"{label}-mixed")
-    needed = placed.join(sizes, "key", "left_semi").select(F.col("rep").alias("id")).distinct()
-    texts = materialize(docs.join(needed, "id", "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "rep"), f"{label}-texts")
+    needed = placed.join(sizes, "key", "left_semi").select("rep").distinct()
+    texts = materialize(class_texts(docs, classes, needed, width), f"{label}-texts")
     short = F.transform("bands", lambda b: b.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(0x80000000)).cast("array<int>")  # enough to tell bands apart
-    members = placed.join(sizes, "key").join(classes.select("rep", "sig", short.alias("bands")).dropDuplicates(["rep"]), "rep").join(texts, "rep")
+    members = placed.join(sizes, "key").join(classes.select("rep", "sig", short.alias("bands")), "rep").join(texts, "rep")
     mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("mine")
     met = members.select("*", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     cells = met.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "component", "sig", "bands", "text")
@@ -193,9 +216,9 @@ def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per
     sig = lambda side: classes.select(F.col("rep").alias(side), F.col("sig").alias(f"sig_{side}"))
     seen = pairs.join(sig("a"), "a").join(sig("b"), "b")
     likely = materialize(seen.mapInArrow(lambda it: _plausible(it, percent / 100 - _spread(percent)), "a long, b long"), f"{label}-likely")
-    needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialize(docs.join(needed, "id", "left_semi").distinct(), f"{label}-texts")
-    text = lambda side: texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}"))
+    needed = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    texts = materialize(class_texts(docs, classes, needed, width), f"{label}-texts")
+    text = lambda side: texts.select(F.col("rep").alias(side), F.col("text").alias(f"text_{side}"))
     found = likely.join(text("a"), "a").join(text("b"), "b").mapInArrow(lambda it: _verified(it, width, percent), "a long, b long")
     return materialize(found.distinct(), f"{label}-links")
 
@@ -207,20 +230,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     signed = materialize(sign(docs, width, id_col, text_col), "minhash-signed")
     real = signed.where("n > 0 and id is not null")
     best = real.groupBy("f1", "f2").agg(F.min(F.struct("id", "n", "sig", "bands")).alias("x"))
-    classes = materialize(best.select("f1", "f2", F.col("x.id").alias("rep"), "x.n", "x.sig", "x.bands"), "minhash-classes")
-    sigs = classes.select("rep", "sig").dropDuplicates(["rep"])
+    classes = materialize(best.select("f1", "f2", _node().alias("rep"), "x.id", "x.n", "x.sig", "x.bands"), "minhash-classes")
+    nodes = real.select("id", _node().alias("rep"))
+    several = nodes.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last")
+    same = nodes.join(several, "id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     buckets = classes.select(F.explode("bands").alias("key"), "rep", "n")
     ends = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     shared = materialize(buckets.join(ends, "key"), "minhash-buckets")
     ends_of = F.explode(F.array("low", "high")).alias("end")
     near = shared.select("rep", ends_of).where("rep <> end").select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct()
-    first = links(near, sigs, texts, width, percent, "minhash-ends")
+    first = links(near, classes, texts, width, percent, "minhash-ends")
+    first = first.unionByName(same)
     grouped = connected(first, "minhash-components")
     placed = shared.select("key", "rep", "n").join(grouped, shared["rep"] == grouped["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     placed = materialize(placed, "minhash-placed")
     second = across(placed, classes, texts, width, percent, "minhash-rest")
     final = connected(first.unionByName(second), "minhash-components") if second.limit(1).count() else grouped
-    of_class = classes.select("f1", "f2", "rep").join(final, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
+    of_class = classes.select("f1", "f2", "rep", "id").join(final, F.col("rep") == F.col("node"), "left").select("f1", "f2", "id", F.coalesce("component", "rep").alias("group"))
+    of_class = of_class.join(of_class.groupBy("group").agg(F.min("id").alias("component")), "group").select("f1", "f2", "component")
     placed_docs = signed.select("id", "n", "f1", "f2").join(of_class, ["f1", "f2"], "left")
     verdict = placed_docs.select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
     verdict = verdict.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))

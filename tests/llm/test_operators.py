@@ -357,6 +357,13 @@ def test_near_duplicates(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "pqr")
+    rows = [(1, one), (1, two), (1, three), (2, one + " end"), (3, two + " end"), (4, three + " end"), (5, "something else that stands alone here"), (6, three), (6, "a text that only six and seven have"), (7, "a text that only six and seven have")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == sorted((i, 5 if i == 5 else 1, i in (1, 5)) for i, _ in rows)
+
+
 def test_signatures_tell_long_texts_apart(spark):
     texts = [" ".join(f"{side}{i}" for i in range(3000)) for side in "ab"]
     sig = [np.frombuffer(r.sig, np.uint8) for r in minhash.sign(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 4, "id", "text").collect()]
