@@ -13,11 +13,14 @@ cell, and the k best of those are kept. Nothing is broadcast; with more data the
 Defined results: vectors that are null or empty, hold null or non-finite components, or have a null id take no part, nor
 do candidates of another length than the query's. Rows that share an id are candidates each, but not for queries of
 that id (a row isn't its own neighbour); repeated query rows count once. Equal scores: the smaller id first. An
-empty table gives an empty table. Extra columns are ignored.
+empty table gives an empty table. Scores beyond 64 bits are ranked exactly and given as the nearest 64-bit number; a component that
+overflows a double when it is scaled counts as infinite. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,8 +34,12 @@ _EXACT = float(2**53)
 
 def quantise(vector: Column, scale: int = 256) -> Column:
     """floor(scale * x) of every component, as doubles with integer values; null for a vector that takes no part."""
-    wide = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
-    odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) >= F.lit(float(2**52 // scale))))
+    def whole(x: Column) -> Column:
+        y = F.lit(float(scale)) * x.cast("double")
+        return F.when(F.abs(y) < F.lit(float(2**52)), F.floor(y).cast("double")).otherwise(y)  # larger doubles have no fraction
+
+    wide = F.transform(vector, whole)
+    odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(F.lit(float(scale)) * x.cast("double")) == F.lit(float("inf"))))
     return F.when(vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(odd, F.lit(True)), wide)
 
 
@@ -92,26 +99,38 @@ def search(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", ve
     key = ["width", "cell", "block"]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        query_id, vec_id, score = [], [], []
+        query_id, vec_id, score, size, digits = [], [], [], [], []
         if left.num_rows and right.num_rows:
             own_ids, own, asked_ids, asked = np.asarray(left.column("id")), _exact(left), np.asarray(right.column("id")), _exact(right)
-            if np.abs(own).max() * np.abs(asked).max() * own.shape[1] >= _EXACT:  # beyond what doubles add up exactly: plain integers, no index
-                found = [[(int(i), int(s)) for i, s in zip(own_ids, own.astype(object) @ q, strict=True)] for q in asked.astype(object)]
-                found = [sorted((x for x in f if x[0] != a), key=lambda x: (-x[1], x[0]))[:k] for f, a in zip(found, asked_ids, strict=True)]
-            else:
-                index, found = Index(own), []
-                for at in range(0, len(asked), _STEP):
-                    ids = asked_ids[at : at + _STEP]
-                    for rows_, s in index.best(asked[at : at + _STEP], ids[:, None] == own_ids[None, :], k):
+            own_top, asked_top = np.abs(own).max(axis=1), np.abs(asked).max(axis=1)
+            bound = float(math.isqrt(int(_EXACT) // own.shape[1])) if float(own_top.max()) * float(asked_top.max()) * own.shape[1] >= _EXACT else np.inf
+            found: list = [[] for _ in asked]
+            plain, asks = np.flatnonzero(own_top < bound), np.flatnonzero(asked_top < bound)
+            if len(plain) and len(asks):
+                index = Index(own[plain])
+                for at in range(0, len(asks), _STEP):
+                    some = asks[at : at + _STEP]
+                    for q, (rows_, s) in zip(some, index.best(asked[some], asked_ids[some][:, None] == own_ids[plain][None, :], k), strict=True):
+                        rows_ = plain[rows_]
                         order = np.lexsort((own_ids[rows_], -s))[:k]
-                        found.append([(int(own_ids[rows_[o]]), int(s[o])) for o in order])
+                        found[q] = [(int(own_ids[rows_[o]]), int(s[o])) for o in order]
+            if bound < np.inf:  # pairs beyond what doubles add up exactly: plain integers, no index
+                large = np.flatnonzero(own_top >= bound)
+                for q in range(len(asked)):
+                    values = [int(x) for x in asked[q]]
+                    for r in large if asked_top[q] < bound else range(len(own)):
+                        if own_ids[r] != asked_ids[q]:
+                            found[q].append((int(own_ids[r]), sum(int(x) * y for x, y in zip(own[r], values, strict=True))))
+                    found[q] = sorted(found[q], key=lambda x: (-x[1], x[0]))[:k]
             for q, f in enumerate(found):
                 for i, s in f:
                     query_id.append(int(asked_ids[q]))
                     vec_id.append(i)
-                    score.append(s)
-        return pa.table({"query_id": pa.array(query_id, pa.int64()), "vec_id": pa.array(vec_id, pa.int64()), "score": pa.array(score, pa.int64())})
+                    score.append(min(max(s, -(2**63)), 2**63 - 1))
+                    size.append(s.bit_length() if s >= 0 else -s.bit_length())
+                    digits.append("" if score[-1] == s else f"{s if s > 0 else (1 << s.bit_length()) - 1 + s:0{-(-s.bit_length() // 4)}x}")
+        return pa.table({"query_id": pa.array(query_id, pa.int64()), "vec_id": pa.array(vec_id, pa.int64()), "score": pa.array(score, pa.int64()), "size": pa.array(size, pa.int32()), "digits": pa.array(digits, pa.string())})
 
-    found = candidates.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = candidates.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score long, size int, digits string")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("size"), F.desc("digits"), "vec_id")  # scores beyond 64 bits are told apart by size and digits
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -386,6 +386,17 @@ def test_top_k(spark):
     assert impact_topk.search(df.limit(0), F.lit(True), 5).count() == 0
 
 
+def test_top_k_of_large_finite_components(spark):
+    big = 3e13
+    rows = [(0, [1.0, 0.5]), (1, [big, 0.0]), (2, [big, 1 / 256]), (3, [-big, 1.0]), (4, [1.0, 1.0]), (5, [float("inf"), 1.0]), (6, [1e200, 1.0]), (7, [1e201, 1.0]), (8, [-1e200, 0.0]), (9, [-1e201, 0.0])]
+    got = impact_topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 1, 6), k=8).collect()
+    kept = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if math.inf not in v]
+    for q, v in (kept[0], kept[1], kept[5]):
+        best = sorted(((sum(x * y for x, y in zip(v, w, strict=True)), i) for i, w in kept if i != q), key=lambda x: (-x[0], x[1]))[:8]
+        want = [(i, min(max(s, -(2**63)), 2**63 - 1)) for s, i in best]
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == want
+
+
 def test_index_stops_only_on_proof():
     rng = np.random.Generator(np.random.PCG64(10))
     own = rng.integers(-400, 400, (3000, 12)).astype(float)
