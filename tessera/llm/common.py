@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -36,6 +37,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Deletes the files of a table that materialize() made, once all that reads it has been stored."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once for the row, also where body uses it inside a lambda."""
     return F.transform(F.array(value), body)[0]
@@ -55,10 +64,24 @@ def words_of(text: Column) -> Column:
     return F.when(cut == "", F.array().cast("array<string>")).otherwise(F.split(cut, SEPARATORS))
 
 
-# --- 64-bit word hashes over byte buffers -------------------------------------------------------------
+def free_names(taken, *wanted: str) -> list[str]:
+    """Column names for private use that no column in taken has, in any case of letters."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+# --- 64-bit hashes of words and of runs of words -------------------------------------------------------
+# Each step mixes all bits before the next value comes in, so sums of values that cancel out have no say; two families give 128 bits.
 
-_CHUNK = 1 << 20
-_R1, _R2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_PIECE = 1 << 18
+_SEED = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
+_FACTOR = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_LONG = 256  # longer words go through blake2b
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,36 +95,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out, dtype=np.uint64)
+def absorb(state: np.ndarray, value: np.ndarray, which: int = 0) -> np.ndarray:
+    """The hash of what state stands for, followed by value."""
+    return mix(state * np.uint64(_FACTOR[which]) + value)
 
 
-class _Tables:
-    """Powers of the bases and of their inverses modulo 2**64, made once in a process and enlarged when needed."""
-
-    def __init__(self) -> None:
-        self.n = 0
-        rng = np.random.Generator(np.random.PCG64(20260101))
-        self.byte = [rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
-
-    def upto(self, n: int) -> None:
-        if n > self.n:
-            self.n = max(n, _CHUNK + 1)
-            self.up = [_powers(r, self.n) for r in (_R1, _R2)]
-            self.down = [_powers(pow(r, -1, 1 << 64), self.n) for r in (_R1, _R2)]
-
-
-_T = _Tables()
+def windows_hash(h: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+    """Hashes of all runs of width values of h, by doubling; runs of the rest overlap what they complete."""
+    out, size = h, 1
+    while size < width and len(out):
+        step = min(size, width - size)
+        out = absorb(mix(out[:-step] + np.uint64(size)), out[step:], which) if len(out) > step else out[:0]
+        size += step
+    return out
 
 
-def ranges_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hashes of values[s:e]: polynomial over 64-bit values, so equal runs have equal hashes wherever they stand."""
-    _T.upto(len(values) + 1)
-    prefix = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _T.up[which][: len(values)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * _T.down[which][starts] + (ends - starts).astype(np.uint64))
+def run_hash(h: np.ndarray, which: int = 0) -> int:
+    """One hash of all values of h, in order."""
+    state = np.array([_SEED[which] + len(h)], np.uint64)
+    for k in range(len(h)):
+        state = absorb(state, h[k : k + 1], which)
+    return int(state[0])
 
 
 _IS_SEP = np.zeros(256, bool)
@@ -117,14 +131,24 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word, worked out in pieces of about a megabyte so that scratch memory stays small."""
+    """A 64-bit hash of each word: eight bytes at a time, for all words that are so long."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
     out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        k = max(i + 1, int(np.searchsorted(ends, starts[i] + _CHUNK)))
-        lo, hi = int(starts[i]), int(ends[k - 1])
-        out[i:k] = ranges_hash(_T.byte[which][data[lo:hi]], starts[i:k] - lo, ends[i:k] - lo, which)
-        i = k
+    for lo in range(0, len(starts), _PIECE):
+        at, left = starts[lo : lo + _PIECE], ends[lo : lo + _PIECE] - starts[lo : lo + _PIECE]
+        state = mix(left.astype(np.uint64) + np.uint64(_SEED[which]))
+        longer = np.flatnonzero(left > _LONG)
+        live, done = np.flatnonzero(left <= _LONG), 0
+        while len(live):
+            state[live] = absorb(state[live], eight[at[live] + done] & mask[np.minimum(left[live] - done, 8)], which)
+            done += 8
+            live = live[left[live] > done]
+        for i in longer.tolist():
+            word = data[at[i] : at[i] + left[i]].tobytes()
+            state[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, person=bytes([which])).digest(), "little")
+        out[lo : lo + _PIECE] = state
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize
 
 
 def connected(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -20,7 +20,8 @@ def connected(edges: DataFrame, label: str = "components") -> DataFrame:
         if (mark.n, mark.s) == seen or not mark.n:
             break
         seen = (mark.n, mark.s)
-        current = materialize(_small_star(_large_star(current)), label)
+        before, current = current, materialize(_small_star(_large_star(current)), label)
+        drop_table(before)
     stars = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

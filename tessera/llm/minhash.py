@@ -5,14 +5,18 @@ make one of their own). Documents with equal sets form a class, and the class go
 thousands of copies cost one row. Classes that share an id are linked. Each class gets the minima of 384 universal hash functions; 32 bands of 5 of them
 make buckets. With a similarity of 0.8, two classes share no bucket with a probability of 3e-6.
 
-Links are looked for in two steps, and a pair counts only if its sets, made anew from the whole texts, are as similar
-as asked. First every member of a bucket meets the bucket's smallest and largest member: as many pairs as members.
-Components follow from these links. A link within a component changes nothing, so then only buckets that still hold several
-components are left, and there the members of different components meet, in cells of bounded size, if the sizes of their sets
+Links are looked for in steps, and a pair counts only if its sets, made anew from the whole texts, are as similar
+as asked. In the first ``STARS`` steps every member of a bucket meets two pivots of the bucket, other ones in each step: as many pairs as members.
+Components follow from these links. A link within a component changes nothing, so each step looks only at buckets that still hold several
+components. In what is left then, the members of different components meet, in cells of bounded size, if the sizes of their sets
 permit the similarity. Before sets are compared, the share of equal minima must not be 4.5 standard deviations short (which misses as rarely as the bands).
 
+Only signatures go through buckets and cells. The texts of pairs that are still in question are sent to the
+task that compares them, once to each task however many pairs they have there, and a pivot's pairs are dealt to several tasks.
+
 Defined results: null, empty and blank texts have no shingle, are linked with nothing and kept. A null id is kept
-and linked with nothing (component_id null). Rows that share an id are one document with several texts. Extra
+and linked with nothing (component_id null). Rows that share an id are one document with several texts; repeated rows and ties
+are alike. Very long texts count whole: a task takes pairs by the size of their sets, so a few long texts fill one. Extra
 columns pass through, but for those with the name of an output. An empty table gives an empty table.
 """
 
@@ -24,12 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix, ranges_hash, text_buffer, word_hashes, word_spans
+from .common import drop_table, free_names, materialize, mix, run_hash, text_buffer, windows_hash, word_hashes, word_spans
 from .components import connected
 
 BANDS, ROWS = 32, 5
 _HASHES = 384  # the first BANDS * ROWS make bands, all of them signatures
+STARS = 2
 _PART, _CELLS = 256, 8
+_TASK_SHINGLES = 2_000_000  # of the pairs that one task compares
 _OUTPUTS = ["n_shingles", "component_id", "kept"]
 
 
@@ -46,15 +52,13 @@ def shingle_sets(texts, width: int) -> list[np.ndarray]:
     starts, ends = word_spans(data)
     at = np.searchsorted(starts, offsets).tolist()
     h = word_hashes(data, starts, ends)
-    n = len(h)
-    k = np.arange(max(0, n - width + 1))
-    full = ranges_hash(h, k, k + width)
+    full = windows_hash(h, width)
     out = []
     for lo, hi in zip(at[:-1], at[1:], strict=True):
         if hi - lo >= width:
             out.append(np.unique(full[lo : hi - width + 1]))
         elif hi > lo:
-            out.append(ranges_hash(h[lo:hi], np.array([0]), np.array([hi - lo])))
+            out.append(np.array([run_hash(h[lo:hi])], np.uint64))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -122,69 +126,92 @@ def class_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: in
     return docs.join(named, "id").select("rep", "text", "f1", "f2").mapInArrow(own, "rep long, text string").dropDuplicates(["rep"])
 
 
-def _plausible(batches, least: float):
-    """Pairs whose signatures allow the similarity."""
-    for batch in batches:
-        a = np.frombuffer(b"".join(batch.column("sig_a").to_pylist()), np.uint8).reshape(-1, _HASHES)
-        b = np.frombuffer(b"".join(batch.column("sig_b").to_pylist()), np.uint8).reshape(-1, _HASHES)
-        yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(axis=1) >= least))
+def _spread(percent: int) -> float:
+    """How far below the similarity the share of equal minima may lie: at 4.5 standard deviations it misses as rarely as the bands do."""
+    return 4.5 * (percent / 100 * (1 - percent / 100) / _HASHES) ** 0.5
+
+
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _HASHES)
+
+
+def _plausible(a: np.ndarray, b: np.ndarray, bodies, least: float) -> np.ndarray:
+    """Whether signatures allow the similarity."""
+    sig = _signatures(bodies)
+    return np.concatenate([(sig[a[k : k + 4096]] == sig[b[k : k + 4096]]).mean(axis=1) >= least for k in range(0, len(a), 4096)])
+
+
+def _similar(a: np.ndarray, b: np.ndarray, bodies, width: int, percent: int) -> np.ndarray:
+    """Whether the sets of texts are similar enough."""
+    sets: dict[int, np.ndarray] = {}
+    bodies = bodies.combine_chunks()
+
+    def of(x: int) -> np.ndarray:
+        if x not in sets:
+            sets[x] = shingle_sets(bodies.slice(x, 1), width)[0]
+        return sets[x]
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        both = len(np.intersect1d(of(x), of(y), assume_unique=True))
+        out.append(both > 0 and 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both))
+    return np.array(out, bool)
+
 
+def _compared(pairs: DataFrame, bodies: DataFrame, test, label: str) -> DataFrame:
+    """The pairs (cell, a, b, size) that pass test, stored. bodies (rep, body) meet the pairs in tasks; all pairs of a cell go to one, and each task gets a body once."""
+    total = pairs.agg(F.sum("size")).first()[0] or 0
+    dealt = pairs.withColumn("task", F.pmod(F.xxhash64("cell"), F.lit(max(12, -(-total // _TASK_SHINGLES))).cast("long")))
+    sent = dealt.select(F.col("task").alias("to"), F.explode(F.array("a", "b")).alias("rep")).distinct().join(bodies, "rep").select("to", "rep", "body")
 
-def _verified(batches, width: int, percent: int):
-    """Pairs whose sets are similar enough."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 128):
-            part = batch.slice(k, 128)
-            ok = []
-            for x, y in zip(shingle_sets(part.column("text_a"), width), shingle_sets(part.column("text_b"), width), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.select(["cell", "a", "b", "size"])
+        rep = np.asarray(right.column("rep"))
+        order = np.argsort(rep)
+        place = lambda c: order[np.searchsorted(rep, np.asarray(left.column(c)), sorter=order)]
+        return left.filter(pa.array(test(place("a"), place("b"), right.column("body")), pa.bool_())) if left.num_rows else left
 
+    return materialize(dealt.groupBy("task").cogroup(sent.groupBy("to")).applyInArrow(compare, "cell long, a long, b long, size long"), label)
 
-def across(placed: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, label: str) -> DataFrame:
-    """Links (a, b) between different components that share a bucket, stored.
+
+def star_pairs(placed: DataFrame, step: int) -> DataFrame:
+    """(cell, a, b, size): each member of a mixed bucket (key, rep, n, component) with those of the bucket's two pivots that are in other components. A pivot's pairs are dealt into cells of about ``_PART``."""
+    by = F.xxhash64("rep", F.lit(step)) if step else F.col("rep")
+    one = F.struct(by.alias("by"), "rep", "component", "n")
+    ends = placed.groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("m")).where("c1 < c2")
+    met = placed.join(ends.select("key", "low", "high", "m"), "key").select("rep", "n", "component", "m", F.explode(F.array("low", "high")).alias("end"))
+    met = met.where("component <> end.component").groupBy(F.col("end.rep").alias("pivot"), "rep").agg(F.max("m").alias("m"), F.max(F.col("n") + F.col("end.n")).alias("size"))
+    cell = F.xxhash64("pivot", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / _PART)))
+    return met.select(cell.alias("cell"), F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"), "size").dropDuplicates(["a", "b"])
+
+
+def cell_pairs(placed: DataFrame, classes: DataFrame, percent: int, label: str) -> DataFrame:
+    """(cell, a, b, size): pairs of different components in a bucket whose set sizes and signatures permit the similarity, stored.
 
     A bucket's members are dealt into parts of about ``_PART``, and each pair of parts is a cell of bounded size; cells are
-    packed into tasks. A cell has its members' texts. It compares signatures and set sizes as matrices, makes the sets of those
-    that are still in question, once each, and verifies their pairs on the spot, so only links leave it, however many
-    pairs come close. A pair is tried in the cell of the first band that it shares."""
+    packed into tasks. A pair is tried in the cell of the first band that it shares."""
     least = percent / 100 - _spread(percent)
     sizes = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("m")).where("c1 < c2").select("key", F.ceil(F.col("m") / _PART).cast("int").alias("parts"))
     sizes = materialize(sizes, f"{label}-mixed")
-    needed = placed.join(sizes, "key", "left_semi").select("rep").distinct()
-    texts = materialize(class_texts(docs, classes, needed, width), f"{label}-texts")
     short = F.transform("bands", lambda b: b.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(0x80000000)).cast("array<int>")  # enough to tell bands apart
-    members = placed.join(sizes, "key").join(classes.select("rep", "sig", short.alias("bands")), "rep").join(texts, "rep")
+    members = placed.join(sizes, "key").join(classes.select("rep", "sig", short.alias("bands")), "rep")
     mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("mine")
     met = members.select("*", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    cells = met.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "component", "sig", "bands", "text")
-    tasks = max(12, sizes.agg(F.sum(F.col("parts") * F.col("parts"))).first()[0] or 0)
+    cells = met.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "component", "sig", "bands")
+    tasks = max(12, -(-(sizes.agg(F.sum(F.col("parts") * F.col("parts"))).first()[0] or 0) // _CELLS))
 
     def compare(table: pa.Table) -> pa.Table:
         key, i, j, mine, rep, n, component = (np.asarray(table.column(c)) for c in ("key", "i", "j", "mine", "rep", "n", "component"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, _HASHES)
+        sig = _signatures(table.column("sig"))
         bands = np.asarray(table.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
         order = np.lexsort((j, i, key))
         new = np.flatnonzero((np.diff(key[order], prepend=key[order[:1]] - 1) != 0) | (np.diff(i[order], prepend=-1) != 0) | (np.diff(j[order], prepend=-1) != 0)) if len(order) else []
-        sets: dict[int, np.ndarray] = {}
-        column = table.column("text").combine_chunks()
-
-        def similar(u: int, v: int) -> bool:
-            for x in (u, v):
-                if x not in sets:
-                    sets[x] = shingle_sets(column.slice(x, 1), width)[0]
-            both = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
-            return both > 0 and 100 * both >= percent * (len(sets[u]) + len(sets[v]) - both)
-
-        out_a, out_b = [], []
-        for cell in np.split(order, new[1:]) if len(order) else []:
-            sets.clear()
+        out: list[np.ndarray] = [np.zeros((4, 0), np.int64)]
+        for at_cell, cell in enumerate(np.split(order, new[1:]) if len(order) else []):
             left = cell[mine[cell] == i[cell[0]]]
             right = cell[mine[cell] == j[cell[0]]]
             for at in range(0, len(left), 64):
-                x = left[at : at + 64, None]
-                y = right[None, :]
+                x, y = left[at : at + 64, None], right[None, :]
                 ok = (component[x] != component[y]) & (percent * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y]))
                 if i[cell[0]] == j[cell[0]]:
                     ok &= rep[x] < rep[y]
@@ -196,31 +223,15 @@ def across(placed: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
                     u, v = u[good], v[good]
                     same = bands[u] == bands[v]
                     first = bands[u, same.argmax(axis=1)] == (key[cell[0]] & 0xFFFFFFFF) - 0x80000000
-                    held = [(x, y) for x, y in zip(u[first].tolist(), v[first].tolist(), strict=True) if similar(x, y)]
-                    out_a.append(np.array([min(rep[x], rep[y]) for x, y in held], np.int64))
-                    out_b.append(np.array([max(rep[x], rep[y]) for x, y in held], np.int64))
-        empty = [np.zeros(0, np.int64)]
-        return pa.table({"a": pa.array(np.concatenate(out_a or empty)), "b": pa.array(np.concatenate(out_b or empty))})
-
-    task = F.pmod(F.xxhash64("key", "i", "j"), F.lit(-(-tasks // _CELLS)).cast("long")).alias("task")
-    return materialize(cells.withColumn("task", task).groupBy("task").applyInArrow(compare, "a long, b long").distinct(), f"{label}-links")
+                    u, v = u[first], v[first]
+                    name = hash((int(key[cell[0]]), int(i[cell[0]]), int(j[cell[0]])))
+                    out.append(np.stack([np.full(len(u), name, np.int64), np.minimum(rep[u], rep[v]), np.maximum(rep[u], rep[v]), n[u] + n[v]]))
+        return pa.table(dict(zip(("cell", "a", "b", "size"), map(pa.array, np.concatenate(out, axis=1)), strict=True)))
 
-
-def _spread(percent: int) -> float:
-    """How far below the similarity the share of equal minima may lie: at 4.5 standard deviations it misses as rarely as the bands do."""
-    return 4.5 * (percent / 100 * (1 - percent / 100) / _HASHES) ** 0.5
-
-
-def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, label: str) -> DataFrame:
-    """The pairs (a, b) that hold against full sets, stored."""
-    sig = lambda side: classes.select(F.col("rep").alias(side), F.col("sig").alias(f"sig_{side}"))
-    seen = pairs.join(sig("a"), "a").join(sig("b"), "b")
-    likely = materialize(seen.mapInArrow(lambda it: _plausible(it, percent / 100 - _spread(percent)), "a long, b long"), f"{label}-likely")
-    needed = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = materialize(class_texts(docs, classes, needed, width), f"{label}-texts")
-    text = lambda side: texts.select(F.col("rep").alias(side), F.col("text").alias(f"text_{side}"))
-    found = likely.join(text("a"), "a").join(text("b"), "b").mapInArrow(lambda it: _verified(it, width, percent), "a long, b long")
-    return materialize(found.distinct(), f"{label}-links")
+    task = F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks).cast("long")).alias("task")
+    found = materialize(cells.withColumn("task", task).groupBy("task").applyInArrow(compare, "cell long, a long, b long, size long"), f"{label}-pairs")
+    drop_table(sizes)
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,26 +244,51 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = materialize(best.select("f1", "f2", _node().alias("rep"), "x.id", "x.n", "x.sig", "x.bands"), "minhash-classes")
     nodes = real.select("id", _node().alias("rep"))
     several = nodes.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last")
-    same = nodes.join(several, "id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    found = materialize(nodes.join(several, "id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "minhash-links")
     buckets = classes.select(F.explode("bands").alias("key"), "rep", "n")
-    ends = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    shared = materialize(buckets.join(ends, "key"), "minhash-buckets")
-    ends_of = F.explode(F.array("low", "high")).alias("end")
-    near = shared.select("rep", ends_of).where("rep <> end").select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct()
-    first = links(near, classes, texts, width, percent, "minhash-ends")
-    first = first.unionByName(same)
-    grouped = connected(first, "minhash-components")
-    placed = shared.select("key", "rep", "n").join(grouped, shared["rep"] == grouped["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    placed = materialize(placed, "minhash-placed")
-    second = across(placed, classes, texts, width, percent, "minhash-rest")
-    final = connected(first.unionByName(second), "minhash-components") if second.limit(1).count() else grouped
-    of_class = classes.select("f1", "f2", "rep", "id").join(final, F.col("rep") == F.col("node"), "left").select("f1", "f2", "id", F.coalesce("component", "rep").alias("group"))
+    filled = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    shared = materialize(buckets.join(filled.select("key"), "key"), "minhash-buckets")
+    signatures = classes.select("rep", F.col("sig").alias("body"))
+    bodies = materialize(class_texts(texts, classes, shared.select("rep").distinct(), width).withColumnRenamed("text", "body"), "minhash-texts")
+    least = percent / 100 - _spread(percent)
+    plausible = lambda a, b, sig: _plausible(a, b, sig, least)
+    similar = lambda a, b, text: _similar(a, b, text, width, percent)
+    component = None
+    for step in range(STARS + 1):
+        placed = shared
+        if step:
+            known = component.select("node", "component")
+            placed = shared.join(known, shared["rep"] == known["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+            placed = materialize(placed, "minhash-placed")
+        else:
+            placed = placed.withColumn("component", F.col("rep"))
+        if step < STARS:
+            met = materialize(star_pairs(placed, step), "minhash-star")
+            pairs = _compared(met, signatures, plausible, "minhash-likely")
+            drop_table(met)
+        else:
+            pairs = cell_pairs(placed, classes, percent, "minhash-cells")
+        fresh = _compared(pairs, bodies, similar, "minhash-fresh")
+        drop_table(pairs)
+        if step:
+            drop_table(placed)
+        if component is None or fresh.limit(1).count():
+            before, found = found, materialize(found.unionByName(fresh.select("a", "b")), "minhash-links")
+            drop_table(before)
+            old, component = component, connected(found, "minhash-components")
+            if old is not None:
+                drop_table(old)
+        drop_table(fresh)
+    for table in (shared, bodies):
+        drop_table(table)
+    of_class = classes.select("f1", "f2", "rep", "id").join(component, F.col("rep") == F.col("node"), "left").select("f1", "f2", "id", F.coalesce("component", "rep").alias("group"))
     of_class = of_class.join(of_class.groupBy("group").agg(F.min("id").alias("component")), "group").select("f1", "f2", "component")
     placed_docs = signed.select("id", "n", "f1", "f2").join(of_class, ["f1", "f2"], "left")
     verdict = placed_docs.select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
     verdict = verdict.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
     if set(keep) <= {id_col, text_col}:
         return verdict.select(F.col("id").alias(id_col), *_OUTPUTS)
-    once = verdict.dropDuplicates(["id"]).where("id is not null")
-    joined = docs.select(*keep).join(once.withColumnRenamed("id", "_id"), F.col(id_col) == F.col("_id"), "left").drop("_id")
+    (own,) = free_names([*keep, *_OUTPUTS], "own_id")
+    once = verdict.where("id is not null").dropDuplicates(["id"]).withColumnRenamed("id", own)
+    joined = docs.select(*keep).join(once, F.col(id_col) == F.col(own), "left").drop(own)
     return joined.withColumn("kept", F.coalesce("kept", F.lit(True)))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
-from .common import materialize, mix, ranges_hash, text_buffer, word_hashes, word_spans
+from .common import materialize, mix, text_buffer, windows_hash, word_hashes, word_spans
 
 WINDOW = 13
 _REACH = 3  # a seam depends on so many words on either side
