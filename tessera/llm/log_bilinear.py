@@ -8,16 +8,20 @@ meet their counts in a join.
 The model predicts a token from the two before it. Every word that goes to every task has vectors of its own, as a predicted token
 and as context; all other words are dealt by a hash into buckets of about ``BUCKET`` words, as many as the corpus
 asks for, and each bucket has vectors too. Inside a bucket a word has the share (c + 1) / (sum of c + 1, and 1 for what was never seen).
-Words and buckets by falling frequency are the symbols. The ``DIRECT`` first ones are predicted at once, the others in two levels: a class of
-symbols of similar frequency, then the symbol in its class; the number of classes grows with the square root of that of the symbols. At
-both levels the score is the product of a vector with the predicted one, the sum of the context symbols' vectors each times a diagonal matrix of its
-position, plus a bias. Each task trains on the trigrams of its own documents, weighted by their counts, by noise-contrastive estimation:
-unigram noise that a minibatch shares between classes, and a few symbols of the same class for each token. A symbol's parameters
-are averaged by its number of occurrences, over the tasks that saw it. Scoring works out the normalisers of both levels in batched
-matrix products over all classes and over all symbols of a class, so probabilities add up to 1.
+Words and buckets by falling frequency are the symbols. The ``DIRECT`` first ones are predicted at once, the others in three levels: a group of
+classes, a class in it, a symbol in the class; all have symbols of similar frequency, and their sizes grow with the cube root of the number of symbols. At
+each level the score is the product of a vector with the predicted one, the sum of the context symbols' vectors each times a diagonal matrix of its
+position, plus a bias.
+
+Training documents are dealt by a hash of their ids into shards of about ``SHARD`` tokens, and shards into ``ROUNDS`` rounds, so what is learned doesn't
+depend on how Spark deals rows. In a round each shard starts from the same parameters and makes one pass over its trigrams, weighted by their counts, by
+noise-contrastive estimation: noise from the unigram distribution for a minibatch at the first level, and for the tokens of a group or class of the minibatch below it.
+Then a symbol's parameters move by the mean of its changes, by its number of occurrences in the shards that saw it. Scoring works out the normalisers of all levels
+in batched matrix products over all symbols of a level, so probabilities add up to 1.
 
 Tokens are lower-cased words (A-Z only) and one end for each text. Null texts are empty: an end only. A null id
-is held out. Repeated rows are counted and scored each. Extra columns are ignored. An empty table gives an empty table.
+is held out. Repeated rows are counted and scored each; words of equal count go by their spelling. Very long texts count whole. Extra columns, of any
+name, are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +40,19 @@ from .common import materialize
 from .language_mixture import held_out
 
 HEAD = 2_000_000
-DIRECT = 256
+DIRECT = 128
 BUCKET = 512
 WIDTH = 16
-NOISE = 96
-INSIDE = 5  # noise symbols of its own class for each token
+NOISE = 64
+MIDDLE, INSIDE = 10, 3  # noise of a group, of a class for its tokens in a minibatch
+SHARD = 2_000_000
+ROUNDS = 4
 END = " "  # no word has a space
 _FLUSH = 400_000
 _SHARE = 8
-_START = {"r": 0.01, "b": 0.01, "q": 0.01}  # of the sums of squares; low for symbols that are met rarely
+_START = 0.01  # of the sums of squares
 _PART = 256
+_ROWS = 1024  # texts that are scored at once
 
 
 def _tokens(text) -> list[bytes]:
@@ -90,12 +97,11 @@ class Head:
         words = [_tokens(t) for t in texts]
         sizes = np.array([len(w) + 1 for w in words], np.int64)
         at = np.concatenate([[0], np.cumsum(sizes)])
-        get = self.place.get
         places = np.full(at[-1], self.end, np.int64)
         mask = np.ones(at[-1], bool)
         mask[at[1:] - 1] = False
         every = list(chain.from_iterable(words))
-        found = np.fromiter((get(w, -1) for w in every), np.int64, len(every))
+        found = np.fromiter(map(self.place.get, every, repeat(-1)), np.int64, len(every))
         missing = np.flatnonzero(found < 0)
         found[missing] = [-1 - zlib.crc32(every[i]) % self.buckets for i in missing.tolist()]
         places[mask] = found
@@ -103,124 +109,182 @@ class Head:
 
     def trigrams(self, places: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of tokens, and of their contexts as (before that) * (symbols + 1) + before."""
-        token = np.where(places < 0, self.size - 1 - places, places)
-        one = np.empty_like(token)
-        one[1:] = token[:-1]
-        one[at[:-1]] = self.symbols
-        two = np.empty_like(token)
-        two[1:] = one[:-1]
-        two[at[:-1]] = self.symbols
-        return token, two * (self.symbols + 1) + one
+        return trigrams(np.where(places < 0, self.size - 1 - places, places), at, self.symbols)
+
+
+def trigrams(token: np.ndarray, at: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of texts that begin at at (and the end), and their contexts; before a text stands the symbol beyond the last."""
+    one = np.empty_like(token)
+    one[1:] = token[:-1]
+    one[at[:-1]] = symbols
+    two = np.empty_like(token)
+    two[1:] = one[:-1]
+    two[at[:-1]] = symbols
+    return token, two * (symbols + 1) + one
+
+
+class Level:
+    """Vectors and biases of members in groups of size group, and their mass in the corpus."""
+
+    def __init__(self, mass: np.ndarray, group: int, noise: int, rng: np.random.Generator) -> None:
+        self.group, self.n, self.mass, self.noise = group, len(mass), mass, noise
+        self.of_group = np.add.reduceat(mass, np.arange(0, len(mass), group)) if len(mass) else mass
+        self.share = mass / np.repeat(self.of_group, group)[: len(mass)]
+        self.v = rng.normal(0, 0.1, (len(mass), WIDTH)).astype(np.float32)
+        self.b = np.log(self.share).astype(np.float32)
+
+    def ready(self) -> None:
+        """For training."""
+        self.steps = np.append(0, np.cumsum(self.mass))
+        self.noise_log = np.log(self.noise * self.share).astype(np.float32)
+        self.sums = np.full(self.n, _START, np.float32)
+
+    def pull(self, x: np.ndarray, guess: np.ndarray, weight: np.ndarray, rng: np.random.Generator, rate: float) -> np.ndarray:
+        """One step for members x, ascending, in contexts guess; gives the gradients of guess."""
+        of = x // self.group
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        which = np.cumsum(np.diff(of, prepend=of[0]) != 0)
+        lo = of[first] * self.group
+        hi = np.minimum(lo + self.group, self.n)
+        drawn = self.steps[lo][:, None] + rng.random((len(lo), self.noise)) * (self.steps[hi] - self.steps[lo])[:, None]
+        z = np.clip(np.searchsorted(self.steps, drawn, "right") - 1, lo[:, None], hi[:, None] - 1)
+        noise, own = self.v[z][which], self.v[x]
+        real = (own * guess).sum(1) + self.b[x] - self.noise_log[x]
+        fake = np.matmul(noise, guess[:, :, None])[:, :, 0] + (self.b[z] - self.noise_log[z])[which]
+        up = weight / (1 + np.exp(np.clip(real, -30, 30)))
+        down = -weight[:, None] / (1 + np.exp(np.clip(-fake, -30, 30)))
+        change = up[:, None] * own + np.matmul(down[:, None, :], noise)[:, 0]
+        new = np.flatnonzero(np.diff(x, prepend=-1))
+        self._move(x[new], np.add.reduceat(up[:, None] * guess, new), np.add.reduceat(up, new), rate)
+        rows, both = _gathered(z.ravel(), np.concatenate([np.add.reduceat(down[:, :, None] * guess[:, None, :], first), np.add.reduceat(down, first)[:, :, None]], 2).reshape(-1, WIDTH + 1))
+        self._move(rows, both[:, :WIDTH], both[:, WIDTH], rate)
+        return change
+
+    def _move(self, rows: np.ndarray, dv: np.ndarray, db: np.ndarray, rate: float) -> None:
+        self.sums[rows] += ((dv * dv).sum(1) + db * db) / (WIDTH + 1)
+        scale = rate / np.sqrt(self.sums[rows])
+        self.v[rows] += dv * scale[:, None]
+        self.b[rows] += db * scale
+
+    def log_share(self, x: np.ndarray, guess: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the shares of members x in their groups."""
+        by = np.argsort(x, kind="stable")
+        of, g = x[by] // self.group, guess[by]
+        out = np.empty(len(x), np.float32)
+        cuts = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            lo = int(of[a]) * self.group
+            v, bias = self.v[lo : lo + self.group], self.b[lo : lo + self.group]
+            for k in range(a, b, 4096):
+                out[k : min(b, k + 4096)] = _log_sum(g[k : min(b, k + 4096)], v, bias)
+        own = x[by]
+        out = (g * self.v[own]).sum(1) + self.b[own] - out
+        back = np.empty_like(out)
+        back[by] = out
+        return back
+
+
+def _gathered(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, and the sums of their values."""
+    by = np.argsort(rows, kind="stable")
+    rows = rows[by]
+    new = np.flatnonzero(np.diff(rows, prepend=-1))
+    return rows[new], np.add.reduceat(values[by], new, axis=0)
 
 
 class Model:
-    """t, tb: vectors and biases of the first symbols and of the classes; r, b: of the symbols in classes; q: of context symbols; c: diagonals of the two positions."""
+    """top: the first symbols and the groups; mid: the classes in groups; leaf: the symbols in classes; q: vectors of context symbols; c: diagonals of the two positions."""
 
     def __init__(self, size: int, unigram: np.ndarray) -> None:
         rng = np.random.Generator(np.random.PCG64(4))
         n = size + 1
         self.symbols = n
         self.direct = n if n <= 1024 else DIRECT
-        inner = unigram[self.direct :]
-        self.span = max(1, math.isqrt(n - self.direct))
-        self.cuts = np.append(np.arange(0, len(inner), self.span), len(inner))  # where classes begin, and the end
-        shares = np.add.reduceat(inner, self.cuts[:-1]) if len(inner) else inner
-        self.t = rng.normal(0, 0.1, (self.direct + len(shares), WIDTH)).astype(np.float32)
-        self.r = rng.normal(0, 0.1, (len(inner), WIDTH)).astype(np.float32)
+        span = max(1, math.ceil((n - self.direct) ** (1 / 3)))
+        self.leaf = Level(unigram[self.direct :], span, INSIDE, rng)
+        self.mid = Level(self.leaf.of_group, span, MIDDLE, rng)
+        first = np.append(unigram[: self.direct], self.mid.of_group)
+        self.top = Level(first, len(first), NOISE, rng)
         self.q = rng.normal(0, 0.1, (n + 1, WIDTH)).astype(np.float32)
         self.c = np.ones((2, WIDTH), np.float32)
-        self.tb = np.log(np.append(unigram[: self.direct], shares)).astype(np.float32)
-        self.b = np.log(inner / np.repeat(shares, np.diff(self.cuts))).astype(np.float32)
+
+    def _flat(self) -> list[np.ndarray]:
+        return [self.top.v, self.top.b, self.mid.v, self.mid.b, self.c]
 
     def rows(self) -> np.ndarray:
-        """All parameters as rows of 2 * WIDTH + 1: one for each symbol and for what stands before a text, then those of the first level."""
+        """All parameters as rows of 2 * WIDTH + 1: one for each symbol and for what stands before a text, then those of the upper levels."""
         own = np.zeros((self.symbols + 1, 2 * WIDTH + 1), np.float32)
-        own[self.direct : self.symbols, :WIDTH], own[self.direct : self.symbols, WIDTH], own[:, WIDTH + 1 :] = self.r, self.b, self.q
-        flat = np.concatenate([self.t.ravel(), self.tb, self.c.ravel()])
+        own[self.direct : self.symbols, :WIDTH], own[self.direct : self.symbols, WIDTH], own[:, WIDTH + 1 :] = self.leaf.v, self.leaf.b, self.q
+        flat = np.concatenate([x.ravel() for x in self._flat()])
         return np.concatenate([own, np.resize(np.append(flat, np.zeros(-len(flat) % own.shape[1], np.float32)), (-(-len(flat) // own.shape[1]), own.shape[1]))])
 
     def load(self, rows: np.ndarray) -> Model:
         own, flat = rows[: self.symbols + 1].astype(np.float32), rows[self.symbols + 1 :].ravel().astype(np.float32)
-        self.r, self.b, self.q = own[self.direct : self.symbols, :WIDTH].copy(), own[self.direct : self.symbols, WIDTH].copy(), own[:, WIDTH + 1 :].copy()
-        n = self.t.size
-        self.t, self.tb = flat[:n].reshape(self.t.shape), flat[n : n + len(self.tb)]
-        self.c = flat[n + len(self.tb) :][: self.c.size].reshape(self.c.shape)
+        self.leaf.v, self.leaf.b, self.q = own[self.direct : self.symbols, :WIDTH].copy(), own[self.direct : self.symbols, WIDTH].copy(), own[:, WIDTH + 1 :].copy()
+        at = 0
+        parts = []
+        for x in self._flat():
+            parts.append(flat[at : at + x.size].reshape(x.shape).copy())
+            at += x.size
+        self.top.v, self.top.b, self.mid.v, self.mid.b, self.c = parts
         return self
 
     def guess(self, context: np.ndarray) -> np.ndarray:
         return self.q[context % (self.symbols + 1)] * self.c[0] + self.q[context // (self.symbols + 1)] * self.c[1]
 
-    def top(self, token: np.ndarray) -> np.ndarray:
-        """The places of tokens or of their classes in t."""
-        return np.where(token < self.direct, token, self.direct + (token - self.direct) // self.span)
+    def first(self, token: np.ndarray) -> np.ndarray:
+        """The places of tokens or of their groups in top."""
+        return np.where(token < self.direct, token, self.direct + (token - self.direct) // (self.leaf.group * self.mid.group))
 
-    def train(self, token: np.ndarray, context: np.ndarray, weight: np.ndarray, unigram: np.ndarray, batch: int = 8192, rate: float = 0.06) -> None:
+    def train(self, token: np.ndarray, context: np.ndarray, weight: np.ndarray, batch: int = 2048, rate: float = 0.1, seed: int = 0) -> None:
         """One pass of AdaGrad over weighted trigrams."""
-        n = self.symbols
-        rng = np.random.Generator(np.random.PCG64(len(token)))
+        n, top = self.symbols, self.top
+        rng = np.random.Generator(np.random.PCG64([seed, len(token)]))
         parts = -(-weight // _SHARE)  # a heavy trigram is met again and again, each time with a part of its weight
         order = rng.permutation(np.repeat(np.arange(len(token)), parts))
         weight = (weight / parts / _SHARE).astype(np.float32)
-        sums = {k: np.full_like(getattr(self, k), _START.get(k, 1.0)) for k in ("t", "tb", "r", "b", "q", "c")}
-        inner = unigram[self.direct :]
-        shares = np.add.reduceat(inner, self.cuts[:-1]) if len(inner) else inner
-        first = np.append(unigram[: self.direct], shares)
-        noise_log = np.log(NOISE * first / first.sum()).astype(np.float32)
-        steps, inside = np.cumsum(first), np.append(0, np.cumsum(inner))
-        inside_log = np.log(INSIDE * inner / np.repeat(shares, np.diff(self.cuts))).astype(np.float32)
-
-        def step(name: str, grad: np.ndarray, rows=slice(None)) -> None:
-            total = sums[name][rows] + grad * grad
-            sums[name][rows] = total
-            getattr(self, name)[rows] += rate * grad / np.sqrt(total)
-
-        def gathered(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Distinct rows, and the sums of their values."""
-            by = np.argsort(rows, kind="stable")
-            rows = rows[by]
-            new = np.flatnonzero(np.diff(rows, prepend=-1))
-            return rows[new], np.add.reduceat(values[by], new, axis=0)
-
+        for level in (self.top, self.mid, self.leaf):
+            level.ready()
+        noise_log, steps = top.noise_log, top.steps[1:]
+        top_sums, c_sums, q_sums = np.ones((top.n, 1), np.float32), np.ones_like(self.c), np.full(len(self.q), _START, np.float32)
         for k in range(0, len(order), batch):
             at = order[k : k + batch]
-            symbol, ctx, m = token[at], context[at], weight[at][:, None]
-            w = self.top(symbol)
+            at = at[np.argsort(token[at], kind="stable")]
+            symbol, ctx, m = token[at], context[at], weight[at]
+            w = self.first(symbol)  # ascending, as symbols are
             two, one = ctx // (n + 1), ctx % (n + 1)
             q1, q2 = self.q[one], self.q[two]
             guess = q1 * self.c[0] + q2 * self.c[1]
-            noise = np.minimum(np.searchsorted(steps, rng.random(NOISE) * steps[-1]), len(steps) - 1)
-            real = (guess * self.t[w]).sum(1) + self.tb[w] - noise_log[w]
-            fake = guess @ self.t[noise].T + self.tb[noise] - noise_log[noise]
-            up = m[:, 0] / (1 + np.exp(np.clip(real, -30, 30)))
-            down = -m / (1 + np.exp(np.clip(-fake, -30, 30)))
-            dg = up[:, None] * self.t[w] + down @ self.t[noise]
-            dt, dt_rows = np.zeros_like(self.t), gathered(w, up[:, None] * guess)
-            dt[dt_rows[0]] = dt_rows[1]
-            np.add.at(dt, noise, down.T @ guess)
-            db = np.bincount(w, up, len(self.tb))
+            noise = np.minimum(np.searchsorted(steps, rng.random(top.noise) * steps[-1]), top.n - 1)
+            own, other = top.v[w], top.v[noise]
+            real = (guess * own).sum(1) + top.b[w] - noise_log[w]
+            fake = guess @ other.T
+            fake += top.b[noise] - noise_log[noise]
+            np.clip(fake, -30, 30, out=fake)
+            np.exp(np.negative(fake, out=fake), out=fake)
+            fake += 1
+            down = np.divide(-m[:, None], fake, out=fake)
+            up = m / (1 + np.exp(np.clip(real, -30, 30)))
+            dg = up[:, None] * own + down @ other
+            dv, db = np.zeros_like(top.v), np.bincount(w, up, top.n).astype(np.float32)
+            new = np.flatnonzero(np.diff(w, prepend=-1))
+            dv[w[new]] = np.add.reduceat(up[:, None] * guess, new)
+            np.add.at(dv, noise, down.T @ guess)
             np.add.at(db, noise, down.sum(0))
-            deep = np.flatnonzero(symbol >= self.direct)
-            if len(deep):
-                x, g = symbol[deep] - self.direct, guess[deep]
-                lo = x // self.span * self.span
-                hi = np.minimum(lo + self.span, len(inner))
-                drawn = inside[lo][:, None] + rng.random((len(deep), INSIDE)) * (inside[hi] - inside[lo])[:, None]
-                z = np.clip(np.searchsorted(inside, drawn, "right") - 1, lo[:, None], hi[:, None] - 1)
-                both = np.concatenate([x[:, None], z], 1)
-                vectors = self.r[both]
-                s = np.clip(np.matmul(vectors, g[:, :, None])[:, :, 0] + self.b[both] - inside_log[both], -30, 30)
-                pull = -m[deep] / (1 + np.exp(-s))
-                pull[:, 0] = m[deep, 0] / (1 + np.exp(s[:, 0]))
-                dg[deep] += np.matmul(pull[:, None, :], vectors)[:, 0]
-                values = np.concatenate([pull[:, :, None] * g[:, None, :], pull[:, :, None]], 2).reshape(-1, WIDTH + 1)
-                rows, values = gathered(both.ravel(), values)
-                step("r", values[:, :WIDTH], rows)
-                step("b", values[:, WIDTH], rows)
+            deep = int(np.searchsorted(symbol, self.direct))
+            if deep < len(symbol):
+                x, g, mass = symbol[deep:] - self.direct, guess[deep:], m[deep:]
+                dg[deep:] += self.mid.pull(x // self.leaf.group, g, mass, rng, rate)
+                dg[deep:] += self.leaf.pull(x, g, mass, rng, rate)
             dc = np.stack([(dg * q1).sum(0), (dg * q2).sum(0)])
-            rows, dq = gathered(np.concatenate([one, two]), np.concatenate([dg * self.c[0], dg * self.c[1]]))
-            step("q", dq, rows)
-            for name, grad in (("t", dt), ("c", dc), ("tb", db.astype(np.float32))):
-                step(name, grad)
+            rows, dq = _gathered(np.concatenate([one, two]), np.concatenate([dg * self.c[0], dg * self.c[1]]))
+            q_sums[rows] += (dq * dq).sum(1) / WIDTH
+            self.q[rows] += dq * (rate / np.sqrt(q_sums[rows]))[:, None]
+            top_sums += ((dv * dv).sum(1) + db * db)[:, None] / (WIDTH + 1)
+            top.v += rate * dv / np.sqrt(top_sums)
+            top.b += rate * db / np.sqrt(top_sums[:, 0])
+            c_sums += dc * dc
+            self.c += rate * dc / np.sqrt(c_sums)
 
 
 def _log_sum(guess: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -232,7 +296,7 @@ def _log_sum(guess: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.nda
 
 
 class Scorer:
-    """Log10 probabilities of tokens in their contexts, with normalisers over the first level and over the token's class."""
+    """Log10 probabilities of tokens in their contexts, with normalisers over the first level, the token's group and its class."""
 
     def __init__(self, model: Model) -> None:
         self.m = model
@@ -241,19 +305,15 @@ class Scorer:
         m = self.m
         pairs, where = np.unique(context, return_inverse=True)
         guess = m.guess(pairs)
-        log_z = np.concatenate([_log_sum(guess[k : k + 1024], m.t, m.tb) for k in range(0, len(pairs), 1024)] or [np.zeros(0, np.float32)])
-        w = m.top(token)
+        log_z = np.concatenate([_log_sum(guess[k : k + 1024], m.top.v, m.top.b) for k in range(0, len(pairs), 1024)] or [np.zeros(0, np.float32)])
+        w = m.first(token)
         guess = guess[where]
-        out = (np.einsum("ij,ij->i", guess, m.t[w]) + m.tb[w] - log_z[where]).astype(np.float64)
-        by = np.argsort(w, kind="stable")
-        by = by[np.searchsorted(w[by], m.direct) :]
-        for part in np.split(by, np.flatnonzero(np.diff(w[by])) + 1) if len(by) else []:
-            k = int(w[part[0]]) - m.direct
-            lo, hi = m.cuts[k], m.cuts[k + 1]
-            for at in range(0, len(part), 1024):
-                some = part[at : at + 1024]
-                x = token[some] - m.direct
-                out[some] += np.einsum("ij,ij->i", guess[some], m.r[x]) + m.b[x] - _log_sum(guess[some], m.r[lo:hi], m.b[lo:hi])
+        out = ((guess * m.top.v[w]).sum(1) + m.top.b[w] - log_z[where]).astype(np.float64)
+        deep = np.flatnonzero(token >= m.direct)
+        if len(deep):
+            x, g = token[deep] - m.direct, guess[deep]
+            out[deep] += m.mid.log_share(x // m.leaf.group, g)
+            out[deep] += m.leaf.log_share(x, g)
         return out / math.log(10)
 
 
@@ -262,68 +322,48 @@ _HEADS: dict[str, Head] = {}
 
 def _held(sent) -> Head:
     """The head of a broadcast, built once in a process."""
-    key, words, counts, buckets, _ = sent.value
+    key, words, counts, buckets = sent.value
     if key not in _HEADS:
         _HEADS.clear()
-        _HEADS[key] = Head(words, counts[: len(words)], buckets)
+        _HEADS[key] = Head(words, counts, buckets)
     return _HEADS[key]
 
 
-def train(docs: DataFrame, sent) -> Model:
-    """Averages what tasks learn from their own documents."""
-    unigram = sent.value[4]
-    start = Model(len(unigram) - 1, unigram)
-    if not len(unigram) > 1:
-        return start
-
-    def run(batches):
-        head, unigram = _held(sent), sent.value[4]
-        n = head.symbols
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        waiting: list[np.ndarray] = []
-        met = np.zeros(n + 1, np.int64)  # the last counts texts
-        model = Model(n - 1, unigram)
-        before = model.rows()
-        wide = n > 2_000_000  # symbols whose trigrams have no number in 64 bits are learned one by one
-
-        def settle():
-            nonlocal keys, counts, waiting
-            every = np.concatenate([*waiting, keys])
-            weights = np.concatenate([np.ones(len(every) - len(keys), np.int64), counts])
-            keys, inverse = np.unique(every, return_inverse=True)
-            counts = np.bincount(inverse, weights, len(keys)).astype(np.int64)
-            waiting = []
-
-        def learn():
-            nonlocal keys, counts
-            model.train(keys % n, keys // n, counts, unigram)
-            keys, counts = keys[:0], counts[:0]
-
-        for batch in batches:
-            texts = batch.column(0).cast("binary").to_pylist()
-            for k in range(0, len(texts), 256):
-                places, at, _ = head.numbers(texts[k : k + 256])
-                token, context = head.trigrams(places, at)
-                met += np.bincount(token, minlength=n + 1)
-                met[n] += len(at) - 1
-                if wide:
-                    model.train(token, context, np.ones(len(token), np.int64), unigram)
-                    continue
-                waiting.append(context * n + token)
-                if sum(map(len, waiting)) > 1_000_000:
-                    settle()
-                    if len(keys) > 1_500_000:  # bounds a task's memory; what follows is learned on top
-                        learn()
-        if met[n]:
-            if not wide:
-                settle()
-                learn()
-            change = model.rows() - before
-            weights = np.append(met, np.full(len(change) - n - 1, met[:n].sum()))
-            for lo in range(0, len(change), _PART):
-                rows = lo + np.flatnonzero(weights[lo : lo + _PART])
-                if len(rows):
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([lo // _PART], pa.int32()), "rows": pa.array([(rows - lo).astype(np.uint8).tobytes()], pa.binary()), "weights": pa.array([weights[rows].tobytes()], pa.binary()), "values": pa.array([change[rows].astype(np.float16).tobytes()], pa.binary())})
+def _learner(sent):
+    """Trains on one shard from the parameters sent, and gives the changes of the symbols that it has."""
+
+    def learn(table: pa.Table) -> pa.Table:
+        unigram, before = sent.value
+        n = len(unigram)
+        texts = sorted(zip(table.column("doc_id").to_pylist(), table.column("tokens").to_pylist(), strict=True))
+        token = np.frombuffer(b"".join(t for _, t in texts), np.int32).astype(np.int64)
+        at = np.append(0, np.cumsum([len(t) // 4 for _, t in texts]))
+        met = np.append(np.bincount(token, minlength=n), len(texts))
+        token, context = trigrams(token, at, n)
+        own = Model(n - 1, unigram).load(before)
+        weight = np.ones(len(token), np.int64)
+        if n <= 2_000_000:  # else trigrams have no number in 64 bits, and are learned one by one
+            keys, weight = np.unique(context * n + token, return_counts=True)
+            token, context = keys % n, keys // n
+        own.train(token, context, weight, seed=table.column("shard")[0].as_py())
+        change = own.rows() - before
+        weights = np.append(met, np.full(len(change) - n - 1, len(token)))
+        parts = []
+        for lo in range(0, len(change), _PART):
+            rows = lo + np.flatnonzero(weights[lo : lo + _PART])
+            if len(rows):
+                parts.append((lo // _PART, (rows - lo).astype(np.uint8).tobytes(), weights[rows].astype(np.int64).tobytes(), change[rows].astype(np.float16).tobytes()))
+        return pa.table({name: pa.array([p[i] for p in parts], kind) for i, (name, kind) in enumerate([("part", pa.int32()), ("rows", pa.binary()), ("weights", pa.binary()), ("values", pa.binary())])})
+
+    return learn
+
+
+def train(encoded: DataFrame, unigram: np.ndarray, shards: int, rounds: int = ROUNDS) -> Model:
+    """What the shards of encoded (doc_id, shard, tokens as 32-bit symbols) teach: one pass over all of them, in rounds that each end with an average."""
+    n = len(unigram)
+    model = Model(n - 1, unigram)
+    if n < 2:
+        return model
 
     def add(table: pa.Table) -> pa.Table:
         sums, total = np.zeros((_PART, 2 * WIDTH + 1)), np.zeros(_PART)
@@ -334,13 +374,17 @@ def train(docs: DataFrame, sent) -> Model:
         sums /= np.maximum(total, 1)[:, None]
         return pa.table({"part": table.column("part")[:1], "values": pa.array([sums.astype(np.float32).tobytes()], pa.binary())})
 
-    learned = docs.select("text").mapInArrow(run, "part int, rows binary, weights binary, values binary")
-    rows = learned.groupBy("part").applyInArrow(add, "part int, values binary").toArrow()
-    mean = start.rows()
-    for part, values in zip(rows.column("part").to_pylist(), rows.column("values").to_pylist(), strict=True):
-        lo = part * _PART
-        mean[lo : lo + _PART] += np.frombuffer(values, np.float32).reshape(_PART, -1)[: len(mean) - lo]
-    return start.load(mean)
+    for turn in range(rounds):
+        sent = encoded.sparkSession.sparkContext.broadcast((unigram, model.rows()))  # its size goes by HEAD and the buckets
+        learned = encoded.where(F.col("shard") % rounds == turn).select("doc_id", "shard", "tokens").groupBy("shard").applyInArrow(_learner(sent), "part int, rows binary, weights binary, values binary")
+        moved = learned.groupBy("part").applyInArrow(add, "part int, values binary").toArrow()
+        mean = model.rows()
+        for part, values in zip(moved.column("part").to_pylist(), moved.column("values").to_pylist(), strict=True):
+            lo = part * _PART
+            mean[lo : lo + _PART] += np.frombuffer(values, np.float32).reshape(_PART, -1)[: len(mean) - lo]
+        model.load(mean)
+        sent.unpersist()
+    return model
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -363,45 +407,55 @@ def score_documents(docs: DataFrame) -> DataFrame:
     of_rest = np.log10(of_rest)
     unigram = np.append(c, rest).astype(float)
     unigram /= unigram.sum()
-    sent = spark.sparkContext.broadcast((f"{sums.n}:{sums.v}:{id(words)}", words, c, buckets, unigram))
-    model = spark.sparkContext.broadcast(train(training, sent))
+    sent = spark.sparkContext.broadcast((f"{sums.n}:{sums.v}:{id(words)}", words, c, buckets))
+    shards = max(ROUNDS, -(-int(sums.n) // SHARD))
     smoothed = math.log10(sums.n + sums.v + 1)
 
-    def run(batches):
+    def encode(batches):
         head = _held(sent)
-        scorer = Scorer(model.value)
         log = np.append(np.log10(sent.value[2] + 1.0), 0.0)  # the last stands for what the head lacks
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                places, at, words = head.numbers(part.column(2).cast("binary").to_pylist())
-                token, context = head.trigrams(places, at)
-                gain = log[np.maximum(places, -1)]
-                sure = scorer.log10(token, context)
-                other = np.flatnonzero(places < 0)
-                sure[other] -= of_rest[-1 - places[other]]
+                places, at, words = head.numbers(part.column("text").cast("binary").to_pylist())
                 first = at[:-1]
-                tails = []
-                for d in np.flatnonzero(np.add.reduceat(places < 0, first)).tolist():
-                    lo, hi = int(at[d]), int(at[d + 1]) - 1
-                    tails.append((d, Counter(words[d][i] for i in np.flatnonzero(places[lo:hi] < 0).tolist())))
+                token = np.where(places < 0, head.size - 1 - places, places).astype(np.int32).tobytes()
                 lists: list = [[] for _ in range(part.num_rows)]
                 times: list = [[] for _ in range(part.num_rows)]
-                for d, tail in tails:
+                for d in np.flatnonzero(np.add.reduceat(places < 0, first)).tolist():
+                    lo, hi = int(at[d]), int(at[d + 1]) - 1
+                    tail = Counter(words[d][i] for i in np.flatnonzero(places[lo:hi] < 0).tolist())
                     lists[d], times[d] = list(tail), list(tail.values())
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column(0), "held_out": part.column(1), "n_tokens": pa.array(np.diff(at)),
-                    "known": pa.array(np.add.reduceat((places >= 0).astype(np.int64), first)),
-                    "gain": pa.array(np.add.reduceat(gain, first)), "sure": pa.array(np.add.reduceat(sure, first)),
+                    "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "shard": part.column("shard"), "n_tokens": pa.array(np.diff(at)),
+                    "known": pa.array(np.add.reduceat((places >= 0).astype(np.int64), first)), "gain": pa.array(np.add.reduceat(log[np.maximum(places, -1)], first)),
+                    "tokens": pa.array([token[4 * x : 4 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()),
                     "words": pa.array(lists, pa.list_(pa.binary())).cast(pa.list_(pa.string())), "times": pa.array(times, pa.list_(pa.int64())),
                 })
 
-    kind = "doc_id long, held_out boolean, n_tokens long, known long, gain double, sure double, words array<string>, times array<long>"
-    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id())
+    shard = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("int").alias("shard")
+    kind = "doc_id long, held_out boolean, shard int, n_tokens long, known long, gain double, tokens binary, words array<string>, times array<long>"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", shard, "text").mapInArrow(encode, kind).withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "lm-rows")
+    model = spark.sparkContext.broadcast(train(rows.where("not held_out"), unigram, shards))
+
+    def score(batches):
+        scorer, n = Scorer(model.value), model.value.symbols
+        for batch in batches:
+            for k in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(k, _ROWS)
+                texts = part.column("tokens").to_pylist()
+                at = np.append(0, np.cumsum([len(t) // 4 for t in texts]))
+                token, context = trigrams(np.frombuffer(b"".join(texts), np.int32).astype(np.int64), at, n)
+                sure = scorer.log10(token, context)
+                other = np.flatnonzero(token >= n - buckets)
+                sure[other] -= of_rest[token[other] - (n - buckets)]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.add.reduceat(sure, at[:-1]))], ["row", "sure"])
+
+    sure = rows.select("row", "tokens").mapInArrow(score, "row long, sure double")
     tail = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     met = tail.join(counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"), F.sum("times").alias("met"))
-    out = rows.drop("words", "times").join(met, "row", "left")
+    out = rows.drop("words", "times", "tokens").join(sure, "row").join(met, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("met", F.lit(0))).cast("long").alias("n_known"), F.lit(int(sums.n)).cast("long").alias("train_tokens"),

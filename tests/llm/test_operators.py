@@ -171,15 +171,15 @@ def test_model_probabilities_add_up_and_learn():
     unigram = np.full(head.size + 1, 1 / (head.size + 1))
     model = log_bilinear.Model(head.size, unigram)
     keys, counts = np.unique(context * (head.size + 1) + token, return_counts=True)
-    for _ in range(40):
-        model.train(keys % (head.size + 1), keys // (head.size + 1), counts, unigram)
+    for k in range(40):
+        model.train(keys % (head.size + 1), keys // (head.size + 1), counts, seed=k)
     scorer = log_bilinear.Scorer(model)
     every = np.arange(head.size + 1)
     assert abs(sum(10 ** scorer.log10(every, np.full(len(every), context[5]))) - 1) < 1e-4
     assert scorer.log10(token, context).mean() > math.log10(1 / 8) + 0.2
 
 
-def test_model_of_many_words_normalises_in_two_levels_and_learns():
+def test_model_of_many_words_normalises_in_three_levels_and_learns():
     n = 1500
     rng = np.random.Generator(np.random.PCG64(2))
     a = np.cumsum(rng.integers(1, 3, 30_000)) % n  # each word has two successors
@@ -188,10 +188,10 @@ def test_model_of_many_words_normalises_in_two_levels_and_learns():
     assert len(np.unique(token)) == n
     unigram = np.full(n + 1, 1 / (n + 1))
     model = log_bilinear.Model(n, unigram)
-    assert len(model.t) < n / 3 and len(model.load(model.rows()).q) == n + 2
+    assert model.top.n < n / 3 and 1 < model.leaf.group < 50 and len(model.load(model.rows()).q) == n + 2
     keys, counts = np.unique(context * (n + 1) + token, return_counts=True)
-    for _ in range(60):
-        model.train(keys % (n + 1), keys // (n + 1), counts, unigram)
+    for k in range(60):
+        model.train(keys % (n + 1), keys // (n + 1), counts, seed=k)
     scorer = log_bilinear.Scorer(model)
     every = np.arange(n + 1)
     assert abs(sum(10 ** scorer.log10(every, np.full(n + 1, context[5]))) - 1) < 1e-3
@@ -212,6 +212,23 @@ def test_rare_words_are_dealt_into_buckets_and_scored_in_context(spark, monkeypa
     assert len(models[1].q) > 5 * len(models[0].q)
 
 
+def test_language_model_gains_and_does_not_depend_on_the_deal(spark, monkeypatch):
+    monkeypatch.setattr(log_bilinear, "SHARD", 4000)
+    rng = random.Random(12)
+    rows = []
+    for i in range(500):
+        x, t = rng.randrange(40), []
+        for _ in range(60):  # each word has three successors
+            t.append(f"w{x}")
+            x = (3 * x + rng.randrange(3)) % 40
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "tokens": F.lit("x"), "shard": F.lit(0)})
+    one, many = ({r.doc_id: r for r in log_bilinear.score_documents(df.repartition(k)).collect()} for k in (1, 7))
+    assert all(abs(one[i].score - many[i].score) < 1e-4 * abs(one[i].score) for i in range(500))
+    held = [r for r in one.values() if r.held_out]
+    assert len(held) > 40 and sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
+
+
 def best_fit_plainly(lengths, sizes, overhead):
     bins, left = [], sum(lengths)
     for n in sorted(lengths, reverse=True):
