@@ -1,27 +1,29 @@
 """Substring dedup by recompression.
 
-Two rounds of recompression run over the words of every document. A round first names runs (a word or
-symbol repeated) and then pairs: a coin that depends on a symbol's name alone calls it left or right, and
-each left symbol joins a right one that follows it. Names are fingerprints of what they spell, so executors give
-equal substrings equal names with no dictionary to exchange, and whether a seam between two symbols is still
-there after both rounds depends on the three words before it and the three after it only. Inside any
-window of 13 words the same seams are found wherever the window stands.
-
-Of the seams well inside a window (three words or more from its ends) the one whose surrounding words have
-the smallest fingerprint stands for the window; where all are joined, the smallest of all places does. Spark
-rounds over blocks of documents:
-
-1. every block sends each stand-in once to a bucket of its fingerprint; the buckets tell blocks which of them
+Two rounds of recompression run over the words of every document. A round names runs and pairs: equal neighbours make a run, and a
+coin that depends on a symbol's name alone calls it left or right, so that a run of a left symbol makes a pair with the run of a right
+one that follows it. A new symbol's name is a 128-bit fingerprint of the names and numbers that it stands for. So executors give equal
+substrings equal names with no dictionary to exchange, and whether a seam between two symbols is still there depends on the symbols next to it
+only. Each seam carries the words on which it depends; those inside a window of 13 words are the same wherever the window stands, and so are all
+symbols between them.
+
+Interior symbols reveal repeats: the smallest name of two neighbouring symbols of the second round inside a window stands for it (of one symbol
+where two don't fit, of one of the first round where none does, and of a word where runs leave nothing else). They verify them,
+too: a window is spelled by the words before its first seam, the names of its symbols, and the words after its last seam. Spark rounds over blocks of documents:
+
+1. every block sends each stand-in once to a bucket of its name; the buckets tell blocks which of them
    occur elsewhere, too. A window whose stand-in occurs in one document only repeats nowhere.
-2. the windows left are verified: each block sends 128-bit hashes of their 13 words, once, with the
+2. the windows left are verified: each block sends 128-bit fingerprints of their spellings, once, with the
    smallest document id it has for them; buckets answer those blocks that hold a larger id than the smallest.
 3. each block marks the words that such windows cover.
 
-A block sends a stand-in or window once however many of its documents have it, so a passage in a third of all
-documents costs a bucket one entry a block. Blocks and buckets are bounded in size at any scale.
+A block sends a stand-in or window once however many of its documents have it. Where there are more than ``fan`` blocks, those of a bucket are met
+in groups first, and each group passes on one entry of what it has met, so a passage that is in every block never meets in
+one task. Blocks and buckets are bounded in size at any scale.
 
 Defined results: null text: no words. A null id: its words are kept, and it is no source for others. Rows
-that share an id don't remove each other's words. Texts under 13 words are kept whole. An
+that share an id don't remove each other's words; repeated rows are alike. Texts under 13 words are kept whole. A very long text
+is a block of its own, so it has to fit into a task. An
 empty table gives an empty table. Extra columns pass through, but for those with the name of an output.
 """
 
@@ -37,46 +39,75 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
-from .common import materialize, mix, text_buffer, windows_hash, word_hashes, word_spans
+from .common import absorb, materialize, mix, text_buffer, word_hashes, word_spans
 
 WINDOW = 13
-_REACH = 3  # a seam depends on so many words on either side
-_TOP = np.uint64(1 << 63)
+FAN = 4096
 _RUN = np.uint64(0xA5A5F00D5EED1234)
-
-
-def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * np.uint64(0x9E3779B97F4A7C15) + (b ^ np.uint64(0x5851F42D4C957F2D)))
+_FAR = 1 << 60
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _left(names: np.ndarray, salt: int) -> np.ndarray:
     return (mix(names ^ np.uint64(salt)) & np.uint64(1)).astype(bool)
 
 
-def seams(h: np.ndarray) -> np.ndarray:
-    """Of word hashes h: whether the seam before word p is still there after two rounds. Places within three words of the ends don't count."""
-    n = len(h)
-    same = np.zeros(n + 1, bool)  # same[p]: words p - 1 and p are equal
-    same[1:n] = h[1:] == h[:-1]
-    run = same[:-1] | same[1:]
-    coin = _left(h, 0x1)
-    pair = np.zeros(n + 1, bool)  # pair[p]: words p - 1 and p make a pair
-    pair[1:n] = ~run[:-1] & ~run[1:] & coin[:-1] & ~coin[1:]
-    runs = mix(h ^ _RUN)
-    before, after = np.zeros(n, np.uint64), np.zeros(n, np.uint64)  # names of the symbols that end and start at p
-    if n > 1:
-        pairs = np.zeros(n, np.uint64)
-        pairs[1:] = _join(h[:-1], h[1:])  # pairs[p]: of words p - 1 and p
-        ends = np.where(same[:-1], runs, np.where(pair[:-1], pairs, h))  # of the symbol that ends with word p
-        before[1:] = ends[:-1]
-        nxt = np.roll(pairs, -1)
-        after = np.where(same[1:], runs, np.where(pair[1:], nxt, h))
-    left = _left(before, 0x2) & ~_left(after, 0x2)
-    return ~same[:-1] & ~pair[:-1] & (before != after) & ~left
+def _named(names: np.ndarray, first: np.ndarray, end: np.ndarray, lead: np.ndarray, which: int) -> np.ndarray:
+    """Names of the symbols that stand for names[first:end]: a run, or lead times one symbol and then a run of another."""
+    out = names[first]
+    size = end - first
+    runs, pairs = np.flatnonzero((size > 1) & (lead == size)), np.flatnonzero(lead < size)
+    out[runs] = absorb(mix(out[runs] ^ _RUN), size[runs].astype(np.uint64), which)
+    one = absorb(out[pairs], lead[pairs].astype(np.uint64), which)
+    out[pairs] = absorb(absorb(one, names[end[pairs] - 1], which), (size - lead)[pairs].astype(np.uint64), which)
+    return out
+
+
+class Symbols:
+    """Two rounds over word names. Of each round: where its symbols start (and the end), the first and last words on which these seams depend, and the symbols' names."""
+
+    def __init__(self, names: np.ndarray) -> None:
+        n = len(names)
+        self.grouped: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rounds: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        start, low, high = np.arange(n + 1), np.arange(n + 1), np.arange(n + 1) - 1
+        for salt in (1, 2):
+            if not len(names):
+                self.rounds.append((start[:1], low[:1], high[:1], names))
+                continue
+            m = len(names)
+            left, change = _left(names, salt), names[1:] != names[:-1]
+            first = np.append(0, np.flatnonzero(change & ~(left[:-1] & ~left[1:])) + 1)
+            end = np.append(first[1:], m)
+            turns = np.append(np.flatnonzero(change) + 1, m)
+            lead = np.minimum(turns[np.searchsorted(turns, first, "right")], end) - first
+            self.grouped.append((first, end, lead))
+            seams = first[1:]  # what stands at the ends of a block depends on what is beyond
+            low, high = np.concatenate([[-_FAR], low[seams - 1], [_FAR]]), np.concatenate([[-_FAR], high[seams + 1], [_FAR]])
+            start, names = np.append(start[first], n), _named(names, first, end, lead, 0)
+            self.rounds.append((start, low, high, names))
+
+    def other_names(self, names: np.ndarray) -> np.ndarray:
+        """Names of the last round's symbols in the second family, from word names of that family."""
+        for first, end, lead in self.grouped:
+            names = _named(names, first, end, lead, 1)
+        return names
+
+
+def _smallest(n: int, low: np.ndarray, high: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """For each window the smallest of the names that depend on none but its words. high ascends strictly."""
+    out = np.full(n + WINDOW, _NONE)  # windows may start before the first word here, but none that counts does
+    fits = high - low < WINDOW
+    low, at, names = low[fits] + WINDOW, high[fits] + 1, names[fits]
+    while len(at):
+        out[at] = np.minimum(out[at], names)
+        more = at < low
+        low, at, names = low[more], at[more] + 1, names[more]
+    return out[WINDOW:]
 
 
 class Windows:
-    """Words, windows and stand-ins of a block."""
+    """Words, symbols, windows and stand-ins of a block."""
 
     def __init__(self, body: bytes, id_col: str, text_col: str) -> None:
         self.table, self.text_col = B.load(body), text_col
@@ -85,6 +116,7 @@ class Windows:
         self.starts, self.ends = word_spans(self.data)
         self.doc_at = np.searchsorted(self.starts, self.offsets)  # first word of each document
         self.hash = word_hashes(self.data, self.starts, self.ends)
+        self.symbols = Symbols(self.hash)
         self.doc = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.doc_at))
         n = len(self.hash)
         self.at = np.flatnonzero(self.doc[: n - WINDOW + 1] == self.doc[WINDOW - 1 :]) if n >= WINDOW else np.zeros(0, np.int64)
@@ -92,22 +124,40 @@ class Windows:
         self.id = np.array(pc.fill_null(self.ids.cast(pa.int64()), 0))
 
     def stand_ins(self) -> np.ndarray:
-        """For each window: the smallest fingerprint of a seam well inside."""
+        """For each window: the smallest name of interior symbols."""
+        n = len(self.hash)
         if not len(self.at):
             return np.zeros(0, np.uint64)
-        n = len(self.hash)
-        p = np.arange(_REACH, n - _REACH + 1)
-        key = ranges_hash(self.hash, p - _REACH, p + _REACH) >> np.uint64(1)
-        key |= np.where(seams(self.hash)[p], np.uint64(0), _TOP)
-        two = np.minimum(key[:-1], key[1:])
-        four = np.minimum(two[:-2], two[2:])
-        eight = np.minimum(four[:-4], four[4:])  # places 3 to 10 of the window that starts at the same index
-        return eight[self.at]
+        (_, low1, high1, first), (_, low, high, names) = self.symbols.rounds
+        two = absorb(mix(names[:-1]), names[1:])
+        out = _smallest(n, low[: len(two)], high[2:], two)
+        for low_, high_, some in ((low[:-1], high[1:], names), (low1[:-1], high1[1:], first), (np.arange(n), np.arange(n), self.hash)):
+            if not (out[self.at] == _NONE).any():
+                break
+            out = np.where(out == _NONE, _smallest(n, low_, high_, some), out)
+        return out[self.at]
 
     def hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits for the windows that start at words at."""
-        second = word_hashes(self.data, self.starts, self.ends, 1)
-        return ranges_hash(self.hash, at, at + WINDOW), ranges_hash(second, at, at + WINDOW, 1)
+        """128 bits for the spellings of the windows that start at words at: words outside the seams, names of symbols between them."""
+        start, low, high, names = self.symbols.rounds[1]
+        begin, stop = np.searchsorted(low, at, "left"), np.searchsorted(high, at + WINDOW - 1, "right") - 1
+        core = stop > begin
+        begin, stop = np.where(core, start[np.minimum(begin, len(start) - 1)], -1), np.where(core, start[np.maximum(stop, 0)], -1)
+        opens = np.zeros(len(self.hash) + 1, bool)
+        opens[start] = True
+        out = []
+        for which in (0, 1):
+            words = self.hash if not which else word_hashes(self.data, self.starts, self.ends, 1)
+            symbol = np.zeros(len(words), np.uint64)
+            symbol[start[:-1]] = names if not which else self.symbols.other_names(words)
+            state = mix(np.where(core, 16 * (begin - at) + stop - at, 0).astype(np.uint64))
+            for k in range(WINDOW):
+                p = at + k
+                inside = (p >= begin) & (p < stop)
+                taken = ~inside | opens[p]
+                state = np.where(taken, absorb(state, np.where(inside, symbol[p], words[p]), which), state)
+            out.append(state)
+        return out[0], out[1]
 
 
 def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +216,7 @@ def _member(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) ->
     return out
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout: bool = False, fan: int = FAN) -> DataFrame:
     """Rows of docs with n_words, n_removed, kept_text and kept_sha256: every word goes that is covered by a window of 13 words which also
     starts in a row with a smaller id. kept_text has the kept words joined by one space; with layout, the text as it was, but for the words
     removed. kept_sha256 is always of the former."""
@@ -183,18 +233,26 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layou
                 parts = _dealt(buckets, key)
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in parts], pa.int32()), "block_id": pa.array([block] * len(parts), pa.int64()), "keys": pa.array([_bytes(key[p]) for _, p in parts], pa.binary()), "several": pa.array([_bytes(several[p]) for _, p in parts], pa.binary())})
 
-    def meet_stand_ins(table: pa.Table) -> pa.Table:
-        keys = _u64(table.column("keys"))
-        source = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        several = _cat([np.frombuffer(x, bool) for x in table.column("several").to_pylist()], bool)
-        key = _cat(keys)
-        order, group = _grouped(key)
-        shared = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
-        news = order[shared & ~several[order]]  # a block knows of those that several of its own documents have
-        source_of = source[news]
-        rows = [(s, key[news[source_of == s]]) for s in np.unique(source_of)]
-        names = table.column("block_id").to_pylist()
-        return pa.table({"block_id": pa.array([names[s] for s, _ in rows], pa.int64()), "keys": pa.array([_bytes(k) for _, k in rows], pa.binary())})
+    def meet_stand_ins(last: bool):
+        def meet(table: pa.Table) -> pa.Table:
+            keys = _u64(table.column("keys"))
+            source = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            several = _cat([np.frombuffer(x, bool) for x in table.column("several").to_pylist()], bool)
+            key = _cat(keys)
+            order, group = _grouped(key)
+            shared = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+            news = order[shared & ~several[order]]  # a block knows of those that several of its own documents have
+            rows = [(True, s, news[source[news] == s]) for s in np.unique(source[news])]
+            if not last:  # one entry of each goes on
+                on = order[np.flatnonzero(np.diff(group, prepend=-1))]
+                known = np.zeros(len(key), bool)
+                known[order] = shared
+                several = several | known
+                rows += [(False, s, on[source[on] == s]) for s in np.unique(source[on])]
+            names, bucket = table.column("block_id").to_pylist(), table.column("bucket").to_pylist()
+            return pa.table({"answer": pa.array([x for x, _, _ in rows], pa.bool_()), "bucket": pa.array([bucket[s] for _, s, _ in rows], pa.int32()), "block_id": pa.array([names[s] for _, s, _ in rows], pa.int64()), "keys": pa.array([_bytes(key[k]) for _, _, k in rows], pa.binary()), "several": pa.array([_bytes(several[k]) for _, _, k in rows], pa.binary())})
+
+        return meet
 
     def left_over(w: Windows, told: np.ndarray) -> np.ndarray:
         """First words of the windows that may repeat."""
@@ -223,18 +281,24 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layou
                 id_.append(_bytes(owner[p]))
         return pa.table({"bucket": pa.array(bucket, pa.int32()), "block_id": pa.array(block, pa.int64()), "a": pa.array(a_, pa.binary()), "b": pa.array(b_, pa.binary()), "ids": pa.array(id_, pa.binary())})
 
-    def meet_windows(table: pa.Table) -> pa.Table:
-        a, b = _u64(table.column("a")), _cat(_u64(table.column("b")))
-        source = np.repeat(np.arange(len(a)), [len(x) for x in a])
-        a = _cat(a)
-        owner = _cat([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()], np.int64)
-        order, group = _grouped(a, b)
-        smallest = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(smallest, group, owner[order])
-        hit = order[owner[order] > smallest[group]]
-        names = table.column("block_id").to_pylist()
-        rows = [(names[s], hit[source[hit] == s]) for s in np.unique(source[hit])]
-        return pa.table({"block_id": pa.array([s for s, _ in rows], pa.int64()), "keys": pa.array([None] * len(rows), pa.binary()), "a": pa.array([_bytes(a[r]) for _, r in rows], pa.binary()), "b": pa.array([_bytes(b[r]) for _, r in rows], pa.binary())})
+    def meet_windows(last: bool):
+        def meet(table: pa.Table) -> pa.Table:
+            a, b = _u64(table.column("a")), _cat(_u64(table.column("b")))
+            source = np.repeat(np.arange(len(a)), [len(x) for x in a])
+            a = _cat(a)
+            owner = _cat([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()], np.int64)
+            order, group = _grouped(a, b)
+            smallest = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
+            np.minimum.at(smallest, group, owner[order])
+            larger = owner[order] > smallest[group]
+            hit, on = order[larger], order[~larger]  # those of the smallest id go on
+            rows = [(True, s, hit[source[hit] == s]) for s in np.unique(source[hit])]
+            if not last:
+                rows += [(False, s, on[source[on] == s]) for s in np.unique(source[on])]
+            names, bucket = table.column("block_id").to_pylist(), table.column("bucket").to_pylist()
+            return pa.table({"answer": pa.array([x for x, _, _ in rows], pa.bool_()), "bucket": pa.array([bucket[s] for _, s, _ in rows], pa.int32()), "block_id": pa.array([names[s] for _, s, _ in rows], pa.int64()), **{n: pa.array([_bytes(v[r]) for _, _, r in rows], pa.binary()) for n, v in (("a", a), ("b", b), ("ids", owner))}})
+
+        return meet
 
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in outputs]])
 
@@ -262,13 +326,27 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layou
         return pa.concat_tables(out)
 
     sent = blocks.select("block_id", "body").mapInArrow(send_stand_ins, "bucket int, block_id long, keys binary, several binary")
-    told = materialize(sent.groupBy("bucket").applyInArrow(meet_stand_ins, "block_id long, keys binary"), "substring-stand-ins")
+    told = _met(sent, blocks.count(), fan, meet_stand_ins, "substring-stand-ins").select("block_id", "keys")
     windows = blocks.select("block_id", "body").groupBy("block_id").cogroup(told.groupBy("block_id")).applyInArrow(send_windows, "bucket int, block_id long, a binary, b binary, ids binary")
-    hits = windows.groupBy("bucket").applyInArrow(meet_windows, "block_id long, keys binary, a binary, b binary")
-    news = materialize(hits, "substring-windows").unionByName(told.withColumns({"a": F.lit(None).cast("binary"), "b": F.lit(None).cast("binary")}))
+    hits = _met(windows, blocks.count(), fan, meet_windows, "substring-windows").select("block_id", F.lit(None).cast("binary").alias("keys"), "a", "b")
+    news = hits.unionByName(told.withColumns({"a": F.lit(None).cast("binary"), "b": F.lit(None).cast("binary")}))
     return blocks.select("block_id", "body").groupBy("block_id").cogroup(news.groupBy("block_id")).applyInArrow(finish, schema)
 
 
+def _met(sent: DataFrame, n_blocks: int, fan: int, meet, label: str) -> DataFrame:
+    """All answers of meet to what blocks have sent, stored. A task meets the entries of fan blocks, or of fan such groups, at most (but for chance)."""
+    answers, groups = None, max(1, -(-n_blocks // fan))
+    while True:
+        group = F.pmod(F.xxhash64("block_id"), F.lit(groups)).alias("among")
+        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sent.schema.fields)
+        out = materialize(sent.groupBy("bucket", group).applyInArrow(meet(groups == 1), f"answer boolean, {kind}"), label)
+        mine = out.where("answer").drop("answer")
+        answers = mine if answers is None else answers.unionByName(mine)
+        if groups == 1:
+            return answers
+        sent, groups = out.where("not answer").drop("answer"), -(-groups // fan)
+
+
 def _rows(w: Windows, gone: np.ndarray, layout: bool) -> pa.Table:
     removed = np.add.reduceat(np.append(gone, False), np.minimum(w.doc_at[:-1], len(gone))) if len(w.doc_at) > 1 else np.zeros(0, int)
     sizes = np.diff(w.doc_at)

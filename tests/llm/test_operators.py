@@ -308,6 +308,61 @@ def test_substrings(spark, docs, empty):
     assert recompression.dedup(empty).count() == 0
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_and_runs_that_cancel_out_in_polynomials_differ(spark):
+    """Sums of powers modulo 2**64 can't tell these words, or runs of these words, apart."""
+    one, two = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    filler = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, f"{filler} {one} {filler}x"), (2, f"{filler} {two} {filler}y"), (3, one), (4, two), (5, thue_morse(1024, "a ", "b ")), (6, thue_morse(1024, "b ", "a "))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = recompression.dedup(df).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == removed_plainly(rows)
+    same = {r.doc_id: r.component_id for r in minhash.near_duplicates(df.where("doc_id in (3, 4)")).collect()}
+    assert same == {3: 3, 4: 4}
+
+
+def test_symbols_are_the_same_wherever_a_window_stands():
+    rng = np.random.Generator(np.random.PCG64(13))
+    inner = rng.integers(1, 4, 400).astype(np.uint64)  # few names, so there are runs
+    for lead in (0, 1, 5):
+        outer = np.concatenate([rng.integers(1, 4, lead).astype(np.uint64), inner, rng.integers(1, 4, 7).astype(np.uint64)])
+        for (s, low, high, names), (t, low_, high_, names_) in zip(recompression.Symbols(inner).rounds, recompression.Symbols(outer).rounds, strict=True):
+            own = {(int(a), int(b)): int(x) for a, b, x, lo, hi in zip(s[:-1], s[1:], names, low[:-1], high[1:], strict=True) if lo >= 0 and hi < len(inner)}
+            other = {(int(a) - lead, int(b) - lead): int(x) for a, b, x in zip(t[:-1], t[1:], names_, strict=True)}
+            assert own and all(other[k] == x for k, x in own.items())
+
+
+def test_repeats_are_found_by_symbols(spark, monkeypatch):
+    """Without seams between symbols nothing but words stands for windows, and their spellings have no symbols."""
+    rng = random.Random(14)
+    rows = [(i, " ".join(word(rng) for _ in range(60)), "en", "s", 0) for i in range(4)]
+    from tessera.llm import blocks
+
+    table = spark.createDataFrame(rows, SCHEMA).toArrow()
+    w = recompression.Windows(blocks.dump(table), "doc_id", "text")
+    two = recompression.absorb(common.mix(w.symbols.rounds[1][3][:-1]), w.symbols.rounds[1][3][1:])
+    stand = w.stand_ins()
+    assert np.isin(stand, two).mean() > 0.8 and len(np.unique(stand)) < len(stand) / 2
+    before = w.hashes(w.at)[0]
+    start, low, high, names = w.symbols.rounds[1]
+    w.symbols.rounds[1] = (start, low, high, names + np.uint64(1))
+    assert (w.hashes(w.at)[0] != before).mean() > 0.8
+
+
+def test_passages_in_every_block_meet_in_groups(spark, monkeypatch):
+    from tessera.llm import blocks
+
+    monkeypatch.setattr(blocks.pack, "__defaults__", (2 << 20, 2))
+    rng = random.Random(15)
+    passage = " ".join(word(rng) for _ in range(30))
+    rows = [(i, " ".join(word(rng) for _ in range(5)) + f" {passage} " + word(rng), "en", "s", 0) for i in range(40)] + [(40 + i, rng.choice(ROWS)[1], "en", "s", 0) for i in range(20)]
+    got = recompression.dedup(spark.createDataFrame(rows, SCHEMA), fan=2).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == removed_plainly(rows)
+
+
 def test_bpe_round_trip(spark, docs, empty):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
