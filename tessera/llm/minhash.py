@@ -141,10 +141,12 @@ def _plausible(a: np.ndarray, b: np.ndarray, bodies, least: float) -> np.ndarray
     return np.concatenate([(sig[a[k : k + 4096]] == sig[b[k : k + 4096]]).mean(axis=1) >= least for k in range(0, len(a), 4096)])
 
 
-def _similar(a: np.ndarray, b: np.ndarray, bodies, width: int, percent: int) -> np.ndarray:
-    """Whether the sets of texts are similar enough."""
-    sets: dict[int, np.ndarray] = {}
-    bodies = bodies.combine_chunks()
+def _similar(a: np.ndarray, b: np.ndarray, bodies, width: int, percent: int, sets: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """Whether the sets of texts are similar enough. sets: those made so far, by place."""
+    sets = {} if sets is None else sets
+    if sum(map(len, sets.values())) > 2 * _TASK_SHINGLES:
+        sets.clear()
+    bodies = bodies.combine_chunks() if isinstance(bodies, pa.ChunkedArray) else bodies
 
     def of(x: int) -> np.ndarray:
         if x not in sets:
@@ -185,31 +187,32 @@ def star_pairs(placed: DataFrame, step: int) -> DataFrame:
     return met.select(cell.alias("cell"), F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"), "size").dropDuplicates(["a", "b"])
 
 
-def cell_pairs(placed: DataFrame, classes: DataFrame, percent: int, label: str) -> DataFrame:
-    """(cell, a, b, size): pairs of different components in a bucket whose set sizes and signatures permit the similarity, stored.
+def across(placed: DataFrame, classes: DataFrame, bodies: DataFrame, width: int, percent: int, label: str) -> DataFrame:
+    """Links (a, b) between different components (placed: key, rep, n, component) that share a bucket, stored.
 
     A bucket's members are dealt into parts of about ``_PART``, and each pair of parts is a cell of bounded size; cells are
-    packed into tasks. A pair is tried in the cell of the first band that it shares."""
+    packed into tasks. A pair is tried in the cell of the first band that it shares. Set sizes and signatures first show which members of a cell have
+    a pair that may be similar enough. Only these come to the cell again, with their texts, and their pairs are verified on the spot, so no row is made for each pair."""
     least = percent / 100 - _spread(percent)
     sizes = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("m")).where("c1 < c2").select("key", F.ceil(F.col("m") / _PART).cast("int").alias("parts"))
     sizes = materialize(sizes, f"{label}-mixed")
+    tasks = max(12, -(-(sizes.agg(F.sum(F.col("parts") * F.col("parts"))).first()[0] or 0) // _CELLS))
     short = F.transform("bands", lambda b: b.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(0x80000000)).cast("array<int>")  # enough to tell bands apart
-    members = placed.join(sizes, "key").join(classes.select("rep", "sig", short.alias("bands")), "rep")
+    task = F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks).cast("long")).alias("task")
     mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("mine")
-    met = members.select("*", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    cells = met.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "component", "sig", "bands")
-    tasks = max(12, -(-(sizes.agg(F.sum(F.col("parts") * F.col("parts"))).first()[0] or 0) // _CELLS))
+    signed = placed.join(sizes, "key").join(classes.select("rep", "sig", short.alias("bands")), "rep")
+    met = signed.select("*", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cells = met.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "component", "sig", "bands").select("*", task)
 
-    def compare(table: pa.Table) -> pa.Table:
+    def possible(table: pa.Table):
+        """For each cell (i, members, a, b): the places of its members, and the pairs that sizes and signatures permit."""
         key, i, j, mine, rep, n, component = (np.asarray(table.column(c)) for c in ("key", "i", "j", "mine", "rep", "n", "component"))
         sig = _signatures(table.column("sig"))
         bands = np.asarray(table.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
         order = np.lexsort((j, i, key))
         new = np.flatnonzero((np.diff(key[order], prepend=key[order[:1]] - 1) != 0) | (np.diff(i[order], prepend=-1) != 0) | (np.diff(j[order], prepend=-1) != 0)) if len(order) else []
-        out: list[np.ndarray] = [np.zeros((4, 0), np.int64)]
-        for at_cell, cell in enumerate(np.split(order, new[1:]) if len(order) else []):
-            left = cell[mine[cell] == i[cell[0]]]
-            right = cell[mine[cell] == j[cell[0]]]
+        for cell in np.split(order, new[1:]) if len(order) else []:
+            left, right = cell[mine[cell] == i[cell[0]]], cell[mine[cell] == j[cell[0]]]
             for at in range(0, len(left), 64):
                 x, y = left[at : at + 64, None], right[None, :]
                 ok = (component[x] != component[y]) & (percent * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y]))
@@ -223,14 +226,29 @@ def cell_pairs(placed: DataFrame, classes: DataFrame, percent: int, label: str)
                     u, v = u[good], v[good]
                     same = bands[u] == bands[v]
                     first = bands[u, same.argmax(axis=1)] == (key[cell[0]] & 0xFFFFFFFF) - 0x80000000
-                    u, v = u[first], v[first]
-                    name = hash((int(key[cell[0]]), int(i[cell[0]]), int(j[cell[0]])))
-                    out.append(np.stack([np.full(len(u), name, np.int64), np.minimum(rep[u], rep[v]), np.maximum(rep[u], rep[v]), n[u] + n[v]]))
-        return pa.table(dict(zip(("cell", "a", "b", "size"), map(pa.array, np.concatenate(out, axis=1)), strict=True)))
-
-    task = F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks).cast("long")).alias("task")
-    found = materialize(cells.withColumn("task", task).groupBy("task").applyInArrow(compare, "cell long, a long, b long, size long"), f"{label}-pairs")
+                    yield u[first], v[first]
+
+    def choose(table: pa.Table) -> pa.Table:
+        ok = np.zeros(table.num_rows, bool)
+        for u, v in possible(table):
+            ok[u] = ok[v] = True
+        return table.filter(pa.array(ok)).select(names)
+
+    def verify(table: pa.Table) -> pa.Table:
+        rep, bodies, found = np.asarray(table.column("rep")), table.column("body").combine_chunks(), [np.zeros((2, 0), np.int64)]
+        sets: dict[int, np.ndarray] = {}
+        for u, v in possible(table):
+            held = _similar(u, v, bodies, width, percent, sets)
+            found.append(np.stack([np.minimum(rep[u], rep[v])[held], np.maximum(rep[u], rep[v])[held]]))
+        return pa.table(dict(zip("ab", map(pa.array, np.concatenate(found, axis=1)), strict=True)))
+
+    names = cells.columns
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields)
+    chosen = materialize(cells.groupBy("task").applyInArrow(choose, kind), f"{label}-chosen")
     drop_table(sizes)
+    found = chosen.join(bodies, "rep").groupBy("task").applyInArrow(verify, "a long, b long").distinct()
+    found = materialize(found, f"{label}-links")
+    drop_table(chosen)
     return found
 
 
@@ -266,10 +284,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             met = materialize(star_pairs(placed, step), "minhash-star")
             pairs = _compared(met, signatures, plausible, "minhash-likely")
             drop_table(met)
+            fresh = _compared(pairs, bodies, similar, "minhash-fresh")
+            drop_table(pairs)
         else:
-            pairs = cell_pairs(placed, classes, percent, "minhash-cells")
-        fresh = _compared(pairs, bodies, similar, "minhash-fresh")
-        drop_table(pairs)
+            fresh = across(placed, classes, bodies, width, percent, "minhash-rest")
         if step:
             drop_table(placed)
         if component is None or fresh.limit(1).count():
