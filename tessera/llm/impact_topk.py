@@ -1,15 +1,17 @@
 """Exact top-k by inner product with an impact-ordered, score-at-a-time index.
 
-Candidates are dealt into cells of bounded size. A cell's index cuts its postings (a row's component in a
-dimension) into segments by quantised impact, the magnitude's power of two. Queries take the segments in
-descending impact and add the exact contributions of each to their accumulators. A posting not taken yet is smaller
-than the last segment's floor, so the sum of the query's magnitudes over the dimensions that a row still lacks, times that
-floor, limits what the row can gain or lose. A query stops only when these limits prove all rows but a
-few out of its k best; those few are rescored exactly. Where nothing is proved, all segments are taken.
+Candidates are dealt into cells of bounded size. A cell's index has a posting for each component that isn't zero: the row, the dimension and the value. Postings are
+kept in segments of equal quantised impact, the magnitude's power of two, and by row inside a segment. Queries take the segments in
+descending impact and add the exact contributions of each posting to their accumulators. What isn't taken yet is smaller
+than the next segment's top, so the sum of the query's magnitudes over the dimensions that a row still lacks, times that
+top, limits what the row can gain or lose. A query stops only when these limits prove all rows but a
+few out of its k best; it takes no part in later segments, and those few are rescored exactly. Where nothing is proved, all segments are taken.
 
 Queries are dealt into blocks of bounded size, too; each block meets each cell, k rows come back for each query and
 cell, and the k best of those are kept. Nothing is broadcast; with more data there are more cells and blocks.
 
+Memory: a task holds a cell's vectors and postings and the accumulators of a few queries; very long vectors make the cell larger, in proportion.
+
 Defined results: vectors that are null or empty, hold null or non-finite components, or have a null id take no part, nor
 do candidates of another length than the query's. Rows that share an id are candidates each, but not for queries of
 that id (a row isn't its own neighbour); repeated query rows count once. Equal scores: the smaller id first. An
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 CELL_ROWS = 8192
 BLOCK_ROWS = 2048
 _STEP = 128  # queries whose accumulators are held at once
+_ROWS = 64  # rows whose postings are taken at once
 _EXACT = float(2**53)
 
 
@@ -44,43 +47,59 @@ def quantise(vector: Column, scale: int = 256) -> Column:
 
 
 class Index:
-    """Segments of a cell, by descending impact: (floor, rows x dimensions with the postings of the segment, mask of the postings left after it)."""
+    """Posting segments of a cell, by descending impact: (dimensions, values, rows, where each row begins)."""
 
     def __init__(self, vectors: np.ndarray) -> None:
         self.vectors = vectors
-        size = np.abs(vectors)
-        top = int(size.max(initial=0)).bit_length()
-        self.segments = []
-        for bit in range(top - 1, -1, -1):
-            floor = float(1 << bit) if bit else 0.0
-            here = (size >= floor) & (size < float(1 << bit + 1))
-            if here.any() or not bit:
-                self.segments.append((floor, np.where(here, vectors, 0.0), (size < floor).astype(float)))
+        row, dimension = np.nonzero(vectors)  # by row, then dimension
+        value = vectors[row, dimension]
+        impact = np.frexp(np.abs(value))[1]  # magnitudes from 2 ** (impact - 1) to below 2 ** impact
+        order = np.argsort(-impact, kind="stable")
+        row, dimension, value, impact = row[order], dimension[order], value[order], impact[order]
+        self.segments, self.tops = [], []
+        cuts = np.append(np.flatnonzero(np.diff(impact, prepend=-1)), len(impact))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            begin = np.flatnonzero(np.diff(row[lo:hi], prepend=-1))
+            self.segments.append((dimension[lo:hi], value[lo:hi, None], row[lo:hi][begin], np.append(begin, hi - lo)))
+            self.tops.append(float(2 ** int(impact[lo])))
 
     def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the rows that can be among its k best, with exact scores. own[q, row]: rows that are no candidates."""
-        score = np.zeros((len(queries), len(self.vectors)))
-        size = np.abs(queries)
-        enough = max(4 * k, len(self.vectors) // 64)
-        possible = ~own
-        k = min(k, len(self.vectors))
-        for floor, postings, left in self.segments:
-            score += queries @ postings.T
-            if not floor:
+        asked = np.arange(len(queries))
+        weight, own = queries.T, own.T
+        score = np.zeros((len(self.vectors), len(queries)))
+        lacks = np.broadcast_to(np.abs(queries).sum(axis=1), score.shape).copy()
+        enough, k = max(4 * k, len(self.vectors) // 64), min(k, len(self.vectors))
+        found: list = [None] * len(queries)
+
+        def settle(done: np.ndarray, possible: np.ndarray) -> None:
+            for q in np.flatnonzero(done):
+                at = np.flatnonzero(possible[:, q])
+                found[asked[q]] = (at, self.vectors[at] @ queries[asked[q]])
+
+        for s, (dimension, value, row, begin) in enumerate(self.segments):
+            for at in range(0, len(row), _ROWS):
+                rows = row[at : at + _ROWS]
+                cuts = begin[at : at + len(rows)]
+                part = slice(begin[at], begin[at + len(rows)])
+                w = weight[dimension[part]]
+                score[rows] += np.add.reduceat(w * value[part], cuts - cuts[0])
+                lacks[rows] -= np.add.reduceat(np.abs(w, out=w), cuts - cuts[0])
+            if s + 1 == len(self.segments):
                 break
-            slack = floor * (size @ left.T)
+            slack = self.tops[s + 1] * lacks
             low = np.where(own, -np.inf, score - slack)
-            bar = np.partition(low, -k, axis=1)[:, -k]
-            possible = ~own & (score + slack >= bar[:, None])
-            if possible.sum(axis=1).max() <= enough:
-                break
-        else:
-            possible = ~own
-        out = []
-        for q, rows in enumerate(possible):
-            at = np.flatnonzero(rows)
-            out.append((at, self.vectors[at] @ queries[q]))
-        return out
+            bar = np.partition(low, -k, axis=0)[-k]
+            possible = ~own & (score + slack >= bar)
+            done = possible.sum(axis=0) <= enough
+            if done.any():
+                settle(done, possible)
+                asked, weight, own, score, lacks = asked[~done], weight[:, ~done], own[:, ~done], score[:, ~done], lacks[:, ~done]
+                if not len(asked):
+                    return found
+        low = np.where(own, -np.inf, score)
+        settle(np.ones(len(asked), bool), ~own & (low >= np.partition(low, -k, axis=0)[-k]))
+        return found
 
 
 def _exact(table: pa.Table) -> np.ndarray:
