@@ -35,14 +35,16 @@ class Model:
     def score(self, row: dict) -> float:
         return self.base + sum(t.score(row) for t in self.trees)
 
-    def chooses(self, of) -> Column:
-        """of(feature) is a feature's column; the sum of leaves against the calibrated threshold."""
-        if math.isinf(self.threshold):
-            return F.lit(False)
-        total = F.lit(self.base)
+    def total(self, of) -> Column:
+        """The sum of the leaves; of(feature) is a feature's column."""
+        out = F.lit(self.base)
         for t in self.trees:
-            total = total + t.column(of)
-        return total >= self.threshold
+            out = out + t.column(of)
+        return out
+
+    def chooses(self, of) -> Column:
+        """The sum of leaves against the calibrated threshold."""
+        return F.lit(False) if math.isinf(self.threshold) else self.total(of) >= self.threshold
 
 
 NEVER = Model((), 0.0, math.inf)

@@ -140,6 +140,26 @@ def test_personal_data(spark):
     assert pii.find(df.limit(0), boosted.NEVER).count() == 0 and not pii.learn(df.limit(0)).trees
 
 
+def test_learned_model_adds_personal_data_and_leaves_clean_digits(spark):
+    rng = random.Random(16)
+    pick = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        d = "4" + pick(14)
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    make = [lambda: f"+{rng.randint(1, 99)} ({pick(3)}) {pick(3)}-{pick(4)}", lambda: f"{word(rng)}.{pick(2)}@mail{pick(1)}.example.com", card, lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), lambda: "7" + pick(15), lambda: "a" + pick(30) + "f"]
+    rows = [(i, " ".join(word(rng) for _ in range(6)) + f" {make[i % 6]()} " + word(rng)) for i in range(900)]
+    model = pii.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert model.trees
+    asked = ["ring me, tel 030 1234567 now", "phone: 49301234567 x", "write to q.41 (at) mail7.example.com please", "no 9807915762804490 here", "c 1234567 abc", "in 2019 2020 2021 2022", "a@b only", "5d190bd7c06284de91015a36974748794293dd8a", "card 4111111111111111 tel 030 7654321", None, ""]
+    df = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").withColumns({c: F.lit(7) for c in ("whole_text", "base_spans", "chosen_spans", "id", "s", "pii")})
+    got = {r.doc_id: r.s for r in pii.find(df, model).select("doc_id", spelled(F.col("pii"), pii.KINDS).alias("s"), "whole_text", "base_spans").collect()}
+    assert got[0] == "number:13:24" and got[1] == "number:7:18" and got[2] == "address:9:36" and got[8] == "card:5:21,number:26:37"
+    assert all(not got[i] for i in (3, 4, 5, 6, 7, 9, 10))
+    assert pii.find(df, boosted.Model((), 0.0, math.inf)).where("size(pii) > 0").count() == 1  # without trees only the card is left
+
+
 def test_boosting_separates(spark):
     rng = random.Random(3)
     rows = [{"a": rng.randint(0, 9), "b": rng.randint(0, 9)} for _ in range(600)]
