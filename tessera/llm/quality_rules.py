@@ -9,7 +9,7 @@ no further than it was shown. The list becomes one CASE: the first rule that hol
 
 Defined results: a null text has no words and fails the base rule; empty texts alike. Null labels
 are left out of the fit; with no labelled rows, or none that is bad, there is no rule. Repeated rows are judged
-alike. Extra columns pass through; one with the name of an output gives way to it.
+alike. Very long texts count whole. Conditions of equal gain: the one tried first, in the order of ``FEATURES``, and of one feature the stricter one. Extra columns pass through; one with the name of an output gives way to it.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words_of
+from .common import free_names, let, words_of
 
 #: Fixed values of the base rule.
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
@@ -59,42 +59,43 @@ def _repeat_words(words: Column) -> Column:
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the five base counts, what the rules look at, and base_failed."""
-    keep = [c for c in docs.columns if c not in {*STATISTICS, *FEATURES, "base_failed", "kept", "rule", "_words", "_text"}]
-    docs = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    docs = docs.withColumn("_words", words_of(F.col("_text")))
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
-    count = lambda pattern: F.regexp_count("_text", F.lit(pattern)).cast("long")
+    keep = [c for c in docs.columns if c not in {*STATISTICS, *FEATURES, "base_failed", "kept", "rule"}]
+    taken = [*docs.columns, *STATISTICS, *FEATURES, "base_failed", "kept", "rule"]
+    text, words, n_lines, distinct, digits, marks, other, stops, capitals = free_names(taken, "whole_text", "words", "n_lines", "n_distinct", "n_digits", "n_marks", "n_other", "n_stops", "n_capitals")
+    docs = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias(text))
+    docs = docs.withColumn(words, words_of(F.col(text)))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
     share = lambda a, b: F.when(b > 0, (1000 * a / b).cast("int")).otherwise(0)
     counted = docs.select(
         *keep,
-        F.size("_words").cast("long").alias("n_words"),
-        F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.size(words).cast("long").alias("n_words"),
+        F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
         count("[#*$%&|<>]").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_words")).alias("n_repeat_words"),
-        F.size(lines).alias("_lines"),
-        F.size(F.array_distinct("_words")).alias("_distinct"),
-        count("\\p{Lu}+").alias("_upper"),
-        count("[!?]+").alias("_marks"),
-        count("[0-9]+").alias("_digits"),
-        count("[^\\p{L}\\s]+").alias("_other"),
-        count("(?<=[\\p{Ll}])[.,](?=\\s|$)").alias("_stops"),
-        F.char_length(F.regexp_replace("_text", "\\P{Lu}+", "")).alias("_capitals"),
+        repeat_words(F.col(words)).alias("n_repeat_words"),
+        F.size(lines).alias(n_lines),
+        F.size(F.array_distinct(words)).alias(distinct),
+        count("[!?]+").alias(marks),
+        count("[0-9]+").alias(digits),
+        count("[^\\p{L}\\s]+").alias(other),
+        count("(?<=[\\p{Ll}])[.,](?=\\s|$)").alias(stops),
+        F.char_length(F.regexp_replace(text, "\\P{Lu}+", "")).alias(capitals),
     )
     n = F.col("n_words")
     return counted.select(
         *keep,
         *STATISTICS,
         share(F.col("n_symbols"), n).alias("symbols_per_word"),
-        share(F.col("n_dup_lines"), F.col("_lines")).alias("dup_line_share"),
+        share(F.col("n_dup_lines"), F.col(n_lines)).alias("dup_line_share"),
         share(F.col("n_repeat_words"), n).alias("repeat_share"),
-        share(F.col("_distinct"), n).alias("distinct_share"),
-        share(F.col("_capitals"), F.col("word_chars")).alias("upper_share"),
-        share(F.col("_marks"), n).alias("mark_share"),
+        share(F.col(distinct), n).alias("distinct_share"),
+        share(F.col(capitals), F.col("word_chars")).alias("upper_share"),
+        share(F.col(marks), n).alias("mark_share"),
         F.when(n > 0, (100 * F.col("word_chars") / n).cast("int")).otherwise(0).alias("mean_word"),
-        share(F.col("word_chars") - F.col("_other"), F.col("word_chars")).alias("letter_share"),
-        share(F.col("_digits"), n).alias("digit_share"),
-        share(F.col("_stops"), n).alias("stop_share"),
+        share(F.col("word_chars") - F.col(other), F.col("word_chars")).alias("letter_share"),
+        share(F.col(digits), n).alias("digit_share"),
+        share(F.col(stops), n).alias("stop_share"),
         ((n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)).alias("base_failed"),
     )
 
@@ -167,11 +168,11 @@ def cover(rows: list[dict], bad: list[bool], grow: list[bool], precision: float
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, text_col: str = "text", id_col: str = "doc_id") -> list[Rule]:
     """The decision list of at most sample_rows labelled rows (quality 0 is bad): a bounded sample, the same at every run."""
     named = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull())
-    sample = named.orderBy(F.xxhash64(F.col(id_col)), id_col, "quality").limit(sample_rows).select(F.col(id_col).alias("_id"), F.col("quality").alias("_quality"))
-    rows = docs.select(id_col, text_col).join(F.broadcast(sample), F.col(id_col) == F.col("_id"))  # at most sample_rows rows
-    picked = statistics(rows, text_col).where("not base_failed").select("_id", "_quality", *FEATURES, (F.pmod(F.xxhash64("_id", F.lit("grow")), F.lit(3)) > 0).alias("_grow"))
-    found = [r.asDict() for r in picked.orderBy(F.xxhash64("_id"), "_quality", *FEATURES).limit(sample_rows).collect()]
-    return cover(found, [r["_quality"] == 0 for r in found], [r["_grow"] for r in found])
+    sample = named.orderBy(F.xxhash64(F.col(id_col)), id_col, "quality").limit(sample_rows).select(F.col(id_col).alias("id"), "quality")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # at most sample_rows rows
+    picked = statistics(rows).where("not base_failed").select("id", "quality", *FEATURES, (F.pmod(F.xxhash64("id", F.lit("grow")), F.lit(3)) > 0).alias("grow"))
+    found = [r.asDict() for r in picked.orderBy(F.xxhash64("id"), "quality", *FEATURES).limit(sample_rows).collect()]
+    return cover(found, [r["quality"] == 0 for r in found], [r["grow"] for r in found])
 
 
 def apply(stats: DataFrame, rules: list[Rule]) -> DataFrame:

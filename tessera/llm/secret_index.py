@@ -7,7 +7,7 @@ document, candidates are joined back to their texts, and there the rules whose q
 with no mandatory trigram scans every text. All steps are DataFrame expressions.
 
 Defined results: a null text is empty; an empty text has no span. Rows are told apart by id and text, so repeated rows
-and null ids each get their result. Spans count code points, the end exclusive. Extra columns pass through, but for
+and null ids each get their result. Very long texts are searched whole; spans of equal start go by kind. Spans count code points, the end exclusive. Extra columns pass through, but for
 those with the name of an output. An empty table gives an empty table.
 """
 
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import free_names, let, materialize
 from .spans import in_order, match_spans, no_spans
 
 ANY: tuple = ("and",)
@@ -149,44 +149,47 @@ def _test(query, mask_of: dict[str, Column]) -> Column:
     return out
 
 
-def _row_key() -> list[Column]:
-    return [F.coalesce("_id", F.lit(-1)).alias("_k1"), F.xxhash64("_text").alias("_k2")]
+def _row_key(id_: str, text: str) -> list[Column]:
+    return [F.coalesce(id_, F.lit(-1)), F.xxhash64(text)]
 
 
 def build_index(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """Postings (gram, _k1, _k2): the number of a trigram, and a document whose text has it. Stored."""
+    """Postings (gram, k1, k2) of docs (id, text): the number of a trigram, and a document whose text has it. Stored."""
     listed = F.array(*[F.lit(g) for g in grams])
-    found = let(F.lower("_text"), lambda low: F.filter(F.transform(listed, lambda g, i: F.when(F.contains(low, g), i)), lambda i: i.isNotNull()))
-    return materialize(docs.select(*_row_key(), F.explode(found).alias("gram")), "secret-postings")
+    found = let(F.lower("text"), lambda low: F.filter(F.transform(listed, lambda g, i: F.when(F.contains(low, g), i)), lambda i: i.isNotNull()))
+    k1, k2 = _row_key("id", "text")
+    return materialize(docs.select(k1.alias("k1"), k2.alias("k2"), F.explode(found).alias("gram")), "secret-postings")
 
 
 def candidates(index: DataFrame, grams: list[str], queries: list[tuple]) -> DataFrame:
-    """(_k1, _k2, _rules): documents in the intersections, _rules with a bit for each query that holds."""
+    """(k1, k2, rules): documents in the intersections, rules with a bit for each query that holds."""
     words = -(-len(grams) // 60)
     masks = [F.bit_or(F.when((F.col("gram") >= 60 * w) & (F.col("gram") < 60 * (w + 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("gram") - 60 * w)).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in range(words)]
-    met = index.groupBy("_k1", "_k2").agg(*masks)
+    met = index.groupBy("k1", "k2").agg(*masks)
     has = {g: F.col(f"m{i // 60}").bitwiseAND(F.lit(1 << (i % 60))) != 0 for i, g in enumerate(grams)}
     bits = F.lit(0)
     for i, q in enumerate(queries):
         bits = bits + F.when(_test(q, has), F.lit(1 << i)).otherwise(F.lit(0))
-    return met.select("_k1", "_k2", bits.alias("_rules")).where("_rules > 0")
+    return met.select("k1", "k2", bits.alias("rules")).where("rules > 0")
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with secrets: spans by start, then kind (its number among rules)."""
     keep = [c for c in docs.columns if c != "secrets"]
-    rows = docs.select(*keep, F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    id_, text, bits, key1, key2 = free_names([*docs.columns, "secrets"], "own_id", "whole_text", "rule_bits", "row_key1", "row_key2")
+    rows = docs.select(*keep, F.col(id_col).cast("long").alias(id_), F.coalesce(F.col(text_col), F.lit("")).alias(text))
     queries = [trigram_query(r.pattern) for r in rules]
     indexed = [i for i, q in enumerate(queries) if q != ANY]
     grams = sorted(set().union(*[grams_of(queries[i]) for i in indexed]))
-    met = rows.withColumn("_rules", F.lit(0))
+    met = rows.withColumn(bits, F.lit(0))
     if indexed:
-        index = build_index(rows.select("_id", "_text"), grams)
-        found = candidates(index, grams, [queries[i] for i in indexed])
-        met = rows.select("*", *_row_key()).join(found, ["_k1", "_k2"], "left")
+        index = build_index(rows.select(F.col(id_).alias("id"), F.col(text).alias("text")), grams)
+        found = candidates(index, grams, [queries[i] for i in indexed]).toDF(key1, key2, bits)
+        k1, k2 = _row_key(id_, text)
+        met = rows.withColumns({key1: k1, key2: k2}).join(found, [key1, key2], "left")
     parts = []
     for i, r in enumerate(rules):
         holds = (lambda x, n=r.least: F.char_length(x) >= n) if r.least else None
-        spans = match_spans(F.col("_text"), r.pattern, i, holds, r.group)
-        parts.append(F.when(F.coalesce("_rules", F.lit(0)).bitwiseAND(F.lit(1 << indexed.index(i))) != 0, spans).otherwise(no_spans()) if i in indexed else spans)
+        spans = match_spans(F.col(text), r.pattern, i, holds, r.group)
+        parts.append(F.when(F.coalesce(F.col(bits), F.lit(0)).bitwiseAND(F.lit(1 << indexed.index(i))) != 0, spans).otherwise(no_spans()) if i in indexed else spans)
     return met.select(*keep, in_order(F.concat(*parts)).alias("secrets"))

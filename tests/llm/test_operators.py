@@ -328,6 +328,18 @@ def test_substrings(spark, docs, empty):
     assert recompression.dedup(empty).count() == 0
 
 
+CLASHES = ["_id", "_text", "_words", "_lines", "_base", "_fresh", "_chosen", "_rules", "_k1", "id", "text_", "words", "whole_text", "own_id", "n_lines", "rule_bits", "row_key1", "base_spans", "f1", "rep", "key", "n", "row", "block_id", "body", "token"]
+
+
+def test_extra_columns_of_any_name_pass_through(spark, docs):
+    few = docs.where("doc_id < 12").withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")) for c in CLASHES})
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    for out in (quality_rules.judge(few, labels), secret_index.scan(few), pii.find(few, boosted.NEVER), recompression.dedup(few), minhash.near_duplicates(few), language_mixture.identify(few, (["aa", "bb"], np.full((language_mixture.BUCKETS, 2), 1 / language_mixture.BUCKETS)))):
+        rows = out.collect()
+        assert len(rows) == 13 and set(few.columns) <= set(out.columns)
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in CLASHES)
+
+
 def thue_morse(n, a, b):
     return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
 
