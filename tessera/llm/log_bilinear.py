@@ -42,7 +42,7 @@ from .language_mixture import held_out
 HEAD = 2_000_000
 DIRECT = 128
 BUCKET = 512
-WIDTH = 16
+WIDTH = 8
 NOISE = 64
 MIDDLE, INSIDE = 10, 3  # noise of a group, of a class for its tokens in a minibatch
 SHARD = 2_000_000
@@ -148,15 +148,28 @@ class Level:
         hi = np.minimum(lo + self.group, self.n)
         drawn = self.steps[lo][:, None] + rng.random((len(lo), self.noise)) * (self.steps[hi] - self.steps[lo])[:, None]
         z = np.clip(np.searchsorted(self.steps, drawn, "right") - 1, lo[:, None], hi[:, None] - 1)
-        noise, own = self.v[z][which], self.v[x]
+        own = self.v[x]
         real = (own * guess).sum(1) + self.b[x] - self.noise_log[x]
-        fake = np.matmul(noise, guess[:, :, None])[:, :, 0] + (self.b[z] - self.noise_log[z])[which]
         up = weight / (1 + np.exp(np.clip(real, -30, 30)))
-        down = -weight[:, None] / (1 + np.exp(np.clip(-fake, -30, 30)))
-        change = up[:, None] * own + np.matmul(down[:, None, :], noise)[:, 0]
+        change = up[:, None] * own
+        offset = self.b[z] - self.noise_log[z]
+        moved, total = np.empty((len(lo), self.noise, WIDTH), np.float32), np.empty((len(lo), self.noise), np.float32)
+        if len(x) > 8 * len(lo):  # many tokens in a group: its own product
+            cuts = np.append(first, len(x)).tolist()
+            for k, vectors in enumerate(self.v[z]):
+                some = slice(cuts[k], cuts[k + 1])
+                down = _push(guess[some] @ vectors.T + offset[k], weight[some])
+                change[some] += down @ vectors
+                moved[k], total[k] = down.T @ guess[some], down.sum(0)
+        else:
+            noise = self.v[z][which]
+            down = _push(np.einsum("ikd,id->ik", noise, guess) + offset[which], weight)
+            change += np.einsum("ik,ikd->id", down, noise)
+            np.add.reduceat(down[:, :, None] * guess[:, None, :], first, out=moved)
+            np.add.reduceat(down, first, out=total)
         new = np.flatnonzero(np.diff(x, prepend=-1))
-        self._move(x[new], np.add.reduceat(up[:, None] * guess, new), np.add.reduceat(up, new), rate)
-        rows, both = _gathered(z.ravel(), np.concatenate([np.add.reduceat(down[:, :, None] * guess[:, None, :], first), np.add.reduceat(down, first)[:, :, None]], 2).reshape(-1, WIDTH + 1))
+        self._move(x[new], _sums(up[:, None] * guess, new), np.add.reduceat(up, new), rate)
+        rows, both = _gathered(z.ravel(), np.concatenate([moved.reshape(-1, WIDTH), total.reshape(-1, 1)], 1))
         self._move(rows, both[:, :WIDTH], both[:, WIDTH], rate)
         return change
 
@@ -184,12 +197,31 @@ class Level:
         return back
 
 
+def _push(score: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The gradients of noise with these scores."""
+    np.clip(score, -30, 30, out=score)
+    np.exp(np.negative(score, out=score), out=score)
+    score += 1
+    return np.divide(-weight[:, None], score, out=score)
+
+
 def _gathered(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows, and the sums of their values."""
     by = np.argsort(rows, kind="stable")
     rows = rows[by]
     new = np.flatnonzero(np.diff(rows, prepend=-1))
-    return rows[new], np.add.reduceat(values[by], new, axis=0)
+    return rows[new], _sums(values[by], new)
+
+
+def _sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at begin; most runs have one row."""
+    out = values[begin]
+    several = np.flatnonzero(np.diff(begin, append=len(values)) > 1)
+    if len(several):
+        inside = np.repeat(np.diff(begin, append=len(values)) > 1, np.diff(begin, append=len(values)))
+        cuts = np.cumsum(inside)[begin[several]] - 1
+        out[several] = np.add.reduceat(values[inside], cuts, axis=0)
+    return out
 
 
 class Model:
@@ -236,13 +268,14 @@ class Model:
         """The places of tokens or of their groups in top."""
         return np.where(token < self.direct, token, self.direct + (token - self.direct) // (self.leaf.group * self.mid.group))
 
-    def train(self, token: np.ndarray, context: np.ndarray, weight: np.ndarray, batch: int = 2048, rate: float = 0.1, seed: int = 0) -> None:
+    def train(self, token: np.ndarray, context: np.ndarray, weight: np.ndarray, batch: int = 4096, rate: float = 0.1, seed: int = 0) -> None:
         """One pass of AdaGrad over weighted trigrams."""
         n, top = self.symbols, self.top
         rng = np.random.Generator(np.random.PCG64([seed, len(token)]))
         parts = -(-weight // _SHARE)  # a heavy trigram is met again and again, each time with a part of its weight
         order = rng.permutation(np.repeat(np.arange(len(token)), parts))
         weight = (weight / parts / _SHARE).astype(np.float32)
+        before, last, token = (context // (n + 1)).astype(np.int32), (context % (n + 1)).astype(np.int32), token.astype(np.int32)
         for level in (self.top, self.mid, self.leaf):
             level.ready()
         noise_log, steps = top.noise_log, top.steps[1:]
@@ -250,20 +283,14 @@ class Model:
         for k in range(0, len(order), batch):
             at = order[k : k + batch]
             at = at[np.argsort(token[at], kind="stable")]
-            symbol, ctx, m = token[at], context[at], weight[at]
+            symbol, one, two, m = token[at], last[at], before[at], weight[at]
             w = self.first(symbol)  # ascending, as symbols are
-            two, one = ctx // (n + 1), ctx % (n + 1)
             q1, q2 = self.q[one], self.q[two]
             guess = q1 * self.c[0] + q2 * self.c[1]
             noise = np.minimum(np.searchsorted(steps, rng.random(top.noise) * steps[-1]), top.n - 1)
             own, other = top.v[w], top.v[noise]
             real = (guess * own).sum(1) + top.b[w] - noise_log[w]
-            fake = guess @ other.T
-            fake += top.b[noise] - noise_log[noise]
-            np.clip(fake, -30, 30, out=fake)
-            np.exp(np.negative(fake, out=fake), out=fake)
-            fake += 1
-            down = np.divide(-m[:, None], fake, out=fake)
+            down = _push(guess @ other.T + (top.b[noise] - noise_log[noise]), m)
             up = m / (1 + np.exp(np.clip(real, -30, 30)))
             dg = up[:, None] * own + down @ other
             dv, db = np.zeros_like(top.v), np.bincount(w, up, top.n).astype(np.float32)
@@ -290,6 +317,12 @@ class Model:
 def _log_sum(guess: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
     s = guess @ vectors.T
     s += bias
+    if len(s) and -60 < s.max(initial=-60) < 60:
+        with np.errstate(divide="ignore"):
+            out = np.log(np.exp(s, out=s).sum(1))
+        if np.isfinite(out).all():
+            return out
+        s = guess @ vectors.T + bias
     top = s.max(1)
     s -= top[:, None]
     return top + np.log(np.exp(s, out=s).sum(1))

@@ -210,8 +210,8 @@ def test_model_of_many_words_normalises_in_three_levels_and_learns():
     model = log_bilinear.Model(n, unigram)
     assert model.top.n < n / 3 and 1 < model.leaf.group < 50 and len(model.load(model.rows()).q) == n + 2
     keys, counts = np.unique(context * (n + 1) + token, return_counts=True)
-    for k in range(60):
-        model.train(keys % (n + 1), keys // (n + 1), counts, seed=k)
+    for k in range(20):
+        model.train(keys % (n + 1), keys // (n + 1), counts, batch=256, seed=k)
     scorer = log_bilinear.Scorer(model)
     every = np.arange(n + 1)
     assert abs(sum(10 ** scorer.log10(every, np.full(n + 1, context[5]))) - 1) < 1e-3
