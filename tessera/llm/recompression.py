@@ -46,6 +46,7 @@ FAN = 4096
 _RUN = np.uint64(0xA5A5F00D5EED1234)
 _FAR = 1 << 60
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_KEY = np.uint64((1 << 39) - 1)
 
 
 def _left(names: np.ndarray, salt: int) -> np.ndarray:
@@ -191,6 +192,21 @@ def _bytes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
+def _short(key: np.ndarray, known: np.ndarray) -> bytes:
+    """Five bytes for each key: 39 bits, which tell the keys of a bucket apart but for a rare chance that sends a window to be verified in vain, and one for known."""
+    return ((key & _KEY) | (known.astype(np.uint64) << np.uint64(39))).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _from_short(column) -> list[tuple[np.ndarray, np.ndarray]]:
+    out = []
+    for x in column.to_pylist():
+        wide = np.zeros((len(x) // 5, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
+        wide = wide.reshape(-1).view(np.uint64)
+        out.append((wide & _KEY, wide > _KEY))
+    return out
+
+
 def _u64(column) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
@@ -231,14 +247,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layou
                 w = Windows(body.as_py(), id_col, text_col)
                 key, several = _several(w.stand_ins(), w.doc[w.at])
                 parts = _dealt(buckets, key)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in parts], pa.int32()), "block_id": pa.array([block] * len(parts), pa.int64()), "keys": pa.array([_bytes(key[p]) for _, p in parts], pa.binary()), "several": pa.array([_bytes(several[p]) for _, p in parts], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in parts], pa.int32()), "block_id": pa.array([block] * len(parts), pa.int64()), "keys": pa.array([_short(key[p], several[p]) for _, p in parts], pa.binary())})
 
     def meet_stand_ins(last: bool):
         def meet(table: pa.Table) -> pa.Table:
-            keys = _u64(table.column("keys"))
-            source = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            several = _cat([np.frombuffer(x, bool) for x in table.column("several").to_pylist()], bool)
-            key = _cat(keys)
+            keys = _from_short(table.column("keys"))
+            source = np.repeat(np.arange(len(keys)), [len(k) for k, _ in keys])
+            key, several = _cat([k for k, _ in keys]), _cat([x for _, x in keys], bool)
             order, group = _grouped(key)
             shared = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
             news = order[shared & ~several[order]]  # a block knows of those that several of its own documents have
@@ -250,7 +265,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layou
                 several = several | known
                 rows += [(False, s, on[source[on] == s]) for s in np.unique(source[on])]
             names, bucket = table.column("block_id").to_pylist(), table.column("bucket").to_pylist()
-            return pa.table({"answer": pa.array([x for x, _, _ in rows], pa.bool_()), "bucket": pa.array([bucket[s] for _, s, _ in rows], pa.int32()), "block_id": pa.array([names[s] for _, s, _ in rows], pa.int64()), "keys": pa.array([_bytes(key[k]) for _, _, k in rows], pa.binary()), "several": pa.array([_bytes(several[k]) for _, _, k in rows], pa.binary())})
+            return pa.table({"answer": pa.array([x for x, _, _ in rows], pa.bool_()), "bucket": pa.array([bucket[s] for _, s, _ in rows], pa.int32()), "block_id": pa.array([names[s] for _, s, _ in rows], pa.int64()), "keys": pa.array([_short(key[k], several[k]) for _, _, k in rows], pa.binary())})
 
         return meet
 
@@ -258,13 +273,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layou
         """First words of the windows that may repeat."""
         stand = w.stand_ins()
         key, several = _several(stand, w.doc[w.at])
-        return w.at[np.isin(stand, np.concatenate([key[several], told]))]
+        return w.at[np.isin(stand, key[several | np.isin(key & _KEY, told)])]
 
     def send_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         bucket, block, a_, b_, id_ = [], [], [], [], []
         for name, body in zip(left.column("block_id").to_pylist(), left.column("body"), strict=True):
             w = Windows(body.as_py(), id_col, text_col)
-            at = left_over(w, _cat(_u64(right.column("keys"))))
+            at = left_over(w, _cat([k for k, _ in _from_short(right.column("keys"))]))
             at = at[w.known[w.doc[at]]]
             a, b = w.hashes(at)
             owner = w.id[w.doc[at]]
@@ -304,7 +319,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layou
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        told = _cat([np.frombuffer(x, np.uint64) for x in right.column("keys").to_pylist() if x is not None])
+        told = _cat([k for k, _ in _from_short(right.column("keys").drop_null())])
         hit_a, hit_b = (_cat([np.frombuffer(x, np.uint64) for x in right.column(c).to_pylist() if x is not None]) for c in "ab")
         for body in left.column("body"):
             w = Windows(body.as_py(), id_col, text_col)
@@ -325,7 +340,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layou
             out.append(_rows(w, gone, layout))
         return pa.concat_tables(out)
 
-    sent = blocks.select("block_id", "body").mapInArrow(send_stand_ins, "bucket int, block_id long, keys binary, several binary")
+    sent = blocks.select("block_id", "body").mapInArrow(send_stand_ins, "bucket int, block_id long, keys binary")
     told = _met(sent, blocks.count(), fan, meet_stand_ins, "substring-stand-ins").select("block_id", "keys")
     windows = blocks.select("block_id", "body").groupBy("block_id").cogroup(told.groupBy("block_id")).applyInArrow(send_windows, "bucket int, block_id long, a binary, b binary, ids binary")
     hits = _met(windows, blocks.count(), fan, meet_windows, "substring-windows").select("block_id", F.lit(None).cast("binary").alias("keys"), "a", "b")
