@@ -4,28 +4,27 @@ from __future__ import annotations
 
 import difflib
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.sources import vocabulary as V
 
 
-@F.pandas_udf(T.BooleanType())
-def _similar(source: pd.Series, candidate: pd.Series) -> pd.Series:
-    """Whether a source key and a candidate key have a matching ratio of 0.92 and lengths at most 3 apart. The order matters."""
+def _close(x: str, y: str) -> bool:
+    """Whether a source key and a candidate key have a matching ratio of 0.92. The order matters."""
+    m = difflib.SequenceMatcher(None, x, y)
+    return m.real_quick_ratio() >= 0.92 and m.quick_ratio() >= 0.92 and m.ratio() >= 0.92
 
-    def close(xs, ys) -> bool:
-        for x in xs if xs is not None else ():
-            for y in ys if ys is not None else ():
-                if abs(len(x) - len(y)) <= 3:
-                    m = difflib.SequenceMatcher(None, x, y)
-                    if m.real_quick_ratio() >= 0.92 and m.quick_ratio() >= 0.92 and m.ratio() >= 0.92:
-                        return True
-        return False
 
-    return pd.Series([close(x, y) for x, y in zip(source, candidate, strict=True)], dtype="bool")
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def _similar(lists: pa.Array) -> pa.Array:
+    """For each list of pairs of keys whether one of them is close."""
+    inner = lists.values
+    pairs, offsets = inner.values, inner.offsets.to_pylist()
+    close = [_close(x, y) for x, y in zip(pairs.field("s").to_pylist(), pairs.field("c").to_pylist(), strict=True)]
+    return pa.ListArray.from_arrays(lists.offsets, pa.array([any(close[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.bool_()))
 
 
 def near_keys(source_keys: Column, candidate_keys: Column) -> Column:
@@ -39,12 +38,22 @@ def near_keys(source_keys: Column, candidate_keys: Column) -> Column:
     return F.flatten(F.transform(source_keys, of))
 
 
-def keys_match(source_keys: Column, candidate_keys: Column, fuzzy: bool = True) -> Column:
-    """Equal keys, or similar ones. Both columns should be attributes; equal keys cost nothing in Python, as the lists sent there are empty."""
-    equal = F.coalesce(F.arrays_overlap(source_keys, candidate_keys), F.lit(False))
-    if not fuzzy:
-        return equal
-    return equal | _similar(F.when(~equal, source_keys), candidate_keys)
+def _equal(source_keys: Column, candidate_keys: Column) -> Column:
+    return F.coalesce(F.arrays_overlap(source_keys, candidate_keys), F.lit(False))
+
+
+def with_similar(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Adds near: for each (source keys, candidate keys) the keys that aren't equal, but whose edit distance allows the ratio; and similar: whether one of
+    them has it. Only near keys go to Python, which are few, and all of a row at once."""
+    none = F.array().cast("array<struct<s:string,c:string>>")
+    listed = [F.when(_equal(F.col(s), F.col(c)), none).otherwise(F.coalesce(near_keys(F.col(s), F.col(c)), none)) for s, c in pairs]
+    return df.withColumn("near", F.array(*listed)).withColumn("similar", _similar("near"))
+
+
+def keys_match(source_keys: Column, candidate_keys: Column, at: int | None = None) -> Column:
+    """Equal keys, or similar ones by the columns of with_similar, where these are place at of the pairs."""
+    equal = _equal(source_keys, candidate_keys)
+    return equal if at is None else equal | ((F.size(F.get("near", F.lit(at))) > 0) & F.get("similar", F.lit(at)))
 
 
 def artist_points(source_keys: Column, source_alias_keys: Column, candidate_keys: Column, source_asian: Column, candidate_asian: Column) -> tuple[Column, Column]:

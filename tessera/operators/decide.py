@@ -17,7 +17,10 @@ def signals(pairs: DataFrame, fuzzy: bool = True, converter: dict[str, str] | No
     """Adds what the two prepared sides of a pair say about each other."""
     c = F.col
     points, common = P.artist_points(c("s_artist_keys"), c("s_alias_keys"), c("c_artist_keys"), c("s_asian"), c("c_asian"))
-    match = lambda s, k: P.keys_match(c(s), c(k), fuzzy)
+    compared = {"title_plain": ("s_title_keys", "c_title_keys"), "title_unlive": ("s_title_keys", "c_unlive_keys"), "title_featured": ("s_featured_keys", "c_title_keys"), "title_track": ("s_title_keys", "c_track_keys")}
+    if fuzzy:
+        pairs = P.with_similar(pairs, *compared.values())
+    matches = {name: P.keys_match(c(a), c(b), i if fuzzy else None) for i, (name, (a, b)) in enumerate(compared.items())}
     df = pairs.withColumns({
         "artist": points,
         "artist_common": common,
@@ -26,10 +29,10 @@ def signals(pairs: DataFrame, fuzzy: bool = True, converter: dict[str, str] | No
         "title_exact": F.array_contains("c_title_keys", c("s_core_key")),
         "version_reasons": P.version_reasons(c("s_terms"), c("c_terms")),
         "bound": F.arrays_overlap("c_artist_keys", "s_bound_keys"),
-        "title_plain": match("s_title_keys", "c_title_keys"),
+        **matches,
     })
     df = df.withColumns({
-        "title0": c("title_plain") | (c("s_album_live") & c("c_album_live") & match("s_title_keys", "c_unlive_keys")),
+        "title0": c("title_plain") | (c("s_album_live") & c("c_album_live") & c("title_unlive")),
         "conflict": F.size("version_reasons") > 0,
         "reliable": c("artist") >= 80,
     })
@@ -37,8 +40,8 @@ def signals(pairs: DataFrame, fuzzy: bool = True, converter: dict[str, str] | No
     df = df.withColumn("rendition", alone & F.when(alone, P.plays_artist(c("s_first_artist"), c("c_context"))).otherwise(False))
     converted = [X.convert_script(c(x), converter) if converter else None for x in ("s_folded", "c_folded")]
     cjk = X.cjk_title_status(c("s_folded"), c("c_folded"), *converted, c("conflict")) == "CJK_EQUIVALENT"
-    featured = F.arrays_overlap("s_credit_keys", "c_artist_keys") & match("s_featured_keys", "c_title_keys")
-    by_other_means = ~c("conflict") & (featured | match("s_title_keys", "c_track_keys") | cjk)
+    featured = F.arrays_overlap("s_credit_keys", "c_artist_keys") & c("title_featured")
+    by_other_means = ~c("conflict") & (featured | c("title_track") | cjk)
     return df.withColumns({
         "title2": (c("title0") & ~c("rendition")) | by_other_means,
         "rescue": ~c("title_plain") & c("s_title_han") & ~c("c_title_han") & ~c("c_title_kana") & ~c("conflict"),
@@ -63,7 +66,7 @@ def decide(signalled: DataFrame, verified: DataFrame | None = None) -> DataFrame
         reason(c("candidate_id") == "", "missing id"),
         reason(~c("title0") & ~(c("title2") | (c("identity") & c("rescue"))), "title mismatch"),
         reason(c("rendition"), "likely rendition project"),
-        reason(c("bound") & (c("duration") < 40), "artist spelling lacks duration"),
+        reason(c("bound") & (c("duration") < 40), "artist spelling correction lacks duration corroboration"),
         reason(c("artist") == 0, "artist mismatch"),
         reason((c("artist") > 0) & ~c("reliable") & ~c("identity") & ~(c("title_exact") & (c("album") >= 45)), "artist not sufficiently corroborated"),
     )

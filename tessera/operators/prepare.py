@@ -36,16 +36,10 @@ def sources(df: DataFrame, title_aliases: dict = V.TITLE_ALIASES, artist_aliases
     raw = df.select("source_id", X.text("title").alias("s_title"), _texts("artists").alias("s_artists"), X.text("album").alias("s_album"), P.valid_duration(F.col("duration_ms")).alias("s_duration"))
     raw = raw.withColumn("s_variants", F.concat(F.array("s_title"), _lookup(title_aliases, F.col("s_title"), _strings())))
     raw = raw.withColumn("s_aliases", F.flatten(F.transform("s_artists", lambda a: _lookup(artist_aliases, a, _strings()))))
-    folded = raw.select(
-        "*",
-        X.fold_all("s_variants").alias("_variants"),
-        X.fold_all("s_artists").alias("_artists"),
-        X.fold_all("s_aliases").alias("_aliases"),
-        X.fold("s_album").alias("_album"),
-        X.fold(X.live_suffix_cut(F.col("s_title"))).alias("_unlive"),
-        X.fold(X.feature_title(F.col("s_title"))).alias("_featured"),
-        X.fold_all(X.feature_names(F.col("s_title"))).alias("_credits"),
-    )
+    one = lambda c: F.array(X.text(c))
+    folded = raw.withColumn("_f", X.fold_lists(F.col("s_variants"), F.col("s_artists"), F.col("s_aliases"), one("s_album"), one(X.live_suffix_cut(F.col("s_title"))), one(X.feature_title(F.col("s_title"))), F.coalesce(X.feature_names(F.col("s_title")), _strings())))
+    names = ("_variants", "_artists", "_aliases", "_album", "_unlive", "_featured", "_credits")
+    folded = folded.select("*", *[(F.get("_f", F.lit(i))[0] if n in ("_album", "_unlive", "_featured") else F.get("_f", F.lit(i))).alias(n) for i, n in enumerate(names)])
     keys = lambda c: F.transform(c, X.key)
     cores = F.transform("_variants", X.title_core)
     return folded.select(
@@ -74,11 +68,9 @@ def candidates(df: DataFrame) -> DataFrame:
     isrc = X.text("isrc") if "isrc" in df.columns else F.lit("")
     names = F.filter(_texts("artists"), lambda a: a != "")
     raw = df.select(*more, F.coalesce(F.col("candidate_id").cast("string"), F.lit("")).alias("candidate_id"), X.text("title").alias("c_title"), names.alias("c_artists"), F.size(F.coalesce(F.col("artists"), _strings())).alias("c_n_artists"), X.text("album").alias("c_album"), P.valid_duration(F.col("duration_ms")).alias("c_duration"), isrc.alias("c_isrc"))
-    folded = raw.select(
-        "*", X.fold("c_title").alias("c_folded"), X.fold_all("c_artists").alias("_artists"), X.fold("c_album").alias("_album"),
-        X.fold(X.live_suffix_cut(F.col("c_title"))).alias("_unlive"), X.fold(X.soundtrack_title(F.col("c_title"))).alias("_track"),
-        X.fold(F.concat_ws(" ", "c_title", "c_album")).alias("c_context"),
-    )
+    one = lambda c: F.array(X.text(c))
+    folded = raw.withColumn("_f", X.fold_lists(F.col("c_artists"), one("c_title"), one("c_album"), one(X.live_suffix_cut(F.col("c_title"))), one(X.soundtrack_title(F.col("c_title"))), one(F.concat_ws(" ", "c_title", "c_album"))))
+    folded = folded.select("*", F.get("_f", F.lit(0)).alias("_artists"), *[F.get("_f", F.lit(i + 1))[0].alias(n) for i, n in enumerate(("c_folded", "_album", "_unlive", "_track", "c_context"))])
     return folded.select(
         *more, "candidate_id", "c_title", "c_artists", "c_n_artists", "c_album", "c_duration", "c_isrc", "c_folded", "c_context",
         X.title_keys(X.title_core(F.col("c_folded"))).alias("c_title_keys"),

@@ -66,13 +66,15 @@ def recording_evidence(pairs: DataFrame, found: DataFrame, recordings: DataFrame
         F.filter(F.transform("credits", lambda c: c["artist_mbid"]), lambda m: m.isNotNull()).alias("r_ids"),
         X.title_keys(X.title_core(X.fold("title"))).alias("r_keys"), X.fold("disambiguation").alias("r_folded"),
     )
-    base = pairs.join(ids, PAIR).withColumn("_isrc", F.col("c_isrc"))
+    base = pairs.join(ids, PAIR).drop("near", "similar").withColumn("_isrc", F.col("c_isrc"))
     met = base.join(details, base["_isrc"] == details["isrc"], "left")
+    if fuzzy:
+        met = P.with_similar(met, ("s_title_keys", "r_keys"))
     count = F.count("isrc").over(Window.partitionBy(*PAIR))
     met = met.withColumns({
         "n_recordings": count,
         "r_artist": F.coalesce(F.arrays_overlap("ids", "r_ids"), F.lit(False)),
-        "r_match": F.coalesce(P.keys_match(F.col("s_title_keys"), F.coalesce("r_keys", F.array().cast("array<string>")), fuzzy), F.lit(False)),
+        "r_match": F.coalesce(P.keys_match(F.col("s_title_keys"), F.col("r_keys"), 0 if fuzzy else None), F.lit(False)),
         "r_conflict": (F.size(P.version_reasons(F.col("s_terms"), X.version_terms(F.coalesce("r_folded", F.lit(""))))) > 0) | F.contains(X.key(F.coalesce("r_folded", F.lit(""))), F.lit("djmix")),
         "r_diff": F.abs(F.col("r_length") - F.col("c_duration")),
     })

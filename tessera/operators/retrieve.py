@@ -15,6 +15,12 @@ from tessera.operators.select import top
 LIMIT = 10
 
 
+def _first_of_keys(sources: DataFrame, candidates: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(source_id, candidate_id, c_order) by equal keys. A source needs no more than the first of each key, so others are cut before the join, and a popular key doesn't multiply."""
+    best = top(candidates.select(*keys, "candidate_id", "c_order").distinct(), keys, [F.asc("c_order"), F.asc("candidate_id")], most, name="_n").drop("_n")
+    return sources.select("source_id", *keys).join(best, keys).select("source_id", "candidate_id", "c_order").distinct()
+
+
 def strict(sources: DataFrame, catalogue: DataFrame, with_album: bool, query_index: int, k: int = LIMIT, offset: int = 0) -> DataFrame:
     """Candidates by equal title and artist keys, and album keys in the first query, in order of their ids: (source_id, query_index, rank, candidate columns).
 
@@ -23,7 +29,7 @@ def strict(sources: DataFrame, catalogue: DataFrame, with_album: bool, query_ind
     s = sources.select("source_id", F.col("s_core_key").alias("k1"), F.explode(F.array_distinct("s_artist_keys")).alias("k2"), F.col("s_album_key").alias("k3"))
     c = catalogue.select("candidate_id", "c_order", F.explode("c_title_keys").alias("k1"), "c_artist_keys", F.col("c_album_key").alias("k3"))
     c = c.select("candidate_id", "c_order", "k1", F.explode("c_artist_keys").alias("k2"), "k3")
-    met = s.join(c, ["k1", "k2", "k3"] if with_album else ["k1", "k2"]).select("source_id", "candidate_id", "c_order").distinct()
+    met = _first_of_keys(s, c, ["k1", "k2", "k3"] if with_album else ["k1", "k2"], k + offset)
     ranked = top(met, ["source_id"], [F.asc("c_order"), F.asc("candidate_id")], k, offset, "rank").withColumn("query_index", F.lit(query_index))
     return ranked.select("source_id", "candidate_id", "query_index", "rank")
 
@@ -37,7 +43,7 @@ def romanised(sources: DataFrame, catalogue: DataFrame, aliases: DataFrame, firs
         empty = empty.join(failed.select("source_id").distinct(), "source_id", "left_anti")
     s = empty.join(aliases, "source_id").select("source_id", F.col("s_core_key").alias("k1"), F.col("alias_key").alias("k2"))
     c = catalogue.select("candidate_id", "c_order", F.explode("c_title_keys").alias("k1"), "c_artist_keys").select("candidate_id", "c_order", "k1", F.explode("c_artist_keys").alias("k2"))
-    met = s.join(c, ["k1", "k2"]).select("source_id", "candidate_id", "c_order").distinct()
+    met = _first_of_keys(s, c, ["k1", "k2"], k)
     return top(met, ["source_id"], [F.asc("c_order"), F.asc("candidate_id")], k, name="rank").select("source_id", "candidate_id", F.lit(query_index).alias("query_index"), "rank")
 
 
@@ -46,7 +52,7 @@ def titled(sources: DataFrame, catalogue: DataFrame, overrides: DataFrame, first
     empty = sources.join(first.select("source_id").distinct(), "source_id", "left_anti").join(overrides, "source_id")
     s = empty.select("source_id", F.col("title_key").alias("k1"), F.explode("s_artist_keys").alias("k2"))
     c = catalogue.select("candidate_id", "c_order", F.explode("c_title_keys").alias("k1"), "c_artist_keys").select("candidate_id", "c_order", "k1", F.explode("c_artist_keys").alias("k2"))
-    met = s.join(c, ["k1", "k2"]).select("source_id", "candidate_id", "c_order").distinct()
+    met = _first_of_keys(s, c, ["k1", "k2"], k)
     return top(met, ["source_id"], [F.asc("c_order"), F.asc("candidate_id")], k, name="rank").select("source_id", "candidate_id", F.lit(query_index).alias("query_index"), "rank")
 
 

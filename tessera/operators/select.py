@@ -6,9 +6,13 @@ depend on how rows are spread. Ranks that are only compared with a constant let
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import stored
+
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int = 1, offset: int = 0, name: str = "place") -> DataFrame:
     """Rows offset + 1 to offset + k of each group, with their place."""
@@ -58,22 +62,25 @@ def within_budget(df: DataFrame, by: list[str], order: list[Column], cost: Colum
     return df.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
 
 
-def repeated_requests(df: DataFrame, request: list[str], order: list[Column]) -> DataFrame:
-    """Adds cache_hit: whether an equal request came before."""
-    return df.withColumn("cache_hit", F.row_number().over(Window.partitionBy(*request).orderBy(*order)) > 1)
+def repeated_requests(df: DataFrame, request: list[str], order: list[str]) -> DataFrame:
+    """Adds cache_hit: whether an equal request came before. The first place of each request is an aggregate, so a request of very many rows is in no single task."""
+    place = F.struct(*order)
+    first = df.groupBy(*request).agg(F.min(place).alias("_first"))
+    both = df.alias("l").join(first.alias("r"), reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in request]))
+    return both.select("l.*", (F.struct(*[F.col(f"l.{c}") for c in order]) != F.col("r._first")).alias("cache_hit"))
 
 
 def global_batches(df: DataFrame, order: list[str], size: int = 100) -> DataFrame:
     """Adds position (0-based, over the whole order) and batch, without sorting everything in one task: rows are numbered inside range
-    partitions, and the partitions' sizes, one number each, give the offsets."""
+    partitions, and the partitions' sizes, one number each, give the offsets. The ranged rows are stored first: their bounds come from a sample, which another run may draw otherwise."""
     spark = df.sparkSession
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    ranged = stored(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()), "batches")
     numbered = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect())
     starts, total = [], 0
     for part, n in sizes:
         starts.append((part, total))
         total += n
-    offsets = spark.createDataFrame(starts or [(0, 0)], "_part int, _start long")
+    offsets = spark.createDataFrame(starts or [(0, 0)], "_part int, _start long")  # a row for each range partition
     placed = numbered.join(F.broadcast(offsets), "_part").withColumn("position", F.col("_start") + F.col("_n") - 1)
     return placed.withColumn("batch", F.floor(F.col("position") / size)).drop("_part", "_n", "_start")

@@ -226,7 +226,7 @@ def max_score_with_ties(spark, sf):
 
 
 def request_cache_hits(spark, sf):
-    hits = select.repeated_requests(table(spark, sf, "events"), ["user_id", "event_type", "props"], [F.asc("event_id")])
+    hits = select.repeated_requests(table(spark, sf, "events"), ["user_id", "event_type", "props"], ["event_id"])
     return hits.groupBy("event_type").agg(F.count("*").alias("requests"), F.count_if("cache_hit").alias("cache_hits"))
 
 
@@ -263,7 +263,8 @@ def fuzzy_title_match(spark, sf):
     """As before, by the exact ratio."""
     a = X.key(F.lower(F.concat("p_name", "p_type", "p_brand")))
     rows = table(spark, sf, "part").select("p_partkey", a.alias("a")).withColumn("b", F.concat(F.expr("left(a, length(a) - 3)"), F.expr("right(a, cast(p_partkey % 4 as int))")))
-    return rows.select("p_partkey", "b", P.keys_match(F.array("a"), F.array("b")).alias("similar"))
+    rows = P.with_similar(rows.withColumns({"x": F.array("a"), "y": F.array("b")}), ("x", "y"))
+    return rows.select("p_partkey", "b", P.keys_match(F.col("x"), F.col("y"), 0).alias("similar"))
 
 
 def simplified_titles(spark, sf):

@@ -55,6 +55,22 @@ def test_winner_ties_go_by_rank_and_order_does_not_matter(spark):
         assert got == {1: "t1", 2: "x"}
 
 
+def test_batches_of_many_range_partitions_number_each_row_once(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(400_000).select("id", F.xxhash64("id").alias("k"))
+        got = select.global_batches(df, ["k", "id"]).agg(F.count_distinct("position").alias("n"), F.min("position").alias("low"), F.max("position").alias("high")).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tuple(got) == (400_000, 0, 399_999)
+
+
+def test_repeated_requests(spark):
+    rows = [(1, "a", None), (2, "a", None), (3, "a", "x"), (4, "b", None), (5, "a", None)]
+    got = {r.event_id: r.cache_hit for r in select.repeated_requests(spark.createDataFrame(rows, "event_id long, user string, props string"), ["user", "props"], ["event_id"]).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: False, 5: True}
+
+
 def test_batches_number_all_rows(spark):
     df = spark.range(1050).withColumn("k", F.xxhash64("id"))
     rows = select.global_batches(df, ["k", "id"]).orderBy("position").collect()
