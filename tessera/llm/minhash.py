@@ -6,7 +6,7 @@ thousands of copies cost one row. Classes that share an id are linked. Each clas
 make buckets. With a similarity of 0.8, two classes share no bucket with a probability of 3e-6.
 
 Links are looked for in steps, and a pair counts only if its sets, made anew from the whole texts, are as similar
-as asked. In the first ``STARS`` steps every member of a bucket meets two pivots of the bucket, other ones in each step: as many pairs as members.
+as asked. In the first ``stars`` steps (``STARS`` unless told otherwise) every member of a bucket meets two pivots of the bucket, other ones in each step: as many pairs as members.
 Components follow from these links. A link within a component changes nothing, so each step looks only at buckets that still hold several
 components. In what is left then, the members of different components meet, in cells of bounded size, if the sizes of their sets
 permit the similarity. Before sets are compared, the share of equal minima must not be 4.5 standard deviations short (which misses as rarely as the bands).
@@ -33,9 +33,9 @@ from .components import connected
 
 BANDS, ROWS = 32, 5
 _HASHES = 384  # the first BANDS * ROWS make bands, all of them signatures
-STARS = 2
+STARS = 1  # more of them join families whose members are close to few others before cells are made, at the price of that many rounds
 _PART, _CELLS = 256, 8
-_TASK_SHINGLES = 2_000_000  # of the pairs that one task compares
+_TASK_SHINGLES = 1_000_000  # of the pairs that one task compares
 _OUTPUTS = ["n_shingles", "component_id", "kept"]
 
 
@@ -252,7 +252,7 @@ def across(placed: DataFrame, classes: DataFrame, bodies: DataFrame, width: int,
     return found
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", stars: int = STARS) -> DataFrame:
     """Rows of docs (of docs with an id and a text only: the id) with n_shingles, component_id (the smallest id reachable over links) and kept (whether the row has that id)."""
     keep = [c for c in docs.columns if c not in _OUTPUTS]
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     plausible = lambda a, b, sig: _plausible(a, b, sig, least)
     similar = lambda a, b, text: _similar(a, b, text, width, percent)
     component = None
-    for step in range(STARS + 1):
+    for step in range(stars + 1):
         placed = shared
         if step:
             known = component.select("node", "component")
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             placed = materialize(placed, "minhash-placed")
         else:
             placed = placed.withColumn("component", F.col("rep"))
-        if step < STARS:
+        if step < stars:
             met = materialize(star_pairs(placed, step), "minhash-star")
             pairs = _compared(met, signatures, plausible, "minhash-likely")
             drop_table(met)

@@ -451,7 +451,7 @@ def test_near_duplicates(spark, docs, empty):
     links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = components_plainly(links, ids)
     df = spark.createDataFrame([*rows, (None, rows[0][1], "en", "s", 0)], SCHEMA).withColumn("kept", F.lit(3))
-    got = minhash.near_duplicates(df, width=4).collect()
+    got = minhash.near_duplicates(df, width=4, stars=2).collect()
     assert len(got) == len(rows) + 1
     for r in got:
         if r.doc_id is None:
