@@ -3,12 +3,13 @@
 A document's length is its number of words and one end; those longer than the largest length are cut into pieces of
 that length and a rest. Each task packs the pieces of its own documents, ``window`` at a time so that memory is bounded,
 longest first. A piece goes where the least room is left that it fits into, in an open bin of any size. If it fits
-nowhere, a bin is opened whose size costs least for each token that it can take: a bin of size s costs s and a fixed
-``overhead``, and it can't take more than the tokens still to be packed. At the end, every bin shrinks to the
-smallest permitted length that holds its contents. No shuffle, so no group of documents can be too large.
+nowhere, a bin is opened, and the permitted sizes compete: each that holds the piece is filled in thought with the longest pieces that fit, of those still to be packed that
+no open bin counts on, and the one wins whose contents cost least for each token: the smallest permitted length that holds them and a fixed
+``overhead``. The bin then counts on these pieces. At the end, every bin shrinks to the
+smallest permitted length that holds its contents. No shuffle, so no group of documents can be too large; which documents share a bin depends on how Spark deals rows.
 
 Defined results: null, empty and blank texts have length 1. Rows with the same id are packed each. Pieces of equal length go by
-their order in the task. Extra columns are ignored. An empty table gives an empty table.
+their order in the task, sizes of equal cost by size. A very long text makes as many pieces as it needs. Extra columns, of any name, are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,10 +26,22 @@ OVERHEAD = 16
 WINDOW = 50_000
 
 
-def open_size(length: int, left: int, sizes: tuple[int, ...], overhead: int) -> int:
-    """The size that costs least for each token it can take, of those that hold length; left: tokens still to be packed, length included."""
-    fitting = [s for s in sizes if s >= length]
-    return min(fitting, key=lambda s: ((s + overhead) / min(s, left), s))
+def open_size(length: int, free: list[int], there: int, sizes: tuple[int, ...], overhead: int) -> tuple[int, list[tuple[int, int]]]:
+    """The size whose contents cost least for each token, and the contents: (length, number). free: how many pieces of each length no bin counts on; bit n of there: some have length n."""
+    best = None
+    for s in sizes:
+        if s < length:
+            continue
+        room, open_, inside = s - length, there, []
+        while room and (n := (open_ & ((2 << room) - 1)).bit_length() - 1) > 0:
+            inside.append((n, min(free[n], room // n)))
+            room -= n * inside[-1][1]
+            open_ ^= 1 << n
+        used = s - room
+        cost = (min(x for x in sizes if x >= used) + overhead) / used
+        if best is None or cost < best[0]:
+            best = (cost, s, inside)
+    return best[1:]
 
 
 def pack_lengths(lengths: list[int], sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
@@ -37,21 +50,34 @@ def pack_lengths(lengths: list[int], sizes: tuple[int, ...] = SIZES, overhead: i
     room: list[list[int]] = [[] for _ in range(sizes[-1] + 1)]  # bins by the room they have left
     there = 0  # bit r: some bin has room r
     where, offset, opened, used = [0] * len(lengths), [0] * len(lengths), [], []
-    left = sum(lengths)
+    free, counted = [0] * (sizes[-1] + 1), [0] * (sizes[-1] + 1)
+    for n in lengths:
+        free[n] += 1
+    waiting = sum(1 << n for n, c in enumerate(free) if c)  # lengths with free pieces
     for i in order:
         n = lengths[i]
-        if fits := there >> n:
+        fits = there >> n
+        if counted[n] and (fits or not free[n]):
+            counted[n] -= 1
+        else:
+            free[n] -= 1
+            waiting ^= (not free[n]) << n
+        if fits:
             r = n + (fits & -fits).bit_length() - 1
             b = room[r].pop()
             if not room[r]:
                 there ^= 1 << r
         else:
             b = len(opened)
-            opened.append(r := open_size(n, left, sizes, overhead))
+            r, inside = open_size(n, free, waiting, sizes, overhead)
+            opened.append(r)
             used.append(0)
+            for k, times in inside:
+                free[k] -= times
+                counted[k] += times
+                waiting ^= (not free[k]) << k
         where[i], offset[i] = b, used[b]
         used[b] += n
-        left -= n
         if r > n:
             room[r - n].append(b)
             there |= 1 << (r - n)

@@ -250,19 +250,40 @@ def test_language_model_gains_and_does_not_depend_on_the_deal(spark, monkeypatch
 
 
 def best_fit_plainly(lengths, sizes, overhead):
-    bins, left = [], sum(lengths)
+    bins, free, counted = [], sorted(lengths, reverse=True), []
+
+    def thought(s, n):
+        used, inside = n, []
+        for x in free:
+            if used + x <= s:
+                used += x
+                inside.append(x)
+        return (min(x for x in sizes if x >= used) + overhead) / used, s, inside
+
     for n in sorted(lengths, reverse=True):
         fitting = [b for b in bins if b[0] - b[1] >= n]
+        (counted if n in counted and (fitting or n not in free) else free).remove(n)
         if fitting:
             b = min(fitting, key=lambda b: b[0] - b[1])
         else:
-            b = [min((s for s in sizes if s >= n), key=lambda s: ((s + overhead) / min(s, left), s)), 0]
+            _, s, inside = min((thought(s, n) for s in sizes if s >= n), key=lambda x: x[:2])
+            for x in inside:
+                free.remove(x)
+            counted += inside
+            b = [s, 0]
             bins.append(b)
         b[1] += n
-        left -= n
     return sorted((min(s for s in sizes if s >= u), u) for _, u in bins)
 
 
+def test_sizes_compete_while_tokens_are_left():
+    lengths = [20] * 90 + [12] * 30  # 32 holds one of each, 64 holds 60 of 64 at best
+    where, offset, bins = best_fit.pack_lengths(lengths, (16, 32, 64), 4)
+    assert collections.Counter(bins)[32] >= 20 and collections.Counter(bins)[64] >= 10
+    single = sum(best_fit.pack_lengths(lengths, (64,), 4)[2])
+    assert sum(bins) < single
+
+
 def test_packing(spark, docs, empty):
     rng = random.Random(4)
     lengths, sizes = [rng.randint(1, 64) for _ in range(500)], (16, 32, 64)
