@@ -62,7 +62,7 @@ def recording_evidence(pairs: DataFrame, found: DataFrame, recordings: DataFrame
     """A row for each pair with an identity: what its recordings say."""
     ids = found.groupBy(*PAIR).agg(F.collect_set("artist_mbid").alias("ids"), F.first("route").alias("route"))
     details = isrcs.join(recordings, "mbid").select(
-        "isrc", F.col("title").alias("r_title"), F.col("length").cast("long").alias("r_length"), X.text("disambiguation").alias("r_note"),
+        "isrc", F.col("title").alias("r_title"), P.valid_duration(F.col("length")).alias("r_length"), X.text("disambiguation").alias("r_note"),
         F.filter(F.transform("credits", lambda c: c["artist_mbid"]), lambda m: m.isNotNull()).alias("r_ids"),
         X.title_keys(X.title_core(X.fold("title"))).alias("r_keys"), X.fold("disambiguation").alias("r_folded"),
     )
@@ -83,7 +83,7 @@ def recording_evidence(pairs: DataFrame, found: DataFrame, recordings: DataFrame
     good = F.col("isrc").isNotNull() & F.col("r_artist") & (F.col("r_match") | F.coalesce(rescue, F.lit(False))) & ~F.col("r_conflict")
     return met.withColumn("qualifies", good).groupBy(*PAIR).agg(
         F.first("route").alias("route"), F.first("rescue").alias("rescue"), F.max("n_recordings").alias("n_recordings"),
-        F.max("qualifies").alias("qualifies"), F.min(F.when(F.col("qualifies"), F.col("r_diff"))).alias("best_diff"), F.max("r_artist").alias("any_artist"), F.max("r_match").alias("any_title"),
+        F.max("qualifies").alias("qualifies"), F.max(F.col("qualifies") & ~F.col("r_match")).alias("by_other_script"), F.min(F.when(F.col("qualifies"), F.col("r_diff"))).alias("best_diff"), F.max("r_artist").alias("any_artist"),
     )
 
 
@@ -105,20 +105,31 @@ def verify(gated: DataFrame, artists: DataFrame, recordings: DataFrame, isrcs: D
     plain = c("title_exact") & ((c("album") >= 45) | (c("duration") >= 40))
     identity = (c("reliable") | known) & F.when(coded, confirmed).otherwise(plain)
     word = lambda test: F.when(test, "PASS").otherwise("FAIL")
-    predicates = F.create_map(
-        F.lit("artist_identity"), word(known),
-        F.lit("duration"), F.when(c("best_diff").isNull(), "UNKNOWN").otherwise(word(c("best_diff") <= MAX_DIFFERENCE)),
-        F.lit("isrc_uniqueness"), F.when(n == 0, "NOT_FOUND").when(n == 1, "PASS").otherwise("MULTIPLE"),
-        F.lit("recording_artist"), F.when(n == 0, "UNKNOWN").otherwise(word(c("any_artist"))),
-        F.lit("recording_title"), F.when(n == 0, "UNKNOWN").otherwise(word(c("any_title"))),
-    )
-    return e.select(*PAIR, F.coalesce(identity, F.lit(False)).alias("identity"), n.alias("n_recordings"), "best_diff", "route", predicates.alias("predicates"))
+    titled, unconflicted = c("rescue") | c("title_plain"), (c("rescue") | c("title_plain")) & ~c("conflict")
+    reached = unconflicted & known  # each predicate counts only if those before it pass
+    duration = F.when(c("best_diff").isNull(), "UNKNOWN").otherwise(word(c("best_diff") <= MAX_DIFFERENCE))
+    judged = {
+        "title_identity": word(titled),
+        "version_conflict": F.when(titled, word(~c("conflict"))),
+        "artist_identity": F.when(unconflicted, word(known)),
+        "recording_title": F.when(reached, F.when(n == 0, "UNKNOWN").when(F.coalesce("by_other_script", F.lit(False)), "UNKNOWN_CROSS_SCRIPT").otherwise(word(F.coalesce("qualifies", F.lit(False))))),
+        "recording_artist": F.when(reached, F.when(n == 0, "UNKNOWN").otherwise(word(F.coalesce("any_artist", F.lit(False))))),
+        "duration": F.when(reached, duration),
+        "isrc_uniqueness": F.when(reached, F.when(n == 0, "NOT_FOUND").when(n == 1, "PASS").otherwise("MULTIPLE")),
+    }
+    predicates = F.map_filter(F.create_map(*[x for k, v in judged.items() for x in (F.lit(k), F.when(coded, v))]), lambda k, v: v.isNotNull())
+    failing = F.filter(F.array(*[F.when(v.isin("FAIL", "UNKNOWN", "NOT_FOUND"), k) for k, v in judged.items()]), lambda x: x.isNotNull())
+    none = F.array().cast("array<string>")
+    failures = F.when(~coded | F.coalesce(confirmed, F.lit(False)), none).when(reached & (n == 0), F.array(F.lit("recording_evidence"))).otherwise(failing)
+    return e.select(*PAIR, F.coalesce(identity, F.lit(False)).alias("identity"), n.alias("n_recordings"), "best_diff", "route", predicates.alias("predicates"), failures.alias("failure_predicates"))
 
 
 def latin_alias(sources: DataFrame, artists: DataFrame) -> DataFrame:
-    """(source_id, alias): a Latin name of the first artist that the source names exactly: the natural sort name, else the canonical name, else the first alias."""
+    """(source_id, alias): a Latin name of the first artist, if that is in Asian script and named exactly: the natural sort name, else the canonical name, else the first
+    alias. Of several artists the first by place counts, if there is such a column, else by mbid; those with no Latin name are passed over."""
     names = artist_names(artists)
-    keyed = sources.select("source_id", F.get("s_artist_keys", F.lit(0)).alias("name_key"))
+    place = F.col("place") if "place" in artists.columns else F.lit(0)
+    keyed = sources.where(X.is_asian(F.coalesce(F.get("s_artists", F.lit(0)), F.lit("")))).select("source_id", F.get("s_artist_keys", F.lit(0)).alias("name_key"))
     options = artists.select(
         "mbid", F.array(F.struct(F.lit(0).alias("kind"), X.natural_order(X.nfkc("sort_name")).alias("alias")), F.struct(F.lit(1).alias("kind"), F.when(X.is_latin_name(X.nfkc("name")), X.text("name")).alias("alias"))).alias("fixed"),
         F.posexplode_outer(F.coalesce("aliases", F.array().cast("array<string>"))).alias("pos", "name_alias"),
@@ -126,8 +137,8 @@ def latin_alias(sources: DataFrame, artists: DataFrame) -> DataFrame:
     aliased = options.where("name_alias is not null").select("mbid", F.lit(2).alias("kind"), "pos", F.when(X.is_latin_name(X.nfkc("name_alias")), F.coalesce(X.natural_order(X.nfkc("name_alias")), F.col("name_alias"))).alias("alias"))
     fixed = options.dropDuplicates(["mbid"]).select("mbid", F.explode("fixed").alias("f")).select("mbid", F.col("f.kind").alias("kind"), F.lit(0).alias("pos"), F.col("f.alias").alias("alias"))
     every = fixed.unionByName(aliased).where("alias is not null").withColumn("alias_key", X.key(X.fold("alias")))
-    met = keyed.join(names, "name_key").join(every, "mbid").where("alias_key <> name_key")
-    return top(met, ["source_id"], [F.asc("mbid"), F.asc("kind"), F.asc("pos")]).select("source_id", "alias", "alias_key")
+    met = keyed.join(names, "name_key").join(every, "mbid").join(artists.select("mbid", place.alias("place")), "mbid").where("alias_key <> name_key")
+    return top(met, ["source_id"], [F.asc("place"), F.asc("mbid"), F.asc("kind"), F.asc("pos")]).select("source_id", "alias", "alias_key")
 
 
 def rank_consensus(first: DataFrame, second: DataFrame, confirmed: DataFrame, matched: DataFrame) -> DataFrame:

@@ -47,6 +47,15 @@ def romanised(sources: DataFrame, catalogue: DataFrame, aliases: DataFrame, firs
     return top(met, ["source_id"], [F.asc("c_order"), F.asc("candidate_id")], k, name="rank").select("source_id", "candidate_id", F.lit(query_index).alias("query_index"), "rank")
 
 
+def relaxed(sources: DataFrame, catalogue: DataFrame, aliases: DataFrame, first: DataFrame, failed: DataFrame | None = None, query_index: int = 2, k: int = LIMIT) -> DataFrame:
+    """The second query of sources in Asian script whose first one came back empty and whose artist has no Latin alias: by title key, with the artists as free text, which none has to match."""
+    empty = sources.where("s_asian").join(first.select("source_id").distinct(), "source_id", "left_anti").join(aliases.select("source_id").distinct(), "source_id", "left_anti")
+    if failed is not None:
+        empty = empty.join(failed.select("source_id").distinct(), "source_id", "left_anti")
+    met = _first_of_keys(empty.select("source_id", F.col("s_core_key").alias("k1")), catalogue.select("candidate_id", "c_order", F.explode("c_title_keys").alias("k1")), ["k1"], k)
+    return top(met, ["source_id"], [F.asc("c_order"), F.asc("candidate_id")], k, name="rank").select("source_id", "candidate_id", F.lit(query_index).alias("query_index"), "rank")
+
+
 def titled(sources: DataFrame, catalogue: DataFrame, overrides: DataFrame, first: DataFrame, query_index: int = 2, k: int = LIMIT) -> DataFrame:
     """The second query with an overridden title (source_id, title_key), for sources whose first one came back empty; any artist key."""
     empty = sources.join(first.select("source_id").distinct(), "source_id", "left_anti").join(overrides, "source_id")

@@ -13,7 +13,7 @@ from tessera.functions import compare as P
 from tessera.functions import text as X
 from tessera.operators import alias, decide, prepare, reference, report, retrieve, select
 from tessera.plans import fixtures
-from tessera.session import table
+from tessera.session import stored, table
 from tessera.sources import readers
 from tessera.sources import vocabulary as V
 
@@ -324,6 +324,60 @@ def reference_verification(spark, sf):
     return fixtures.verification(spark)
 
 
+def _number(brand: str) -> Column:
+    return F.regexp_extract(brand, "[0-9]+", 0)
+
+
+def _scripted_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Sources under a name in Asian script, candidates under the brand and with a code, no albums."""
+    parts = table(spark, sf, "part")
+    base = [F.col("p_name").alias("title"), F.lit("").alias("album"), (F.col("p_size") * 1000).cast("long").alias("duration_ms")]
+    s = parts.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("source_id"), *base, F.array(F.concat(F.lit("歌手"), _number("p_brand"))).alias("artists"))
+    code = F.when(F.col("p_partkey") % 15 == 0, "").otherwise(F.concat(F.lit("I"), F.col("p_partkey").cast("string")))
+    c = parts.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("candidate_id"), *base, F.array("p_brand").alias("artists"), code.alias("isrc"))
+    return prepare.sources(s), prepare.candidates(c).withColumn("c_order", F.col("candidate_id").cast("long"))
+
+
+def _reference_of_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Artists of four brands in five under both names; up to three recordings of each odd part: the title, another one, one of a version; some unknown, long or credited otherwise."""
+    parts, k = table(spark, sf, "part"), F.col("p_partkey")
+    name, none = F.concat(F.lit("歌手"), _number("p_brand")), F.array().cast("array<string>")
+    artists = parts.select("p_brand").distinct().where(_number("p_brand").cast("int") % 5 != 0).select(F.concat(F.lit("a"), "p_brand").alias("mbid"), name.alias("name"), F.col("p_brand").alias("sort_name"), none.alias("aliases"))
+    each = parts.where("p_partkey % 2 = 1").select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j")).where("j < p_partkey div 2 % 4")
+    credit = lambda name, mbid: F.struct(name.alias("name"), mbid.alias("artist_mbid"))
+    shared = F.concat(F.lit("c"), k.cast("string"))
+    credits = F.when(k % 17 == 0, F.array(credit(F.col("p_brand"), shared), credit(name, shared))).when(k % 13 == 0, F.array(credit(F.col("p_brand"), F.lit("z")))).otherwise(F.array(credit(F.col("p_brand"), F.concat(F.lit("a"), "p_brand"))))
+    title = F.when(F.col("j") == 1, F.concat(F.lit("Other Things "), "p_name")).when((k % 19 == 0) & (F.col("j") == 0), "曲").otherwise(F.col("p_name"))
+    length = F.when(k % 9 == 0, 0).otherwise(F.col("p_size") * 1000 + F.col("j") * 9000 + F.when(k % 5 == 0, 31_000).otherwise(0)).cast("long")
+    mbid = F.concat_ws("-", F.lit("r"), k.cast("string"), F.col("j").cast("string"))
+    made = each.select(mbid.alias("mbid"), F.concat(F.lit("I"), k.cast("string")).alias("isrc"), title.alias("title"), length.alias("length"), F.when((F.col("j") == 2) | (k % 11 == 0), "live").otherwise("").alias("disambiguation"), credits.alias("credits"))
+    return artists, made.drop("isrc"), made.select("isrc", "mbid")
+
+
+def verification_of_parts(spark, sf):
+    """Decisions on candidates of the same title under another script, before and after the reference tables are asked."""
+    s, c = _scripted_sides(spark, sf)
+    signalled = stored(decide.signals(retrieve.pairs(s, c, _by_title(s, c))), "signalled")  # the verification looks at the pairs from several sides
+    verified = reference.verify(decide.decide(signalled).where("gate"), *_reference_of_parts(spark, sf))
+    done = decide.decide(signalled, verified).select("source_id", "candidate_id", "gate", "accepted", F.array_join("reasons", "|").alias("reasons"))
+    out = done.join(verified, ["source_id", "candidate_id"])
+    word = lambda name: F.coalesce(F.try_element_at("predicates", F.lit(name)), F.lit("-")).alias(name)
+    return out.select(
+        "source_id", F.col("candidate_id").cast("long").alias("candidate_id"), "gate", "identity", "accepted", "reasons", F.col("n_recordings").cast("long").alias("n_recordings"), "best_diff", "route",
+        *map(word, ("artist_identity", "recording_title", "recording_artist", "duration", "isrc_uniqueness")), F.array_join("failure_predicates", "|").alias("failures"),
+    )
+
+
+def second_queries(spark, sf):
+    """What the second query finds for sources in Asian script whose first one came back empty: under the artist's Latin name, else by title with the artist as free text."""
+    s, c = _scripted_sides(spark, sf)
+    artists = _reference_of_parts(spark, sf)[0]
+    first, aliases = retrieve.strict(s, c, False, 1), reference.latin_alias(s, artists)
+    named = retrieve.romanised(s, c, aliases, first).withColumn("mode", F.lit("romanised"))
+    free = retrieve.relaxed(s, c, aliases, first).withColumn("mode", F.lit("free"))
+    return named.unionByName(free).select("source_id", F.col("candidate_id").cast("long").alias("candidate_id"), "rank", "mode")
+
+
 def title_alias_discovery(spark, sf):
     t = fixtures.alias_tables(spark)
     return alias.discover(*t)
@@ -404,7 +458,7 @@ QUERIES = {f.__name__: f for f in (
     pair_scores, match_exact_top1, cascade_two_stage, decision_reasons, reject_category_hist, ordered_dedup, topk_per_source, match_report, match_rate_by_group, signal_histogram,
     reference_exclusion, failed_not_missing, alias_left_join, entity_id_intersection, recording_min_diff, rank1_consensus, unique_best_or_ambiguous, max_score_with_ties,
     request_cache_hits, budgeted_prefix, replay_first_accept, isrc_verdict, batch_of_100, fuzzy_title_prefilter, fuzzy_title_match, simplified_titles, production_report, scope_errors,
-    script_report, due_attempts, strategy_queries, query_corrections, alias_strategies, reference_verification, title_alias_discovery, romanised_retrieval, daily_songs, candidate_pages, rank_consensus,
+    script_report, due_attempts, strategy_queries, query_corrections, alias_strategies, verification_of_parts, second_queries, reference_verification, title_alias_discovery, romanised_retrieval, daily_songs, candidate_pages, rank_consensus,
 )}
 
 ORACLES: dict[str, str] = {
@@ -475,6 +529,54 @@ SELECT p_partkey, CASE k WHEN 1 THEN 'structured_p0' WHEN 2 THEN 'structured_p10
     "alias_strategies": """
 WITH a AS (SELECT p_partkey AS source_id, CASE WHEN p_size <= 10 THEN 'NOT_NEEDED' WHEN p_partkey % 3 = 0 THEN 'SKIPPED_AMBIGUOUS' WHEN p_size % 2 = 1 THEN 'SKIPPED_NO_ALIAS' ELSE 'ATTEMPTED' END AS status, p_name, p_type FROM part)
 SELECT source_id, status, CASE WHEN status = 'ATTEMPTED' THEN 'track:"' || p_name || '" artist:"' || p_type || '"' END AS query FROM a""",
+    "verification_of_parts": f"""
+WITH p AS (SELECT p_partkey AS k, {_KEY.format("p_name")} AS nk, p_brand AS brand, regexp_extract(p_brand, '[0-9]+')::INT % 5 <> 0 AS listed, p_size * 1000 AS ms FROM part),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nk ORDER BY k) AS w FROM p WHERE k % 2 = 1) WHERE w <= 10),
+pairs AS (SELECT s.k AS source_id, c.k AS candidate_id, c.k % 15 <> 0 AS coded, s.brand = c.brand AS same, s.listed AS s_listed, abs(s.ms - c.ms) AS gap, c.ms AS ms FROM p s JOIN best c ON s.nk = c.nk AND s.k % 2 = 0),
+rec AS (
+  SELECT k, j, k % 17 = 0 AS shared, k % 13 = 0 AS odd, j = 1 OR (k % 19 = 0 AND j = 0) AS other, k % 19 = 0 AND j = 0 AS asian, j = 2 OR k % 11 = 0 AS live,
+         CASE WHEN k % 9 = 0 THEN NULL ELSE j * 9000 + CASE WHEN k % 5 = 0 THEN 31000 ELSE 0 END END AS diff, k // 2 % 4 AS n
+  FROM (SELECT k, unnest([0, 1, 2]) AS j FROM p WHERE k % 2 = 1) WHERE j < k // 2 % 4
+),
+known AS (SELECT *, CASE WHEN same AND s_listed THEN 'artist' WHEN same AND coded AND candidate_id % 17 = 0 AND candidate_id // 2 % 4 > 0 THEN 'artist-credit' END AS route FROM pairs),
+met AS (
+  SELECT known.*, r.k IS NOT NULL AS found, r.diff,
+         coalesce(CASE route WHEN 'artist' THEN NOT shared AND NOT odd WHEN 'artist-credit' THEN shared END, false) AS r_artist,
+         coalesce(NOT other, false) AS r_match, coalesce(live, false) AS r_live, coalesce(asian, false) AND n = 1 AND route = 'artist' AS crossing
+  FROM known LEFT JOIN rec r ON r.k = candidate_id AND coded AND route IS NOT NULL
+),
+q AS (SELECT *, r_artist AND NOT r_live AND (r_match OR (crossing AND coalesce(diff <= 30000, false))) AS good FROM met),
+g AS (
+  SELECT source_id, candidate_id, any_value(coded) AS coded, any_value(route) AS route, any_value(gap) AS gap, count(*) FILTER (found) AS n_recordings, bool_or(good) AS good,
+         min(diff) FILTER (good) AS best_diff, bool_or(good AND NOT r_match) AS crossed, bool_or(r_artist) AS any_artist
+  FROM q GROUP BY 1, 2
+),
+i AS (
+  SELECT *, route IS NOT NULL AS known,
+    coded AND route IS NOT NULL AND CASE WHEN n_recordings = 0 THEN route = 'artist' ELSE good AND (best_diff IS NULL OR best_diff <= 30000) END AS confirmed
+  FROM g
+),
+w AS (
+  SELECT *, CASE WHEN coded THEN confirmed ELSE known AND gap <= 8000 END AS identity,
+    CASE WHEN NOT coded THEN '-' WHEN known THEN 'PASS' ELSE 'FAIL' END AS artist_identity,
+    CASE WHEN NOT coded OR NOT known THEN '-' WHEN n_recordings = 0 THEN 'UNKNOWN' WHEN crossed THEN 'UNKNOWN_CROSS_SCRIPT' WHEN good THEN 'PASS' ELSE 'FAIL' END AS recording_title,
+    CASE WHEN NOT coded OR NOT known THEN '-' WHEN n_recordings = 0 THEN 'UNKNOWN' WHEN any_artist THEN 'PASS' ELSE 'FAIL' END AS recording_artist,
+    CASE WHEN NOT coded OR NOT known THEN '-' WHEN best_diff IS NULL THEN 'UNKNOWN' WHEN best_diff <= 30000 THEN 'PASS' ELSE 'FAIL' END AS duration,
+    CASE WHEN NOT coded OR NOT known THEN '-' WHEN n_recordings = 0 THEN 'NOT_FOUND' WHEN n_recordings = 1 THEN 'PASS' ELSE 'MULTIPLE' END AS isrc_uniqueness
+  FROM i
+)
+SELECT source_id, candidate_id, true AS gate, identity, identity AS accepted, CASE WHEN identity THEN '' ELSE 'artist not sufficiently corroborated' END AS reasons, n_recordings, best_diff::BIGINT AS best_diff, route,
+  artist_identity, recording_title, recording_artist, duration, isrc_uniqueness,
+  CASE WHEN NOT coded OR confirmed THEN '' WHEN NOT known THEN 'artist_identity' WHEN n_recordings = 0 THEN 'recording_evidence'
+    ELSE array_to_string(list_filter([CASE WHEN recording_title = 'FAIL' THEN 'recording_title' END, CASE WHEN recording_artist = 'FAIL' THEN 'recording_artist' END, CASE WHEN duration IN ('FAIL', 'UNKNOWN') THEN 'duration' END], lambda x: x IS NOT NULL), '|') END AS failures
+FROM w""",
+    "second_queries": f"""
+WITH p AS (SELECT p_partkey AS k, {_KEY.format("p_name")} AS nk, p_brand AS brand, regexp_extract(p_brand, '[0-9]+')::INT % 5 <> 0 AS listed FROM part),
+m AS (
+  SELECT s.k AS source_id, c.k AS candidate_id, CASE WHEN s.listed THEN 'romanised' ELSE 'free' END AS mode, row_number() OVER (PARTITION BY s.k ORDER BY c.k) AS rank
+  FROM p s JOIN p c ON s.k % 2 = 0 AND c.k % 2 = 1 AND s.nk = c.nk AND (NOT s.listed OR s.brand = c.brand)
+)
+SELECT source_id, candidate_id, rank::INT AS rank, mode FROM m WHERE rank <= 10""",
     "simplified_titles": """SELECT p_partkey, p_name AS title, p_partkey % 3 < 2 AS ambiguous, '\\"' || p_name || '\\\\' AS escaped FROM part""",
     "production_report": f"""WITH {_WON}, f AS (SELECT source_id, count(*) AS n FROM top WHERE query_index = 1 GROUP BY 1),
 j AS (SELECT k.id, coalesce(f.n, 0) AS n, w.source_id IS NOT NULL AS hit, k.id % 5 <> 0 AS ref FROM k LEFT JOIN f ON f.source_id = k.id LEFT JOIN won w ON w.source_id = k.id WHERE k.id % 2 = 0)

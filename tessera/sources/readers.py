@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import compare as P
 from tessera.functions import text as X
+from tessera.operators.select import global_batches
 
 NAMED = "struct<name:string>"
 SONG = f"struct<name:string,ar:array<{NAMED}>,artists:array<{NAMED}>,artist:array<{NAMED}>,al:{NAMED},album:{NAMED},dt:string,duration_ms:string,duration:string>"
@@ -67,10 +68,11 @@ def candidate_pages(pages: DataFrame) -> DataFrame:
 
 
 def song_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(input_index, title, artist) from 'title - artist' lines, in the order of a file's lines."""
+    """(input_index, title, artist) from 'title - artist' lines: lines of that form are numbered from 0 in the order of a file's lines, others don't count."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("_n"), F.regexp_replace("value", "^\\x{feff}", "").alias("line"))
     title, artist = X.split_line(F.col("line"))
-    return lines.select(F.col("_n").alias("input_index"), title.alias("title"), artist.alias("artist")).where("title is not null")
+    kept = lines.select("_n", title.alias("title"), artist.alias("artist")).where("title is not null")
+    return global_batches(kept, ["_n"]).select(F.col("position").alias("input_index"), "title", "artist")
 
 
 def line_keys(spark: SparkSession, path: str) -> DataFrame:

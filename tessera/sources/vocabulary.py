@@ -6,7 +6,6 @@ so joins against them may broadcast them: their size is what stands here, whatev
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 
 ARTIST_ALIASES = {
     "久石譲": ["Joe Hisaishi"],
@@ -59,14 +58,3 @@ TERM_PATTERNS = {
     "cover": r"covers?",
 }
 ALL_TERMS = [*SAFE_TERMS, *HARD_TERMS, *INVALID_TERMS]
-
-
-def alias_table(spark: SparkSession, values: dict[str, list[str]], key: str, alias: str) -> DataFrame:
-    """(key, alias array)."""
-    return spark.createDataFrame([(k, list(v)) for k, v in values.items()], f"{key} string, {alias} array<string>")
-
-
-def term_table(spark: SparkSession) -> DataFrame:
-    """(term, class, pattern)."""
-    rows = [(t, c, TERM_PATTERNS.get(t, t)) for c, ts in (("safe", SAFE_TERMS), ("hard", HARD_TERMS), ("invalid", INVALID_TERMS)) for t in ts]
-    return spark.createDataFrame(rows, "term string, class string, pattern string")
