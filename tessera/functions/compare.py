@@ -111,7 +111,7 @@ def total_points(title_exact: Column, artist: Column, album: Column, duration: C
 
 def plays_artist(artist_folded: Column, context_folded: Column) -> Column:
     """Whether the context says that somebody plays the artist."""
-    escaped = F.regexp_replace(artist_folded, "([^\\p{L}\\p{N}_ ])", "\\\\\\\\$1")
+    escaped = F.regexp_replace(artist_folded, "([^\\p{L}\\p{N}_ ])", "\\\\$1")
     return F.regexp_like(context_folded, F.concat(F.lit("(?U)(?:^|[^\\w])plays\\W+"), F.replace(escaped, F.lit(" "), F.lit("\\W+")), F.lit("(?:$|[^\\w])")))
 
 

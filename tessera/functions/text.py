@@ -25,6 +25,23 @@ JAPANESE = "[\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]"
 HAN_WIDE = "[\\x{3400}-\\x{9fff}\\x{f900}-\\x{faff}]"
 
 
+#: Patterns on which results depend.
+CORE_CUTS = (
+    "(?U)\\s*\\((?:with|feat\\.?|featuring)\\b[^)]*\\)",
+    "(?U)\\s*-?\\s*\\[(?:from)\\s+[^\\]]+\\]\\s*$",
+    "(?U)\\s*-\\s*from\\s+[\"“”][^\"“”]+[\"“”]\\s*$",
+    "(?U)\\s*-\\s*(?:\\d{4}\\s+)?remaster(?:ed)?\\s*$",
+    "(?U)\\s*\\((?:\\d{4}\\s+)?remaster(?:ed)?\\)\\s*$",
+)
+LIVE_SUFFIX = "(?iU)\\s*-\\s*live(?:\\s+version)?\\s*$"
+FEATURE = "(?iU)^(.*?)\\s+(?:feat\\.?|ft\\.?|featuring)\\s+(.+?)\\s*$"
+FEATURE_SEPARATOR = "(?iU)\\s*(?:,|&|、|/|and)\\s*"
+SOUNDTRACK = '(?iU)^(.*?)\\s+-\\s+from\\s+["“](.+?)["”]\\s+soundtrack\\s*$'
+ALBUM_VERSION = "(?iU)\\s*[-(（]\\s*(?:album|single)\\s+version\\s*[)）]?\\s*$"
+SEVERAL_ARTISTS = "(?iU)[,/]|\\s(?:and|&|with|feat\\.?|featuring)\\s"
+ROMAN_WO, ROMAN_CCI, ROMAN_BOCCI = "(?iU)\\bwo\\b", "(?iU)cci\\b", "(?iU)\\bbocci\\b"
+BRACKETS = "[(（]([^)）]+)[)）]"
+
 def _folded(x: str | None) -> str:
     return "" if x is None else x.lower() if x.isascii() else unicodedata.normalize("NFKC", x).casefold()
 
@@ -96,13 +113,7 @@ def query_value(raw: Column) -> Column:
 def title_core(folded: Column) -> Column:
     """A title without credits of guests, sources and remasters."""
     out = strip(folded)
-    for pattern in (
-        "(?U)\\s*\\((?:with|feat\\.?|featuring)\\b[^)]*\\)",
-        "(?U)\\s*-?\\s*\\[(?:from)\\s+[^\\]]+\\]\\s*$",
-        "(?U)\\s*-\\s*from\\s+[\"“”][^\"“”]+[\"“”]\\s*$",
-        "(?U)\\s*-\\s*(?:\\d{4}\\s+)?remaster(?:ed)?\\s*$",
-        "(?U)\\s*\\((?:\\d{4}\\s+)?remaster(?:ed)?\\)\\s*$",
-    ):
+    for pattern in CORE_CUTS:
         out = F.regexp_replace(out, pattern, "")
     return strip(out)
 
@@ -163,11 +174,9 @@ def version_terms(folded: Column) -> Column:
 
 
 def live_suffix_cut(raw: Column) -> Column:
-    return F.regexp_replace(raw, "(?iU)\\s*-\\s*live(?:\\s+version)?\\s*$", "")
+    return F.regexp_replace(raw, LIVE_SUFFIX, "")
 
 
-FEATURE = "(?iU)^(.*?)\\s+(?:feat\\.?|ft\\.?|featuring)\\s+(.+?)\\s*$"
-SOUNDTRACK = '(?iU)^(.*?)\\s+-\\s+from\\s+["“](.+?)["”]\\s+soundtrack\\s*$'
 
 
 def feature_title(raw: Column) -> Column:
@@ -177,7 +186,7 @@ def feature_title(raw: Column) -> Column:
 
 def feature_names(raw: Column) -> Column:
     credit = F.regexp_extract(raw, FEATURE, 2)
-    return F.filter(F.transform(F.split(credit, "(?iU)\\s*(?:,|&|、|/|and)\\s*"), lambda x: strip(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(credit, FEATURE_SEPARATOR), lambda x: strip(x)), lambda x: x != "")
 
 
 def soundtrack_title(raw: Column) -> Column:
@@ -185,11 +194,11 @@ def soundtrack_title(raw: Column) -> Column:
 
 
 def simplified_title(raw: Column) -> Column:
-    return strip(F.regexp_replace(raw, "(?iU)\\s*[-(（]\\s*(?:album|single)\\s+version\\s*[)）]?\\s*$", ""))
+    return strip(F.regexp_replace(raw, ALBUM_VERSION, ""))
 
 
 def ambiguous_artist(raw: Column) -> Column:
-    return has("(?iU)[,/]|\\s(?:and|&|with|feat\\.?|featuring)\\s", raw)
+    return has(SEVERAL_ARTISTS, raw)
 
 
 def escape_query(raw: Column) -> Column:
@@ -205,7 +214,7 @@ def base_title_variants(normal: Column) -> Column:
 
 def romanised_variants(raw: Column) -> Column:
     """Other spellings of a romanised title, each change alone."""
-    return F.array_distinct(F.array(raw, F.regexp_replace(raw, "(?iU)\\bwo\\b", "o"), F.regexp_replace(raw, "(?iU)cci\\b", "tchi")))
+    return F.array_distinct(F.array(raw, F.regexp_replace(raw, ROMAN_WO, "o"), F.regexp_replace(raw, ROMAN_CCI, "tchi")))
 
 
 def recording_variants(normal_title: Column, artist: Column) -> Column:
@@ -216,11 +225,11 @@ def recording_variants(normal_title: Column, artist: Column) -> Column:
 
 
 def romanised_retrieval_title(normal: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(normal, "(?iU)\\bwo\\b", "o"), "(?iU)\\bbocci\\b", "botchi")
+    return F.regexp_replace(F.regexp_replace(normal, ROMAN_WO, "o"), ROMAN_BOCCI, "botchi")
 
 
 def bracket_contents(normal: Column) -> Column:
-    return F.filter(F.regexp_extract_all(normal, F.lit("[(（]([^)）]+)[)）]"), F.lit(1)), lambda x: strip(x) != "")
+    return F.filter(F.regexp_extract_all(normal, F.lit(BRACKETS), F.lit(1)), lambda x: strip(x) != "")
 
 
 def query_shape(folded: Column) -> Column:

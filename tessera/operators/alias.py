@@ -58,6 +58,7 @@ def discover(songs: DataFrame, artists: DataFrame, recordings: DataFrame, releas
     order = [F.asc("translated"), F.desc("evidence"), F.desc("n")]
     tied = best_with_ties(grouped, ["song_id"], order).groupBy("song_id").agg(F.count("*").alias("ties"), F.max("alias").alias("alias"), F.max("n").alias("evidence_count"))
     out = songs.select("song_id").join(with_artist.withColumn("_a", F.lit(True)), "song_id", "left").join(counted.select("song_id", "n"), "song_id", "left").join(tied, "song_id", "left")
+    # fixed values: the names of the reasons
     reason = (
         F.when(F.col("_a").isNull(), "ARTIST_IDENTITY_NOT_FOUND")
         .when(F.col("n").isNull(), "RECORDING_NOT_FOUND")

@@ -368,6 +368,35 @@ def verification_of_parts(spark, sf):
     )
 
 
+def decisions_of_variants(spark, sf):
+    """Each part against a changed copy of itself, in twelve ways: guests, renditions, live albums, scripts, several artists, soundtracks, spellings."""
+    parts, k = table(spark, sf, "part"), F.col("p_partkey") % 12
+    name, brand, kind = F.col("p_name"), F.col("p_brand"), F.col("p_type")
+
+    def by(default: Column, **cases: Column) -> Column:
+        out = default
+        for n, value in cases.items():
+            out = F.when(k == int(n[1:]), value).otherwise(out)
+        return out
+
+    text = F.lit
+    ms = (F.col("p_size") * 1000).cast("long")
+    s = parts.select(
+        F.col("p_partkey").alias("source_id"), by(name, k1=F.concat(name, text(" (with Guest)")), k9=F.concat(name, text(" feat. Guest"))).alias("title"),
+        by(F.array(brand), k5=F.array(text("歌手")), k6=F.array(text("歌手")), k8=F.array(brand, text("Other")), k11=F.array(text("Olver Cheatham"))).alias("artists"),
+        by(kind, k4=text("Live at Home")).alias("album"), ms.alias("duration_ms"),
+    )
+    c = parts.select(
+        F.col("p_partkey").alias("source_id"), F.lit(1).alias("query_index"), F.lit(1).alias("rank"), F.col("p_partkey").cast("string").alias("candidate_id"),
+        by(name, k4=F.concat(name, text(" - Live")), k10=F.concat(name, text(' - from "Film" Soundtrack'))).alias("title"),
+        by(F.array(brand), k1=F.array(brand, text("Guest")), k2=F.array(brand, text("Else")), k3=F.array(text("Else"), brand), k7=F.array(F.concat(brand, text(" Band"))), k8=F.array(text("Other"), brand), k9=F.array(brand, text("Guest")), k11=F.array(text("Oliver Cheatham"))).alias("artists"),
+        by(kind, k2=text("Zzz"), k3=F.concat(text("Else plays "), brand), k4=text("Live in Town"), k6=text("Zzz")).alias("album"),
+        by(ms, k11=ms + F.when(F.col("p_size") % 2 == 0, 0).otherwise(60_000)).alias("duration_ms"), F.lit("").alias("isrc"),
+    )
+    d = decide.decide(decide.signals(prepare.candidates(c).join(prepare.sources(s), "source_id")))
+    return d.select("source_id", "accepted", "category", F.array_join(F.array_sort("reasons"), "|").alias("reasons"), "artist", "artist_common", "album", "duration", "title_exact", "score")
+
+
 def second_queries(spark, sf):
     """What the second query finds for sources in Asian script whose first one came back empty: under the artist's Latin name, else by title with the artist as free text."""
     s, c = _scripted_sides(spark, sf)
@@ -458,7 +487,7 @@ QUERIES = {f.__name__: f for f in (
     pair_scores, match_exact_top1, cascade_two_stage, decision_reasons, reject_category_hist, ordered_dedup, topk_per_source, match_report, match_rate_by_group, signal_histogram,
     reference_exclusion, failed_not_missing, alias_left_join, entity_id_intersection, recording_min_diff, rank1_consensus, unique_best_or_ambiguous, max_score_with_ties,
     request_cache_hits, budgeted_prefix, replay_first_accept, isrc_verdict, batch_of_100, fuzzy_title_prefilter, fuzzy_title_match, simplified_titles, production_report, scope_errors,
-    script_report, due_attempts, strategy_queries, query_corrections, alias_strategies, verification_of_parts, second_queries, reference_verification, title_alias_discovery, romanised_retrieval, daily_songs, candidate_pages, rank_consensus,
+    script_report, due_attempts, strategy_queries, query_corrections, alias_strategies, verification_of_parts, second_queries, decisions_of_variants, reference_verification, title_alias_discovery, romanised_retrieval, daily_songs, candidate_pages, rank_consensus,
 )}
 
 ORACLES: dict[str, str] = {
@@ -570,6 +599,18 @@ SELECT source_id, candidate_id, true AS gate, identity, identity AS accepted, CA
   CASE WHEN NOT coded OR confirmed THEN '' WHEN NOT known THEN 'artist_identity' WHEN n_recordings = 0 THEN 'recording_evidence'
     ELSE array_to_string(list_filter([CASE WHEN recording_title = 'FAIL' THEN 'recording_title' END, CASE WHEN recording_artist = 'FAIL' THEN 'recording_artist' END, CASE WHEN duration IN ('FAIL', 'UNKNOWN') THEN 'duration' END], lambda x: x IS NOT NULL), '|') END AS failures
 FROM w""",
+    "decisions_of_variants": """
+WITH p AS (SELECT p_partkey, p_partkey % 12 AS k, p_size % 2 = 0 AS near, p_type FROM part),
+s AS (
+  SELECT p_partkey AS source_id, k, near,
+    CASE k WHEN 3 THEN 'likely rendition project' WHEN 6 THEN 'artist not sufficiently corroborated' WHEN 11 THEN CASE WHEN near THEN '' ELSE 'artist spelling correction lacks duration corroboration' END ELSE '' END AS reasons,
+    CASE WHEN k IN (5, 6) THEN 35 WHEN k = 7 THEN 80 ELSE 100 END AS artist, CASE WHEN k IN (5, 6) THEN 0 WHEN k = 8 THEN 2 ELSE 1 END AS artist_common,
+    CASE WHEN k IN (2, 3, 4, 6) THEN 10 ELSE 60 END AS album, CASE WHEN k = 11 AND NOT near THEN 0 ELSE 50 END AS duration, k NOT IN (4, 9, 10) AS title_exact
+  FROM p
+)
+SELECT source_id, reasons = '' AS accepted, CASE k WHEN 6 THEN 'ARTIST_CONFLICT' WHEN 3 THEN 'INSUFFICIENT_EVIDENCE' WHEN 11 THEN CASE WHEN NOT near THEN 'INSUFFICIENT_EVIDENCE' END END AS category, reasons,
+  artist, artist_common, album, duration, title_exact, (CASE WHEN title_exact THEN 300 ELSE 276 END + 5 * artist + album + duration + 100 - CASE WHEN k IN (2, 3) THEN 100 ELSE 0 END)::INT AS score
+FROM s""",
     "second_queries": f"""
 WITH p AS (SELECT p_partkey AS k, {_KEY.format("p_name")} AS nk, p_brand AS brand, regexp_extract(p_brand, '[0-9]+')::INT % 5 <> 0 AS listed FROM part),
 m AS (
