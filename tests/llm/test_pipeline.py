@@ -102,3 +102,35 @@ def test_packing(steps):
     for p in placed:
         total[p.doc_id] += p.n_tokens
     assert total == collections.Counter({r.doc_id: len(words(r.text)) + 1 for r in rows})
+
+
+ODD = ["kept", "rule", "secrets", "pii", "n_words", "kept_text", "component_id", "extra_0", "lang", "_text"]
+
+
+def odd_rows():
+    rng = __import__("random").Random(20)
+    make = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, passage = make(60), make(60), make(30)
+    texts = [(1, a), (2, a), (3, b), (3, b), (4, f"{passage} {make(30)}"), (5, f"{make(30)} {passage}"), (6, None), (7, ""), (8, "short"), (None, make(50)), (9, f"{make(30)} +49 (30) 123-4567 {make(10)}"), (10, make(30_000))]
+    return texts
+
+
+def test_odd_documents_pass_all_stages(spark, tmp_path):
+    rows = [(i, t, None if t is None else len(t), *[f"{c}-{i}" for c in ODD]) for i, t in odd_rows()]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"{c} string" for c in ODD)
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (None, 0, 0), (6, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        docs = spark.createDataFrame(found.collect(), schema)
+    got = docs.collect()
+    assert all(r[c] == f"{c}-{r.doc_id}" for r in got for c in ODD) and all(r.n_chars == len(r.text) for r in got)
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == [-1, 1, 3, 3, 4, 5, 9, 10]
+    by = {r.doc_id: r.text for r in got}
+    assert "[PHONE]" in by[9] and len(words(by[5])) == 30 and len(words(by[4])) == 60 and len(words(by[10])) == 30_000
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sum(r.n_tokens for r in packed) == sum(len(words(r.text)) + 1 for r in got)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
