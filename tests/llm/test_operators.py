@@ -85,6 +85,20 @@ def test_quality_list_learns_and_keeps_clean(spark):
     assert quality_rules.learn(d, y.limit(0)) == []
 
 
+def test_covering_learns_ordered_conjunctions():
+    rng = random.Random(21)
+    rows = [{f: rng.randint(0, 1000) for f in quality_rules.FEATURES} for _ in range(1500)]
+    bad = [r["symbols_per_word"] >= 600 and r["upper_share"] >= 550 or r["digit_share"] >= 850 and r["stop_share"] <= 400 for r in rows]
+    rules = quality_rules.cover(rows, bad, [i % 3 > 0 for i in range(1500)])
+    holds = lambda rule, r: all(r[c.feature] >= c.threshold if c.at_least else r[c.feature] <= c.threshold for c in rule)
+    assert len(rules) >= 2 and any(len(rule) >= 2 for rule in rules)
+    verdict = [any(holds(rule, r) for rule in rules) for r in rows]
+    assert sum(v and b for v, b in zip(verdict, bad, strict=True)) >= 0.9 * sum(bad)
+    assert sum(v and not b for v, b in zip(verdict, bad, strict=True)) <= 0.01 * sum(verdict) + 1
+    used = {c.feature for rule in rules for c in rule}
+    assert {"symbols_per_word", "upper_share", "digit_share", "stop_share"} <= used
+
+
 def test_trigram_queries_are_implied_by_matches():
     assert secret_index.trigram_query("[0-9a-f]{24,}") == secret_index.ANY
     assert secret_index.grams_of(secret_index.trigram_query("AKIA[A-Z0-9]+")) == {"aki", "kia"}
@@ -320,6 +334,31 @@ def test_language(spark, docs, empty):
     assert language_mixture.predict_documents(empty).count() == 0
 
 
+def test_language_sets_are_those_of_all_subsets():
+    import itertools
+
+    rng = np.random.Generator(np.random.PCG64(22))
+    names, buckets, penalty = 4, 60, 4.0
+    like = rng.dirichlet(np.full(buckets, 0.1), names).T + 1e-4
+    like /= like.sum(axis=0)
+    full = np.full((language_mixture.BUCKETS, names), 1e-9)
+    full[:buckets] = like
+    for langs, share in (([0], [1.0]), ([1, 2], [0.6, 0.4]), ([3, 0], [0.7, 0.3]), ([0, 1, 2], [0.5, 0.3, 0.2])):
+        grams = np.concatenate([rng.choice(buckets, int(2000 * s), p=like[:, k]) for k, s in zip(langs, share, strict=True)]).astype(np.int32)
+        counts = np.bincount(grams, minlength=buckets).astype(float)
+
+        def best(subset):
+            p = np.full(len(subset), 1 / len(subset))
+            for _ in range(400):
+                p = p * ((counts / (like[:, subset] @ p)) @ like[:, subset]) / counts.sum()
+            return float(counts @ np.log(like[:, subset] @ p)) - len(subset) * penalty * math.log(counts.sum() + 1), subset, p
+
+        _, subset, p = max((best(list(x)) for k in range(1, names + 1) for x in itertools.combinations(range(names), k)), key=lambda x: x[0])
+        chosen, shares = language_mixture.infer(grams, full, penalty)
+        assert sorted(chosen) == subset == sorted(langs)
+        assert all(abs(shares[list(chosen).index(k)] - q) < 0.02 for k, q in zip(subset, p, strict=True))
+
+
 def removed_plainly(rows):
     seen = {}
     for i, t, *_ in rows:
