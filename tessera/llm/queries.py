@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bpe_automaton, impact_topk, language_mixture, log_bilinear, minhash, pii, quality_rules, recompression, secret_index
+from . import best_fit, bpe_automaton, impact_topk, language_mixture, log_bilinear, minhash, pii, prefix_trie, quality_rules, recompression, secret_index
 from .spans import count_kind, of_kinds, spelled
 
 
@@ -67,6 +67,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turns_of(_table(spark, sf_dir, "conversations"))))
+    return nodes.drop("place", "end_place")
+
+
 #: Fixed: how the queries' contracts split words, as DuckDB (RE2) text.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -167,7 +172,29 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+#: h of a conversation: the CRC-32 of its id's digits, bit by bit, modulo 6.
+_CRC6 = "(xor(list_reduce(list_prepend(4294967295::UBIGINT, [ord(b)::UBIGINT for b in string_split(c::VARCHAR, '')]), lambda x, b: list_reduce(list_prepend(xor(x, b), [0::UBIGINT for i in range(8)]), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::UBIGINT) ELSE y >> 1 END)), 4294967295::UBIGINT) % 6)::BIGINT"
+
+_OP11 = f"""
+WITH own AS (
+  SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS w FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1
+),
+h AS (SELECT c, w, {_CRC6} AS h FROM own),
+built AS (SELECT h.c, coalesce(list_slice(b.w, 1, h.h), []) || list_slice(h.w, h.h + 1, len(h.w)) AS w FROM h LEFT JOIN own b ON b.c = h.c - h.c % 100),
+members AS (SELECT c, list_slice(w, 1, d) AS p, d, len(w) AS n FROM (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT p, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM members GROUP BY p
+),
+kids AS (SELECT list_slice(p, 1, depth - 1) AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * length(p[depth].t) ELSE 0 END AS saved FROM nodes LEFT JOIN kids USING (p)),
+above AS (SELECT list_slice(p, 1, k) AS p, n_children = 0 AS leaf, saved FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM full_nodes)),
+sums AS (SELECT p, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY p)
+SELECT f.conv_id, f.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children::BIGINT AS n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN sums USING (p) LEFT JOIN nodes u ON f.depth > 0 AND u.p = list_slice(f.p, 1, f.depth - 1)
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_prefix_trie": _OP11,
     "op2_secret_scan": _op2_sql(),
     "op7_substring_dedup": _OP7,
     "op9_minhash": _OP9,
@@ -185,4 +212,5 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
     "op10_topk": op10_topk,
+    "op11_prefix_trie": op11_prefix_trie,
 }
