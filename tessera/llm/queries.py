@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bpe_automaton, impact_topk, language_mixture, log_bilinear, minhash, pii, prefix_trie, quality_rules, recompression, secret_index
+from . import best_fit, bpe_automaton, decontaminate, impact_topk, language_mixture, log_bilinear, minhash, pii, prefix_trie, quality_rules, recompression, secret_index
 from .spans import count_kind, of_kinds, spelled
 
 
@@ -72,6 +72,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.drop("place", "end_place")
 
 
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10, columns=["doc_id"])
+    names = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names, (F.col("n_hit") > 0).alias("contaminated"))
+
+
 #: Fixed: how the queries' contracts split words, as DuckDB (RE2) text.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -193,7 +199,23 @@ SELECT f.conv_id, f.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, f.n_con
 FROM full_nodes f JOIN sums USING (p) LEFT JOIN nodes u ON f.depth > 0 AND u.p = list_slice(f.p, 1, f.depth - 1)
 """
 
+_PLAIN = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP12 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN} AS w FROM documents),
+items AS (SELECT item_id::VARCHAR AS item, {_PLAIN} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, list_slice(w, i, i + n - 1) AS g, n FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+runs AS (SELECT r, i, n, list_slice(w, i, i + n - 1) AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs JOIN sizes ON len(w) >= n)),
+hits AS (SELECT r, i, runs.n, item FROM runs JOIN windows USING (g)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM hits)) GROUP BY r),
+names AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN names USING (r)
+"""
+
 ORACLES: dict[str, str] = {
+    "op12_decontaminate": _OP12,
     "op11_prefix_trie": _OP11,
     "op2_secret_scan": _op2_sql(),
     "op7_substring_dedup": _OP7,
@@ -213,4 +235,5 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_topk": op10_topk,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_decontaminate": op12_decontaminate,
 }
