@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bpe_automaton, decontaminate, impact_topk, language_mixture, log_bilinear, minhash, pii, prefix_trie, quality_rules, recompression, secret_index
+from . import best_fit, bpe_automaton, decontaminate, hard_negatives, impact_topk, language_mixture, log_bilinear, minhash, pii, prefix_trie, quality_rules, recompression, secret_index
 from .spans import count_kind, of_kinds, spelled
 
 
@@ -78,6 +78,11 @@ def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names, (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, least=30, most=90)
+
+
 #: Fixed: how the queries' contracts split words, as DuckDB (RE2) text.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -214,7 +219,26 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN words USING (r) LEFT JOIN names USING (r)
 """
 
+_OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, d.vec_id, a.label = d.label AS same, list_sum([p[1] * p[2] for p in list_zip(a.c, d.c)])::BIGINT AS score
+  FROM v a JOIN v d ON a.vec_id % 100 = 0 AND d.vec_id <> a.vec_id AND len(a.c) = len(d.c)
+),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
+    "op13_hard_negatives": _OP13,
     "op12_decontaminate": _OP12,
     "op11_prefix_trie": _OP11,
     "op2_secret_scan": _op2_sql(),
@@ -236,4 +260,5 @@ QUERIES = {
     "op10_topk": op10_topk,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_decontaminate": op12_decontaminate,
+    "op13_hard_negatives": op13_hard_negatives,
 }
