@@ -155,7 +155,6 @@ def _task(batches, block: dict, books: np.ndarray, k: int, windows: int):
                 anchors = Anchors(ids[side], labels[side], vectors[side], books)
                 low, up = anchors.limits(codes[plain], norms[plain])
                 fits = ((label[plain][:, None] == anchors.labels[None, :]) != bool(windows)) & (r[:, None] != anchors.ids[None, :])
-                low, up = np.where(fits, low, np.inf), np.where(fits, up, -np.inf)
                 wanted = np.zeros(fits.shape, bool)
                 for w in range(per):
                     high = highs[side, w]
@@ -164,7 +163,7 @@ def _task(batches, block: dict, books: np.ndarray, k: int, windows: int):
                         sure = np.where(fits & (up <= high), low, -np.inf)
                         bar = np.maximum(bar, np.partition(sure, -k, axis=0)[-k])
                     wanted |= (low <= high) & (up >= bar)
-                at_row, at_anchor = np.nonzero(wanted)
+                at_row, at_anchor = np.nonzero(wanted & fits)
                 score = _scores(b, anchors.vectors, at_row, at_anchor)
                 window, kept_score, kept_id = held[s]
                 for w in range(per):
