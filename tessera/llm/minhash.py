@@ -15,8 +15,8 @@ Only signatures go through buckets and cells. The texts of pairs that are still
 task that compares them, once to each task however many pairs they have there, and a pivot's pairs are dealt to several tasks.
 
 Defined results: null, empty and blank texts have no shingle, are linked with nothing and kept. A null id is kept
-and linked with nothing (component_id null). Rows that share an id are one document with several texts; repeated rows and ties
-are alike. Very long texts count whole: a task takes pairs by the size of their sets, so a few long texts fill one. Extra
+and linked with nothing (component_id null), but its n_shingles are its own. Rows that share an id are one document with several texts: n_shingles is each row's, component_id
+that of all, but for a row without shingles, whose component_id is its id; repeated rows and ties are alike. Very long texts count whole: a task takes pairs by the size of their sets, so a few long texts fill one. Extra
 columns pass through, but for those with the name of an output. An empty table gives an empty table.
 """
 
@@ -75,7 +75,7 @@ def minima(hashes: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.ndar
 
 
 def sign(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, two fingerprints of the set, 8 bits of each minimum, and band keys."""
+    """id, n_shingles, two fingerprints of the set, 8 bits of each minimum, band keys, and two hashes of the text, which tell rows of one id apart."""
 
     def run(batches):
         family = _family()
@@ -98,9 +98,13 @@ def sign(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
                     else:
                         sig.append(None)
                         bands.append(None)
-                yield pa.RecordBatch.from_pydict({"id": part.column(0), "n": pa.array(n, pa.int64()), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "sig": pa.array(sig, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"id": part.column(0), "n": pa.array(n, pa.int64()), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "sig": pa.array(sig, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())), "t1": part.column(2), "t2": part.column(3)})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, f1 long, f2 long, sig binary, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *_of_text(text_col)).mapInArrow(run, "id long, n long, f1 long, f2 long, sig binary, bands array<long>, t1 long, t2 long")
+
+
+def _of_text(text_col: str) -> list[Column]:
+    return [F.xxhash64(F.lit(lane), F.col(text_col)).alias(f"t{lane}") for lane in (1, 2)]
 
 
 def _node() -> Column:
@@ -301,12 +305,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         drop_table(table)
     of_class = classes.select("f1", "f2", "rep", "id").join(component, F.col("rep") == F.col("node"), "left").select("f1", "f2", "id", F.coalesce("component", "rep").alias("group"))
     of_class = of_class.join(of_class.groupBy("group").agg(F.min("id").alias("component")), "group").select("f1", "f2", "component")
-    placed_docs = signed.select("id", "n", "f1", "f2").join(of_class, ["f1", "f2"], "left")
-    verdict = placed_docs.select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    placed_docs = signed.select("id", "n", "f1", "f2", "t1", "t2").join(of_class, ["f1", "f2"], "left")
+    verdict = placed_docs.select("id", "t1", "t2", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
     verdict = verdict.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
     if set(keep) <= {id_col, text_col}:
         return verdict.select(F.col("id").alias(id_col), *_OUTPUTS)
-    (own,) = free_names([*keep, *_OUTPUTS], "own_id")
-    once = verdict.where("id is not null").dropDuplicates(["id"]).withColumnRenamed("id", own)
-    joined = docs.select(*keep).join(once, F.col(id_col) == F.col(own), "left").drop(own)
-    return joined.withColumn("kept", F.coalesce("kept", F.lit(True)))
+    own, own1, own2, t1, t2 = free_names([*keep, *_OUTPUTS], "own_id", "own_1", "own_2", "text_1", "text_2")
+    once = verdict.dropDuplicates(["id", "t1", "t2"]).withColumnsRenamed({"id": own, "t1": own1, "t2": own2})  # rows of one id and one text have one verdict
+    hashed = docs.select(*keep, *[c.alias(n) for c, n in zip(_of_text(text_col), (t1, t2), strict=True)])
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.col(t1) == F.col(own1)) & (F.col(t2) == F.col(own2))
+    return hashed.join(once, same, "left").select(*keep, *_OUTPUTS)

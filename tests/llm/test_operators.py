@@ -521,6 +521,16 @@ def test_near_duplicates(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_count_shingles_by_row(spark):
+    long, short = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(10))
+    rows = [(1, long, "a", 5), (1, short, "b", 6), (1, "", "c", 7), (2, long, "d", 8), (None, long, "e", 9), (None, short, "f", None), (3, None, None, None), (1, short, "b", 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, own_id string, kept int").repartition(3)
+    for docs in (frame, frame.select("doc_id", "text")):
+        got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in minhash.near_duplicates(docs, width=5, percent=80).collect())
+        assert got == [(0, 6, 0, True), (0, 36, 0, True), (1, 0, 1, True), (1, 6, 1, True), (1, 6, 1, True), (1, 36, 1, True), (2, 36, 1, False), (3, 0, 3, True)]
+    assert {(r.own_id, r.n_shingles) for r in minhash.near_duplicates(frame, width=5, percent=80).collect()} == {("a", 36), ("b", 6), ("c", 0), ("d", 36), ("e", 36), ("f", 6), (None, 0)}
+
+
 def test_near_duplicates_of_an_id_with_several_texts(spark):
     one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "pqr")
     rows = [(1, one), (1, two), (1, three), (2, one + " end"), (3, two + " end"), (4, three + " end"), (5, "something else that stands alone here"), (6, three), (6, "a text that only six and seven have"), (7, "a text that only six and seven have")]
