@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import compare as P
 from tessera.functions import text as X
+from tessera.operators.search import words
 from tessera.sources import vocabulary as V
 
 
@@ -49,6 +50,7 @@ def sources(df: DataFrame, title_aliases: dict = V.TITLE_ALIASES, artist_aliases
         F.array_distinct(F.flatten(F.transform(cores, X.title_keys))).alias("s_title_keys"),
         F.array_distinct(keys("_artists")).alias("s_artist_keys"),
         F.array_distinct(keys("_aliases")).alias("s_alias_keys"),
+        F.array_distinct(F.flatten(F.transform("_artists", words))).alias("s_artist_words"),
         X.strip(F.get("_artists", F.lit(0))).alias("s_first_artist"),
         X.key(F.col("_album")).alias("s_album_key"),
         F.array_union(X.version_terms(F.get("_variants", F.lit(0))), X.version_terms(F.col("_album"))).alias("s_terms"),
@@ -75,6 +77,7 @@ def candidates(df: DataFrame) -> DataFrame:
         *more, "candidate_id", "c_title", "c_artists", "c_n_artists", "c_album", "c_duration", "c_isrc", "c_folded", "c_context",
         X.title_keys(X.title_core(F.col("c_folded"))).alias("c_title_keys"),
         F.array_distinct(F.transform("_artists", X.key)).alias("c_artist_keys"),
+        F.array_distinct(F.concat(F.flatten(F.transform("_artists", words)), words(F.col("_album")))).alias("c_words"),
         X.key(F.col("_album")).alias("c_album_key"),
         F.array_union(X.version_terms(F.col("c_folded")), X.version_terms(F.col("_album"))).alias("c_terms"),
         F.array_contains(X.version_terms(F.col("_album")), "live").alias("c_album_live"),

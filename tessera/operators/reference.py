@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import compare as P
 from tessera.functions import text as X
+from tessera.operators import search
 from tessera.operators.select import top
 
 PAIR = ["source_id", "candidate_id"]
@@ -28,6 +29,19 @@ def artist_names(artists: DataFrame) -> DataFrame:
     return named.select("mbid", X.key(X.fold("name")).alias("name_key")).distinct()
 
 
+def lookup(names: DataFrame, artists: DataFrame, k: int = 5, common: int = search.COMMON) -> DataFrame:
+    """(name, rank, mbid): of the k artists that a search for a name ranks first, those that have exactly that name, in the search's order.
+
+    Artists that have all words of the name come before those that have some, so an exact one is left out only for k others of as high a score."""
+    asked = names.select("name").where("name is not null and name <> ''").distinct().withColumn("folded", X.fold("name"))
+    every = F.concat(F.array(X.text("name"), X.text("sort_name")), F.coalesce("aliases", F.array().cast("array<string>")))
+    records = artists.select(F.col("mbid").alias("record_id"), search.words(X.fold(F.array_join(every, " "))).alias("terms"))
+    found = search.ranked(asked.select(F.col("name").alias("query_id"), search.words(F.col("folded")).alias("terms")), records, k, common)
+    exact = artist_names(artists).withColumnRenamed("mbid", "record_id")
+    keyed = asked.select(F.col("name").alias("query_id"), X.key(F.col("folded")).alias("name_key"))
+    return found.join(keyed, "query_id").join(exact, ["record_id", "name_key"]).select(F.col("query_id").alias("name"), "rank", F.col("record_id").alias("mbid"))
+
+
 def credits(recordings: DataFrame) -> DataFrame:
     """(recording_mbid, artist_mbid, name_key)."""
     each = recordings.select(F.col("mbid").alias("recording_mbid"), F.explode("credits").alias("c"))

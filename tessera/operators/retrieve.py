@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import search, similarity
 from tessera.operators.select import top
 
 LIMIT = 10
@@ -38,28 +39,47 @@ def romanised(sources: DataFrame, catalogue: DataFrame, aliases: DataFrame, firs
     """The second query of sources in Asian script whose first one came back empty: by title key and the artist's Latin alias.
 
     aliases: (source_id, alias_key). failed: sources whose first query failed, which is not the same as empty and widens nothing."""
-    empty = sources.where("s_asian").join(first.select("source_id").distinct(), "source_id", "left_anti")
-    if failed is not None:
-        empty = empty.join(failed.select("source_id").distinct(), "source_id", "left_anti")
-    s = empty.join(aliases, "source_id").select("source_id", F.col("s_core_key").alias("k1"), F.col("alias_key").alias("k2"))
+    s = _unanswered(sources.where("s_asian"), first, failed).join(aliases, "source_id").select("source_id", F.col("s_core_key").alias("k1"), F.col("alias_key").alias("k2"))
     c = catalogue.select("candidate_id", "c_order", F.explode("c_title_keys").alias("k1"), "c_artist_keys").select("candidate_id", "c_order", "k1", F.explode("c_artist_keys").alias("k2"))
     met = _first_of_keys(s, c, ["k1", "k2"], k)
     return top(met, ["source_id"], [F.asc("c_order"), F.asc("candidate_id")], k, name="rank").select("source_id", "candidate_id", F.lit(query_index).alias("query_index"), "rank")
 
 
-def relaxed(sources: DataFrame, catalogue: DataFrame, aliases: DataFrame, first: DataFrame, failed: DataFrame | None = None, query_index: int = 2, k: int = LIMIT) -> DataFrame:
-    """The second query of sources in Asian script whose first one came back empty and whose artist has no Latin alias: by title key, with the artists as free text, which none has to match."""
-    empty = sources.where("s_asian").join(first.select("source_id").distinct(), "source_id", "left_anti").join(aliases.select("source_id").distinct(), "source_id", "left_anti")
-    if failed is not None:
-        empty = empty.join(failed.select("source_id").distinct(), "source_id", "left_anti")
-    met = _first_of_keys(empty.select("source_id", F.col("s_core_key").alias("k1")), catalogue.select("candidate_id", "c_order", F.explode("c_title_keys").alias("k1")), ["k1"], k)
-    return top(met, ["source_id"], [F.asc("c_order"), F.asc("candidate_id")], k, name="rank").select("source_id", "candidate_id", F.lit(query_index).alias("query_index"), "rank")
+def _unanswered(sources: DataFrame, first: DataFrame, failed: DataFrame | None) -> DataFrame:
+    """Sources whose first query came back empty; one that failed is not empty."""
+    empty = sources.join(first.select("source_id").distinct(), "source_id", "left_anti")
+    return empty if failed is None else empty.join(failed.select("source_id").distinct(), "source_id", "left_anti")
+
+
+def relaxed(sources: DataFrame, catalogue: DataFrame, aliases: DataFrame, first: DataFrame, failed: DataFrame | None = None, query_index: int = 2, k: int = LIMIT, common: int = search.COMMON) -> DataFrame:
+    """The second query of sources in Asian script whose first one came back empty and whose artist has no Latin alias: by title key, with the artists as free text.
+
+    No word of the artists has to match, but candidates that have them in artists or album come first, by the words' weights among candidates of that title; equals in the catalogue's order."""
+    asked = _unanswered(sources.where("s_asian"), first, failed).join(aliases.select("source_id").distinct(), "source_id", "left_anti")
+    within = lambda key, words: F.concat(F.array(key), F.transform(words, lambda w: F.concat(key, F.lit(" "), w)))
+    queries = asked.where("s_core_key <> ''").select(F.col("source_id").alias("query_id"), within(F.col("s_core_key"), "s_artist_words").alias("terms"))
+    records = catalogue.select(F.struct("c_order", "candidate_id").alias("record_id"), F.flatten(F.transform("c_title_keys", lambda key: within(key, "c_words"))).alias("terms"))
+    found = search.ranked(queries, records, k, common)
+    return found.select(F.col("query_id").alias("source_id"), F.col("record_id.candidate_id").alias("candidate_id"), F.lit(query_index).alias("query_index"), "rank")
+
+
+def near(sources: DataFrame, catalogue: DataFrame, first: DataFrame, failed: DataFrame | None = None, query_index: int = 2, k: int = LIMIT) -> DataFrame:
+    """A further query of sources whose first one came back empty: candidates whose title is near by edit distance, the nearest first. The decision then asks for the exact ratio."""
+    s = _unanswered(sources, first, failed).select("source_id", F.explode("s_title_keys").alias("left_key"))
+    c = catalogue.select("candidate_id", "c_order", F.explode("c_title_keys").alias("right_key"))
+    met = similarity.near_pairs(s.withColumnRenamed("left_key", "key"), c.withColumnRenamed("right_key", "key"))
+    order = [F.asc("distance"), F.asc("c_order"), F.asc("candidate_id")]
+    listed = met.join(top(c, ["right_key"], [F.asc("c_order"), F.asc("candidate_id")], k, name="_n").drop("_n"), "right_key")
+    once = listed.groupBy("left_key", "candidate_id", "c_order").agg(F.min("distance").alias("distance"))
+    of_key = top(once, ["left_key"], order, k, name="_n").drop("_n")  # a title's nearest serve every source of that title
+    of_source = s.join(of_key, "left_key").groupBy("source_id", "candidate_id", "c_order").agg(F.min("distance").alias("distance"))
+    return top(of_source, ["source_id"], order, k, name="rank").select("source_id", "candidate_id", F.lit(query_index).alias("query_index"), "rank", "distance")
 
 
 def titled(sources: DataFrame, catalogue: DataFrame, overrides: DataFrame, first: DataFrame, query_index: int = 2, k: int = LIMIT) -> DataFrame:
-    """The second query with an overridden title (source_id, title_key), for sources whose first one came back empty; any artist key."""
-    empty = sources.join(first.select("source_id").distinct(), "source_id", "left_anti").join(overrides, "source_id")
-    s = empty.select("source_id", F.col("title_key").alias("k1"), F.explode("s_artist_keys").alias("k2"))
+    """The second query with an overridden title (source_id, title_key), for sources whose first one came back empty; under the first artist."""
+    empty = _unanswered(sources, first, None).join(overrides, "source_id")
+    s = empty.select("source_id", F.col("title_key").alias("k1"), F.get("s_artist_keys", F.lit(0)).alias("k2"))
     c = catalogue.select("candidate_id", "c_order", F.explode("c_title_keys").alias("k1"), "c_artist_keys").select("candidate_id", "c_order", "k1", F.explode("c_artist_keys").alias("k2"))
     met = _first_of_keys(s, c, ["k1", "k2"], k)
     return top(met, ["source_id"], [F.asc("c_order"), F.asc("candidate_id")], k, name="rank").select("source_id", "candidate_id", F.lit(query_index).alias("query_index"), "rank")
