@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import running
 from tessera.session import stored
 
 
@@ -62,6 +63,31 @@ def within_budget(df: DataFrame, by: list[str], order: list[Column], cost: Colum
     return df.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
 
 
+def within_total_budget(df: DataFrame, order: list[str], cost: Column, budget: int) -> DataFrame:
+    """Rows of the whole order as long as their running cost (whole numbers, none below zero) stays in the budget, with spent: the run stops before the first row that would exceed it.
+
+    Running costs are worked out in ranges of the order; ranges that begin beyond the budget aren't read again. Equal rows in the order go by all their columns."""
+    everything = F.xxhash64(*df.columns)
+    checked = F.coalesce(cost, F.lit(0)).cast("long")
+    summed = running(df, [], [*order, everything, F.monotonically_increasing_id()], {"spent": F.when(checked >= 0, checked).otherwise(F.raise_error(F.lit("a cost below zero")))}, keep=df.columns, label="budget", upto=budget)
+    return summed.where(F.col("spent") <= budget)
+
+
+def budget_report(df: DataFrame, task: str, order: list[str], cost: Column, budget: int) -> DataFrame:
+    """One row on a run of tasks under a budget for all: tasks, completed ones (all of whose rows are in the budget), what was spent, and whether and why it stopped early.
+
+    A task is one that the run began and ended before it stopped; tasks begin in the order of their first rows."""
+    inside = within_total_budget(df, order, cost, budget)
+    done = inside.groupBy(task).agg(F.count("*").alias("_in"), F.max("spent").alias("_spent"))
+    every = df.groupBy(task).agg(F.count("*").alias("_all"))
+    met = every.join(done, task, "left").select(F.coalesce("_in", F.lit(0)).alias("_in"), "_all", "_spent")
+    n, stopped = F.count("*"), F.coalesce(F.sum("_in"), F.lit(0)) < F.coalesce(F.sum("_all"), F.lit(0))
+    return met.agg(
+        n.alias("total"), F.count_if(F.col("_in") == F.col("_all")).alias("completed"), F.coalesce(F.max("_spent"), F.lit(0)).alias("spent"),
+        stopped.alias("stopped_early"), F.when(stopped, "SEARCH_BUDGET_EXHAUSTED").alias("stop_reason"),
+    )
+
+
 def repeated_requests(df: DataFrame, request: list[str], order: list[str]) -> DataFrame:
     """Adds cache_hit: whether an equal request came before. The first place of each request is an aggregate, so a request of very many rows is in no single task."""
     place = F.struct(*order)

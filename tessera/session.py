@@ -34,14 +34,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written once to the folder that driver and executors share (spark.checkpoint.dir; with a local master and none set, a temporary one) and read back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; with a local master and none set, a temporary one for the session."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="tessera-")
-    path = f"{path.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        path = spark.conf.get("spark.tessera.scratch", None) or tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.tessera.scratch", path)
+    return path.rstrip("/")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written once to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes the files of tables that stored() made, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
