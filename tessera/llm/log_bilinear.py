@@ -7,7 +7,7 @@ meet their counts in a join.
 
 The model predicts a token from the two before it. Every word that goes to every task has vectors of its own, as a predicted token
 and as context; all other words are dealt by a hash into buckets of about ``BUCKET`` words, as many as the corpus
-asks for, and each bucket has vectors too. Inside a bucket a word has the share (c + 1) / (sum of c + 1, and 1 for what was never seen).
+asks for and ``BUCKETS`` at most (then they get more words each, so the parameters that go to every task have a bound, some 150 MB), and each bucket has vectors too. Inside a bucket a word has the share (c + 1) / (sum of c + 1, and 1 for what was never seen).
 Words and buckets by falling frequency are the symbols. The ``DIRECT`` first ones are predicted at once, the others in three levels: a group of
 classes, a class in it, a symbol in the class; all have symbols of similar frequency, and their sizes grow with the cube root of the number of symbols. At
 each level the score is the product of a vector with the predicted one, the sum of the context symbols' vectors each times a diagonal matrix of its
@@ -19,6 +19,9 @@ noise-contrastive estimation: noise from the unigram distribution for a minibatc
 Then a symbol's parameters move by the mean of its changes, by its number of occurrences in the shards that saw it. Scoring works out the normalisers of all levels
 in batched matrix products over all symbols of a level, so probabilities add up to 1.
 
+One training document in ``ASIDE`` takes no part in the rounds. On these documents one weight is chosen with which the model is mixed with the smoothed counts of the base score: that of the
+``WEIGHTS`` with the highest score. Both are normalised, so the mixture is; where the model has learned little, the counts keep their say.
+
 Tokens are lower-cased words (A-Z only) and one end for each text. Null texts are empty: an end only. A null id
 is held out. Repeated rows are counted and scored each; words of equal count go by their spelling. Very long texts count whole. Extra columns, of any
 name, are ignored. An empty table gives an empty table.
@@ -33,15 +36,19 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .language_mixture import held_out
 
-HEAD = 2_000_000
+HEAD = 1_800_000  # with BUCKETS below 2 ** 21, so three symbols have a number of 63 bits together
 DIRECT = 128
 BUCKET = 512
+BUCKETS = 1 << 18
+ASIDE = 16
+WEIGHTS = np.append(np.arange(0, 0.99, 0.03), 0.995)
 WIDTH = 8
 NOISE = 64
 MIDDLE, INSIDE = 10, 3  # noise of a group, of a class for its tokens in a minibatch
@@ -52,6 +59,8 @@ _FLUSH = 400_000
 _SHARE = 8
 _START = 0.01  # of the sums of squares
 _PART = 256
+_TEAM = 64
+_SUMS = "part int, team long, sums binary, total binary"
 _ROWS = 1024  # texts that are scored at once
 
 
@@ -142,8 +151,8 @@ class Level:
     def pull(self, x: np.ndarray, guess: np.ndarray, weight: np.ndarray, rng: np.random.Generator, rate: float) -> np.ndarray:
         """One step for members x, ascending, in contexts guess; gives the gradients of guess."""
         of = x // self.group
-        first = np.flatnonzero(np.diff(of, prepend=-1))
-        which = np.cumsum(np.diff(of, prepend=of[0]) != 0)
+        first = _starts(of)
+        which = np.repeat(np.arange(len(first)), np.diff(first, append=len(of)))
         lo = of[first] * self.group
         hi = np.minimum(lo + self.group, self.n)
         drawn = self.steps[lo][:, None] + rng.random((len(lo), self.noise)) * (self.steps[hi] - self.steps[lo])[:, None]
@@ -167,7 +176,7 @@ class Level:
             change += np.einsum("ik,ikd->id", down, noise)
             np.add.reduceat(down[:, :, None] * guess[:, None, :], first, out=moved)
             np.add.reduceat(down, first, out=total)
-        new = np.flatnonzero(np.diff(x, prepend=-1))
+        new = _starts(x)
         self._move(x[new], _sums(up[:, None] * guess, new), np.add.reduceat(up, new), rate)
         rows, both = _gathered(z.ravel(), np.concatenate([moved.reshape(-1, WIDTH), total.reshape(-1, 1)], 1))
         self._move(rows, both[:, :WIDTH], both[:, WIDTH], rate)
@@ -207,18 +216,27 @@ def _push(score: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def _gathered(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows, and the sums of their values."""
-    by = np.argsort(rows, kind="stable")
+    by = np.argsort(rows)
     rows = rows[by]
-    new = np.flatnonzero(np.diff(rows, prepend=-1))
+    new = _starts(rows)
     return rows[new], _sums(values[by], new)
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def _sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Sums of the runs of rows that begin at begin; most runs have one row."""
     out = values[begin]
-    several = np.flatnonzero(np.diff(begin, append=len(values)) > 1)
+    sizes = np.diff(begin, append=len(values))
+    several = np.flatnonzero(sizes > 1)
     if len(several):
-        inside = np.repeat(np.diff(begin, append=len(values)) > 1, np.diff(begin, append=len(values)))
+        inside = np.repeat(sizes > 1, sizes)
         cuts = np.cumsum(inside)[begin[several]] - 1
         out[several] = np.add.reduceat(values[inside], cuts, axis=0)
     return out
@@ -231,7 +249,7 @@ class Model:
         rng = np.random.Generator(np.random.PCG64(4))
         n = size + 1
         self.symbols = n
-        self.direct = n if n <= 1024 else DIRECT
+        self.direct = min(n, DIRECT)
         span = max(1, math.ceil((n - self.direct) ** (1 / 3)))
         self.leaf = Level(unigram[self.direct :], span, INSIDE, rng)
         self.mid = Level(self.leaf.of_group, span, MIDDLE, rng)
@@ -282,7 +300,7 @@ class Model:
         top_sums, c_sums, q_sums = np.ones((top.n, 1), np.float32), np.ones_like(self.c), np.full(len(self.q), _START, np.float32)
         for k in range(0, len(order), batch):
             at = order[k : k + batch]
-            at = at[np.argsort(token[at], kind="stable")]
+            at = at[np.argsort(token[at])]
             symbol, one, two, m = token[at], last[at], before[at], weight[at]
             w = self.first(symbol)  # ascending, as symbols are
             q1, q2 = self.q[one], self.q[two]
@@ -294,7 +312,7 @@ class Model:
             up = m / (1 + np.exp(np.clip(real, -30, 30)))
             dg = up[:, None] * own + down @ other
             dv, db = np.zeros_like(top.v), np.bincount(w, up, top.n).astype(np.float32)
-            new = np.flatnonzero(np.diff(w, prepend=-1))
+            new = _starts(w)
             dv[w[new]] = np.add.reduceat(up[:, None] * guess, new)
             np.add.at(dv, noise, down.T @ guess)
             np.add.at(db, noise, down.sum(0))
@@ -315,14 +333,14 @@ class Model:
 
 
 def _log_sum(guess: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of exp(score) over all vectors. Scores can't be larger than their norms allow; only where that is too much for exp is the largest taken out first."""
+    if not len(guess):
+        return np.zeros(0, np.float32)
     s = guess @ vectors.T
     s += bias
-    if len(s) and -60 < s.max(initial=-60) < 60:
-        with np.errstate(divide="ignore"):
-            out = np.log(np.exp(s, out=s).sum(1))
-        if np.isfinite(out).all():
-            return out
-        s = guess @ vectors.T + bias
+    reach = float((guess * guess).sum(1).max() * (vectors * vectors).sum(1).max()) ** 0.5 + float(np.abs(bias).max(initial=0))
+    if reach < 60:
+        return np.log(np.exp(s, out=s).sum(1))
     top = s.max(1)
     s -= top[:, None]
     return top + np.log(np.exp(s, out=s).sum(1))
@@ -374,10 +392,8 @@ def _learner(sent):
         met = np.append(np.bincount(token, minlength=n), len(texts))
         token, context = trigrams(token, at, n)
         own = Model(n - 1, unigram).load(before)
-        weight = np.ones(len(token), np.int64)
-        if n <= 2_000_000:  # else trigrams have no number in 64 bits, and are learned one by one
-            keys, weight = np.unique(context * n + token, return_counts=True)
-            token, context = keys % n, keys // n
+        keys, weight = np.unique(context * n + token, return_counts=True)
+        token, context = keys % n, keys // n
         own.train(token, context, weight, seed=table.column("shard")[0].as_py())
         change = own.rows() - before
         weights = np.append(met, np.full(len(change) - n - 1, len(token)))
@@ -386,7 +402,8 @@ def _learner(sent):
             rows = lo + np.flatnonzero(weights[lo : lo + _PART])
             if len(rows):
                 parts.append((lo // _PART, (rows - lo).astype(np.uint8).tobytes(), weights[rows].astype(np.int64).tobytes(), change[rows].astype(np.float16).tobytes()))
-        return pa.table({name: pa.array([p[i] for p in parts], kind) for i, (name, kind) in enumerate([("part", pa.int32()), ("rows", pa.binary()), ("weights", pa.binary()), ("values", pa.binary())])})
+        shard = table.column("shard")[0].as_py()
+        return pa.table({"team": pa.array([shard] * len(parts), pa.int64())} | {name: pa.array([p[i] for p in parts], kind) for i, (name, kind) in enumerate([("part", pa.int32()), ("rows", pa.binary()), ("weights", pa.binary()), ("values", pa.binary())])})
 
     return learn
 
@@ -398,23 +415,32 @@ def train(encoded: DataFrame, unigram: np.ndarray, shards: int, rounds: int = RO
     if n < 2:
         return model
 
-    def add(table: pa.Table) -> pa.Table:
+    def out(table: pa.Table, sums: np.ndarray, total: np.ndarray) -> pa.Table:
+        return pa.table({"part": table.column("part")[:1], "team": pc.divide(table.column("team")[:1], _TEAM), "sums": pa.array([sums.tobytes()], pa.binary()), "total": pa.array([total.tobytes()], pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
         sums, total = np.zeros((_PART, 2 * WIDTH + 1)), np.zeros(_PART)
         for rows, weights, values in zip(*(table.column(c).to_pylist() for c in ("rows", "weights", "values")), strict=True):
             rows, weights = np.frombuffer(rows, np.uint8), np.frombuffer(weights, np.int64)
             sums[rows] += np.frombuffer(values, np.float16).reshape(len(rows), -1) * weights[:, None]
             total[rows] += weights
-        sums /= np.maximum(total, 1)[:, None]
-        return pa.table({"part": table.column("part")[:1], "values": pa.array([sums.astype(np.float32).tobytes()], pa.binary())})
+        return out(table, sums, total)
+
+    def add(table: pa.Table) -> pa.Table:
+        both = [sum(np.frombuffer(x) for x in table.column(c).to_pylist()) for c in ("sums", "total")]
+        return out(table, *both)
 
     for turn in range(rounds):
-        sent = encoded.sparkSession.sparkContext.broadcast((unigram, model.rows()))  # its size goes by HEAD and the buckets
-        learned = encoded.where(F.col("shard") % rounds == turn).select("doc_id", "shard", "tokens").groupBy("shard").applyInArrow(_learner(sent), "part int, rows binary, weights binary, values binary")
-        moved = learned.groupBy("part").applyInArrow(add, "part int, values binary").toArrow()
+        sent = encoded.sparkSession.sparkContext.broadcast((unigram, model.rows()))  # HEAD and BUCKETS bound its size
+        learned = encoded.where(F.col("shard") % rounds == turn).select("doc_id", "shard", "tokens").groupBy("shard").applyInArrow(_learner(sent), "team long, part int, rows binary, weights binary, values binary")
+        moved, teams = learned.groupBy("part", F.expr(f"team div {_TEAM}")).applyInArrow(gather, _SUMS), -(-shards // _TEAM)
+        while teams > 1:  # sums of sums, so no task gathers all shards
+            moved, teams = moved.groupBy("part", F.expr(f"team div {_TEAM}")).applyInArrow(add, _SUMS), -(-teams // _TEAM)
         mean = model.rows()
-        for part, values in zip(moved.column("part").to_pylist(), moved.column("values").to_pylist(), strict=True):
+        for part, sums, total in zip(*(moved.toArrow().column(c).to_pylist() for c in ("part", "sums", "total")), strict=True):
             lo = part * _PART
-            mean[lo : lo + _PART] += np.frombuffer(values, np.float32).reshape(_PART, -1)[: len(mean) - lo]
+            change = np.frombuffer(sums).reshape(_PART, -1) / np.maximum(np.frombuffer(total), 1)[:, None]
+            mean[lo : lo + _PART] += change[: len(mean) - lo].astype(np.float32)
         model.load(mean)
         sent.unpersist()
     return model
@@ -431,7 +457,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     words, c = frequent.column("word").cast("binary").to_pylist(), np.asarray(frequent.column("c"))
     order = sorted(range(len(words)), key=lambda i: (-c[i], words[i]))
     words, c = [words[i] for i in order], c[order] if len(order) else np.zeros(0, np.int64)
-    buckets = max(1, -(-int(sums.v - len(words)) // BUCKET))
+    buckets = min(BUCKETS, max(1, -(-int(sums.v - len(words)) // BUCKET)))
     of = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(buckets)).cast("int").alias("bucket")
     dealt = counts.where(F.col("c") * HEAD < sums.n).groupBy(of).agg(F.sum("c").alias("c"), F.sum(F.col("c") + 1).alias("smooth")).toArrow()
     places, rest, of_rest = np.asarray(dealt.column("bucket")), np.ones(buckets), np.ones(buckets)  # 1 for what was never seen
@@ -466,24 +492,46 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     "words": pa.array(lists, pa.list_(pa.binary())).cast(pa.list_(pa.string())), "times": pa.array(times, pa.list_(pa.int64())),
                 })
 
-    shard = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("int").alias("shard")
+    aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(ASIDE)) == 0
+    shard = F.when(aside, -1).otherwise(F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards))).cast("int").alias("shard")
     kind = "doc_id long, held_out boolean, shard int, n_tokens long, known long, gain double, tokens binary, words array<string>, times array<long>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", shard, "text").mapInArrow(encode, kind).withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "lm-rows")
-    model = spark.sparkContext.broadcast(train(rows.where("not held_out"), unigram, shards))
+    model = spark.sparkContext.broadcast(train(rows.where("not held_out and shard >= 0"), unigram, shards))
+    plain = np.append(np.log10(c + 1.0), np.zeros(buckets)) - smoothed  # of a word in a bucket without its own c + 1, which both sides have
+
+    def compared(scorer: Scorer, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log10 probabilities of all tokens of the texts by the model and by counts, and where each text begins."""
+        n = scorer.m.symbols
+        at = np.append(0, np.cumsum([len(t) // 4 for t in texts]))
+        token, context = trigrams(np.frombuffer(b"".join(texts), np.int32).astype(np.int64), at, n)
+        sure = scorer.log10(token, context)
+        other = np.flatnonzero(token >= n - buckets)
+        sure[other] -= of_rest[token[other] - (n - buckets)]
+        return sure, plain[token], at
+
+    def weigh(batches):
+        scorer, gained = Scorer(model.value), np.zeros(len(WEIGHTS))
+        for batch in batches:
+            for k in range(0, batch.num_rows, _ROWS):
+                sure, known, _ = compared(scorer, batch.column("tokens").slice(k, _ROWS).to_pylist())
+                gained += [np.log1p(w * np.expm1((sure - known) * math.log(10))).sum() for w in WEIGHTS]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(WEIGHTS)), pa.int32()), pa.array(gained)], ["w", "gain"])
+
+    gains = rows.where("not held_out and shard < 0").select("tokens").mapInArrow(weigh, "w int, gain double").groupBy("w").agg(F.sum("gain").alias("gain")).collect()
+    best = max(gains, key=lambda r: (r.gain, -r.w), default=None)  # a row for each of WEIGHTS
+    mixed = math.log(WEIGHTS[best.w]) if best is not None and WEIGHTS[best.w] > 0 else -math.inf
+    left = math.log1p(-math.exp(mixed)) / math.log(10)
+    mixed /= math.log(10)
 
     def score(batches):
-        scorer, n = Scorer(model.value), model.value.symbols
+        scorer = Scorer(model.value)
         for batch in batches:
             for k in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(k, _ROWS)
-                texts = part.column("tokens").to_pylist()
-                at = np.append(0, np.cumsum([len(t) // 4 for t in texts]))
-                token, context = trigrams(np.frombuffer(b"".join(texts), np.int32).astype(np.int64), at, n)
-                sure = scorer.log10(token, context)
-                other = np.flatnonzero(token >= n - buckets)
-                sure[other] -= of_rest[token[other] - (n - buckets)]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.add.reduceat(sure, at[:-1]))], ["row", "sure"])
+                sure, known, at = compared(scorer, part.column("tokens").to_pylist())
+                both = np.logaddexp((sure + mixed) * math.log(10), (known + left) * math.log(10)) / math.log(10)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.add.reduceat(both, at[:-1]))], ["row", "sure"])
 
     sure = rows.select("row", "tokens").mapInArrow(score, "row long, sure double")
     tail = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -263,6 +264,60 @@ def test_language_model_gains_and_does_not_depend_on_the_deal(spark, monkeypatch
     assert len(held) > 40 and sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
 
 
+def plain_model_log10(model, words, c, rest, buckets, texts):
+    """Scores by softmax over all symbols, each product and sum written out."""
+    number = {w: i for i, w in enumerate(words)}
+    n, d, span, wide = model.symbols, model.direct, model.leaf.group, model.leaf.group * model.mid.group
+    softmax = lambda g, level, members: {i: math.exp(float(g @ level.v[i] + level.b[i])) for i in members}
+    out = []
+    for text in texts:
+        one = two = n
+        total = []
+        for w in [*text.encode().lower().split(), b" "]:
+            x = number.get(w, len(words) + zlib.crc32(w) % buckets)
+            g = model.q[one] * model.c[0] + model.q[two] * model.c[1]
+            top = softmax(g, model.top, range(model.top.n))
+            p = top[x if x < d else d + (x - d) // wide] / sum(top.values())
+            if x >= d:
+                for level, at, size in ((model.mid, (x - d) // span, model.mid.group), (model.leaf, x - d, span)):
+                    members = softmax(g, level, range(at // size * size, min(level.n, at // size * size + size)))
+                    p *= members[at] / sum(members.values())
+            total.append((p if w in number else p / rest[zlib.crc32(w) % buckets] * (c.get(w, 0) + 1), (c.get(w, 0) + 1)))
+            one, two = x, one
+        out.append(total)
+    return out
+
+
+def test_score_is_that_of_a_plain_softmax_mixed_with_counts(spark, monkeypatch):
+    monkeypatch.setattr(log_bilinear, "HEAD", 600)
+    monkeypatch.setattr(log_bilinear, "BUCKET", 2)
+    monkeypatch.setattr(log_bilinear, "WEIGHTS", np.array([0.3]))
+    models, learn = [], log_bilinear.train
+    monkeypatch.setattr(log_bilinear, "train", lambda *a: models.append(learn(*a)) or models[-1])
+    rng = random.Random(20)
+    rows = [(i, " ".join(f"w{min(int(rng.expovariate(0.1)), 400)}" if rng.random() < 0.8 else f"r{rng.randrange(2000)}" for _ in range(rng.randint(0, 12)))) for i in range(300)]
+    got = {r.doc_id: r for r in log_bilinear.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    c = collections.Counter(w for i, t in rows if not got[i].held_out for w in [*t.encode().split(), b" "])
+    total = sum(c.values())
+    words = sorted((w for w in c if c[w] * 600 >= total), key=lambda w: (-c[w], w))
+    buckets = -(-(len(c) - len(words)) // 2)
+    rest = np.ones(buckets)
+    for w in set(c) - set(words):
+        rest[zlib.crc32(w) % buckets] += c[w] + 1
+    assert buckets > 5 and models[0].symbols == len(words) + buckets and models[0].direct < models[0].symbols
+    for (i, _), tokens in zip(rows[:60], plain_model_log10(models[0], words, c, rest, buckets, [t for _, t in rows[:60]]), strict=True):
+        assert abs(got[i].score - sum(math.log10(0.3 * p + 0.7 * k / (total + len(c) + 1)) for p, k in tokens)) < 1e-3 * len(tokens)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_held_out_documents_are_no_worse_than_by_counts(spark, sf):
+    path = f"/root/testdata/{sf}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no such table")
+    got = log_bilinear.score_documents(spark.read.parquet(path)).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got.s > got.b
+
+
 def best_fit_plainly(lengths, sizes, overhead):
     bins, free, counted = [], sorted(lengths, reverse=True), []
 
