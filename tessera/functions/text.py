@@ -250,14 +250,9 @@ def han_skeleton(folded: Column) -> Column:
 
 
 def cjk_title_status(a: Column, b: Column, converted_a: Column | None, converted_b: Column | None, conflict: Column) -> Column:
-    """EXACT, CJK_EQUIVALENT or NO_MATCH for two folded titles; converted: the same in one script, or None without a converter."""
+    """EXACT, CJK_EQUIVALENT or NO_MATCH for two folded titles; converted: the same in one script, null where that failed, or None without a converter."""
     exact = basic_key(a) == basic_key(b)
     if converted_a is None:
         return F.when(exact, "EXACT").otherwise("NO_MATCH")
-    like = is_cjk_wide(a) & is_cjk_wide(b) & ~conflict & (basic_key(converted_a) == basic_key(converted_b)) & (han_skeleton(a) == han_skeleton(b))
+    like = is_cjk_wide(a) & is_cjk_wide(b) & ~conflict & F.coalesce(basic_key(converted_a) == basic_key(converted_b), F.lit(False)) & (han_skeleton(a) == han_skeleton(b))
     return F.when(exact, "EXACT").when(like, "CJK_EQUIVALENT").otherwise("NO_MATCH")
-
-
-def convert_script(folded: Column, table: dict[str, str]) -> Column:
-    """Characters mapped one by one, a stand-in for a script converter."""
-    return F.translate(folded, "".join(table), "".join(table.values()))

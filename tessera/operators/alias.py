@@ -31,13 +31,14 @@ def recordings_of(songs: DataFrame, artists: DataFrame, recordings: DataFrame) -
 
 
 def track_titles(releases: DataFrame) -> DataFrame:
-    """(recording_mbid, track_title, evidence): the ranks of a release's form, comparable as they stand."""
-    each = releases.select(F.upper(X.text("country")).alias("country"), (F.lower(X.text("status")) == "official").alias("official"), F.explode("media").alias("m"))
-    each = each.select("country", "official", (F.lower(F.coalesce("m.format", F.lit(""))) == "digital media").alias("digital"), F.explode("m.tracks").alias("t"))
+    """(recording_mbid, track_title, evidence, at): the ranks of a release's form, comparable as they stand, and where the track stands; releases are in the order of their place, if they have one."""
+    place = F.col("place") if "place" in releases.columns else F.lit(0)
+    each = releases.select(place.alias("place"), F.upper(X.text("country")).alias("country"), (F.lower(X.text("status")) == "official").alias("official"), F.posexplode("media").alias("m_at", "m"))
+    each = each.select("place", "m_at", "country", "official", (F.lower(F.coalesce("m.format", F.lit(""))) == "digital media").alias("digital"), F.posexplode("m.tracks").alias("t_at", "t"))
     flag = lambda x: x.cast("int")
     world = F.col("country") == "XW"
     evidence = F.struct(flag(F.col("digital") & world).alias("a"), flag(F.col("digital")).alias("b"), flag(world).alias("c"), flag(F.col("official")).alias("d"))
-    return each.select(F.col("t.recording_mbid").alias("recording_mbid"), X.strip(F.coalesce("t.title", F.lit(""))).alias("track_title"), evidence.alias("evidence")).where("track_title <> ''")
+    return each.select(F.col("t.recording_mbid").alias("recording_mbid"), X.strip(F.coalesce("t.title", F.lit(""))).alias("track_title"), evidence.alias("evidence"), F.struct("place", "m_at", "t_at").alias("at")).where("track_title <> ''")
 
 
 def discover(songs: DataFrame, artists: DataFrame, recordings: DataFrame, releases: DataFrame) -> DataFrame:
@@ -48,13 +49,13 @@ def discover(songs: DataFrame, artists: DataFrame, recordings: DataFrame, releas
     counted = found.groupBy("song_id").agg(F.count_distinct("recording_mbid").alias("n"), F.min("recording_mbid").alias("recording_mbid"))
     one = counted.where("n = 1").join(songs, "song_id").join(track_titles(releases), "recording_mbid")
     variants = X.base_title_variants(X.nfkc("title"))
-    one = one.select("song_id", "track_title", "evidence", X.fold("title").alias("_title"), variants.alias("_variants"), X.bracket_contents(X.nfkc("title")).alias("_brackets"), X.fold("track_title").alias("_track"))
+    one = one.select("song_id", "track_title", "evidence", "at", X.fold("title").alias("_title"), variants.alias("_variants"), X.bracket_contents(X.nfkc("title")).alias("_brackets"), X.fold("track_title").alias("_track"))
     one = one.withColumns({"_folded": X.fold_all("_variants"), "_bracket_folded": X.fold_all("_brackets"), "key": X.key(F.col("_track"))})
     same = (F.col("key") == X.key(F.col("_title"))) | F.array_contains(F.transform("_folded", X.key), F.col("key"))
     styled = F.array_contains(F.transform("_folded", X.query_shape), X.query_shape(F.col("_track")))
     conflict = F.size(P.version_reasons(X.version_terms(F.col("_title")), X.version_terms(F.col("_track")))) > 0
     kept = one.where((F.col("key") != "") & ~(same & styled) & ~conflict).withColumn("translated", F.array_contains(F.transform("_bracket_folded", X.key), F.col("key")))
-    grouped = kept.groupBy("song_id", "key").agg(F.max("evidence").alias("evidence"), F.count("*").alias("n"), F.max("track_title").alias("alias"), F.max("translated").alias("translated"))
+    grouped = kept.groupBy("song_id", "key").agg(F.max("evidence").alias("evidence"), F.count("*").alias("n"), F.max_by("track_title", F.struct("at", "track_title")).alias("alias"), F.max("translated").alias("translated"))
     order = [F.asc("translated"), F.desc("evidence"), F.desc("n")]
     tied = best_with_ties(grouped, ["song_id"], order).groupBy("song_id").agg(F.count("*").alias("ties"), F.max("alias").alias("alias"), F.max("n").alias("evidence_count"))
     out = songs.select("song_id").join(with_artist.withColumn("_a", F.lit(True)), "song_id", "left").join(counted.select("song_id", "n"), "song_id", "left").join(tied, "song_id", "left")

@@ -13,8 +13,8 @@ from tessera.functions import compare as P
 from tessera.functions import text as X
 
 
-def signals(pairs: DataFrame, fuzzy: bool = True, converter: dict[str, str] | None = None) -> DataFrame:
-    """Adds what the two prepared sides of a pair say about each other."""
+def signals(pairs: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """Adds what the two prepared sides of a pair say about each other; titles are compared across scripts if both sides were prepared with a converter."""
     c = F.col
     points, common = P.artist_points(c("s_artist_keys"), c("s_alias_keys"), c("c_artist_keys"), c("s_asian"), c("c_asian"))
     compared = {"title_plain": ("s_title_keys", "c_title_keys"), "title_unlive": ("s_title_keys", "c_unlive_keys"), "title_featured": ("s_featured_keys", "c_title_keys"), "title_track": ("s_title_keys", "c_track_keys")}
@@ -38,7 +38,7 @@ def signals(pairs: DataFrame, fuzzy: bool = True, converter: dict[str, str] | No
     })
     alone = (F.size("s_artists") == 1) & (c("c_n_artists") > 1) & c("title0") & (c("album") < 45)
     df = df.withColumn("rendition", alone & F.when(alone, P.plays_artist(c("s_first_artist"), c("c_context"))).otherwise(False))
-    converted = [X.convert_script(c(x), converter) if converter else None for x in ("s_folded", "c_folded")]
+    converted = [c(x) if {"s_converted", "c_converted"} <= set(pairs.columns) else None for x in ("s_converted", "c_converted")]
     cjk = X.cjk_title_status(c("s_folded"), c("c_folded"), *converted, c("conflict")) == "CJK_EQUIVALENT"
     featured = F.arrays_overlap("s_credit_keys", "c_artist_keys") & c("title_featured")
     by_other_means = ~c("conflict") & (featured | c("title_track") | cjk)

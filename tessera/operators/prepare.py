@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import compare as P
 from tessera.functions import text as X
+from tessera.functions.convert import Converter, converted
 from tessera.operators.search import words
 from tessera.sources import vocabulary as V
 
@@ -32,8 +33,8 @@ def _texts(artists: str) -> Column:
     return F.transform(F.coalesce(F.col(artists), _strings()), lambda a: F.coalesce(a, F.lit("")))
 
 
-def sources(df: DataFrame, title_aliases: dict = V.TITLE_ALIASES, artist_aliases: dict = V.ARTIST_ALIASES) -> DataFrame:
-    """s_* columns; other columns than those of a source record are dropped."""
+def sources(df: DataFrame, title_aliases: dict = V.TITLE_ALIASES, artist_aliases: dict = V.ARTIST_ALIASES, converter: Converter | None = None) -> DataFrame:
+    """s_* columns; other columns than those of a source record are dropped. With a converter between scripts titles come converted, too."""
     raw = df.select("source_id", X.text("title").alias("s_title"), _texts("artists").alias("s_artists"), X.text("album").alias("s_album"), P.valid_duration(F.col("duration_ms")).alias("s_duration"))
     raw = raw.withColumn("s_variants", F.concat(F.array("s_title"), _lookup(title_aliases, F.col("s_title"), _strings())))
     raw = raw.withColumn("s_aliases", F.flatten(F.transform("s_artists", lambda a: _lookup(artist_aliases, a, _strings()))))
@@ -43,8 +44,9 @@ def sources(df: DataFrame, title_aliases: dict = V.TITLE_ALIASES, artist_aliases
     folded = folded.select("*", *[(F.get("_f", F.lit(i))[0] if n in ("_album", "_unlive", "_featured") else F.get("_f", F.lit(i))).alias(n) for i, n in enumerate(names)])
     keys = lambda c: F.transform(c, X.key)
     cores = F.transform("_variants", X.title_core)
+    more = [] if converter is None else [converted(F.col("s_title"), converter).alias("s_converted")]
     return folded.select(
-        "source_id", "s_title", "s_artists", "s_album", "s_duration",
+        *more, "source_id", "s_title", "s_artists", "s_album", "s_duration",
         F.get("_variants", F.lit(0)).alias("s_folded"),
         X.key(X.title_core(F.get("_variants", F.lit(0)))).alias("s_core_key"),
         F.array_distinct(F.flatten(F.transform(cores, X.title_keys))).alias("s_title_keys"),
@@ -64,7 +66,7 @@ def sources(df: DataFrame, title_aliases: dict = V.TITLE_ALIASES, artist_aliases
     )
 
 
-def candidates(df: DataFrame) -> DataFrame:
+def candidates(df: DataFrame, converter: Converter | None = None) -> DataFrame:
     """c_* columns; rank and query_index pass through if they are there. Nameless artists don't count."""
     more = [c for c in ("source_id", "query_index", "rank") if c in df.columns]
     isrc = X.text("isrc") if "isrc" in df.columns else F.lit("")
@@ -73,6 +75,8 @@ def candidates(df: DataFrame) -> DataFrame:
     one = lambda c: F.array(X.text(c))
     folded = raw.withColumn("_f", X.fold_lists(F.col("c_artists"), one("c_title"), one("c_album"), one(X.live_suffix_cut(F.col("c_title"))), one(X.soundtrack_title(F.col("c_title"))), one(F.concat_ws(" ", "c_title", "c_album"))))
     folded = folded.select("*", F.get("_f", F.lit(0)).alias("_artists"), *[F.get("_f", F.lit(i + 1))[0].alias(n) for i, n in enumerate(("c_folded", "_album", "_unlive", "_track", "c_context"))])
+    if converter is not None:
+        more.append(converted(F.col("c_title"), converter).alias("c_converted"))
     return folded.select(
         *more, "candidate_id", "c_title", "c_artists", "c_n_artists", "c_album", "c_duration", "c_isrc", "c_folded", "c_context",
         X.title_keys(X.title_core(F.col("c_folded"))).alias("c_title_keys"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import search, similarity
 from tessera.operators.select import top
+from tessera.sources import vocabulary as V
 
 LIMIT = 10
 
@@ -106,6 +107,13 @@ def corrected(value: Column, key: Column, spellings: dict[str, str]) -> Column:
     return out
 
 
+def spelled(records: DataFrame) -> DataFrame:
+    """(source_id, q_title, q_artist): what a query asks for: the title and the first artist of (source_id, title, artists), or the spellings under which these are known to be listed."""
+    title, artist = X.text("title"), X.text(F.get("artists", F.lit(0)))
+    keyed = records.select("source_id", title.alias("title"), artist.alias("artist"), title_lookup_key(X.fold(title)).alias("k1"), X.key(X.fold(artist)).alias("k2"))
+    return keyed.select("source_id", corrected(F.col("title"), F.col("k1"), V.TITLE_QUERY_SPELLINGS).alias("q_title"), corrected(F.col("artist"), F.col("k2"), V.ARTIST_QUERY_SPELLINGS).alias("q_artist"))
+
+
 def title_lookup_key(folded: Column) -> Column:
     """How titles are looked up for a correction: folded, single spaces."""
     return X.strip(F.regexp_replace(folded, "(?U)\\s+", " "))

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import compare as P
 from tessera.functions import text as X
-from tessera.operators import alias, decide, prepare, reference, report, retrieve, select
-from tessera.plans import fixtures
+from tessera.operators import decide, prepare, reference, report, retrieve, select
 from tessera.session import stored, table
 from tessera.sources import readers
 from tessera.sources import vocabulary as V
@@ -124,8 +123,8 @@ def title_artist_split(spark, sf):
 
 def coalesce_json_source(spark, sf):
     k = F.from_json("props", "struct<dt:string,k:string>")
-    first = F.coalesce(F.when(~F.coalesce(k["dt"], F.lit("")).isin("", "0"), k["dt"]), F.when(~F.coalesce(k["k"], F.lit("")).isin("", "0"), k["k"]))
-    return table(spark, sf, "events").select("event_id", P.valid_duration(first).alias("duration_ms"))
+    song = F.struct(k["dt"].alias("dt"), F.lit("").alias("duration_ms"), k["k"].alias("duration"))
+    return table(spark, sf, "events").select("event_id", readers.duration(song).alias("duration_ms"))
 
 
 def pair_scores(spark, sf):
@@ -320,10 +319,6 @@ def due_attempts(spark, sf):
     return first_of_day(table(spark, sf, "events").select("event_id", "ts")).select("event_id", F.col("local_date").cast("string").alias("local_date"))
 
 
-def reference_verification(spark, sf):
-    return fixtures.verification(spark)
-
-
 def _number(brand: str) -> Column:
     return F.regexp_extract(brand, "[0-9]+", 0)
 
@@ -407,27 +402,6 @@ def second_queries(spark, sf):
     return named.unionByName(free).select("source_id", F.col("candidate_id").cast("long").alias("candidate_id"), "rank", "mode")
 
 
-def title_alias_discovery(spark, sf):
-    t = fixtures.alias_tables(spark)
-    return alias.discover(*t)
-
-
-def romanised_retrieval(spark, sf):
-    return fixtures.romanised(spark)
-
-
-def daily_songs(spark, sf):
-    return readers.daily_songs(fixtures.responses(spark))
-
-
-def candidate_pages(spark, sf):
-    return readers.candidate_pages(fixtures.pages(spark))
-
-
-def rank_consensus(spark, sf):
-    return fixtures.consensus(spark)
-
-
 # --- SQL ----------------------------------------------------------------------------------------------
 
 _KEY = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
@@ -487,7 +461,7 @@ QUERIES = {f.__name__: f for f in (
     pair_scores, match_exact_top1, cascade_two_stage, decision_reasons, reject_category_hist, ordered_dedup, topk_per_source, match_report, match_rate_by_group, signal_histogram,
     reference_exclusion, failed_not_missing, alias_left_join, entity_id_intersection, recording_min_diff, rank1_consensus, unique_best_or_ambiguous, max_score_with_ties,
     request_cache_hits, budgeted_prefix, replay_first_accept, isrc_verdict, batch_of_100, fuzzy_title_prefilter, fuzzy_title_match, simplified_titles, production_report, scope_errors,
-    script_report, due_attempts, strategy_queries, query_corrections, alias_strategies, verification_of_parts, second_queries, decisions_of_variants, reference_verification, title_alias_discovery, romanised_retrieval, daily_songs, candidate_pages, rank_consensus,
+    script_report, due_attempts, strategy_queries, query_corrections, alias_strategies, verification_of_parts, second_queries, decisions_of_variants,
 )}
 
 ORACLES: dict[str, str] = {

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import catalog, lookups, runs
+from tessera.plans import catalog, diagnostics, lookups, runs
 
-MODULES = [catalog, lookups, runs]
+MODULES = [catalog, lookups, runs, diagnostics]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

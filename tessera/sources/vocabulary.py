@@ -1,8 +1,4 @@
-"""Fixed values of the linkage rules, and the same as small tables.
-
-Fixed values: spellings, terms and patterns that results depend on. Each table has a row or two a name at most,
-so joins against them may broadcast them: their size is what stands here, whatever the size of the data.
-"""
+"""Fixed values of the linkage rules: spellings, terms and patterns that results depend on."""
 
 from __future__ import annotations
 

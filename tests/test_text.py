@@ -5,6 +5,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.functions.convert import converted
 
 STRINGS = ["", "  Straße  ", "Ｆｕｌｌ ＆ Half", "间奏", "Σίσυφος", "A  B　C", 'say "hi" * now', "!!!", "Ünïcödé (feat. X) - 2011 Remaster", "Song (with Someone) [From Film]", 'Tune - From "Film"', "Name (Part 1)"]
 
@@ -55,6 +56,6 @@ def test_natural_order_and_lines(spark):
 def test_cjk_status(spark):
     df = spark.createDataFrame([("间奏曲", "間奏曲"), ("a间", "b間"), ("same", "same")], "a string, b string")
     table = {"间": "間"}
-    with_table = X.cjk_title_status(F.col("a"), F.col("b"), X.convert_script(F.col("a"), table), X.convert_script(F.col("b"), table), F.lit(False))
+    with_table = X.cjk_title_status(F.col("a"), F.col("b"), converted(F.col("a"), table), converted(F.col("b"), table), F.lit(False))
     without = X.cjk_title_status(F.col("a"), F.col("b"), None, None, F.lit(False))
     assert [tuple(r) for r in df.select(with_table, without).collect()] == [("CJK_EQUIVALENT", "NO_MATCH"), ("NO_MATCH", "NO_MATCH"), ("EXACT", "EXACT")]
