@@ -17,6 +17,7 @@ from tessera.functions import compare as P
 from tessera.functions import text as X
 from tessera.operators import search
 from tessera.operators.select import top
+from tessera.session import stored
 
 PAIR = ["source_id", "candidate_id"]
 MAX_DIFFERENCE = 30_000
@@ -66,7 +67,7 @@ def credit_identity(pairs: DataFrame, names: DataFrame, credited: DataFrame, isr
 
 def identities(pairs: DataFrame, artists: DataFrame, recordings: DataFrame, isrcs: DataFrame) -> DataFrame:
     """(pair, artist_mbid, route): by artist where that confirms any, else by credit."""
-    names, credited = artist_names(artists), credits(recordings)
+    names, credited = stored(artist_names(artists), "names"), stored(credits(recordings), "credits")  # folded once, met three times
     direct = artist_identity(pairs, names).withColumn("route", F.lit("artist"))
     other = credit_identity(pairs, names, credited, isrcs).join(direct.select(*PAIR).distinct(), PAIR, "left_anti").withColumn("route", F.lit("artist-credit"))
     return direct.unionByName(other)
@@ -107,7 +108,7 @@ def verify(gated: DataFrame, artists: DataFrame, recordings: DataFrame, isrcs: D
     With a code: the titles match or may be of different scripts, nothing conflicts, the artist is the same, and a recording
     of that code confirms it; with no recording of it, the identity by artist is enough for titles of one script. Without a
     code: an exact title with a close album or duration."""
-    found = identities(gated, artists, recordings, isrcs)
+    found = stored(identities(gated, artists, recordings, isrcs), "identities")
     evidence = recording_evidence(gated, found, recordings, isrcs, fuzzy)
     e = gated.select(*PAIR, "rescue", "title_plain", "conflict", "reliable", "title_exact", "album", "duration", "c_isrc").join(evidence.drop("rescue"), PAIR, "left")
     c = F.col

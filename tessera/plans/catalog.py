@@ -39,7 +39,7 @@ def _sides(spark: SparkSession, sf: str, versions: bool = False) -> tuple[DataFr
     s = prepare.sources(_records(parts.where("p_partkey % 2 = 0"), "source_id", F.col("p_name")))
     title = F.concat("p_name", _suffixed("p_partkey")) if versions else F.col("p_name")
     c = prepare.candidates(_records(parts.where("p_partkey % 2 = 1"), "candidate_id", title))
-    return s, c.withColumn("c_order", F.col("candidate_id").cast("long"))
+    return stored(s, "sources"), stored(c.withColumn("c_order", F.col("candidate_id").cast("long")), "candidates")  # every stage reads both, and their keys are made once
 
 
 def _stages(s: DataFrame, c: DataFrame) -> DataFrame:
@@ -330,7 +330,7 @@ def _scripted_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     s = parts.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("source_id"), *base, F.array(F.concat(F.lit("歌手"), _number("p_brand"))).alias("artists"))
     code = F.when(F.col("p_partkey") % 15 == 0, "").otherwise(F.concat(F.lit("I"), F.col("p_partkey").cast("string")))
     c = parts.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("candidate_id"), *base, F.array("p_brand").alias("artists"), code.alias("isrc"))
-    return prepare.sources(s), prepare.candidates(c).withColumn("c_order", F.col("candidate_id").cast("long"))
+    return stored(prepare.sources(s), "sources"), stored(prepare.candidates(c).withColumn("c_order", F.col("candidate_id").cast("long")), "candidates")
 
 
 def _reference_of_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -396,7 +396,7 @@ def second_queries(spark, sf):
     """What the second query finds for sources in Asian script whose first one came back empty: under the artist's Latin name, else by title with the artist as free text."""
     s, c = _scripted_sides(spark, sf)
     artists = _reference_of_parts(spark, sf)[0]
-    first, aliases = retrieve.strict(s, c, False, 1), reference.latin_alias(s, artists)
+    first, aliases = stored(retrieve.strict(s, c, False, 1), "first"), stored(reference.latin_alias(s, artists), "aliases")
     named = retrieve.romanised(s, c, aliases, first).withColumn("mode", F.lit("romanised"))
     free = retrieve.relaxed(s, c, aliases, first).withColumn("mode", F.lit("free"))
     return named.unionByName(free).select("source_id", F.col("candidate_id").cast("long").alias("candidate_id"), "rank", "mode")

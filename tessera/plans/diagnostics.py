@@ -63,9 +63,8 @@ def rescued_titles(spark, sf):
 def failed_first_queries(spark, sf):
     """Second queries where some first ones failed, which is not the same as nothing found."""
     s, c = _scripted_sides(spark, sf)
-    s, c = stored(s, "sources"), stored(c, "candidates")
     first, failed = s.select("source_id").limit(0), s.where("source_id % 14 = 0").select("source_id")
-    aliases = reference.latin_alias(s, _reference_of_parts(spark, sf)[0])
+    aliases = stored(reference.latin_alias(s, _reference_of_parts(spark, sf)[0]), "aliases")
     named = retrieve.romanised(s, c, aliases, first, failed).withColumn("mode", F.lit("romanised"))
     free = retrieve.relaxed(s, c, aliases, first, failed).withColumn("mode", F.lit("free"))
     return named.unionByName(free).select("source_id", F.col("candidate_id").cast("long").alias("candidate_id"), "rank", "mode")
@@ -143,7 +142,6 @@ def replay_of_candidates(spark, sf):
 def replay_of_failures(spark, sf):
     """Sources that the strict queries found nothing for, without those known to be missing: accepted before and now."""
     s, c = _sides(spark, sf, True)
-    s, c = stored(s, "sources"), stored(c, "candidates")
     parts = table(spark, sf, "part")
     line = F.concat_ws(" - ", "p_name", "p_brand").alias("line")
     found = _stages(s, c).select("source_id").distinct()
