@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import LOWER, UPPER, materialize
 from .language_mixture import held_out
 
 HEAD = 1_800_000  # with BUCKETS below 2 ** 21, so three symbols have a number of 63 bits together
@@ -70,23 +70,36 @@ def _tokens(text) -> list[bytes]:
 
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(word, c) over all rows of docs (text), stored; the end token is one space."""
+    small = bytes.maketrans(UPPER.encode() + b"\t\n\x0b\x0c\r", LOWER.encode() + b"     ")
 
     def run(batches):
-        counts: Counter = Counter()
+        held, rows, ends = [], 0, 0
 
-        def out():
-            words = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"])
+
+        def out(words: pa.Table):
+            yield from words.set_column(0, "word", words.column("word").cast(pa.string())).to_batches()
 
         for batch in batches:
-            for text in batch.column(0).cast("binary").to_pylist():
-                counts.update(_tokens(text))
-                counts[b" "] += 1
-                if len(counts) > _FLUSH:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
+            for k in range(0, batch.num_rows, 256):
+                texts = batch.column(0).slice(k, 256).cast("binary").to_pylist()
+                ends += len(texts)
+                split = pc.split_pattern(pa.array([t.translate(small) for t in texts if t], pa.binary()), b" ")
+                counted = pc.value_counts(split.flatten())
+                words = pa.table({"word": counted.field("values"), "c": counted.field("counts")}).filter(pc.not_equal(counted.field("values"), b""))
+                held.append(words)
+                rows += len(words)
+                if rows > 2 * _FLUSH:
+                    held = [summed()]
+                    rows = len(held[0])
+                    if rows > _FLUSH:
+                        yield from out(held[0])
+                        held, rows = [], 0
+        if ends:
+            held.append(pa.table({"word": pa.array([b" "], pa.binary()), "c": pa.array([ends], pa.int64())}))
+        if held:
+            yield from out(summed())
 
     return materialize(docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
 
@@ -188,9 +201,15 @@ class Level:
         self.v[rows] += dv * scale[:, None]
         self.b[rows] += db * scale
 
-    def log_share(self, x: np.ndarray, guess: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the shares of members x in their groups."""
-        by = np.argsort(x, kind="stable")
+    def reach(self, guess: float) -> float:
+        """What no score of a member exceeds for guesses of that norm."""
+        if not self.n:
+            return 0.0
+        return guess * float((self.v * self.v).sum(1).max()) ** 0.5 + float(np.abs(self.b).max())
+
+    def log_share(self, x: np.ndarray, guess: np.ndarray, small: bool = False) -> np.ndarray:
+        """Natural logarithms of the shares of members x in their groups. small: no score is too large for exp."""
+        by = np.argsort(x)
         of, g = x[by] // self.group, guess[by]
         out = np.empty(len(x), np.float32)
         cuts = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
@@ -198,7 +217,7 @@ class Level:
             lo = int(of[a]) * self.group
             v, bias = self.v[lo : lo + self.group], self.b[lo : lo + self.group]
             for k in range(a, b, 4096):
-                out[k : min(b, k + 4096)] = _log_sum(g[k : min(b, k + 4096)], v, bias)
+                out[k : min(b, k + 4096)] = _log_sum(g[k : min(b, k + 4096)], v, bias, small)
         own = x[by]
         out = (g * self.v[own]).sum(1) + self.b[own] - out
         back = np.empty_like(out)
@@ -208,8 +227,8 @@ class Level:
 
 def _push(score: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The gradients of noise with these scores."""
-    np.clip(score, -30, 30, out=score)
-    np.exp(np.negative(score, out=score), out=score)
+    with np.errstate(over="ignore"):  # a score too low for exp moves nothing
+        np.exp(np.negative(score, out=score), out=score)
     score += 1
     return np.divide(-weight[:, None], score, out=score)
 
@@ -332,14 +351,11 @@ class Model:
             self.c += rate * dc / np.sqrt(c_sums)
 
 
-def _log_sum(guess: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Logarithms of the sums of exp(score) over all vectors. Scores can't be larger than their norms allow; only where that is too much for exp is the largest taken out first."""
-    if not len(guess):
-        return np.zeros(0, np.float32)
+def _log_sum(guess: np.ndarray, vectors: np.ndarray, bias: np.ndarray, small: bool = False) -> np.ndarray:
+    """Logarithms of the sums of exp(score) over all vectors. small: no score is too large for exp; else the largest is taken out first."""
     s = guess @ vectors.T
     s += bias
-    reach = float((guess * guess).sum(1).max() * (vectors * vectors).sum(1).max()) ** 0.5 + float(np.abs(bias).max(initial=0))
-    if reach < 60:
+    if small:
         return np.log(np.exp(s, out=s).sum(1))
     top = s.max(1)
     s -= top[:, None]
@@ -356,15 +372,17 @@ class Scorer:
         m = self.m
         pairs, where = np.unique(context, return_inverse=True)
         guess = m.guess(pairs)
-        log_z = np.concatenate([_log_sum(guess[k : k + 1024], m.top.v, m.top.b) for k in range(0, len(pairs), 1024)] or [np.zeros(0, np.float32)])
+        norm = float((guess * guess).sum(1).max(initial=0)) ** 0.5
+        small = [level.reach(norm) < 60 for level in (m.top, m.mid, m.leaf)]
+        log_z = np.concatenate([_log_sum(guess[k : k + 1024], m.top.v, m.top.b, small[0]) for k in range(0, len(pairs), 1024)] or [np.zeros(0, np.float32)])
         w = m.first(token)
         guess = guess[where]
         out = ((guess * m.top.v[w]).sum(1) + m.top.b[w] - log_z[where]).astype(np.float64)
         deep = np.flatnonzero(token >= m.direct)
         if len(deep):
             x, g = token[deep] - m.direct, guess[deep]
-            out[deep] += m.mid.log_share(x // m.leaf.group, g)
-            out[deep] += m.leaf.log_share(x, g)
+            out[deep] += m.mid.log_share(x // m.leaf.group, g, small[1])
+            out[deep] += m.leaf.log_share(x, g, small[2])
         return out / math.log(10)
 
 
