@@ -139,19 +139,27 @@ def verify(gated: DataFrame, artists: DataFrame, recordings: DataFrame, isrcs: D
     return e.select(*PAIR, F.coalesce(identity, F.lit(False)).alias("identity"), n.alias("n_recordings"), "best_diff", "route", predicates.alias("predicates"), failures.alias("failure_predicates"))
 
 
-def latin_alias(sources: DataFrame, artists: DataFrame) -> DataFrame:
+def _latin_options(artists: DataFrame) -> DataFrame:
+    """(mbid, kind, pos, alias): an artist's Latin names: the natural sort name, the canonical name, the aliases in order."""
+    none = F.array().cast("array<string>")
+    sort, name = X.natural_order(X.nfkc("sort_name")), F.when(X.is_latin_name(X.nfkc("name")), X.text("name"))
+    fixed = artists.select("mbid", F.explode(F.array(F.struct(F.lit(0).alias("kind"), sort.alias("alias")), F.struct(F.lit(1).alias("kind"), name.alias("alias")))).alias("f"))
+    fixed = fixed.select("mbid", "f.kind", F.lit(0).alias("pos"), "f.alias")
+    listed = artists.select("mbid", F.posexplode(F.coalesce("aliases", none)).alias("pos", "raw"))
+    aliased = listed.select("mbid", F.lit(2).alias("kind"), "pos", F.when(X.is_latin_name(X.nfkc("raw")), F.coalesce(X.natural_order(X.nfkc("raw")), F.col("raw"))).alias("alias"))
+    return fixed.unionByName(aliased).where("alias is not null")
+
+
+def latin_alias(sources: DataFrame, artists: DataFrame, details: DataFrame | None = None) -> DataFrame:
     """(source_id, alias): a Latin name of the first artist, if that is in Asian script and named exactly: the natural sort name, else the canonical name, else the first
-    alias. Of several artists the first by place counts, if there is such a column, else by mbid; those with no Latin name are passed over."""
+    alias, else the same of the artist's details, if there are any. Of several artists the first by place counts, if there is such a column, else by mbid; those with no Latin name are passed over."""
     names = artist_names(artists)
     place = F.col("place") if "place" in artists.columns else F.lit(0)
     keyed = sources.where(X.is_asian(F.coalesce(F.get("s_artists", F.lit(0)), F.lit("")))).select("source_id", F.get("s_artist_keys", F.lit(0)).alias("name_key"))
-    options = artists.select(
-        "mbid", F.array(F.struct(F.lit(0).alias("kind"), X.natural_order(X.nfkc("sort_name")).alias("alias")), F.struct(F.lit(1).alias("kind"), F.when(X.is_latin_name(X.nfkc("name")), X.text("name")).alias("alias"))).alias("fixed"),
-        F.posexplode_outer(F.coalesce("aliases", F.array().cast("array<string>"))).alias("pos", "name_alias"),
-    )
-    aliased = options.where("name_alias is not null").select("mbid", F.lit(2).alias("kind"), "pos", F.when(X.is_latin_name(X.nfkc("name_alias")), F.coalesce(X.natural_order(X.nfkc("name_alias")), F.col("name_alias"))).alias("alias"))
-    fixed = options.dropDuplicates(["mbid"]).select("mbid", F.explode("fixed").alias("f")).select("mbid", F.col("f.kind").alias("kind"), F.lit(0).alias("pos"), F.col("f.alias").alias("alias"))
-    every = fixed.unionByName(aliased).where("alias is not null").withColumn("alias_key", X.key(X.fold("alias")))
+    every = _latin_options(artists)
+    if details is not None:
+        every = every.unionByName(_latin_options(details).withColumn("kind", F.col("kind") + 3))
+    every = every.withColumn("alias_key", X.key(X.fold("alias")))
     met = keyed.join(names, "name_key").join(every, "mbid").join(artists.select("mbid", place.alias("place")), "mbid").where("alias_key <> name_key")
     return top(met, ["source_id"], [F.asc("place"), F.asc("mbid"), F.asc("kind"), F.asc("pos")]).select("source_id", "alias", "alias_key")
 

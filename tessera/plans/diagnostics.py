@@ -70,6 +70,20 @@ def failed_first_queries(spark, sf):
     return named.unionByName(free).select("source_id", F.col("candidate_id").cast("long").alias("candidate_id"), "rank", "mode")
 
 
+def latin_aliases(spark, sf):
+    """The Latin name under which a source's artist is asked for: from the search's own records, else from their details."""
+    parts, n = table(spark, sf, "part"), _number("p_brand").cast("int")
+    s = prepare.sources(parts.select(F.col("p_partkey").alias("source_id"), F.col("p_name").alias("title"), F.array(F.concat(F.lit("歌手"), _number("p_brand"))).alias("artists"), F.lit("").alias("album"), F.lit(1).alias("duration_ms")))
+    brands = parts.select("p_brand").distinct()
+    name, none = F.concat(F.lit("歌手"), _number("p_brand")), F.array().cast(_NONE)
+    mbid, turned = F.concat(F.lit("a"), "p_brand").alias("mbid"), F.concat(F.lit("Singer, B"), _number("p_brand"))
+    sort = F.when(n % 5 == 0, turned)
+    aliases = F.when(n % 5 == 1, F.array(F.lit("別名"), F.col("p_brand"))).when(n % 5 == 4, F.array(name)).otherwise(none)
+    artists = brands.select(mbid, name.alias("name"), sort.alias("sort_name"), aliases.alias("aliases"))
+    details = brands.where(n % 5 <= 3).select(mbid, F.when(n % 5 == 3, F.col("p_brand")).otherwise(name).alias("name"), F.when(n % 5 == 2, turned).alias("sort_name"), F.array(F.lit("Late Alias")).alias("aliases"))
+    return reference.latin_alias(stored(s, "sources"), artists, details).select("source_id", "alias")
+
+
 def title_alias_discovery(spark, sf):
     """Release titles of songs in another script: one, or the reason why there is none."""
     parts, k = table(spark, sf, "part"), F.col("p_partkey") % 6
@@ -180,7 +194,7 @@ def candidate_pages(spark, sf):
 
 _ARTIST, _TITLE = next(iter(V.ARTIST_QUERY_SPELLINGS.values())), next(iter(V.TITLE_QUERY_SPELLINGS.values()))
 
-QUERIES = {f.__name__: f for f in (converted_titles, rescued_titles, failed_first_queries, title_alias_discovery, title_overrides, spelled_queries, rank_consensus, replay_of_candidates, replay_of_failures, daily_songs, candidate_pages)}
+QUERIES = {f.__name__: f for f in (converted_titles, rescued_titles, failed_first_queries, title_alias_discovery, latin_aliases, title_overrides, spelled_queries, rank_consensus, replay_of_candidates, replay_of_failures, daily_songs, candidate_pages)}
 
 ORACLES = {
     "converted_titles": """
@@ -198,6 +212,9 @@ SELECT song_id, CASE WHEN k = 0 AND even THEN upper(p_name) WHEN k = 0 THEN p_na
   ['UNIQUE_RELEASE_TITLE', 'RECORDING_IDENTITY_NOT_UNIQUE', 'ALTERNATE_TITLE_AMBIGUOUS', 'NO_ALTERNATE_RELEASE_TITLE', 'RECORDING_NOT_FOUND', 'ARTIST_IDENTITY_NOT_FOUND'][k + 1] AS reason,
   CASE WHEN k = 0 AND even THEN 2 WHEN k = 0 THEN 1 END::BIGINT AS evidence_count FROM p""",
     "failed_first_queries": f"SELECT * FROM ({catalog.ORACLES['second_queries']}) WHERE source_id % 14 <> 0",
+    "latin_aliases": """
+WITH p AS (SELECT p_partkey AS source_id, p_brand, regexp_extract(p_brand, '[0-9]+') AS n FROM part)
+SELECT source_id, CASE n::INT % 5 WHEN 0 THEN 'B' || n || ' Singer' WHEN 2 THEN 'B' || n || ' Singer' ELSE p_brand END AS alias FROM p WHERE n::INT % 5 <> 4""",
     "title_overrides": f"""
 WITH {_STRICT}
 SELECT source_id, candidate_id, rank::INT AS rank FROM top WHERE query_index = 2 AND source_id % 4 <> 0 AND source_id % 3 = 0""",

@@ -89,6 +89,13 @@ def title_aliases(spark: SparkSession, path: str) -> DataFrame:
     return keyed.groupBy("title_key", "artist_key").agg(F.max("x").alias("x")).select("title_key", "artist_key", F.col("x.alias").alias("alias"))
 
 
+def baseline(spark: SparkSession, path: str) -> DataFrame:
+    """One row on an earlier run, from its JSON document; numbers that it lacks are zero."""
+    names = ["reference_total", "baseline_accepted", "retrieval_failures_without_saved_candidates", "matcher_failures_with_saved_candidates"]  # fixed values: the document's fields
+    raw = spark.read.schema(", ".join(f"{n} long" for n in names)).option("multiLine", True).json(path)
+    return raw.select(*[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in names])
+
+
 def saved_candidates(spark: SparkSession, path: str) -> DataFrame:
     """(input_index, source_title, source_artist, candidate columns, position) from a saved report: strategies in order, the first place of an id counts, its last values do."""
     saved = "struct<candidates:array<struct<rank:int,spotify_track_id:string,title:string,artists:array<string>,album:string,isrc:string>>>"

@@ -73,6 +73,17 @@ def test_spelled(spark):
     assert [(r.q_title, r.q_artist) for r in retrieve.spelled(rows).sort("source_id").collect()] == [("Cocaine Diana", "Oliver Cheatham"), ("", ""), ("Title", "C")]
 
 
+def test_baseline_document(spark, tmp_path):
+    from tessera.operators import report
+    from tessera.sources import readers
+
+    (tmp_path / "b.json").write_text('{\n "reference_total": 140,\n "baseline_accepted": 97,\n "policy": {"x": true}\n}', encoding="utf-8")
+    row = readers.baseline(spark, str(tmp_path / "b.json"))
+    assert tuple(row.first()) == (140, 97, 0, 0)
+    one = spark.createDataFrame([(99,)], "accepted int")
+    assert report.with_baseline(one, row, 140, "reference_total", "baseline_accepted").first().delta == 2
+
+
 def test_registry():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     assert {"near_title_pairs", "total_budget", "converted_titles", "match_exact_top1"} <= set(registry.ORACLES)
