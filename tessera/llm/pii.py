@@ -103,7 +103,7 @@ REWRITTEN = [
 
 def _wrong(d: Column) -> Column:
     """The digits with another last one, so that the checksum fails."""
-    return F.concat(F.substring(d, F.lit(1), F.char_length(d) - 1), ((F.right(d, F.lit(1)).cast("int") + 1) % 10).cast("string"))
+    return F.concat(F.substring(d, F.lit(1), F.char_length(d) - 1), ((F.coalesce(F.right(d, F.lit(1)).try_cast("int"), F.lit(0)) + 1) % 10).cast("string"))
 
 
 def _features(text: Column, span: Column) -> dict[str, Column]:
