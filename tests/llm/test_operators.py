@@ -637,4 +637,4 @@ def test_index_stops_only_on_proof():
 
 def test_registered():
     assert sorted(queries.QUERIES, key=lambda k: int(k[2:].split("_")[0])) == list(queries.QUERIES) and set(queries.ORACLES) <= set(queries.QUERIES)
-    assert len(queries.QUERIES) == 10
+    assert len(queries.QUERIES) == 13
