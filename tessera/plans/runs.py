@@ -100,6 +100,17 @@ ORACLES = {
 WITH s AS (SELECT date_trunc('hour', ts) AS h, sum({_COST}) OVER (ORDER BY ts, event_id)::BIGINT AS spent FROM events),
 g AS (SELECT h, count(*) AS n, count(*) FILTER (spent <= {BUDGET}) AS done, max(spent) FILTER (spent <= {BUDGET}) AS spent FROM s GROUP BY 1)
 SELECT count(*) AS total, count(*) FILTER (n = done) AS completed, max(spent) AS spent, sum(done) < sum(n) AS stopped_early, CASE WHEN sum(done) < sum(n) THEN 'SEARCH_BUDGET_EXHAUSTED' END AS stop_reason FROM g""",
+    "serial_choice": """
+WITH RECURSIVE w AS (SELECT l_orderkey AS n, l_partkey AS c, min(l_linenumber) AS p FROM lineitem GROUP BY 1, 2),
+r AS (
+  SELECT 0 AS t, n, c, p FROM w
+  UNION ALL
+  SELECT t + 1, n, c, p FROM (
+    SELECT *, bool_or(h < n) OVER () AS goes_on
+    FROM (SELECT *, min(CASE WHEN k = 1 THEN n END) OVER (PARTITION BY c) AS h FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY p, c) AS k FROM r))
+  ) WHERE goes_on AND NOT coalesce(h < n, false)
+)
+SELECT n AS l_orderkey, c AS l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY p, c) AS k FROM r WHERE t = (SELECT max(t) FROM r)) WHERE k = 1""",
     "arriving_winners": f"WITH {_WON} SELECT source_id, query_index, candidate_id, score FROM won",
     "request_memo": "SELECT event_type, count(*) AS requests, count(*) FILTER (n > 1) AS cache_hits FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, epoch_ms(ts) // 3600000 ORDER BY ts, event_id) AS n FROM events) GROUP BY 1",
     "counters_by_day": "SELECT event_type, count(*) AS requests, count(*) FILTER (value > 10) AS large, count(DISTINCT user_id) AS n_users, count(DISTINCT concat_ws('|', user_id, props)) AS n_keys, true AS agree FROM events GROUP BY 1",
