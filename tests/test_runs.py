@@ -194,3 +194,24 @@ def test_replace_keeps_the_old_unless_all_is_there(spark, tmp_path):
     assert read() == ["a", "b"]
     assert sinks.replace(rows("e"), path, "position") == 1 and read() == ["e"]
     assert [p.name for p in tmp_path.iterdir()] == ["list"]
+
+
+def test_memo_asks_state_by_bucket_and_not_by_request(spark, tmp_path, monkeypatch):
+    rng = random.Random(16)
+    rows = [(i, rng.choice([None, "", *map(str, range(700))]), 1_700_000_000 + rng.randint(0, 7200)) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "id long, q string, s long").select("id", "q", F.timestamp_seconds("s").alias("ts"))
+    frame.repartition(3).write.parquet(str(tmp_path / "in"))
+    for buckets, most in ((1, 50_000), (8, 3)):
+        monkeypatch.setattr(memo, "MOST_WAITING", most)
+        stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+        hits = memo.remembered(stream, memo.request_key(F.col("q")), "ts", ["ts", "id"], "1 hour", buckets=buckets)
+        out = str(tmp_path / f"out{buckets}")
+        query = hits.writeStream.format("parquet").option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start(out)
+        query.awaitTermination()
+        states = sum(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"])
+        asked, want = set(), {}
+        for i, q, s in sorted(rows, key=lambda r: (r[2], r[0])):
+            want[i] = (q, s // 3600) in asked
+            asked.add((q, s // 3600))
+        assert {r.id: r.cache_hit for r in spark.read.parquet(out).collect()} == want
+        assert states <= 20 * 3 * buckets  # of 1,900 requests in three periods
