@@ -152,3 +152,34 @@ def test_text_files(spark, tmp_path):
     assert [(r.title, r.artist) for r in readers.song_lines(spark, str(tmp_path / "songs.txt")).orderBy("input_index").collect()] == [("One - Two", "A"), ("Three", "B")]
     (tmp_path / "alias.json").write_text('[{"source_title": "One", "artist": "A", "spotify_title": "Uno"}, {"source_title": "ONE", "artist": "a", "spotify_title": "Un"}]', encoding="utf-8")
     assert [tuple(r) for r in readers.title_aliases(spark, str(tmp_path / "alias.json")).collect()] == [("one", "a", "Un")]
+
+
+def test_classes_of_records(spark):
+    from tessera.operators import prepare
+
+    rows = [(1, "A", ["x"]), (2, "A", ["x"]), (3, "A", None), (4, None, None), (5, "", None), (6, "A", ["x", None]), (7, None, None), (8, "A", [])]
+    once, members = prepare.classes(spark.createDataFrame(rows, "source_id long, title string, artists array<string>").repartition(3))
+    assert {r["source_id"] for r in once.collect()} == {1, 3, 4, 5, 6, 8}
+    assert {r["source_id"]: r["class"] for r in members.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 4, 8: 8}
+    assert {tuple(r) for r in prepare.of_members(once.select("source_id", "title"), members).select("source_id", "title").collect()} == {r[:2] for r in rows}
+
+
+def test_foremost_of_equal_candidates(spark):
+    from tessera.operators import prepare
+
+    frame = spark.range(50).selectExpr("id AS candidate_id", "concat('t', id % 2) AS title", "array('a') AS artists", "'' AS album", "id AS duration_ms")
+    assert sorted(r["candidate_id"] for r in prepare.foremost(frame, 3).collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_credit_identity_of_a_name_that_many_are_credited_as(spark):
+    from tessera.operators import reference
+
+    n = 3000  # each of n pairs with each of n artists of that name would be nine million rows
+    pairs = spark.range(n).selectExpr("id AS source_id", "concat('c', id) AS candidate_id", "array('other', 'many') AS s_artist_keys", "array('one') AS c_artist_keys", "concat('I', id) AS c_isrc")
+    credited = spark.range(n).selectExpr("concat('r', id) AS recording_mbid", "concat('a', id) AS artist_mbid", "explode(array('many', 'one')) AS name_key").where("name_key = 'one' or recording_mbid <> 'r7'")
+    isrcs = spark.range(n).selectExpr("concat('I', id) AS isrc", "concat('r', id) AS mbid")
+    names = spark.createDataFrame([("a0", "other")], "mbid string, name_key string")
+    found = reference.credit_identity(pairs, names, credited, isrcs)
+    assert {(r["source_id"], r["artist_mbid"]) for r in found.collect()} == {(i, f"a{i}") for i in range(n) if i != 7}
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert not any("Inner" in line and "isrc" not in line and "mbid" not in line for line in joins)  # no join on names alone
