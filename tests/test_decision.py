@@ -1,4 +1,4 @@
-"""Whole decisions, from cases that accept and near misses that don't."""
+", ""Whole decisions, from cases that accept and near misses that don't."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,29 +8,29 @@ from tessera.plans import fixtures
 
 CASES = [
     # source title, artists, album, ms; candidate title, artists, album, ms; accepted
-    ("Song (with Guest)", ["A"], "", 1000, "Song", ["A", "Guest"], "", 1000, True),
+    ("Song (with Guest)", ["A"], ", ", 1000, "Song", ["A", "Guest"], "", 1000, True),
     ("Song", ["A"], "First", None, "Song", ["A"], "Second", None, True),
-    ("Song", ["A"], "", None, "Song - Live", ["A"], "", None, False),
-    ("Song", ["A"], "", None, "Oliver", ["A"], "", None, False),
+    ("Song", ["A"], ", ", None, "Song - Live", ["A"], "", None, False),
+    ("Song", ["A"], ", ", None, "Oliver", ["A"], "", None, False),
     ("Song", ["A"], "Live at X", None, "Song - Live", ["A"], "Live in Y", None, True),
-    ("Song", ["A"], "", None, "Song", ["A"], "A Tribute", None, False),
-    ("Song", ["久石譲"], "", None, "Song", ["Joe Hisaishi"], "", None, True),
+    ("Song", ["A"], ", ", None, "Song", ["A"], "A Tribute", None, False),
+    ("Song", ["久石譲"], ", ", None, "Song", ["Joe Hisaishi"], "", None, True),
     ("Song", ["未知"], "Album", None, "Song", ["Unknown"], "Album", None, True),
     ("Song", ["未知"], "Album", None, "Song", ["Unknown"], "Else", None, False),
-    ("Song", ["Olver Cheatham"], "", 200_000, "Song", ["Oliver Cheatham"], "", 201_000, True),
-    ("Song", ["Olver Cheatham"], "", 200_000, "Song", ["Oliver Cheatham"], "", 260_000, False),
-    ("Tune", ["Band"], "", None, "Tune", ["Other", "Band"], "Other plays Band", None, False),
-    ("Song feat. Guest", ["A"], "", None, "Song", ["A", "Guest"], "", None, True),
-    ("abcdefghijklmnop", ["A"], "", None, "abcdefghijklmnoq", ["A"], "", None, True),
-    ("abcdef", ["A"], "", None, "abcdeg", ["A"], "", None, False),
-    ("Song", ["A"], "", None, "Song", ["B"], "", None, False),
+    ("Song", ["Olver Cheatham"], ", ", 200_000, "Song", ["Oliver Cheatham"], "", 201_000, True),
+    ("Song", ["Olver Cheatham"], ", ", 200_000, "Song", ["Oliver Cheatham"], "", 260_000, False),
+    ("Tune", ["Band"], ", ", None, "Tune", ["Other", "Band"], "Other plays Band", None, False),
+    ("Song feat. Guest", ["A"], ", ", None, "Song", ["A", "Guest"], "", None, True),
+    ("abcdefghijklmnop", ["A"], ", ", None, "abcdefghijklmnoq", ["A"], "", None, True),
+    ("abcdef", ["A"], ", ", None, "abcdeg", ["A"], "", None, False),
+    ("Song", ["A"], ", ", None, "Song", ["B"], "", None, False),
 ]
 
 
 @pytest.fixture(scope="module")
 def decided(spark):
     s = spark.createDataFrame([(i, c[0], c[1], c[2], c[3]) for i, c in enumerate(CASES)], fixtures.SOURCE)
-    c = spark.createDataFrame([(i, 1, 1, f"t{i}", c[4], c[5], c[6], c[7], "") for i, c in enumerate(CASES)], fixtures.CANDIDATE)
+    c = spark.createDataFrame([(i, 1, 1, f"t{i}", c[4], c[5], c[6], c[7], ", ") for i, c in enumerate(CASES)], fixtures.CANDIDATE)
     out = decide.decide(decide.signals(prepare.candidates(c).join(prepare.sources(s), "source_id")))
     return {r.source_id: r for r in out.select("source_id", "accepted", "reasons", "category", "score").collect()}
 
@@ -99,7 +99,7 @@ def test_sources_and_pages(spark):
     from tessera.sources import readers
 
     songs = readers.daily_songs(fixtures.responses(spark)).orderBy("source_id").collect()
-    assert [(s.title, s.artists, s.album, s.duration_ms) for s in songs] == [("One", ["A"], "Album", 1000), ("Two", ["B"], "X", 2000), ("", ["C"], "", None)]
+    assert [(s.title, s.artists, s.album, s.duration_ms) for s in songs] == [("One", ["A"], "Album", 1000), ("Two", ["B"], "X", 2000), (", ", ["C"], "", None)]
     pages = readers.candidate_pages(fixtures.pages(spark)).orderBy("source_id", "query_index", "rank").collect()
     assert [(p.status, p.rank, p.candidate_id) for p in pages] == [("ok", 1, "t1"), ("ok", 2, "t2"), ("empty", None, None), ("failed", None, None), ("failed", None, None)]
 
@@ -157,7 +157,7 @@ def test_text_files(spark, tmp_path):
 def test_classes_of_records(spark):
     from tessera.operators import prepare
 
-    rows = [(1, "A", ["x"]), (2, "A", ["x"]), (3, "A", None), (4, None, None), (5, "", None), (6, "A", ["x", None]), (7, None, None), (8, "A", [])]
+    rows = [(1, "A", ["x"]), (2, "A", ["x"]), (3, "A", None), (4, None, None), (5, ", ", None), (6, "A", ["x", None]), (7, None, None), (8, "A", [])]
     once, members = prepare.classes(spark.createDataFrame(rows, "source_id long, title string, artists array<string>").repartition(3))
     assert {r["source_id"] for r in once.collect()} == {1, 3, 4, 5, 6, 8}
     assert {r["source_id"]: r["class"] for r in members.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 4, 8: 8}
@@ -183,3 +183,25 @@ def test_credit_identity_of_a_name_that_many_are_credited_as(spark):
     assert {(r["source_id"], r["artist_mbid"]) for r in found.collect()} == {(i, f"a{i}") for i in range(n) if i != 7}
     joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
     assert not any("Inner" in line and "isrc" not in line and "mbid" not in line for line in joins)  # no join on names alone
+
+
+#: Queries that decide once for all sources of equal content.
+BY_CONTENT = ["replay_of_candidates"]
+
+
+@pytest.mark.parametrize("name", BY_CONTENT)
+def test_copies_are_decided_once(spark, tmp_path, monkeypatch, name):
+    import __spark_entry__
+    from tessera.operators import prepare
+
+    parts = spark.range(1, 401).selectExpr("id AS p_partkey", "concat('name', id % 4) AS p_name", "'Brand#11' AS p_brand", "'T' AS p_type", "cast(id % 2 + 1 AS int) AS p_size")
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    seen, real = [], prepare.sources
+
+    def counted(df, *more, **options):
+        seen.append(df.count())
+        return real(df, *more, **options)
+
+    monkeypatch.setattr(prepare, "sources", counted)
+    __spark_entry__.queries()[name](spark, str(tmp_path))
+    assert seen and max(seen) <= 8  # of 200 or 400 records with eight contents at most
