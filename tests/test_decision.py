@@ -1,4 +1,4 @@
-", ""Whole decisions, from cases that accept and near misses that don't."""
+", ", "Whole decisions, from cases that accept and near misses that don't."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,22 +8,22 @@ from tessera.plans import fixtures
 
 CASES = [
     # source title, artists, album, ms; candidate title, artists, album, ms; accepted
-    ("Song (with Guest)", ["A"], ", ", 1000, "Song", ["A", "Guest"], "", 1000, True),
+    ("Song (with Guest)", ["A"], ", ", 1000, "Song", ["A", "Guest"], ", ", 1000, True),
     ("Song", ["A"], "First", None, "Song", ["A"], "Second", None, True),
-    ("Song", ["A"], ", ", None, "Song - Live", ["A"], "", None, False),
-    ("Song", ["A"], ", ", None, "Oliver", ["A"], "", None, False),
+    ("Song", ["A"], ", ", None, "Song - Live", ["A"], ", ", None, False),
+    ("Song", ["A"], ", ", None, "Oliver", ["A"], ", ", None, False),
     ("Song", ["A"], "Live at X", None, "Song - Live", ["A"], "Live in Y", None, True),
     ("Song", ["A"], ", ", None, "Song", ["A"], "A Tribute", None, False),
-    ("Song", ["久石譲"], ", ", None, "Song", ["Joe Hisaishi"], "", None, True),
+    ("Song", ["久石譲"], ", ", None, "Song", ["Joe Hisaishi"], ", ", None, True),
     ("Song", ["未知"], "Album", None, "Song", ["Unknown"], "Album", None, True),
     ("Song", ["未知"], "Album", None, "Song", ["Unknown"], "Else", None, False),
-    ("Song", ["Olver Cheatham"], ", ", 200_000, "Song", ["Oliver Cheatham"], "", 201_000, True),
-    ("Song", ["Olver Cheatham"], ", ", 200_000, "Song", ["Oliver Cheatham"], "", 260_000, False),
+    ("Song", ["Olver Cheatham"], ", ", 200_000, "Song", ["Oliver Cheatham"], ", ", 201_000, True),
+    ("Song", ["Olver Cheatham"], ", ", 200_000, "Song", ["Oliver Cheatham"], ", ", 260_000, False),
     ("Tune", ["Band"], ", ", None, "Tune", ["Other", "Band"], "Other plays Band", None, False),
-    ("Song feat. Guest", ["A"], ", ", None, "Song", ["A", "Guest"], "", None, True),
-    ("abcdefghijklmnop", ["A"], ", ", None, "abcdefghijklmnoq", ["A"], "", None, True),
-    ("abcdef", ["A"], ", ", None, "abcdeg", ["A"], "", None, False),
-    ("Song", ["A"], ", ", None, "Song", ["B"], "", None, False),
+    ("Song feat. Guest", ["A"], ", ", None, "Song", ["A", "Guest"], ", ", None, True),
+    ("abcdefghijklmnop", ["A"], ", ", None, "abcdefghijklmnoq", ["A"], ", ", None, True),
+    ("abcdef", ["A"], ", ", None, "abcdeg", ["A"], ", ", None, False),
+    ("Song", ["A"], ", ", None, "Song", ["B"], ", ", None, False),
 ]
 
 
@@ -99,7 +99,7 @@ def test_sources_and_pages(spark):
     from tessera.sources import readers
 
     songs = readers.daily_songs(fixtures.responses(spark)).orderBy("source_id").collect()
-    assert [(s.title, s.artists, s.album, s.duration_ms) for s in songs] == [("One", ["A"], "Album", 1000), ("Two", ["B"], "X", 2000), (", ", ["C"], "", None)]
+    assert [(s.title, s.artists, s.album, s.duration_ms) for s in songs] == [("One", ["A"], "Album", 1000), ("Two", ["B"], "X", 2000), (", ", ["C"], ", ", None)]
     pages = readers.candidate_pages(fixtures.pages(spark)).orderBy("source_id", "query_index", "rank").collect()
     assert [(p.status, p.rank, p.candidate_id) for p in pages] == [("ok", 1, "t1"), ("ok", 2, "t2"), ("empty", None, None), ("failed", None, None), ("failed", None, None)]
 
@@ -186,7 +186,7 @@ def test_credit_identity_of_a_name_that_many_are_credited_as(spark):
 
 
 #: Queries that decide once for all sources of equal content.
-BY_CONTENT = ["replay_of_candidates"]
+BY_CONTENT = ["replay_of_candidates", "rank_consensus"]
 
 
 @pytest.mark.parametrize("name", BY_CONTENT)
