@@ -1,4 +1,4 @@
-", ", "Whole decisions, from cases that accept and near misses that don't.", ""
+", ", "Whole decisions, from cases that accept and near misses that don't.", ", "
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,7 +186,7 @@ def test_credit_identity_of_a_name_that_many_are_credited_as(spark):
 
 
 #: Queries that decide once for all sources of equal content.
-BY_CONTENT = ["replay_of_candidates", "rank_consensus", "reject_category_hist"]
+BY_CONTENT = ["replay_of_candidates", "rank_consensus", "reject_category_hist", "replay_of_failures"]
 
 
 @pytest.mark.parametrize("name", BY_CONTENT)
