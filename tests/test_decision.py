@@ -186,7 +186,7 @@ def test_credit_identity_of_a_name_that_many_are_credited_as(spark):
 
 
 #: Queries that decide once for all sources of equal content.
-BY_CONTENT = ["replay_of_candidates", "rank_consensus", "reject_category_hist", "replay_of_failures"]
+BY_CONTENT = ["replay_of_candidates", "rank_consensus", "reject_category_hist", "replay_of_failures", "guarded_sync"]
 
 
 @pytest.mark.parametrize("name", BY_CONTENT)
