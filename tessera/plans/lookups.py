@@ -49,11 +49,12 @@ def free_artist_lookup(spark, sf):
     parts = table(spark, sf, "part")
     base = [F.col("p_name").alias("title"), (F.col("p_size") * 1000).cast("long").alias("duration_ms")]
     artists = F.array(F.concat(F.lit("歌手"), _number("p_brand")), F.concat(F.lit("The "), "p_type"))
-    s = prepare.sources(parts.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("source_id"), *base, artists.alias("artists"), F.lit("").alias("album")))
-    c = prepare.candidates(parts.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("candidate_id"), *base, F.array("p_brand").alias("artists"), F.col("p_type").alias("album"), F.lit("").alias("isrc")))
-    s, c = stored(s, "sources"), stored(c.withColumn("c_order", F.col("candidate_id").cast("long")), "candidates")
+    s, members = prepare.classes(parts.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("source_id"), *base, artists.alias("artists"), F.lit("").alias("album")))
+    c, copies = prepare.classes(parts.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("candidate_id"), *base, F.array("p_brand").alias("artists"), F.col("p_type").alias("album"), F.lit("").alias("isrc")), "candidate_id")
+    words = stored(prepare.candidates(c).select(F.col("candidate_id").cast("long").alias("candidate_id"), "c_title_keys", "c_words"), "candidates")  # every copy counts in a word's weight
+    s, c = stored(prepare.sources(s), "sources"), prepare.of_members(words, copies, "candidate_id").withColumn("c_order", F.col("candidate_id"))
     none = s.select("source_id").limit(0)
-    found = retrieve.relaxed(s, c, none, none)
+    found = prepare.of_members(retrieve.relaxed(s, c, none, none), members)
     return found.select("source_id", F.col("candidate_id").cast("long").alias("candidate_id"), "rank")
 
 
