@@ -186,7 +186,7 @@ def test_credit_identity_of_a_name_that_many_are_credited_as(spark):
 
 
 #: Queries that decide once for all sources of equal content.
-BY_CONTENT = ["replay_of_candidates", "rank_consensus", "reject_category_hist", "replay_of_failures", "guarded_sync", "replay_first_accept", "decision_reasons", "free_artist_lookup", "cascade_two_stage", "match_report"]
+BY_CONTENT = ["replay_of_candidates", "rank_consensus", "reject_category_hist", "replay_of_failures", "guarded_sync", "replay_first_accept", "decision_reasons", "free_artist_lookup", "cascade_two_stage", "match_report", "match_exact_top1"]
 
 
 @pytest.mark.parametrize("name", BY_CONTENT)
