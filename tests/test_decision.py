@@ -194,7 +194,7 @@ def test_copies_are_decided_once(spark, tmp_path, monkeypatch, name):
     import __spark_entry__
     from tessera.operators import prepare
 
-    parts = spark.range(1, 401).selectExpr("id AS p_partkey", "concat('name', id % 4) AS p_name", "'Brand#11' AS p_brand", "'T' AS p_type", "cast(id % 2 + 1 AS int) AS p_size")
+    parts = spark.range(1, 401).selectExpr("id AS p_partkey", "concat('name', id div 2 % 2) AS p_name", "'Brand#11' AS p_brand", "'T' AS p_type", "cast(id % 2 + 1 AS int) AS p_size")
     parts.write.parquet(str(tmp_path / "part.parquet"))
     seen, real = [], prepare.sources
 
