@@ -14,8 +14,9 @@ too: a window is spelled by the words before its first seam, the names of its sy
 1. every block sends each stand-in once to a bucket of its name; the buckets tell blocks which of them
    occur elsewhere, too. A window whose stand-in occurs in one document only repeats nowhere.
 2. the windows left are verified: each block sends 128-bit fingerprints of their spellings, once, with the
-   smallest document id it has for them; buckets answer those blocks that hold a larger id than the smallest.
-3. each block marks the words that such windows cover.
+   smallest document id it has for them, under numbers by their places; buckets answer those blocks that hold a larger id than the smallest, by the
+   numbers. Where the numbers stand, and which windows the block itself covers, is a plan that the block gets back with the answers.
+3. each block marks the words that such windows cover, by its plan: it makes no symbols and looks no window up again.
 
 A block sends a stand-in or window once however many of its documents have it. Where there are more than ``fan`` blocks, those of a bucket are met
 in groups first, and each group passes on one entry of what it has met, so a passage that is in every block never meets in
@@ -78,10 +79,11 @@ class Symbols:
                 continue
             m = len(names)
             left, change = _left(names, salt), names[1:] != names[:-1]
-            first = np.append(0, np.flatnonzero(change & ~(left[:-1] & ~left[1:])) + 1)
+            turn = np.flatnonzero(change)
+            parted = ~left[turn] | left[turn + 1]
+            first, turns = np.append(0, turn[parted] + 1), np.append(turn + 1, m)
             end = np.append(first[1:], m)
-            turns = np.append(np.flatnonzero(change) + 1, m)
-            lead = np.minimum(turns[np.searchsorted(turns, first, "right")], end) - first
+            lead = np.minimum(turns[np.append(0, np.flatnonzero(parted) + 1)], end) - first
             self.grouped.append((first, end, lead))
             seams = first[1:]  # what stands at the ends of a block depends on what is beyond
             low, high = np.concatenate([[-_FAR], low[seams - 1], [_FAR]]), np.concatenate([[-_FAR], high[seams + 1], [_FAR]])
@@ -95,27 +97,38 @@ class Symbols:
         return names
 
 
-def _smallest(n: int, low: np.ndarray, high: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """For each window the smallest of the names that depend on none but its words. high ascends strictly."""
-    out = np.full(n + WINDOW, _NONE)  # windows may start before the first word here, but none that counts does
-    fits = high - low < WINDOW
-    low, at, names = low[fits] + WINDOW, high[fits] + 1, names[fits]
-    while len(at):
-        out[at] = np.minimum(out[at], names)
-        more = at < low
-        low, at, names = low[more], at[more] + 1, names[more]
-    return out[WINDOW:]
+def _smallest(n: int, low: np.ndarray, high: np.ndarray, names: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """For each window (of those at at) the smallest of the names that depend on none but its words. high ascends strictly."""
+    extent = high - low
+    fits = extent < WINDOW
+    extent, high, names = extent[fits].astype(np.uint8), high[fits], names[fits]
+    order = np.argsort(extent, kind="stable")
+    cuts = np.searchsorted(extent[order], np.arange(WINDOW + 1))
+    open_ = np.full(n + WINDOW, _NONE)  # by the last word: names that need no more than so many words
+    out = np.full(n if at is None else len(at), _NONE)
+    for k in range(WINDOW):
+        some = order[cuts[k] : cuts[k + 1]]
+        open_[high[some]] = names[some]
+        np.minimum(out, open_[k : k + n] if at is None else open_[at + k], out=out)
+    return out
 
 
-class Windows:
-    """Words, symbols, windows and stand-ins of a block."""
+class Words:
+    """Rows and words of a block."""
 
-    def __init__(self, body: bytes, id_col: str, text_col: str) -> None:
+    def __init__(self, body: bytes, text_col: str) -> None:
         self.table, self.text_col = B.load(body), text_col
-        self.ids = self.table.column(id_col).combine_chunks()
         self.data, self.offsets = text_buffer(self.table.column(text_col).combine_chunks())
         self.starts, self.ends = word_spans(self.data)
         self.doc_at = np.searchsorted(self.starts, self.offsets)  # first word of each document
+
+
+class Windows(Words):
+    """Words, symbols, windows and stand-ins of a block."""
+
+    def __init__(self, body: bytes, id_col: str, text_col: str) -> None:
+        super().__init__(body, text_col)
+        self.ids = self.table.column(id_col).combine_chunks()
         self.hash = word_hashes(self.data, self.starts, self.ends)
         self.symbols = Symbols(self.hash)
         self.doc = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.doc_at))
@@ -131,63 +144,107 @@ class Windows:
             return np.zeros(0, np.uint64)
         (_, low1, high1, first), (_, low, high, names) = self.symbols.rounds
         two = absorb(mix(names[:-1]), names[1:])
-        out = _smallest(n, low[: len(two)], high[2:], two)
+        out = _smallest(n, low[: len(two)], high[2:], two)[self.at]
         for low_, high_, some in ((low[:-1], high[1:], names), (low1[:-1], high1[1:], first), (np.arange(n), np.arange(n), self.hash)):
-            if not (out[self.at] == _NONE).any():
+            lacking = np.flatnonzero(out == _NONE)
+            if not len(lacking):
                 break
-            out = np.where(out == _NONE, _smallest(n, low_, high_, some), out)
-        return out[self.at]
+            out[lacking] = _smallest(n, low_, high_, some, self.at[lacking])
+        return out
 
     def hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128 bits for the spellings of the windows that start at words at: words outside the seams, names of symbols between them."""
         start, low, high, names = self.symbols.rounds[1]
         begin, stop = np.searchsorted(low, at, "left"), np.searchsorted(high, at + WINDOW - 1, "right") - 1
         core = stop > begin
-        begin, stop = np.where(core, start[np.minimum(begin, len(start) - 1)], -1), np.where(core, start[np.maximum(stop, 0)], -1)
-        opens = np.zeros(len(self.hash) + 1, bool)
-        opens[start] = True
-        out = []
-        for which in (0, 1):
-            words = self.hash if not which else word_hashes(self.data, self.starts, self.ends, 1)
-            symbol = np.zeros(len(words), np.uint64)
-            symbol[start[:-1]] = names if not which else self.symbols.other_names(words)
-            state = mix(np.where(core, 16 * (begin - at) + stop - at, 0).astype(np.uint64))
-            for k in range(WINDOW):
-                p = at + k
-                inside = (p >= begin) & (p < stop)
-                taken = ~inside | opens[p]
-                state = np.where(taken, absorb(state, np.where(inside, symbol[p], words[p]), which), state)
-            out.append(state)
-        return out[0], out[1]
+        begin, stop = np.where(core, begin, 0), np.where(core, stop, 0)
+        before = np.where(core, start[begin] - at, WINDOW)
+        middle = before + stop - begin
+        size = np.where(core, middle + at + WINDOW - start[stop], WINDOW)
+        n, used = len(self.hash), np.zeros(len(self.hash) + 1, np.int32)
+        used[at] += 1
+        used[at + WINDOW] -= 1
+        used = np.flatnonzero(np.cumsum(used[:-1]))
+        other = np.zeros(n, np.uint64)  # the second family is asked for in these windows only
+        other[used] = word_hashes(self.data, self.starts[used], self.ends[used], 1)
+        values = np.concatenate([self.hash, names]), np.concatenate([other, self.symbols.other_names(other)])
+        state = mix(np.where(core, 16 * before + start[stop] - at, 0).astype(np.uint64))
+        states = [state, state.copy()]
+        in_core, after = n + begin - before, start[stop] - middle
+        live = np.arange(len(at))
+        for k in range(WINDOW):
+            live = live[size[live] > k] if k else live
+            where = np.where(k < before[live], at[live], np.where(k < middle[live], in_core[live], after[live])) + k
+            for which in (0, 1):
+                states[which][live] = absorb(states[which][live], values[which][where], which)
+        return states[0], states[1]
 
 
 def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order by keys, and for each place in it the number of its group."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    """An order by keys, and for each place in it the number of its group."""
+    order = np.argsort(keys[0])
     new = np.zeros(len(order), bool)
-    for k in keys:
+    s = keys[0][order]
+    new[1:] = s[1:] != s[:-1]
+    more = np.zeros(len(order), bool)
+    for k in keys[1:]:
         s = k[order]
-        new[1:] |= s[1:] != s[:-1]
+        more[1:] |= s[1:] != s[:-1]
+    if (more & ~new).any():  # the first key doesn't tell all apart
+        order, new = np.lexsort(keys[::-1]), np.zeros(len(order), bool)
+        for k in keys:
+            s = k[order]
+            new[1:] |= s[1:] != s[:-1]
     return order, np.cumsum(new)
 
 
-def _several(stand: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct stand-ins, and whether more than one document of the block has each."""
-    order, group = _grouped(stand)
+def _several(stand: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct stand-ins, whether more than one document of the block has each, and the place of each window's own among them."""
+    new = np.ones(len(stand), bool)
+    new[1:] = (stand[1:] != stand[:-1]) | (doc[1:] != doc[:-1])
+    run = np.flatnonzero(new)  # windows side by side mostly have the same
+    order, group = _grouped(stand[run])
     if not len(order):
-        return stand, np.zeros(0, bool)
+        return stand, np.zeros(0, bool), np.zeros(0, np.int64)
     first = np.flatnonzero(np.diff(group, prepend=-1))
-    last = np.append(first[1:], len(order)) - 1
-    return stand[order[first]], doc[order[first]] != doc[order[last]]  # the order is stable, so documents ascend in a group
+    docs, of = doc[run][order], np.empty(len(order), np.int64)
+    of[order] = group
+    return stand[run][order[first]], np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first), of[np.cumsum(new) - 1]
 
 
 def _dealt(buckets: int, key: np.ndarray) -> list[tuple[int, np.ndarray]]:
     where = (mix(key) % np.uint64(buckets)).astype(np.int64)
-    order, group = _grouped(where)
-    first = np.flatnonzero(np.diff(group, prepend=-1))
+    order = np.argsort(where.astype(np.uint16) if buckets <= 1 << 16 else where, kind="stable")
+    first = np.flatnonzero(np.diff(where[order], prepend=-1))
     return [(int(where[part[0]]), part) for part in np.split(order, first[1:])] if len(order) else []
 
 
+def _by_source(picked: np.ndarray, source: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Picked places by their source, which ascends with the place; places of a source ascend."""
+    picked = np.sort(picked)
+    first = np.flatnonzero(np.diff(source[picked], prepend=-1))
+    return [(int(source[part[0]]), part) for part in np.split(picked, first[1:])] if len(picked) else []
+
+
+def _steps(numbers: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as their differences, all lowest bytes first, so that the rest, which is mostly zero, compresses."""
+    return np.diff(numbers.astype("<u4"), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_steps(x: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.int64)
+
+
+def _marked(n: int, at: np.ndarray) -> bytes:
+    out = np.zeros(n, bool)
+    out[at] = True
+    return np.packbits(out).tobytes()
+
+
+def _from_marked(x: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8)))
+
+
 def _bytes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
@@ -215,23 +272,6 @@ def _cat(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def _member(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> np.ndarray:
-    """Whether (a, b) is among (of_a, of_b)."""
-    if not len(of_a):
-        return np.zeros(len(a), bool)
-    order = np.lexsort((of_b, of_a))
-    of_a, of_b = of_a[order], of_b[order]
-    at = np.searchsorted(of_a, a)
-    out = np.zeros(len(a), bool)
-    open_ = np.arange(len(a))
-    while len(open_):
-        open_ = open_[at[open_] < len(of_a)]
-        open_ = open_[of_a[at[open_]] == a[open_]]
-        out[open_] |= of_b[at[open_]] == b[open_]
-        at[open_] += 1
-    return out
-
-
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout: bool = False, fan: int = FAN) -> DataFrame:
     """Rows of docs with n_words, n_removed, kept_text and kept_sha256: every word goes that is covered by a window of 13 words which also
     starts in a row with a smaller id. kept_text has the kept words joined by one space; with layout, the text as it was, but for the words
@@ -245,7 +285,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layou
         for batch in batches:
             for block, body in zip(batch.column("block_id").to_pylist(), batch.column("body"), strict=True):
                 w = Windows(body.as_py(), id_col, text_col)
-                key, several = _several(w.stand_ins(), w.doc[w.at])
+                key, several, _ = _several(w.stand_ins(), w.doc[w.at])
                 parts = _dealt(buckets, key)
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in parts], pa.int32()), "block_id": pa.array([block] * len(parts), pa.int64()), "keys": pa.array([_short(key[p], several[p]) for _, p in parts], pa.binary())})
 
@@ -257,13 +297,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layou
             order, group = _grouped(key)
             shared = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
             news = order[shared & ~several[order]]  # a block knows of those that several of its own documents have
-            rows = [(True, s, news[source[news] == s]) for s in np.unique(source[news])]
+            rows = [(True, s, k) for s, k in _by_source(news, source)]
             if not last:  # one entry of each goes on
                 on = order[np.flatnonzero(np.diff(group, prepend=-1))]
                 known = np.zeros(len(key), bool)
                 known[order] = shared
                 several = several | known
-                rows += [(False, s, on[source[on] == s]) for s in np.unique(source[on])]
+                rows += [(False, s, k) for s, k in _by_source(on, source)]
             names, bucket = table.column("block_id").to_pylist(), table.column("bucket").to_pylist()
             return pa.table({"answer": pa.array([x for x, _, _ in rows], pa.bool_()), "bucket": pa.array([bucket[s] for _, s, _ in rows], pa.int32()), "block_id": pa.array([names[s] for _, s, _ in rows], pa.int64()), "keys": pa.array([_short(key[k], several[k]) for _, _, k in rows], pa.binary())})
 
@@ -271,47 +311,62 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layou
 
     def left_over(w: Windows, told: np.ndarray) -> np.ndarray:
         """First words of the windows that may repeat."""
-        stand = w.stand_ins()
-        key, several = _several(stand, w.doc[w.at])
-        return w.at[np.isin(stand, key[several | np.isin(key & _KEY, told)])]
+        key, several, of = _several(w.stand_ins(), w.doc[w.at])
+        return w.at[(several | np.isin(key & _KEY, told))[of]]
+
+    kind = {"bucket": pa.int32(), "block_id": pa.int64(), "a": pa.binary(), "b": pa.binary(), "ids": pa.binary(), "numbers": pa.binary(), "plan": pa.binary()}
+
+    def rows_of(rows: list[tuple], **more) -> pa.Table:
+        return pa.table(more | {name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(kind.items())})
 
     def send_windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        bucket, block, a_, b_, id_ = [], [], [], [], []
+        rows = []
+        told = _cat([k for k, _ in _from_short(right.column("keys"))])
         for name, body in zip(left.column("block_id").to_pylist(), left.column("body"), strict=True):
             w = Windows(body.as_py(), id_col, text_col)
-            at = left_over(w, _cat([k for k, _ in _from_short(right.column("keys"))]))
+            at = left_over(w, told)
             at = at[w.known[w.doc[at]]]
             a, b = w.hashes(at)
             owner = w.id[w.doc[at]]
-            pairs = np.lexsort((owner, b, a))
-            a, b, owner = a[pairs], b[pairs], owner[pairs]
-            first = np.ones(len(a), bool)
-            first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            a, b, owner = a[first], b[first], owner[first]
-            for to, p in _dealt(buckets, a):
-                bucket.append(to)
-                block.append(name)
-                a_.append(_bytes(a[p]))
-                b_.append(_bytes(b[p]))
-                id_.append(_bytes(owner[p]))
-        return pa.table({"bucket": pa.array(bucket, pa.int32()), "block_id": pa.array(block, pa.int64()), "a": pa.array(a_, pa.binary()), "b": pa.array(b_, pa.binary()), "ids": pa.array(id_, pa.binary())})
+            order, group = _grouped(a, b)
+            of = np.empty(len(at), np.int64)
+            of[order] = group
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            smallest = np.minimum.reduceat(owner[order], first) if len(at) else owner
+            covered = owner > smallest[of]
+            left_at = np.flatnonzero(~covered)
+            asked = np.full(len(first), len(at))
+            np.minimum.at(asked, of[left_at], left_at)  # one window of each spelling stands for all of its id
+            asked = np.sort(asked)
+            number = np.empty(len(first), np.int64)
+            number[of[asked]] = np.arange(len(asked))
+            also = np.setdiff1d(left_at, asked, assume_unique=True)
+            plan = {"asked": _marked(len(w.hash), at[asked]), "covered": _marked(len(w.hash), at[covered]), "also": _bytes(at[also]), "of": _bytes(number[of[also]])}
+            rows.append((name % buckets, name, None, None, None, None, B.dump(pa.Table.from_pylist([plan]))))
+            a, b, owner = a[asked], b[asked], owner[asked]
+            rows += [(to, name, _bytes(a[p]), _bytes(b[p]), _bytes(owner[p]), _steps(p), None) for to, p in _dealt(buckets, a)]
+        return rows_of(rows)
 
     def meet_windows(last: bool):
         def meet(table: pa.Table) -> pa.Table:
+            bucket = table.column("bucket")[0].as_py()
+            plans = table.filter(pc.is_valid(table.column("plan")))
+            rows = [(bucket, s, None, None, None, None, x.as_py()) for s, x in zip(plans.column("block_id").to_pylist(), plans.column("plan"), strict=True)]
+            table = table.filter(pc.is_null(table.column("plan")))
             a, b = _u64(table.column("a")), _cat(_u64(table.column("b")))
             source = np.repeat(np.arange(len(a)), [len(x) for x in a])
             a = _cat(a)
             owner = _cat([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()], np.int64)
+            number = _cat([_from_steps(x) for x in table.column("numbers").to_pylist()], np.int64)
             order, group = _grouped(a, b)
-            smallest = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
-            np.minimum.at(smallest, group, owner[order])
+            smallest = np.minimum.reduceat(owner[order], np.flatnonzero(np.diff(group, prepend=-1))) if len(order) else owner
             larger = owner[order] > smallest[group]
-            hit, on = order[larger], order[~larger]  # those of the smallest id go on
-            rows = [(True, s, hit[source[hit] == s]) for s in np.unique(source[hit])]
-            if not last:
-                rows += [(False, s, on[source[on] == s]) for s in np.unique(source[on])]
-            names, bucket = table.column("block_id").to_pylist(), table.column("bucket").to_pylist()
-            return pa.table({"answer": pa.array([x for x, _, _ in rows], pa.bool_()), "bucket": pa.array([bucket[s] for _, s, _ in rows], pa.int32()), "block_id": pa.array([names[s] for _, s, _ in rows], pa.int64()), **{n: pa.array([_bytes(v[r]) for _, _, r in rows], pa.binary()) for n, v in (("a", a), ("b", b), ("ids", owner))}})
+            names = table.column("block_id").to_pylist()
+            rows += [(bucket, names[s], None, None, None, _steps(number[r]), None) for s, r in _by_source(order[larger], source)]
+            answers = len(rows)
+            if not last:  # those of the smallest id go on
+                rows += [(bucket, names[s], _bytes(a[r]), _bytes(b[r]), _bytes(owner[r]), _steps(number[r]), None) for s, r in _by_source(order[~larger], source)]
+            return rows_of(rows, answer=pa.array(np.arange(len(rows)) < answers))
 
         return meet
 
@@ -319,33 +374,26 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layou
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        told = _cat([k for k, _ in _from_short(right.column("keys").drop_null())])
-        hit_a, hit_b = (_cat([np.frombuffer(x, np.uint64) for x in right.column(c).to_pylist() if x is not None]) for c in "ab")
-        for body in left.column("body"):
-            w = Windows(body.as_py(), id_col, text_col)
-            at = left_over(w, told)
-            at = at[w.known[w.doc[at]]]
-            a, b = w.hashes(at)
-            owner = w.id[w.doc[at]]
-            order, group = _grouped(a, b)
-            smallest = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
-            np.minimum.at(smallest, group, owner[order])
-            covered = np.zeros(len(at), bool)
-            covered[order] = owner[order] > smallest[group]
-            covered |= _member(a, b, hit_a, hit_b)
-            marks = np.zeros(len(w.hash) + 1, np.int32)
-            np.add.at(marks, at[covered], 1)
-            np.add.at(marks, at[covered] + WINDOW, -1)
+        plans = right.column("plan").drop_null().to_pylist()
+        numbers = _cat([_from_steps(x) for x in right.column("numbers").drop_null().to_pylist()], np.int64)
+        for body, plan in zip(left.column("body"), plans, strict=True):
+            w, plan = Words(body.as_py(), text_col), B.load(plan).to_pylist()[0]
+            asked, also, of = _from_marked(plan["asked"]), np.frombuffer(plan["also"], np.int64), np.frombuffer(plan["of"], np.int64)
+            hit = np.zeros(len(asked), bool)
+            hit[numbers] = True
+            covered = np.concatenate([_from_marked(plan["covered"]), asked[hit], also[hit[of]]])  # no window twice
+            marks = np.zeros(len(w.starts) + 1, np.int32)
+            marks[covered] += 1
+            marks[covered + WINDOW] -= 1
             gone = np.cumsum(marks[:-1]) > 0
             out.append(_rows(w, gone, layout))
         return pa.concat_tables(out)
 
     sent = blocks.select("block_id", "body").mapInArrow(send_stand_ins, "bucket int, block_id long, keys binary")
     told = _met(sent, blocks.count(), fan, meet_stand_ins, "substring-stand-ins").select("block_id", "keys")
-    windows = blocks.select("block_id", "body").groupBy("block_id").cogroup(told.groupBy("block_id")).applyInArrow(send_windows, "bucket int, block_id long, a binary, b binary, ids binary")
-    hits = _met(windows, blocks.count(), fan, meet_windows, "substring-windows").select("block_id", F.lit(None).cast("binary").alias("keys"), "a", "b")
-    news = hits.unionByName(told.withColumns({"a": F.lit(None).cast("binary"), "b": F.lit(None).cast("binary")}))
-    return blocks.select("block_id", "body").groupBy("block_id").cogroup(news.groupBy("block_id")).applyInArrow(finish, schema)
+    windows = blocks.select("block_id", "body").groupBy("block_id").cogroup(told.groupBy("block_id")).applyInArrow(send_windows, "bucket int, block_id long, a binary, b binary, ids binary, numbers binary, plan binary")
+    hits = _met(windows, blocks.count(), fan, meet_windows, "substring-windows")
+    return blocks.select("block_id", "body").groupBy("block_id").cogroup(hits.select("block_id", "numbers", "plan").groupBy("block_id")).applyInArrow(finish, schema)
 
 
 def _met(sent: DataFrame, n_blocks: int, fan: int, meet, label: str) -> DataFrame:

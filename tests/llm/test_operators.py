@@ -510,6 +510,27 @@ def test_passages_in_every_block_meet_in_groups(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == removed_plainly(rows)
 
 
+def test_blocks_get_numbers_and_a_plan_back_not_spellings(spark, monkeypatch):
+    """The last round makes no symbols: each block has one plan, and answers name windows by number."""
+    from tessera.llm import blocks
+
+    monkeypatch.setattr(blocks.pack, "__defaults__", (2 << 20, 5))
+    answers, met = [], recompression._met
+    monkeypatch.setattr(recompression, "_met", lambda *a: answers.append(met(*a)) or answers[-1])
+    rng = random.Random(17)
+    passages = [" ".join(word(rng) for _ in range(20)) for _ in range(3)]
+    rows = [(rng.choice([None, *range(12)]), " ".join([word(rng), *rng.choices(passages, k=rng.randint(1, 3)), word(rng)]), "en", "s", 0) for _ in range(40)]  # ids in any order and again
+    got = recompression.dedup(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == removed_plainly(rows)
+    told = answers[1].collect()
+    plans = [r.block_id for r in told if r.plan]
+    assert len(plans) == len(set(plans)) > 3 and any(r.numbers for r in told) and all(r.a is None and r.b is None and r.ids is None for r in told)
+    steps = np.array([0, 3, 4, 900, 70000])
+    assert recompression._from_steps(recompression._steps(steps)).tolist() == steps.tolist()
+    found = recompression._by_source(np.array([5, 0, 4]), np.array([0, 0, 1, 1, 2, 2]))
+    assert [(s, p.tolist()) for s, p in found] == [(0, [0]), (2, [4, 5])]
+
+
 def test_bpe_round_trip(spark, docs, empty):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
