@@ -170,22 +170,28 @@ class Level:
         hi = np.minimum(lo + self.group, self.n)
         drawn = self.steps[lo][:, None] + rng.random((len(lo), self.noise)) * (self.steps[hi] - self.steps[lo])[:, None]
         z = np.clip(np.searchsorted(self.steps, drawn, "right") - 1, lo[:, None], hi[:, None] - 1)
-        own = self.v[x]
-        real = (own * guess).sum(1) + self.b[x] - self.noise_log[x]
+        own = self.v.take(x, 0)
+        real = _dots(own, guess) + self.b[x] - self.noise_log[x]
         up = weight / (1 + np.exp(np.clip(real, -30, 30)))
         change = up[:, None] * own
         offset = self.b[z] - self.noise_log[z]
         moved, total = np.empty((len(lo), self.noise, WIDTH), np.float32), np.empty((len(lo), self.noise), np.float32)
         if len(x) > 8 * len(lo):  # many tokens in a group: its own product
             cuts = np.append(first, len(x)).tolist()
-            for k, vectors in enumerate(self.v[z]):
-                some = slice(cuts[k], cuts[k + 1])
-                down = _push(guess[some] @ vectors.T + offset[k], weight[some])
-                change[some] += down @ vectors
-                moved[k], total[k] = down.T @ guess[some], down.sum(0)
+            each = [(slice(a, b), vectors) for a, b, vectors in zip(cuts[:-1], cuts[1:], self.v.take(z, 0), strict=True)]
+            score, more = np.empty((len(x), self.noise), np.float32), np.empty_like(guess)
+            for some, vectors in each:
+                np.matmul(guess[some], vectors.T, out=score[some])
+            score += offset.take(which, 0)
+            down = _push(score, weight)
+            for k, (some, vectors) in enumerate(each):
+                np.matmul(down[some], vectors, out=more[some])
+                np.matmul(down[some].T, guess[some], out=moved[k])
+            change += more
+            np.add.reduceat(down, first, out=total)
         else:
-            noise = self.v[z][which]
-            down = _push(np.einsum("ikd,id->ik", noise, guess) + offset[which], weight)
+            noise = self.v.take(z.take(which, 0), 0)
+            down = _push(np.einsum("ikd,id->ik", noise, guess) + offset.take(which, 0), weight)
             change += np.einsum("ik,ikd->id", down, noise)
             np.add.reduceat(down[:, :, None] * guess[:, None, :], first, out=moved)
             np.add.reduceat(down, first, out=total)
@@ -196,9 +202,10 @@ class Level:
         return change
 
     def _move(self, rows: np.ndarray, dv: np.ndarray, db: np.ndarray, rate: float) -> None:
-        self.sums[rows] += ((dv * dv).sum(1) + db * db) / (WIDTH + 1)
-        scale = rate / np.sqrt(self.sums[rows])
-        self.v[rows] += dv * scale[:, None]
+        sums = self.sums[rows] + (_dots(dv, dv) + db * db) / (WIDTH + 1)
+        self.sums[rows] = sums
+        scale = rate / np.sqrt(sums)
+        self.v[rows] = self.v.take(rows, 0) + dv * scale[:, None]
         self.b[rows] += db * scale
 
     def reach(self, guess: float) -> float:
@@ -210,7 +217,7 @@ class Level:
     def log_share(self, x: np.ndarray, guess: np.ndarray, small: bool = False) -> np.ndarray:
         """Natural logarithms of the shares of members x in their groups. small: no score is too large for exp."""
         by = np.argsort(x)
-        of, g = x[by] // self.group, guess[by]
+        of, g = x[by] // self.group, guess.take(by, 0)
         out = np.empty(len(x), np.float32)
         cuts = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -219,12 +226,17 @@ class Level:
             for k in range(a, b, 4096):
                 out[k : min(b, k + 4096)] = _log_sum(g[k : min(b, k + 4096)], v, bias, small)
         own = x[by]
-        out = (g * self.v[own]).sum(1) + self.b[own] - out
+        out = _dots(g, self.v.take(own, 0)) + self.b[own] - out
         back = np.empty_like(out)
         back[by] = out
         return back
 
 
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The products of rows."""
+    return (a * b) @ np.ones(a.shape[1], a.dtype)
+
+
 def _push(score: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The gradients of noise with these scores."""
     with np.errstate(over="ignore"):  # a score too low for exp moves nothing
@@ -235,10 +247,10 @@ def _push(score: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def _gathered(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows, and the sums of their values."""
-    by = np.argsort(rows)
-    rows = rows[by]
+    both = np.sort(rows.astype(np.int64) << 32 | np.arange(len(rows)))
+    rows = both >> 32
     new = _starts(rows)
-    return rows[new], _sums(values[by], new)
+    return rows[new], _sums(values.take(both & 0xFFFFFFFF, 0), new)
 
 
 def _starts(x: np.ndarray) -> np.ndarray:
@@ -251,7 +263,7 @@ def _starts(x: np.ndarray) -> np.ndarray:
 
 def _sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Sums of the runs of rows that begin at begin; most runs have one row."""
-    out = values[begin]
+    out = values.take(begin, 0)
     sizes = np.diff(begin, append=len(values))
     several = np.flatnonzero(sizes > 1)
     if len(several):
@@ -299,7 +311,11 @@ class Model:
         return self
 
     def guess(self, context: np.ndarray) -> np.ndarray:
-        return self.q[context % (self.symbols + 1)] * self.c[0] + self.q[context // (self.symbols + 1)] * self.c[1]
+        before = context // (self.symbols + 1)
+        out = self.q.take(context - before * (self.symbols + 1), 0)
+        out *= self.c[0]
+        out += self.q.take(before, 0) * self.c[1]
+        return out
 
     def first(self, token: np.ndarray) -> np.ndarray:
         """The places of tokens or of their groups in top."""
@@ -322,11 +338,11 @@ class Model:
             at = at[np.argsort(token[at])]
             symbol, one, two, m = token[at], last[at], before[at], weight[at]
             w = self.first(symbol)  # ascending, as symbols are
-            q1, q2 = self.q[one], self.q[two]
+            q1, q2 = self.q.take(one, 0), self.q.take(two, 0)
             guess = q1 * self.c[0] + q2 * self.c[1]
             noise = np.minimum(np.searchsorted(steps, rng.random(top.noise) * steps[-1]), top.n - 1)
-            own, other = top.v[w], top.v[noise]
-            real = (guess * own).sum(1) + top.b[w] - noise_log[w]
+            own, other = top.v.take(w, 0), top.v.take(noise, 0)
+            real = _dots(guess, own) + top.b[w] - noise_log[w]
             down = _push(guess @ other.T + (top.b[noise] - noise_log[noise]), m)
             up = m / (1 + np.exp(np.clip(real, -30, 30)))
             dg = up[:, None] * own + down @ other
@@ -334,7 +350,7 @@ class Model:
             new = _starts(w)
             dv[w[new]] = np.add.reduceat(up[:, None] * guess, new)
             np.add.at(dv, noise, down.T @ guess)
-            np.add.at(db, noise, down.sum(0))
+            np.add.at(db, noise, np.ones(len(down), np.float32) @ down)
             deep = int(np.searchsorted(symbol, self.direct))
             if deep < len(symbol):
                 x, g, mass = symbol[deep:] - self.direct, guess[deep:], m[deep:]
@@ -342,8 +358,9 @@ class Model:
                 dg[deep:] += self.leaf.pull(x, g, mass, rng, rate)
             dc = np.stack([(dg * q1).sum(0), (dg * q2).sum(0)])
             rows, dq = _gathered(np.concatenate([one, two]), np.concatenate([dg * self.c[0], dg * self.c[1]]))
-            q_sums[rows] += (dq * dq).sum(1) / WIDTH
-            self.q[rows] += dq * (rate / np.sqrt(q_sums[rows]))[:, None]
+            sums = q_sums[rows] + _dots(dq, dq) / WIDTH
+            q_sums[rows] = sums
+            self.q[rows] = self.q.take(rows, 0) + dq * (rate / np.sqrt(sums))[:, None]
             top_sums += ((dv * dv).sum(1) + db * db)[:, None] / (WIDTH + 1)
             top.v += rate * dv / np.sqrt(top_sums)
             top.b += rate * db / np.sqrt(top_sums[:, 0])
@@ -355,11 +372,12 @@ def _log_sum(guess: np.ndarray, vectors: np.ndarray, bias: np.ndarray, small: bo
     """Logarithms of the sums of exp(score) over all vectors. small: no score is too large for exp; else the largest is taken out first."""
     s = guess @ vectors.T
     s += bias
+    ones = np.ones(len(vectors), np.float32)
     if small:
-        return np.log(np.exp(s, out=s).sum(1))
+        return np.log(np.exp(s, out=s) @ ones)
     top = s.max(1)
     s -= top[:, None]
-    return top + np.log(np.exp(s, out=s).sum(1))
+    return top + np.log(np.exp(s, out=s) @ ones)
 
 
 class Scorer:
@@ -376,11 +394,11 @@ class Scorer:
         small = [level.reach(norm) < 60 for level in (m.top, m.mid, m.leaf)]
         log_z = np.concatenate([_log_sum(guess[k : k + 1024], m.top.v, m.top.b, small[0]) for k in range(0, len(pairs), 1024)] or [np.zeros(0, np.float32)])
         w = m.first(token)
-        guess = guess[where]
-        out = ((guess * m.top.v[w]).sum(1) + m.top.b[w] - log_z[where]).astype(np.float64)
+        guess = guess.take(where, 0)
+        out = (_dots(guess, m.top.v.take(w, 0)) + m.top.b[w] - log_z[where]).astype(np.float64)
         deep = np.flatnonzero(token >= m.direct)
         if len(deep):
-            x, g = token[deep] - m.direct, guess[deep]
+            x, g = token[deep] - m.direct, guess.take(deep, 0)
             out[deep] += m.mid.log_share(x // m.leaf.group, g, small[1])
             out[deep] += m.leaf.log_share(x, g, small[2])
         return out / math.log(10)

@@ -432,6 +432,27 @@ def removed_plainly(rows):
     return sorted(out)
 
 
+def test_a_step_weighs_the_noise_of_all_groups_at_once(monkeypatch):
+    """One call for all groups of a level, with the changes that each group's own product gives."""
+    pushes, push = [], log_bilinear._push
+    monkeypatch.setattr(log_bilinear, "_push", lambda *a: pushes.append(a) or push(*a))
+    rng = np.random.Generator(np.random.PCG64(3))
+    level = log_bilinear.Level(rng.integers(1, 50, 40).astype(float), 8, 3, rng)
+    level.ready()
+    x = np.sort(rng.integers(0, 40, 600))
+    guess, weight = rng.normal(size=(600, log_bilinear.WIDTH)).astype(np.float32), rng.random(600).astype(np.float32)
+    v, b, draws = level.v.copy(), level.b.copy(), np.random.Generator(np.random.PCG64(8)).random((5, 3))
+    change = level.pull(x, guess, weight, np.random.Generator(np.random.PCG64(8)), 0.1)
+    assert len(pushes) == 1
+    for i in range(600):
+        lo = int(x[i]) // 8 * 8
+        z = np.searchsorted(level.steps, level.steps[lo] + draws[lo // 8] * (level.steps[lo + 8] - level.steps[lo]), "right") - 1
+        up = weight[i] / (1 + np.exp(v[x[i]] @ guess[i] + b[x[i]] - level.noise_log[x[i]]))
+        down = -weight[i] / (1 + np.exp(-(v[z] @ guess[i] + b[z] - level.noise_log[z])))
+        assert np.allclose(change[i], up * v[x[i]] + down @ v[z], atol=1e-4)
+    assert not np.array_equal(level.v, v) and not np.array_equal(level.b, b)
+
+
 def test_substrings(spark, docs, empty):
     got = recompression.dedup(docs.withColumn("n_words", F.lit("x"))).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == removed_plainly(ROWS)
