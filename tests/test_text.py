@@ -59,3 +59,16 @@ def test_cjk_status(spark):
     with_table = X.cjk_title_status(F.col("a"), F.col("b"), converted(F.col("a"), table), converted(F.col("b"), table), F.lit(False))
     without = X.cjk_title_status(F.col("a"), F.col("b"), None, None, F.lit(False))
     assert [tuple(r) for r in df.select(with_table, without).collect()] == [("CJK_EQUIVALENT", "NO_MATCH"), ("NO_MATCH", "NO_MATCH"), ("EXACT", "EXACT")]
+
+
+def test_patterns_are_tried_only_where_their_marks_stand(spark):
+    """Marks rule out no text that a pattern takes: the terms and cores are those of the patterns alone."""
+    titles = ["", "  plain title ", "deluxe - edition", "re_release", "covers", "tributes", "re-mixes", "(remixes)", "dj mixed", "speed-up", "radioedit", "a (feat. b)", "a - [from c]", 'a - from "c"', "a - 2011 remastered", "a (2011 remaster)", "live from here", "(with b)", " [x] ", "discover olive", "　a(with b)　"]
+    df = spark.createDataFrame([(t,) for t in [*titles, *X.V.ALL_TERMS]], "s string")
+    out = X.strip(F.col("s"))
+    for pattern in X.CORE_CUTS:
+        out = F.regexp_replace(out, pattern, "")
+    plain = F.array_compact(F.array(*[F.when(X.has("(?U)" + X.term_regex(t), F.col("s")), F.lit(t)) for t in X.V.ALL_TERMS]))
+    rows = df.select("s", X.version_terms(F.col("s")).alias("terms"), plain.alias("plain"), X.title_core(F.col("s")).alias("core"), X.strip(out).alias("whole")).collect()
+    assert all(r.terms == r.plain and r.core == r.whole for r in rows) and sum(bool(r.terms) for r in rows) > 20
+    assert all(X.term_mark(t) for t in X.V.ALL_TERMS) and X.term_mark("cover") == "cover"
