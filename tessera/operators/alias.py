@@ -17,16 +17,20 @@ from tessera.operators.select import best_with_ties, top
 LEAST_SCORE = 95
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of sorted shuffles. Spark guesses a side's size from packed files and fixed lengths of texts, so a side as large as the input can look small enough to be sent whole to the driver and all executors."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def recordings_of(songs: DataFrame, artists: DataFrame, recordings: DataFrame) -> DataFrame:
     """(song_id, artist_mbid, recording_mbid): recordings credited to an artist of exactly that name, with the best score of at least 95.
 
     The score stands in for a search service's: 100 for a variant's very title, 95 for its key."""
-    keyed = songs.select("song_id", "title", "artist", X.key(X.fold("artist")).alias("name_key"))
-    named = keyed.join(artist_names(artists), "name_key").select("song_id", F.col("mbid").alias("artist_mbid"), F.explode(X.recording_variants(X.nfkc("title"), F.col("artist"))).alias("variant"))
-    named = named.withColumn("title_key", X.key(X.fold("variant")))
+    keyed = songs.select("song_id", X.key(X.fold("artist")).alias("name_key"), F.explode(X.recording_variants(X.nfkc("title"), F.col("artist"))).alias("variant")).withColumn("title_key", X.key(X.fold("variant")))
+    named = _joined(keyed, artist_names(artists), "name_key").select("song_id", F.col("mbid").alias("artist_mbid"), "variant", "title_key")  # texts are made ready before songs meet in few names
     credited = credits(recordings).select("recording_mbid", "artist_mbid").distinct()
-    titled = recordings.select(F.col("mbid").alias("recording_mbid"), F.col("title").alias("r_title"), X.key(X.fold("title")).alias("title_key")).join(credited, "recording_mbid")
-    met = named.join(titled, ["artist_mbid", "title_key"]).withColumn("score", F.when(F.col("variant") == F.col("r_title"), 100).otherwise(95)).where(F.col("score") >= LEAST_SCORE)
+    titled = recordings.select(F.col("mbid").alias("recording_mbid"), F.col("title").alias("r_title"), X.key(X.fold("title")).alias("title_key"))
+    met = _joined(named, _joined(titled, credited, "recording_mbid"), ["artist_mbid", "title_key"]).withColumn("score", F.when(F.col("variant") == F.col("r_title"), 100).otherwise(95)).where(F.col("score") >= LEAST_SCORE)
     return best_with_ties(met, ["song_id"], [F.desc("score")]).select("song_id", "artist_mbid", "recording_mbid").distinct()
 
 
@@ -44,10 +48,10 @@ def track_titles(releases: DataFrame) -> DataFrame:
 def discover(songs: DataFrame, artists: DataFrame, recordings: DataFrame, releases: DataFrame) -> DataFrame:
     """(song_id, alias, reason, evidence_count)."""
     keyed = songs.select("song_id", X.key(X.fold("artist")).alias("name_key"))
-    with_artist = keyed.join(artist_names(artists), "name_key").select("song_id").distinct()
+    with_artist = _joined(keyed, artist_names(artists), "name_key").select("song_id").distinct()
     found = recordings_of(songs, artists, recordings)
     counted = found.groupBy("song_id").agg(F.count_distinct("recording_mbid").alias("n"), F.min("recording_mbid").alias("recording_mbid"))
-    one = counted.where("n = 1").join(songs, "song_id").join(track_titles(releases), "recording_mbid")
+    one = _joined(_joined(counted.where("n = 1"), songs, "song_id"), track_titles(releases), "recording_mbid")
     variants = X.base_title_variants(X.nfkc("title"))
     one = one.select("song_id", "track_title", "evidence", "at", X.fold("title").alias("_title"), variants.alias("_variants"), X.bracket_contents(X.nfkc("title")).alias("_brackets"), X.fold("track_title").alias("_track"))
     one = one.withColumns({"_folded": X.fold_all("_variants"), "_bracket_folded": X.fold_all("_brackets"), "key": X.key(F.col("_track"))})
@@ -58,7 +62,9 @@ def discover(songs: DataFrame, artists: DataFrame, recordings: DataFrame, releas
     grouped = kept.groupBy("song_id", "key").agg(F.max("evidence").alias("evidence"), F.count("*").alias("n"), F.max_by("track_title", F.struct("at", "track_title")).alias("alias"), F.max("translated").alias("translated"))
     order = [F.asc("translated"), F.desc("evidence"), F.desc("n")]
     tied = best_with_ties(grouped, ["song_id"], order).groupBy("song_id").agg(F.count("*").alias("ties"), F.max("alias").alias("alias"), F.max("n").alias("evidence_count"))
-    out = songs.select("song_id").join(with_artist.withColumn("_a", F.lit(True)), "song_id", "left").join(counted.select("song_id", "n"), "song_id", "left").join(tied, "song_id", "left")
+    out = songs.select("song_id")
+    for known in (with_artist.withColumn("_a", F.lit(True)), counted.select("song_id", "n"), tied):
+        out = _joined(out, known, "song_id", "left")
     # fixed values: the names of the reasons
     reason = (
         F.when(F.col("_a").isNull(), "ARTIST_IDENTITY_NOT_FOUND")

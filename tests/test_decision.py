@@ -95,6 +95,18 @@ def test_alias_reasons(spark):
     assert got[6][0] == "ARTIST_IDENTITY_NOT_FOUND"
 
 
+def test_alias_discovery_sends_no_table_to_the_driver(spark, tmp_path):
+    import __spark_entry__
+
+    parts = spark.range(1, 61).selectExpr("id AS p_partkey", "concat('name ', id) AS p_name", "concat('Brand#', id % 3) AS p_brand", "'T' AS p_type", "cast(id % 2 + 1 AS int) AS p_size")
+    parts.write.parquet(str(tmp_path / "part.parquet"))  # so small that Spark would broadcast each side
+    found = __spark_entry__.queries()["title_alias_discovery"](spark, str(tmp_path))
+    got = {r.song_id: (r.reason, r.alias, r.evidence_count) for r in found.collect()}
+    reasons = ["UNIQUE_RELEASE_TITLE", "RECORDING_IDENTITY_NOT_UNIQUE", "ALTERNATE_TITLE_AMBIGUOUS", "NO_ALTERNATE_RELEASE_TITLE", "RECORDING_NOT_FOUND", "ARTIST_IDENTITY_NOT_FOUND"]
+    assert got == {i: (reasons[i % 6], *((f"name {i}", 1) if i % 6 == 0 else (None, None))) for i in range(1, 61)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sources_and_pages(spark):
     from tessera.sources import readers
 
